@@ -8,31 +8,115 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import byte_bpe, sharding, token_counts
+from docloom.llm import (
+    byte_bpe,
+    decontamination,
+    lm_scoring,
+    ngram_jaccard,
+    quality_rules,
+    sharding,
+    token_counts,
+    token_output,
+    toxicity,
+    url_filters,
+)
+
+RULES = [
+    url_filters.Rule("net/", "block"),
+    url_filters.Rule("example.net/en/", "allow"),
+    url_filters.Rule("example.com/de/", "block"),
+    url_filters.Rule("org/fr/", "allow"),
+]
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.url_filter(_read(spark, sf_dir, "pages"), RULES)
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.ngram_jaccard(_read(spark, sf_dir, "documents"), size=4, num=85, den=100)
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(_read(spark, sf_dir, "documents"))
+
+
+def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.token_output(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return byte_bpe.digests(byte_bpe.byte_bpe(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.byte_shards(_read(spark, sf_dir, "documents"), shards=24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), threshold=0.3)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), max_tokens=2048)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_token_output": op4_token_output,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_sharding": op7_sharding,
+    "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
+    "op10_decontamination": op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+#: Exact Jaccard links and their components, for op2.
+_OP2 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(
+    CASE WHEN ws IS NULL OR len(ws) = 0 THEN []
+         WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+         ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(list_slice(ws, i, i + 3), ' ')) END) AS g
+  FROM w
+), n AS (
+  SELECT d.doc_id, count(s.g) AS n FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id GROUP BY d.doc_id
+), ov AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+  FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), e AS (
+  SELECT ov.a, ov.b FROM ov JOIN n x ON x.doc_id = ov.a JOIN n y ON y.doc_id = ov.b
+  WHERE 100 * k >= 85 * (x.n + y.n - k)
+), u AS (
+  SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), r(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT r.doc_id, u.b FROM r JOIN u ON u.a = r.root
+)
+SELECT n.doc_id, n.n AS n_shingles, min(r.root) AS component_id
+FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n
+"""
+
+ORACLES: dict[str, str] = {"op2_ngram_jaccard": _OP2}
