@@ -37,8 +37,8 @@ class Bands:
     the last row whose bytes are reached holds. Lengths below the first row are not judged.
     """
 
-    whole: tuple[tuple[int, float, float], ...] = ((128, 0.20, 1.05), (512, 0.16, 0.95), (2048, 0.12, 0.88), (16384, 0.08, 0.82), (65536, 0.06, 0.80))
-    chunk: tuple[tuple[int, float, float], ...] = ((1024, 0.12, 0.92),)
+    whole: tuple[tuple[int, float, float], ...] = ((128, 0.20, 1.00), (512, 0.16, 0.85), (2048, 0.12, 0.74), (16384, 0.08, 0.68), (65536, 0.06, 0.66))
+    chunk: tuple[tuple[int, float, float], ...] = ((1024, 0.12, 0.80),)
     chunk_bytes: int = 4096
     chunk_share: float = 0.5
     level: int = 3
