@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.functions.scalars import lines_of, lines_with_ends, strip
 
@@ -26,7 +27,7 @@ class CleanConfig:
     suppress_duplicate_lines: bool = True
 
 
-@F.pandas_udf("text string, changed int")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("changed", T.IntegerType())]))
 def _nfc(text: pd.Series) -> pd.DataFrame:
     """NFC and the number of positions that differ; the engine has no such builtin."""
     done = text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
