@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from docloom.llm import byte_bpe, decontamination, ngram_jaccard, quality_rules, toxicity
 from docloom.llm.store import Workspace
@@ -40,8 +39,7 @@ def stage_ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, as it is or with other slots, go."""
-    judged = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep_text=True)
-    return judged.filter(~F.col("contaminated")).select(*docs.columns)
+    return decontamination.decontamination_filter(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def stage_byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
