@@ -119,4 +119,15 @@ SELECT n.doc_id, n.n AS n_shingles, min(r.root) AS component_id
 FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n
 """
 
-ORACLES: dict[str, str] = {"op2_ngram_jaccard": _OP2}
+#: Prefix sums and shards, for op7; the CRC-32 table is built by its polynomial.
+_OP7 = r"""
+WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, i)) AS t),
+h AS (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT doc_id, CAST(length(x) // 2 AS BIGINT) + 8 AS size, list_transform(string_split(regexp_replace(x, '(..)', '\1,', 'g'), ',')[1:length(x) // 2], lambda p: CAST(('0x' || p) AS BIGINT)) AS bytes FROM h),
+r AS (SELECT doc_id, size, xor(4294967295, list_reduce(bytes, lambda c, y: xor(c // 256, t[xor(c % 256, y) + 1]), 4294967295)) AS text_crc32 FROM b, tab),
+p AS (SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total, row_number() OVER (ORDER BY doc_id, text_crc32, size) AS n FROM r),
+s AS (SELECT *, least(CAST((2 * before + size) * 24 // (2 * total) AS INTEGER), 23) AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, n - min(n) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+"""
+
+ORACLES: dict[str, str] = {"op2_ngram_jaccard": _OP2, "op7_sharding": _OP7}
