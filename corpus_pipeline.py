@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docloom.llm import byte_bpe, decontamination, ngram_jaccard, quality_rules, toxicity
 from docloom.llm.store import Workspace
 
 #: Near duplicates: five words a shingle, a similarity of 0.8 or more.
 SHINGLE_WORDS, SIMILARITY = 5, (80, 100)
+#: Ids up to which the dropped documents are broadcast; beyond, both sides are shuffled.
+BROADCAST_IDS = 1_000_000
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +36,9 @@ def stage_ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Rows of one id count as one document and stay together; rows without an id stay.
     """
     joined = ngram_jaccard.ngram_jaccard(docs, size=SHINGLE_WORDS, num=SIMILARITY[0], den=SIMILARITY[1])
-    gone = joined.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = Workspace(spark, "near-duplicates").save(joined.filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
