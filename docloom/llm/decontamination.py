@@ -120,10 +120,9 @@ class Items:
         for tokens, _ in self.templates:
             places: dict[int, list[int]] = defaultdict(list)
             width = min(size, len(tokens))
-            for at in range(len(tokens) - width + 1 if width else 0):
-                cut = tokens[at : at + width]
-                if any(t[0] != "\x01" for t in cut):
-                    places[window_hash(cut)].append(at)
+            for at, h in enumerate(window_hashes(tokens, width).tolist()):
+                if any(t[0] != "\x01" for t in tokens[at : at + width]):
+                    places[h].append(at)
             self.hashes.append(dict(places))
             self.windows.append(sum(map(len, places.values())))
             (every if width == size else short[width]).update(places)
@@ -138,8 +137,10 @@ class Items:
         tokens, values = template(text)
         found: dict[tuple[int, int], set[int]] = defaultdict(set)
         for width in self.sorted:
-            for at in range(len(tokens) - width + 1):
-                for k, place in self.by_hash.get(window_hash(tokens[at : at + width]), ()):
+            h = window_hashes(tokens, width)
+            near = np.flatnonzero(np.isin(h, self.sorted[width]))
+            for at, key in zip(near.tolist(), h[near].tolist()):
+                for k, place in self.by_hash[key]:
                     item = self.templates[k][0]
                     if min(self.size, len(item)) == width and item[place : place + width] == tokens[at : at + width]:
                         found[k, at - place].add(place)
@@ -156,25 +157,25 @@ class Items:
         return sorted((self.ids[k], s) for k, s in best.items())
 
 
-_words: dict[str, np.uint64] = {}
+def token_hashes(tokens: list[str]) -> np.ndarray:
+    """64-bit hashes of template tokens, all in one pass."""
+    raw = [t.encode("utf-8", "replace") for t in tokens]
+    ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+    starts = np.concatenate(([0], ends[:-1])) if len(raw) else ends
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    return textkit.Texts(data, np.array([0, len(data)])).hash(starts, ends)
 
 
-def _token_hash(t: str) -> int:
-    raw = np.frombuffer(t.encode("utf-8", "replace"), np.uint8)
-    return int(textkit.Texts(raw, np.array([0, len(raw)])).hash(np.array([0]), np.array([len(raw)]))[0])
-
-
-def window_hash(tokens: list[str]) -> int:
-    """The hash that ``textkit.windows`` gives these tokens."""
-    out = 0
-    for t in tokens:
-        h = _words.get(t)
-        if h is None:
-            if len(_words) > 1 << 18:
-                _words.clear()
-            h = _words[t] = _token_hash(t)
-        out = (out * 0xC2B2AE3D27D4EB4F + h) & 0xFFFFFFFFFFFFFFFF
-    return int(mix(np.array([out], U64))[0])
+def window_hashes(tokens: list[str], size: int) -> np.ndarray:
+    """The hashes that ``textkit.windows`` gives the windows of these tokens."""
+    n = len(tokens) - size + 1
+    if n <= 0 or size == 0:
+        return np.zeros(0, U64)
+    h = token_hashes(tokens)
+    out = np.zeros(n, U64)
+    for k in range(size):
+        out = out * U64(0xC2B2AE3D27D4EB4F) + h[k : k + n]
+    return mix(out)
 
 
 #: What a word's template token is: its hash at a sentence's start and inside, and whether it ends one.
@@ -203,12 +204,14 @@ class _TokenCache:
             if self.n + len(new) > len(self.first):  # more new words in one slice than the cache holds
                 grow = self.n + len(new)
                 self.first, self.inner, self.flags = (np.concatenate((x, np.zeros(grow - len(x), x.dtype))) for x in (self.first, self.inner, self.flags))
-            for k, i in enumerate(miss[first].tolist()):
-                word = texts.cut(int(w.start[i]), int(w.end[i])).decode("utf-8", "replace")
-                a, b = token(word, True), token(word, False)
-                self.first[self.n + k] = _token_hash(a)
-                self.inner[self.n + k] = _token_hash(b) if b != a else self.first[self.n + k]
-                self.flags[self.n + k] = (not a) | 2 * ends_sentence(word) | 4 * (a[:1] == "\x01") | 8 * (b[:1] == "\x01")
+            where = miss[first]
+            seen = [texts.cut(i, j).decode("utf-8", "replace") for i, j in zip(w.start[where].tolist(), w.end[where].tolist())]
+            inner = [token(word, False) for word in seen]
+            opening = [token(word, True) if t == NAME else t for word, t in zip(seen, inner)]
+            part = slice(self.n, self.n + len(new))
+            self.first[part] = token_hashes(opening)
+            self.inner[part] = token_hashes(inner)
+            self.flags[part] = [(not t) | 2 * ends_sentence(word) for word, t in zip(seen, inner)]
             places = self.n + np.arange(len(new))
             room = len(self.table.keys) // 4
             self.table.put(new[:room], places[:room])
@@ -273,6 +276,14 @@ def decontaminate(
     return _judged(docs, lambda: Items(sent.value, size, share), id_col, text_col, keep_text)
 
 
+def decontamination_filter(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **settings) -> DataFrame:
+    """The rows that no item contaminates, with their own columns only."""
+    own = docs.columns
+    renamed = docs.withColumnsRenamed({c: f"_own_{c}" for c in own})
+    judged = decontaminate(renamed, benchmark, text_col=f"_own_{text_col}", keep_text=True, **settings)
+    return judged.filter(~F.col("contaminated")).select(*[F.col(f"_own_{c}").alias(c) for c in own])
+
+
 def _judged(docs: DataFrame, load, id_col: str, text_col: str, keep_text: bool) -> DataFrame:
     carried = docs if keep_text else docs.select(id_col, text_col)
     names = carried.columns
@@ -329,8 +340,8 @@ def _decontaminate_shuffled(docs: DataFrame, items: DataFrame, id_col: str, text
         for batch in batches:
             for number, text in zip(*(c.to_pylist() for c in batch.columns)):
                 tokens, _ = template(text)
-                h = {window_hash(tokens[a : a + k]) for k in widths for a in range(len(tokens) - k + 1)}
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(list(h), U64).view(np.int64)), pa.array([number] * len(h), pa.int64())], names=["h", "_row"])
+                h = np.unique(np.concatenate([window_hashes(tokens, k) for k in widths])) if widths else np.zeros(0, U64)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([number] * len(h), pa.int64())], names=["h", "_row"])
 
     own = numbered.select("_row", text_col).mapInArrow(cut, "h long, _row long")
     pairs = own.join(windows.select("h", "item").distinct(), "h").select("_row", "item").distinct()
