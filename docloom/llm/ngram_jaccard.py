@@ -14,16 +14,22 @@ In so many dimensions a tree of bounding boxes alone would visit nearly every le
   D blocks, so they share at least one leaf: a block and its exact counts. Every
   point is filed under its blocks' counts in its own size class and the next. Blocks
   without any shingle are not filed unless a point has more than ``e`` of them.
-* Inside a leaf, members are compared with the leaf's least one; those that this
-  leaves in different components are joined through a bulk-loaded R-tree over their
-  points, which bounds the overlap of two boxes, then of two points, by the summed
-  minima.
-
-Pairs that survive the bound are verified on the shingle sets. Equal sets are
-collapsed first, map-side and globally. Leaves are pre-aggregated in each task: only
-the task's least member of a leaf is sent on, as packed arrays, so a leaf that holds
-a third of all documents costs one entry a task. No pairs are formed inside a group
-that the first comparison has already connected.
+* Clusters. Documents that share leaves, directly or through others, form a cluster;
+  only documents of one cluster can link. A cluster's documents are dealt into blocks
+  of at most BLOCK; each block is joined, together with PIVOTS documents of the whole
+  cluster, through a bulk-loaded R-tree over the points, which bounds the overlap of
+  two boxes, then of two points, by the summed minima. Pairs that survive the bound
+  are verified on their shingle sets. A block returns only the links that connect
+  something new, so its output never exceeds its members.
+
+A cluster of one block is settled by that. In the others, the documents outside the
+largest component are joined with every block of their cluster; a link between two
+components has at least one such end. Each document's set thus travels once, and once
+more for each BLOCK documents that its cluster has outside its largest component.
+
+Equal sets are collapsed first, map-side and globally. Leaves are pre-aggregated in
+each task: only the task's least member of a leaf is sent on, as packed arrays, so a
+leaf or a set that a third of all documents share costs one entry a task.
 
 The result is exact up to 64-bit hashes of shingles. ``component`` is the smallest id
 reachable by links.
@@ -39,7 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import textkit
@@ -49,13 +55,14 @@ from docloom.llm.textkit import U64, mix
 
 #: Fine groups in a block, and coordinates of the points that bound a pair.
 FINE = 1 << 12
-GROUPS = 64
+GROUPS = 256
 #: Entries that a task holds before it sorts and sends them: 16 bytes each.
-FLUSH = 1 << 21
-#: Ids up to which the documents to compare are found by a broadcast; beyond, by a shuffle.
+FLUSH = 1 << 20
+#: Rows up to which the tasks of documents are joined to their texts by a broadcast; beyond, by a shuffle.
 BROADCAST_IDS = 500_000
-#: Members of one side of a block of a leaf that is joined through the tree.
-TREE_BLOCK = 512
+#: Documents of a cluster that one task joins, and those of the whole cluster that each block sees.
+BLOCK = 256
+PIVOTS = 8
 
 
 class Plan:
@@ -155,34 +162,15 @@ def leaves(h: np.ndarray, n: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.nda
     return np.concatenate(out_leaf), np.concatenate(out_doc)
 
 
-def _runs(leaf: np.ndarray, ids: np.ndarray):
-    """Sort by leaf; (sorted leaves, sorted ids, starts, lengths, least id of each run)."""
-    order = np.lexsort((ids, leaf))
-    leaf, ids = leaf[order], ids[order]
-    starts = np.flatnonzero(np.concatenate(([True], leaf[1:] != leaf[:-1]))) if len(leaf) else np.zeros(0, np.int64)
-    lengths = np.diff(np.append(starts, len(leaf)))
-    return leaf, ids, starts, lengths
-
-
-_INDEX = "kind string, leaf long, members array<long>, doc long, n long, fp1 long, fp2 long"
-_SENT = pa.schema([("bucket", pa.int32()), ("leaf", pa.binary()), ("ids", pa.binary()), ("size", pa.binary()), ("doc", pa.binary())])
-
-
-def _rows(kind: str, count: int, **columns) -> pa.RecordBatch:
-    types = {"leaf": pa.int64(), "members": pa.list_(pa.int64()), "doc": pa.int64(), "n": pa.int64(), "fp1": pa.int64(), "fp2": pa.int64()}
-    arrays = [pa.array([kind] * count, pa.string())]
-    for name, t in types.items():
-        arrays.append(columns[name] if isinstance(columns.get(name), pa.Array) else pa.array(columns[name], t) if name in columns else pa.nulls(count, t))
-    return pa.RecordBatch.from_arrays(arrays, names=["kind", *types])
-
-
-def _lists(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+_INDEX = "kind string, a long, b long"
+_SENT = "bucket int, leaf binary, leaf_ids binary, sets binary, stars binary, equals binary, points binary"
 
 
 def _index(docs: DataFrame, size: int, plan: Plan, buckets: int) -> DataFrame:
-    """Points (kind p), leaves with two or more members (c) and their stars (s)."""
+    """Points (kind p: id, set size), pairs that share a leaf (s) and pairs of equal sets (e).
+
+    A leaf (a set) of m members gives m - 1 pairs, each with its least member.
+    """
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -200,87 +188,90 @@ def _index(docs: DataFrame, size: int, plan: Plan, buckets: int) -> DataFrame:
                 filled += len(leaf)
                 if filled > FLUSH:
                     yield _packed(held, buckets)
-                    held, filled = [], 0
+                    filled = 0
         if held:
             yield _packed(held, buckets)
+        textkit.release()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for batch in batches:
             for row in batch.to_pylist():
                 if row["bucket"] != now and rows:
-                    yield from _leaf_rows(rows)
+                    yield _gathered(rows)
                     rows = []
                 now = row["bucket"]
                 rows.append(row)
         if rows:
-            yield from _leaf_rows(rows)
+            yield _gathered(rows)
+        textkit.release()
 
-    sent = docs.mapInArrow(file, "bucket int, leaf binary, ids binary, size binary, doc binary")
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, _INDEX)
+    return docs.mapInArrow(file, _SENT).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, _INDEX)
+
+
+def _stars(keys: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which entries are the least of their key, pairs of the least with the others)."""
+    order = np.lexsort((ids, *keys))
+    first = np.ones(len(ids), bool)
+    if len(ids) > 1:
+        first[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
+    starts = np.flatnonzero(first)
+    least = np.repeat(ids[order[starts]], np.diff(np.append(starts, len(ids)))) if len(ids) else ids
+    pairs = np.stack([least, ids[order]], axis=1)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    return order[starts], np.unique(pairs, axis=0) if len(pairs) else pairs.astype(np.int64)
 
 
 def _packed(held: list[tuple], buckets: int) -> pa.RecordBatch:
-    """What a task sends: per bucket its points, its runs of one leaf and its own leaves."""
+    """What a task sends: for each bucket its leaves' and sets' least members, its own pairs, its points."""
     ids = np.concatenate([x[0] for x in held])
     n = np.concatenate([x[1] for x in held])
     fp = np.concatenate([x[2] for x in held], axis=1)
     shift = np.cumsum([0] + [len(x[0]) for x in held])
     leaf = np.concatenate([x[3] for x in held])
     owner = np.concatenate([x[4] + s for x, s in zip(held, shift)])
-    # Of equal sets only the least id is filed; the point rows say which sets are equal.
-    order = np.lexsort((ids, fp[1], fp[0]))
-    same = np.concatenate(([False], (fp[:, order[1:]] == fp[:, order[:-1]]).all(axis=0)))
-    first = np.ones(len(ids), bool)
-    first[order] = ~same
-    take = first[owner]
-    leaf, member, starts, lengths = _runs(leaf[take], ids[owner[take]])
-    several = np.repeat(lengths > 1, lengths)
-    # Entries: the least member of each run. Own leaves: runs of two or more, whole.
-    part = lambda x: ((x >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
-    lone, pivot = leaf[starts], member[starts]
-    own_leaf, own_member = leaf[several], member[several]
-    at = np.searchsorted(part(lone), np.arange(buckets + 1))
-    own = np.searchsorted(part(own_leaf), np.arange(buckets + 1))
-    spread = part(mix(ids.view(U64)))
-    by = np.argsort(spread, kind="stable")
-    where = np.searchsorted(spread[by], np.arange(buckets + 1))
-    points = np.stack([ids[by], n[by], fp[0][by].view(np.int64), fp[1][by].view(np.int64)], axis=1)
-    rows = [b for b in range(buckets) if at[b + 1] > at[b] or where[b + 1] > where[b]]
+    held.clear()
+    some = np.flatnonzero(n > 0)
+    lead, equals = _stars([fp[1][some], fp[0][some]], ids[some])
+    lead = some[lead]
+    filed = np.zeros(len(ids), bool)
+    filed[lead] = True
+    take = filed[owner]
+    leaf, member = leaf[take], ids[owner[take]]
+    pivot, stars = _stars([leaf], member)
+
+    def part(x: np.ndarray) -> np.ndarray:
+        return ((x >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+
+    def by_bucket(key: np.ndarray, *columns: np.ndarray) -> list[list[bytes]]:
+        order = np.argsort(key, kind="stable")
+        at = np.searchsorted(part(key[order]), np.arange(buckets + 1))
+        return [[c[order[at[b] : at[b + 1]]].tobytes() for b in range(buckets)] for c in columns]
+
+    leafs, leaf_ids = by_bucket(leaf[pivot], leaf[pivot], member[pivot])
+    (sets,) = by_bucket(fp[0][lead], np.stack([fp[0][lead].view(np.int64), fp[1][lead].view(np.int64), ids[lead]], axis=1))
+    spread = lambda x: mix(x.astype(np.int64).view(U64))
+    (own,) = by_bucket(spread(stars[:, 1].copy()), stars)
+    (same,) = by_bucket(spread(equals[:, 1].copy()), equals)
+    (points,) = by_bucket(spread(ids), np.stack([ids, n], axis=1))
+    rows = [b for b in range(buckets) if leafs[b] or points[b] or sets[b] or own[b] or same[b]]
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array(rows, pa.int32()),
-            pa.array([np.concatenate((lone[at[b] : at[b + 1]], own_leaf[own[b] : own[b + 1]])).tobytes() for b in rows], pa.binary()),
-            pa.array([np.concatenate((pivot[at[b] : at[b + 1]], own_member[own[b] : own[b + 1]])).tobytes() for b in rows], pa.binary()),
-            pa.array([np.array([at[b + 1] - at[b]], np.int64).tobytes() for b in rows], pa.binary()),
-            pa.array([points[where[b] : where[b + 1]].tobytes() for b in rows], pa.binary()),
-        ],
-        schema=_SENT,
+        [pa.array(rows, pa.int32()), *[pa.array([c[b] for b in rows], pa.binary()) for c in (leafs, leaf_ids, sets, own, same, points)]],
+        names=["bucket", "leaf", "leaf_ids", "sets", "stars", "equals", "points"],
     )
 
 
-def _leaf_rows(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-    """One bucket's points, leaves and stars."""
-    sizes = [np.frombuffer(r["size"], np.int64)[0] for r in rows]
-    leafs = [np.frombuffer(r["leaf"], U64) for r in rows]
-    ids = [np.frombuffer(r["ids"], np.int64) for r in rows]
-    points = np.concatenate([np.frombuffer(r["doc"], np.int64).reshape(-1, 4) for r in rows])
-    if len(points):
-        yield _rows("p", len(points), doc=points[:, 0], n=points[:, 1], fp1=points[:, 2], fp2=points[:, 3])
-    groups = [_runs(np.concatenate([x[:s] for x, s in zip(leafs, sizes)]), np.concatenate([x[:s] for x, s in zip(ids, sizes)]))]
-    # Each task's own leaves stay apart here: the same leaf of two tasks meets through its pivots.
-    groups += [_runs(x[s:], y[s:]) for x, y, s in zip(leafs, ids, sizes) if len(x) > s]
-    for leaf, member, starts, lengths in groups:
-        many = lengths > 1
-        if not many.any():
-            continue
-        inside = np.repeat(many, lengths)
-        yield _rows("c", int(many.sum()), leaf=leaf[starts[many]].view(np.int64), members=_lists(member[inside], lengths[many]))
-        star = np.stack([np.repeat(member[starts], lengths)[inside], member[inside]], axis=1)
-        star = star[star[:, 0] != star[:, 1]]
-        if len(star):
-            star = np.unique(star, axis=0)
-            yield _rows("s", len(star), doc=star[:, 0], n=star[:, 1])
+def _gathered(rows: list[dict]) -> pa.RecordBatch:
+    """One bucket's points and pairs."""
+    read = lambda c, kind, width: np.frombuffer(b"".join(r[c] for r in rows), kind).reshape(-1, width)
+    points, sets = read("points", np.int64, 2), read("sets", np.int64, 3)
+    _, stars = _stars([read("leaf", U64, 1)[:, 0]], read("leaf_ids", np.int64, 1)[:, 0])
+    _, equals = _stars([sets[:, 1], sets[:, 0]], sets[:, 2])
+    stars = np.concatenate([stars.reshape(-1, 2), read("stars", np.int64, 2)])
+    equals = np.concatenate([equals.reshape(-1, 2), read("equals", np.int64, 2)])
+    kinds = ["p"] * len(points) + ["s"] * len(stars) + ["e"] * len(equals)
+    every = np.concatenate([points, stars, equals])
+    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(every[:, 0]), pa.array(every[:, 1])], names=["kind", "a", "b"])
 
 
 class CountTree:
@@ -321,73 +312,81 @@ class CountTree:
             stack += [(level - 1, x, y) for x in left for y in right]
 
 
-def tree_join(ids: np.ndarray, comp: np.ndarray, n: np.ndarray, vectors: np.ndarray, left: np.ndarray, right: np.ndarray, plan: Plan) -> np.ndarray:
-    """Pairs (smaller id, larger id) of different components that the bound lets pass.
+class _Union:
+    """Components by index."""
+
+    def __init__(self, comp: np.ndarray):
+        _, self.of = np.unique(comp, return_inverse=True)
 
-    ``left`` and ``right`` are indices of the two sides; equal sides give a self-join.
+    def join(self, i: int, j: int) -> None:
+        self.of[self.of == self.of[j]] = self.of[i]
+
+
+def connect(comp: np.ndarray, n: np.ndarray, vectors: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, plan: Plan) -> list[tuple[int, int]]:
+    """Links between indices of the two sides that join different components.
+
+    Equal sides give a self-join. Boxes, then points are bounded by summed minima; what
+    is left is verified unless a link found before already connects the pair.
     """
-    a = CountTree(vectors[left], n[left])
-    b = CountTree(vectors[right], n[right])
+    union = _Union(comp)
+    a, b = CountTree(vectors[left], n[left]), CountTree(vectors[right], n[right])
     out = []
     for p, q in a.near_leaves(b, plan):
         p, q = left[p], right[q]
+        if len(np.unique(np.concatenate((union.of[p], union.of[q])))) == 1:
+            continue
         top = np.minimum(vectors[p][:, None, :], vectors[q][None, :, :]).sum(axis=2)
-        ok = (top >= plan.needed(n[p][:, None], n[q][None, :])) & (comp[p][:, None] != comp[q][None, :])
-        i, j = np.nonzero(ok)
-        if len(i):
-            out.append(np.stack([np.minimum(ids[p[i]], ids[q[j]]), np.maximum(ids[p[i]], ids[q[j]])], axis=1))
-    return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        ok = (top >= plan.needed(n[p][:, None], n[q][None, :])) & (union.of[p][:, None] != union.of[q][None, :])
+        for i, j in zip(*np.nonzero(ok)):
+            i, j = int(p[i]), int(q[j])
+            if union.of[i] == union.of[j]:
+                continue
+            if len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= plan.needed(len(sets[i]), len(sets[j])):
+                union.join(i, j)
+                out.append((i, j))
+    return out
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """(doc, n, vector, shingles) of the documents."""
+def _sets(docs: DataFrame, size: int, carried: list[str]) -> DataFrame:
+    """``doc``, ``carried`` and the shingles of the documents' ``text``."""
+    names = docs.columns
+    at = [names.index(c) for c in ("doc", *carried)]
+    text_at = names.index("text")
+    schema = ", ".join(f"`{names[i]}` {docs.schema[i].dataType.simpleString()}" for i in at) + ", shingles binary"
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, texts in textkit.slices(batch.column(1)):
+            for row, texts in textkit.slices(batch.column(text_at)):
                 h, n = shingle_sets(texts, size)
-                v = point(h, np.repeat(np.arange(len(n)), n), len(n)).astype("<u4")
                 cut = np.concatenate(([0], np.cumsum(n)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(row, len(n)).cast(pa.int64()),
-                        pa.array(n),
-                        pa.array([x.tobytes() for x in v], pa.binary()),
-                        pa.array([h[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()),
-                    ],
-                    names=["doc", "n", "vector", "shingles"],
-                )
+                shingles = pa.array([h[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(row, len(n)) for i in at], shingles], names=[*[names[i] for i in at], "shingles"])
 
-    return docs.mapInArrow(build, "doc long, n long, vector binary, shingles binary")
+    return docs.mapInArrow(build, schema)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs (a, b) that link: first by the bound on their points, then by their sets."""
-    num, den = plan.num, plan.den
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = Plan(num, den)
-        for batch in batches:
-            va, vb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, GROUPS) for c in ("va", "vb"))
-            na, nb = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
-            yield batch.select(["a", "b"]).filter(pa.array(np.minimum(va, vb).sum(axis=1) >= p.needed(na, nb)))
+def _linked(docs: DataFrame, dealt: DataFrame, size: int, plan: Plan, few: bool) -> DataFrame:
+    """Links (a, b) inside the tasks of ``dealt`` (doc, cluster, task, left, right, component).
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = Plan(num, den)
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-                ok.append(len(np.intersect1d(x, y, assume_unique=True)) >= p.needed(len(x), len(y)))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    A task joins its left documents with its right ones.
+    """
+    num, den = plan.num, plan.den
+    with_text = docs.join(F.broadcast(dealt) if few else dealt, "doc")
+    rows = _sets(with_text, size, ["cluster", "task", "left", "right", "component"])
 
-    def beside(left: DataFrame, columns: list[str]) -> DataFrame:
-        for side in ("b", "a"):
-            left = left.join(sets.select(F.col("doc").alias(side), *[F.col(c).alias(f"{c[0]}{side}") for c in columns]), side)
-        return left
+    def join(table: pa.Table) -> pa.Table:
+        doc, comp, left, right = (table.column(c).to_numpy() for c in ("doc", "component", "left", "right"))
+        sets = [np.frombuffer(x, U64) for x in table.column("shingles").to_pylist()]
+        n = np.array([len(x) for x in sets], np.int64)
+        flat = np.concatenate(sets)
+        vectors = point(flat, np.repeat(np.arange(len(sets)), n), len(sets)).astype(np.int32)
+        found = connect(comp, n, vectors, sets, np.flatnonzero(left), np.flatnonzero(right), Plan(num, den))
+        at = np.array(found, np.int64).reshape(-1, 2)
+        if len(flat) > 1 << 20:
+            textkit.release()
+        return pa.table({"a": pa.array(doc[at[:, 0]]), "b": pa.array(doc[at[:, 1]])})
 
-    passed = beside(pairs, ["n", "vector"]).mapInArrow(bound, "a long, b long")
-    return beside(passed, ["shingles"]).mapInArrow(exact, "a long, b long")
+    return rows.groupBy("cluster", "task").applyInArrow(join, "a long, b long")
 
 
 def ngram_jaccard(
@@ -411,89 +410,66 @@ def ngram_jaccard(
     known = rows.filter("doc is not null")
     index = ws.save(_index(known, size, plan, buckets), "index")
 
-    points = index.filter("kind = 'p'").select("doc", "n", "fp1", "fp2")
-    classes = points.filter("n > 0").groupBy("fp1", "fp2").agg(F.min("doc").alias("rep"), F.max("doc").alias("last")).filter("rep <> last")
-    copies = ws.save(
-        points.filter("n > 0").join(classes, ["fp1", "fp2"]).filter("doc <> rep").select("doc", "rep").distinct(), "copies"
-    )
-
-    def as_class(pairs: DataFrame) -> DataFrame:
-        """Both ends replaced by their classes' least ids; pairs inside a class go."""
-        for side in ("a", "b"):
-            other = copies.select(F.col("doc").alias(side), F.col("rep").alias(f"r{side}"))
-            pairs = pairs.join(other, side, "left").withColumn(side, F.coalesce(f"r{side}", side)).drop(f"r{side}")
-        return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    stars = ws.save(as_class(index.filter("kind = 's'").select(F.col("doc").alias("a"), F.col("n").alias("b")).distinct()), "stars")
-    wanted = index.filter("kind = 'c'").select(F.explode("members").alias("doc")).distinct()
-    wanted = ws.save(wanted.join(copies.select("doc"), "doc", "left_anti"), "wanted")
-    few = wanted.count() <= BROADCAST_IDS
-    found = known.join(F.broadcast(wanted) if few else wanted, "doc", "left_semi")
-    sets = ws.save(_sets(found, size).dropDuplicates(["doc"]), "sets")
-
-    linked = ws.save(_verify(stars, sets, plan), "linked")
-    exact = copies.select(F.col("rep").alias("a"), F.col("doc").alias("b"))
-    parts = ws.save(components(linked.unionByName(exact), ws, "first"), "parts")
-
-    more = _within_leaves(index, copies, parts, stars, sets, plan, ws)
-    if more is not None:
-        linked2 = ws.save(_verify(more, sets, plan), "linked2")
-        if linked2.take(1):
-            edges = parts.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(linked2)
-            parts = ws.save(components(edges, ws, "second"), "parts2")
-    ws.drop("sets")
-
-    sizes = points.select("doc", F.col("n").alias("n_shingles"))
+    equals = index.filter("kind = 'e'").select("a", "b")
+    clusters = components(index.filter("kind = 's'").select("a", "b"), ws, "clusters")
+    place = F.xxhash64("doc")
+    dealt = clusters.select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
+    sizes = dealt.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
+    blocks = (F.floor((F.col("m") - 1) / BLOCK) + 1).cast("long")
+    dealt = ws.save(dealt.join(sizes, "cluster").select("doc", "cluster", blocks.alias("blocks"), F.pmod(place, blocks).alias("block")), "dealt")
+    few = dealt.count() <= BROADCAST_IDS
+    edges = equals
+    if dealt.take(1):
+        first = ws.save(_linked(known, _first_tasks(dealt), size, plan, few), "links-1")
+        edges = equals.unionByName(first)
+    parts = ws.save(components(edges, ws, "parts-1"), "parts")
+    tasks = _open_tasks(dealt, parts, ws)
+    if tasks is not None:
+        more = ws.save(_linked(known, tasks, size, plan, tasks.count() <= BROADCAST_IDS), "links-2")
+        if more.take(1):
+            parts = ws.save(components(edges.unionByName(more), ws, "parts-2"), "parts-all")
+
+    sizes = index.filter("kind = 'p'").select(F.col("a").alias("doc"), F.col("b").alias("n_shingles"))
     out = sizes.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").select(
         F.col("doc").alias(id_col), "n_shingles", F.coalesce("component", "doc").alias("component_id")
     )
-    return out.unionByName(_nameless(rows, size, id_col))
+    nameless = _sets(rows.filter("doc is null"), size, [])
+    return out.unionByName(nameless.select(F.col("doc").alias(id_col), (F.octet_length("shingles") / 8).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
 
 
-def _nameless(rows: DataFrame, size: int, id_col: str) -> DataFrame:
-    """Rows without an id: their size, and no component."""
-    return _sets(rows.filter("doc is null"), size).select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+def _first_tasks(dealt: DataFrame) -> DataFrame:
+    """One task a block: its documents with themselves, and with the cluster's pivots.
+
+    A cluster's pivots are its documents of the first places in block 0 by hash, the same
+    for every block; clusters of one block need none.
+    """
+    order = Window.partitionBy("cluster").orderBy(F.xxhash64("doc", F.lit(7)), "doc")
+    own = dealt.select("doc", "cluster", F.col("block").alias("task"), F.lit(True).alias("left"), F.lit(True).alias("right"), F.col("doc").alias("component"))
+    large = dealt.filter("blocks > 1 and block = 0")
+    pivots = large.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= PIVOTS)
+    seen = pivots.select("doc", "cluster", F.explode(F.sequence(F.lit(1).cast("long"), F.col("blocks") - 1)).alias("task"), F.lit(True).alias("left"), F.lit(True).alias("right"), F.col("doc").alias("component"))
+    return own.unionByName(seen)
 
 
-def _within_leaves(index: DataFrame, copies: DataFrame, parts: DataFrame, stars: DataFrame, sets: DataFrame, plan: Plan, ws: Workspace) -> DataFrame | None:
-    """Pairs that share a leaf, lie in different components and were no star; None if there are none.
+def _open_tasks(dealt: DataFrame, parts: DataFrame, ws: Workspace) -> DataFrame | None:
+    """Tasks for the clusters of several blocks that are not one component; None if there are none.
 
-    A leaf all of whose members are connected needs no more pairs. In the others all
-    members are joined through the tree, block by block: a leaf of m members makes
-    blocks of TREE_BLOCK, so no task holds more than two blocks of one leaf.
+    The documents outside a cluster's largest component, block by block, meet all blocks.
     """
-    members = index.filter("kind = 'c'").select("leaf", F.explode("members").alias("doc"))
-    members = members.join(copies, "doc", "left").select("leaf", F.coalesce("rep", "doc").alias("doc"))
-    members = members.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").select("leaf", "doc", F.coalesce("component", "doc").alias("component"))
-    ends = members.groupBy("leaf").agg(
-        F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("m")
-    )
-    split = ends.filter("c1 <> c2 and m > 2").select("leaf", (F.floor((F.col("m") - 1) / TREE_BLOCK) + 1).alias("blocks"))
-    open_ = ws.save(members.join(split, "leaf").distinct(), "open")
-    # Two members and no third: their pair was the star.
-    third = open_.groupBy("leaf").agg(F.min("doc").alias("d1"), F.max("doc").alias("d2")).join(open_, "leaf").filter("doc <> d1 and doc <> d2").select("leaf").distinct()
-    open_ = open_.join(third, "leaf", "left_semi")
-    if not open_.take(1):
+    large = dealt.filter("blocks > 1")
+    if not large.take(1):
         return None
-    mine = F.pmod(F.xxhash64("doc"), F.col("blocks"))
-    rows = (
-        open_.withColumn("mine", mine)
-        .select("leaf", "doc", "component", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("leaf", "doc", "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine")
-        .join(sets.select("doc", "n", "vector"), "doc")
-    )
-    num, den = plan.num, plan.den
-
-    def join(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        doc, comp, n, mine = (table.column(c).to_numpy() for c in ("doc", "component", "n", "mine"))
-        vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
-        i, j = key[1].as_py(), key[2].as_py()
-        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        if not len(left) or not len(right):
-            found = np.zeros((0, 2), np.int64)
-        else:
-            found = tree_join(doc, comp, n, vectors, left, right, Plan(num, den))
-        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
-
-    pairs = rows.groupBy("leaf", "i", "j").applyInArrow(join, "a long, b long").distinct()
-    return ws.save(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
+    now = large.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    counts = now.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("m"))
+    top = counts.groupBy("cluster").agg(F.max_by("component", F.struct("m", "component")).alias("top"), F.count(F.lit(1)).alias("parts"), (F.sum("m") - F.max("m")).alias("rest"))
+    now = ws.save(now.join(top.filter("parts > 1"), "cluster"), "open")
+    if not now.take(1):
+        return None
+    groups = (F.floor((F.col("rest") - 1) / BLOCK) + 1).cast("long")
+    now = now.withColumn("groups", groups).withColumn("grp", F.pmod(F.xxhash64("doc", F.lit(3)), F.col("groups")))
+    # A document stands on the right of every task of its block; one outside the largest
+    # component stands on the left of every task of its group.
+    right = now.select("doc", "cluster", "component", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("i"), F.lit(False).alias("left"), F.lit(True).alias("right"))
+    left = now.filter("component <> top").select("doc", "cluster", "component", F.col("grp").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right"))
+    both = right.unionByName(left).groupBy("doc", "cluster", "component", "i", "j").agg(F.bool_or("left").alias("left"), F.bool_or("right").alias("right"))
+    return ws.save(both.select("doc", "cluster", (F.col("i") * (1 << 31) + F.col("j")).alias("task"), "left", "right", "component"), "tasks")

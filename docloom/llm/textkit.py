@@ -11,6 +11,8 @@ the chance of any collision is below 10**-5.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -19,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; temporaries take about 40 bytes for each.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -139,6 +141,13 @@ def windows(hashes: np.ndarray, spans: Spans, size: int) -> tuple[np.ndarray, np
     return mix(out), at
 
 
+def release() -> None:
+    """Give freed memory back to the system; a worker that waits should hold none."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(column: pa.Array) -> Iterator[tuple[int, Texts]]:
     """(first row, texts) for runs of rows of about SLICE_BYTES; nulls are empty texts."""
     column = pc.fill_null(column, "")
@@ -152,6 +161,7 @@ def slices(column: pa.Array) -> Iterator[tuple[int, Texts]]:
         stop = min(max(stop, row + 1), len(column))
         yield row, Texts(raw[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row])
         row = stop
+    release()
 
 
 class HashTable:
