@@ -401,7 +401,7 @@ def strategy_unique(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_PICKS}, m AS (SELECT document_id, count(DISTINCT strategy) AS strategy_count, round(avg(score) FILTER (strategy = 'head'), 4) AS h, round(avg(score) FILTER (strategy = 'query_ranked'), 4) AS q, any_value(total) AS total,
+    f"""WITH {_PICKS}, m AS (SELECT document_id, count(DISTINCT strategy) AS strategy_count, floor((2 * sum(CAST(round(score * 10000) AS BIGINT)) FILTER (strategy = 'head') + count(*) FILTER (strategy = 'head')) / (2 * count(*) FILTER (strategy = 'head'))) / 10000.0 AS h, floor((2 * sum(CAST(round(score * 10000) AS BIGINT)) FILTER (strategy = 'query_ranked') + count(*) FILTER (strategy = 'query_ranked')) / (2 * count(*) FILTER (strategy = 'query_ranked'))) / 10000.0 AS q, any_value(total) AS total,
   list(DISTINCT chunk_id) FILTER (strategy = 'head') AS hs, list(DISTINCT chunk_id) FILTER (strategy = 'query_ranked') AS qs FROM picks GROUP BY document_id)
 SELECT document_id, strategy_count, h AS head_avg_relevance, q AS query_ranked_avg_relevance, round(q - h, 4) AS relevance_lift, round(len(list_intersect(hs, qs)) / len(list_distinct(list_concat(hs, qs))), 4) AS selected_overlap, round({BUDGET} / total, 4) AS token_efficiency FROM m"""
 )
