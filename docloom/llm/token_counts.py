@@ -32,7 +32,7 @@ from docloom.llm.textkit import HashTable
 #: Entries of the broadcast table: 16 bytes each, so 2 MB at most.
 FREQUENT = 1 << 16
 #: Pieces that a task's summary holds.
-CAPACITY = 1 << 15
+CAPACITY = 1 << 14
 #: A worker's table has 2**22 slots, 64 MB, and is cleared when half full.
 CACHE_BITS = 22
 
