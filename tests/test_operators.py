@@ -230,3 +230,41 @@ def test_text_files_source(spark, tmp_path):
     (tmp_path / "a.txt").write_text("hello")
     (tmp_path / "b.md").write_bytes(b"\xff\xfe")
     assert {r.filename: (r.text, r.content_type) for r in files.read_text_files(spark, str(tmp_path)).collect()} == {"a.txt": ("hello", "text/plain"), "b.md": ("", "text/markdown")}
+
+
+def test_evaluate_reports_and_trace(spark):
+    from docloom.operators import reports
+    from docloom.plans.evaluate import evaluate, retrieval_queries
+
+    files = spark.createDataFrame([("a", "invoice_1.txt", 10, "Invoice Number: INV-1001\nTotal Due: $50.00\nAmount due, balance"), ("b", "x.pdf", 1, "y")], "document_id string, filename string, size_bytes long, text string")
+    want = spark.createDataFrame([("invoice_1.txt", "invoice_number", "INV-1001", True, None), ("invoice_1.txt", "total_amount", "60", True, None)], "fixture string, field_name string, expected_value string, must_extract boolean, normalized string")
+    kinds = spark.createDataFrame([("invoice_1.txt", "billing", ["billing"])], "fixture string, expected_type string, accept_types array<string>")
+    out = evaluate(files, want, kinds)
+    m = out["field_metrics"].first()
+    assert (m.true_positives, m.false_positives, m.false_negatives) == (1, 1, 1) and out["routing"].first().routing_correct == 1 and out["failures"].count() == 1
+    text = reports.deterministic_report(out["field_metrics"], out["matches"], out["micro_average"])
+    assert "Precision=0.500" in text and "✓ invoice_number" in text and "✗ total_amount" in text and "mismatch" in text
+    assert "n=1" in reports.slice_report(out["slices"])
+    assert retrieval_queries(spark.createDataFrame([("f", ["a", "b", "c", "d"], None)], "fixture string, key_facts array<string>, description string")).first().query == "a b c"
+    trace = reports.Trace()
+    with reports.trace_stage(trace, "parse"):
+        pass
+    with pytest.raises(ValueError), reports.trace_stage(trace, "route"):
+        raise ValueError("bad")
+    assert trace.hard_failure and [s.success for s in trace.stages] == [True, False] and '"route"' in trace.line("d")
+
+
+def test_lists_and_review_state(spark):
+    from docloom.operators import listing
+
+    docs = spark.createDataFrame([("a", 1), ("b", 2)], "document_id string, created_at int")
+    found = listing.list_documents(docs, spark.createDataFrame([("a",), ("a",)], "document_id string")).collect()
+    assert [(r.document_id, r.extraction_count) for r in found] == [("b", 0), ("a", 2)]
+    queue = spark.createDataFrame([("a", "pending_review", 0.5, 1, ["x"]), ("b", "pending_review", 0.9, 2, ["y"]), ("c", "auto_accepted", 0.5, 0, [])], "document_id string, status string, priority_score double, position int, trigger_reasons array<string>")
+    assert [r.document_id for r in listing.queue_page(queue).collect()] == ["b", "c", "a"]
+    assert [r.document_id for r in listing.queue_page(queue, "auto_accepted").collect()] == ["c"]
+    fixed = listing.corrected(queue, spark.createDataFrame([("a",)], "document_id string"))
+    assert {r.document_id: r.status for r in fixed.collect()}["a"] == "corrected"
+    made = spark.createDataFrame([("e1", "a", "deterministic", 1), ("e2", "a", "deterministic", 2), ("e3", "b", "summary", 3)], "extraction_id string, document_id string, output_type string, created_at int")
+    asked = spark.createDataFrame([("r1", "a", "e1"), ("r2", "a", "e3"), ("r3", "a", None)], "request_id string, document_id string, extraction_id string")
+    assert {r.request_id: r.base_extraction_id for r in listing.base_extraction(asked, made).collect()} == {"r1": "e1", "r2": "e2", "r3": "e2"}
