@@ -14,18 +14,19 @@ In so many dimensions a tree of bounding boxes alone would visit nearly every le
   D blocks, so they share at least one leaf: a block and its exact counts. Every
   point is filed under its blocks' counts in its own size class and the next. Blocks
   without any shingle are not filed unless a point has more than ``e`` of them.
-* Clusters. Documents that share leaves, directly or through others, form a cluster;
-  only documents of one cluster can link. A cluster's documents are dealt into blocks
-  of at most BLOCK; each block is joined, together with PIVOTS documents of the whole
-  cluster, through a bulk-loaded R-tree over the points, which bounds the overlap of
-  two boxes, then of two points, by the summed minima. Pairs that survive the bound
-  are verified on their shingle sets. A block returns only the links that connect
-  something new, so its output never exceeds its members.
-
-A cluster of one block is settled by that. In the others, the documents outside the
-largest component are joined with every block of their cluster; a link between two
-components has at least one such end. Each document's set thus travels once, and once
-more for each BLOCK documents that its cluster has outside its largest component.
+* Stars. Each leaf's members are paired with its least one. Pairs that the summed
+  minima of their points cannot exclude form stars around that document; a star's
+  members are joined with it and with each other in blocks of BLOCK through a
+  bulk-loaded R-tree, which bounds the overlap of two boxes, then of two points, by the
+  summed minima. Pairs that survive are verified on their shingle sets unless links
+  found before connect them already, so a block returns fewer links than it has members.
+* What the stars leave open. In a leaf whose members lie in different components, the
+  members are joined through the same tree over their points alone; the surviving pairs
+  of different components form stars again and are verified.
+
+Each document's set travels once for its first star, and once more for each later pair
+that is still open. Documents that merely share a passage, and so a leaf, are told apart
+by their points and their sets never travel.
 
 Equal sets are collapsed first, map-side and globally. Leaves are pre-aggregated in
 each task: only the task's least member of a leaf is sent on, as packed arrays, so a
@@ -45,7 +46,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import textkit
@@ -60,9 +61,8 @@ GROUPS = 256
 FLUSH = 1 << 20
 #: Rows up to which the tasks of documents are joined to their texts by a broadcast; beyond, by a shuffle.
 BROADCAST_IDS = 500_000
-#: Documents of a cluster that one task joins, and those of the whole cluster that each block sees.
+#: Documents of a star or of one side of a leaf that a task joins.
 BLOCK = 256
-PIVOTS = 8
 
 
 class Plan:
@@ -163,13 +163,14 @@ def leaves(h: np.ndarray, n: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.nda
 
 
 _INDEX = "kind string, a long, b long"
-_SENT = "bucket int, leaf binary, leaf_ids binary, sets binary, stars binary, equals binary, points binary"
+_SENT = "bucket int, leaf binary, leaf_ids binary, cells binary, sets binary, stars binary, equals binary, points binary"
 
 
 def _index(docs: DataFrame, size: int, plan: Plan, buckets: int) -> DataFrame:
-    """Points (kind p: id, set size), pairs that share a leaf (s) and pairs of equal sets (e).
+    """Points (kind p: id, set size), leaves (c: leaf, member), their stars (s) and equal sets (e).
 
-    A leaf (a set) of m members gives m - 1 pairs, each with its least member.
+    A leaf (a set) of m members gives m - 1 pairs, each with its least member; leaves of
+    one member are left out.
     """
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,6 +223,15 @@ def _stars(keys: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndar
     return order[starts], np.unique(pairs, axis=0) if len(pairs) else pairs.astype(np.int64)
 
 
+def _shared(leaf: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """(leaf, member) of the leaves with two or more entries."""
+    order = np.argsort(leaf, kind="stable")
+    same = leaf[order[1:]] == leaf[order[:-1]]
+    hit = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(leaf) else np.zeros(0, bool)
+    at = order[hit]
+    return np.stack([leaf[at].view(np.int64), ids[at]], axis=1)
+
+
 def _packed(held: list[tuple], buckets: int) -> pa.RecordBatch:
     """What a task sends: for each bucket its leaves' and sets' least members, its own pairs, its points."""
     ids = np.concatenate([x[0] for x in held])
@@ -251,13 +261,15 @@ def _packed(held: list[tuple], buckets: int) -> pa.RecordBatch:
     leafs, leaf_ids = by_bucket(leaf[pivot], leaf[pivot], member[pivot])
     (sets,) = by_bucket(fp[0][lead], np.stack([fp[0][lead].view(np.int64), fp[1][lead].view(np.int64), ids[lead]], axis=1))
     spread = lambda x: mix(x.astype(np.int64).view(U64))
+    local = _shared(leaf, member)
+    (cells,) = by_bucket(local[:, 0].copy().view(U64), local)
     (own,) = by_bucket(spread(stars[:, 1].copy()), stars)
     (same,) = by_bucket(spread(equals[:, 1].copy()), equals)
     (points,) = by_bucket(spread(ids), np.stack([ids, n], axis=1))
-    rows = [b for b in range(buckets) if leafs[b] or points[b] or sets[b] or own[b] or same[b]]
+    rows = [b for b in range(buckets) if leafs[b] or points[b] or sets[b] or own[b] or same[b]]  # cells lie in buckets of leaves
     return pa.RecordBatch.from_arrays(
-        [pa.array(rows, pa.int32()), *[pa.array([c[b] for b in rows], pa.binary()) for c in (leafs, leaf_ids, sets, own, same, points)]],
-        names=["bucket", "leaf", "leaf_ids", "sets", "stars", "equals", "points"],
+        [pa.array(rows, pa.int32()), *[pa.array([c[b] for b in rows], pa.binary()) for c in (leafs, leaf_ids, cells, sets, own, same, points)]],
+        names=["bucket", "leaf", "leaf_ids", "cells", "sets", "stars", "equals", "points"],
     )
 
 
@@ -265,12 +277,14 @@ def _gathered(rows: list[dict]) -> pa.RecordBatch:
     """One bucket's points and pairs."""
     read = lambda c, kind, width: np.frombuffer(b"".join(r[c] for r in rows), kind).reshape(-1, width)
     points, sets = read("points", np.int64, 2), read("sets", np.int64, 3)
-    _, stars = _stars([read("leaf", U64, 1)[:, 0]], read("leaf_ids", np.int64, 1)[:, 0])
+    leaf, ids = read("leaf", U64, 1)[:, 0], read("leaf_ids", np.int64, 1)[:, 0]
+    _, stars = _stars([leaf], ids)
+    cells = np.concatenate([_shared(leaf, ids), read("cells", np.int64, 2)])
     _, equals = _stars([sets[:, 1], sets[:, 0]], sets[:, 2])
     stars = np.concatenate([stars.reshape(-1, 2), read("stars", np.int64, 2)])
     equals = np.concatenate([equals.reshape(-1, 2), read("equals", np.int64, 2)])
-    kinds = ["p"] * len(points) + ["s"] * len(stars) + ["e"] * len(equals)
-    every = np.concatenate([points, stars, equals])
+    kinds = ["p"] * len(points) + ["c"] * len(cells) + ["s"] * len(stars) + ["e"] * len(equals)
+    every = np.concatenate([points, cells, stars, equals])
     return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(every[:, 0]), pa.array(every[:, 1])], names=["kind", "a", "b"])
 
 
@@ -288,6 +302,7 @@ class CountTree:
                 split += [p[: len(p) // 2], p[len(p) // 2 :]]
             parts = split
         self.leaves = [p for p in parts if len(p)]
+        vectors = np.where((vectors == 255).all(axis=1, keepdims=True), 1 << 40, vectors) if vectors.size else vectors  # not known: excludes nothing
         self.levels = [(np.array([vectors[p].max(axis=0) for p in self.leaves]), np.array([n[p].min() for p in self.leaves]))]
         while len(self.levels[-1][0]) > 1:
             high, low = self.levels[-1]
@@ -365,6 +380,45 @@ def _sets(docs: DataFrame, size: int, carried: list[str]) -> DataFrame:
     return docs.mapInArrow(build, schema)
 
 
+def _points(docs: DataFrame, size: int) -> DataFrame:
+    """(doc, n, vector) of the documents; a count over 255 leaves the vector empty, which excludes nothing."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, texts in textkit.slices(batch.column(1)):
+                h, n = shingle_sets(texts, size)
+                v = point(h, np.repeat(np.arange(len(n)), n), len(n))
+                packed = [x.astype(np.uint8).tobytes() if m < 256 else b"" for x, m in zip(v, v.max(axis=1, initial=0))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(n)), pa.array(n), pa.array(packed, pa.binary())], names=["doc", "n", "vector"])
+
+    return docs.mapInArrow(build, "doc long, n long, vector binary")
+
+
+_DENSE = b"\xff" * GROUPS
+
+
+def _unpack(column: pa.Array) -> np.ndarray:
+    """Vectors as rows; an empty one as the largest there is."""
+    return np.frombuffer(b"".join(x or _DENSE for x in column.to_pylist()), np.uint8).reshape(-1, GROUPS)
+
+
+def _possible(pairs: DataFrame, points: DataFrame, plan: Plan) -> DataFrame:
+    """The pairs (a, b) that the summed minima of their points do not exclude."""
+    num, den = plan.num, plan.den
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = Plan(num, den)
+        for batch in batches:
+            top = np.minimum(_unpack(batch.column("va")), _unpack(batch.column("vb"))).sum(axis=1, dtype=np.int64)
+            dense = np.array([not x or not y for x, y in zip(batch.column("va").to_pylist(), batch.column("vb").to_pylist())], bool)
+            na, nb = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
+            yield batch.select(["a", "b"]).filter(pa.array(dense | (top >= p.needed(na, nb))))
+
+    for side in ("b", "a"):
+        pairs = pairs.join(points.select(F.col("doc").alias(side), F.col("n").alias(f"n{side}"), F.col("vector").alias(f"v{side}")), side)
+    return pairs.mapInArrow(bound, "a long, b long")
+
+
 def _linked(docs: DataFrame, dealt: DataFrame, size: int, plan: Plan, few: bool) -> DataFrame:
     """Links (a, b) inside the tasks of ``dealt`` (doc, cluster, task, left, right, component).
 
@@ -411,23 +465,22 @@ def ngram_jaccard(
     index = ws.save(_index(known, size, plan, buckets), "index")
 
     equals = index.filter("kind = 'e'").select("a", "b")
-    clusters = components(index.filter("kind = 's'").select("a", "b"), ws, "clusters")
-    place = F.xxhash64("doc")
-    dealt = clusters.select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
-    sizes = dealt.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
-    blocks = (F.floor((F.col("m") - 1) / BLOCK) + 1).cast("long")
-    dealt = ws.save(dealt.join(sizes, "cluster").select("doc", "cluster", blocks.alias("blocks"), F.pmod(place, blocks).alias("block")), "dealt")
-    few = dealt.count() <= BROADCAST_IDS
-    edges = equals
-    if dealt.take(1):
-        first = ws.save(_linked(known, _first_tasks(dealt), size, plan, few), "links-1")
-        edges = equals.unionByName(first)
-    parts = ws.save(components(edges, ws, "parts-1"), "parts")
-    tasks = _open_tasks(dealt, parts, ws)
-    if tasks is not None:
-        more = ws.save(_linked(known, tasks, size, plan, tasks.count() <= BROADCAST_IDS), "links-2")
-        if more.take(1):
-            parts = ws.save(components(edges.unionByName(more), ws, "parts-2"), "parts-all")
+    stars = ws.save(index.filter("kind = 's'").select("a", "b").distinct(), "stars")
+    wanted = ws.save(stars.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "wanted")
+    few = wanted.count() <= BROADCAST_IDS
+    points = ws.save(_points(known.join(F.broadcast(wanted) if few else wanted, "doc", "left_semi"), size), "points")
+    kept = ws.save(_possible(stars, points, plan), "kept")
+
+    # The first star of each document, then the other pairs whose ends are still apart.
+    lead = kept.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = equals.unionByName(_verified(known, lead, None, size, plan, ws, "lead"))
+    parts = ws.save(components(links, ws, "parts-1"), "parts-lead")
+    rest = kept.join(lead, ["a", "b"], "left_anti")
+    links = links.unionByName(_verified(known, rest, parts, size, plan, ws, "rest"))
+    parts = ws.save(components(links, ws, "parts-2"), "parts-rest")
+    more = _within_leaves(index.filter("kind = 'c'").select(F.col("a").alias("leaf"), F.col("b").alias("doc")), stars, parts, points, plan, ws)
+    links = links.unionByName(_verified(known, more, parts, size, plan, ws, "open"))
+    parts = ws.save(components(links, ws, "parts-3"), "parts")
 
     sizes = index.filter("kind = 'p'").select(F.col("a").alias("doc"), F.col("b").alias("n_shingles"))
     out = sizes.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").select(
@@ -437,39 +490,75 @@ def ngram_jaccard(
     return out.unionByName(nameless.select(F.col("doc").alias(id_col), (F.octet_length("shingles") / 8).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
 
 
-def _first_tasks(dealt: DataFrame) -> DataFrame:
-    """One task a block: its documents with themselves, and with the cluster's pivots.
+def _labelled(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs whose ends lie in different components, with both (ca, cb)."""
+    for side in ("a", "b"):
+        pairs = pairs.join(parts.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+    return pairs.filter("ca <> cb")
 
-    A cluster's pivots are its documents of the first places in block 0 by hash, the same
-    for every block; clusters of one block need none.
+
+def _verified(docs: DataFrame, pairs: DataFrame, parts: DataFrame | None, size: int, plan: Plan, ws: Workspace, name: str) -> DataFrame:
+    """Links that connect what the pairs hold apart: the pairs' stars, block by block.
+
+    Every block holds the star's first document.
     """
-    order = Window.partitionBy("cluster").orderBy(F.xxhash64("doc", F.lit(7)), "doc")
-    own = dealt.select("doc", "cluster", F.col("block").alias("task"), F.lit(True).alias("left"), F.lit(True).alias("right"), F.col("doc").alias("component"))
-    large = dealt.filter("blocks > 1 and block = 0")
-    pivots = large.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= PIVOTS)
-    seen = pivots.select("doc", "cluster", F.explode(F.sequence(F.lit(1).cast("long"), F.col("blocks") - 1)).alias("task"), F.lit(True).alias("left"), F.lit(True).alias("right"), F.col("doc").alias("component"))
-    return own.unionByName(seen)
+    both = _labelled(pairs, parts) if parts is not None else pairs.withColumns({"ca": F.col("a"), "cb": F.col("b")})
+    both = ws.save(both, f"{name}-pairs")
+    counts = both.groupBy("a").agg((F.floor((F.count(F.lit(1)) - 1) / BLOCK) + 1).cast("long").alias("blocks"), F.min("ca").alias("ca"))
+    yes = F.lit(True)
+    arms = both.drop("ca").join(counts.select("a", "blocks"), "a").select(F.col("b").alias("doc"), F.col("a").alias("cluster"), F.pmod(F.xxhash64("b"), F.col("blocks")).alias("task"), yes.alias("left"), yes.alias("right"), F.col("cb").alias("component"))
+    hubs = counts.select(F.col("a").alias("doc"), F.col("a").alias("cluster"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("task"), yes.alias("left"), yes.alias("right"), F.col("ca").alias("component"))
+    tasks = ws.save(arms.unionByName(hubs), f"{name}-tasks")
+    return ws.save(_linked(docs, tasks, size, plan, tasks.count() <= BROADCAST_IDS), f"{name}-links")
+
+
+def _within_leaves(cells: DataFrame, stars: DataFrame, parts: DataFrame, points: DataFrame, plan: Plan, ws: Workspace) -> DataFrame:
+    """Pairs that share a leaf, lie in different components, were no star, and pass the bound.
+
+    Leaves of two members hold a star and no more. The members of the others that are
+    not one component are joined through the tree, by blocks: a leaf of m members makes
+    blocks of BLOCK, and a task holds two of them.
+    """
+    members = cells.distinct().join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").select("leaf", "doc", F.coalesce("component", "doc").alias("component"))
+    counts = members.groupBy("leaf").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("m"))
+    split = counts.filter("c1 <> c2 and m > 2").select("leaf", (F.floor((F.col("m") - 1) / BLOCK) + 1).cast("long").alias("blocks"))
+    open_ = ws.save(members.join(split, "leaf"), "open")
+    mine = F.pmod(F.xxhash64("doc"), F.col("blocks"))
+    rows = (
+        open_.withColumn("mine", mine)
+        .select("leaf", "doc", "component", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        .select("leaf", "doc", "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine")
+        .join(points, "doc")
+    )
+    num, den = plan.num, plan.den
+
+    def join(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        doc, comp, n, mine = (table.column(c).to_numpy() for c in ("doc", "component", "n", "mine"))
+        i, j = key[1].as_py(), key[2].as_py()
+        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        found = _tree_pairs(doc, comp, n, _unpack(table.column("vector")), left, right, Plan(num, den)) if len(left) and len(right) else {}
+        return pa.table({"a": pa.array(list(found), pa.int64()), "bs": pa.array([sorted(v) for v in found.values()], pa.list_(pa.int64()))})
 
+    pairs = rows.groupBy("leaf", "i", "j").applyInArrow(join, "a long, bs array<long>").select("a", F.explode("bs").alias("b")).distinct()
+    return ws.save(pairs.join(stars, ["a", "b"], "left_anti"), "within")
 
-def _open_tasks(dealt: DataFrame, parts: DataFrame, ws: Workspace) -> DataFrame | None:
-    """Tasks for the clusters of several blocks that are not one component; None if there are none.
 
-    The documents outside a cluster's largest component, block by block, meet all blocks.
+def _tree_pairs(doc: np.ndarray, comp: np.ndarray, n: np.ndarray, vectors: np.ndarray, left: np.ndarray, right: np.ndarray, plan: Plan) -> dict[int, set[int]]:
+    """Pairs of different components that the bound lets pass: greater ids by smaller id.
+
+    A full vector stands for one that is not known, and for all counts of 255.
     """
-    large = dealt.filter("blocks > 1")
-    if not large.take(1):
-        return None
-    now = large.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    counts = now.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("m"))
-    top = counts.groupBy("cluster").agg(F.max_by("component", F.struct("m", "component")).alias("top"), F.count(F.lit(1)).alias("parts"), (F.sum("m") - F.max("m")).alias("rest"))
-    now = ws.save(now.join(top.filter("parts > 1"), "cluster"), "open")
-    if not now.take(1):
-        return None
-    groups = (F.floor((F.col("rest") - 1) / BLOCK) + 1).cast("long")
-    now = now.withColumn("groups", groups).withColumn("grp", F.pmod(F.xxhash64("doc", F.lit(3)), F.col("groups")))
-    # A document stands on the right of every task of its block; one outside the largest
-    # component stands on the left of every task of its group.
-    right = now.select("doc", "cluster", "component", F.col("block").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("i"), F.lit(False).alias("left"), F.lit(True).alias("right"))
-    left = now.filter("component <> top").select("doc", "cluster", "component", F.col("grp").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right"))
-    both = right.unionByName(left).groupBy("doc", "cluster", "component", "i", "j").agg(F.bool_or("left").alias("left"), F.bool_or("right").alias("right"))
-    return ws.save(both.select("doc", "cluster", (F.col("i") * (1 << 31) + F.col("j")).alias("task"), "left", "right", "component"), "tasks")
+    a, b = CountTree(vectors[left].astype(np.int64), n[left]), CountTree(vectors[right].astype(np.int64), n[right])
+    full = (vectors == 255).all(axis=1)
+    out: dict[int, set[int]] = {}
+    for p, q in a.near_leaves(b, plan):
+        p, q = left[p], right[q]
+        apart = comp[p][:, None] != comp[q][None, :]
+        if not apart.any():
+            continue
+        top = np.minimum(vectors[p][:, None, :], vectors[q][None, :, :]).sum(axis=2, dtype=np.int64)
+        top[full[p]], top[:, full[q]] = 1 << 40, 1 << 40
+        i, j = np.nonzero(apart & (top >= plan.needed(n[p][:, None], n[q][None, :])))
+        for x, y in zip(doc[p[i]].tolist(), doc[q[j]].tolist()):
+            out.setdefault(min(x, y), set()).add(max(x, y))
+    return out

@@ -60,7 +60,6 @@ def near_copies(n, base, seed):
 @pytest.mark.parametrize("size,num,den", [(4, 85, 100), (5, 80, 100)])
 def test_jaccard_equals_all_pairs(spark, rows, size, num, den, monkeypatch):
     monkeypatch.setattr(ngram_jaccard, "BLOCK", 16)
-    monkeypatch.setattr(ngram_jaccard, "PIVOTS", 2)
     more = near_copies(70, prose(9, 90), 1) + near_copies(30, prose(10, 25), 2) + near_copies(20, prose(11, 8), 3)
     every = rows + [(100 + k, t) for k, t in enumerate(more)]
     got = ngram_jaccard.ngram_jaccard(spark.createDataFrame(every, "doc_id long, text string").repartition(4), size, num, den).collect()
