@@ -36,6 +36,8 @@ KNOWN_SECTIONS = [
 ALLCAPS = r"^[A-Z][A-Z\s,&/\-]{8,}$"
 NUMBERED = r"(?i)^(?:(?:Section|Part|Article|Chapter)\s+)?\d+[\.\)]\s+[A-Z]"
 ROMAN = r"^(?:(?:Section|Part)\s+)?(?:I{1,3}|IV|VI{0,3}|IX|X{1,3})[\.\):\s]+[A-Z]"
+#: Any heading at all: most lines are told apart by this one scan.
+ANY_HEADING = "|".join([f"(?i:{'|'.join(f'(?:{p})' for p, _ in KNOWN_SECTIONS)})", f"(?:{ALLCAPS})", f"(?:{NUMBERED.replace('(?i)', '(?i:', 1)}))", f"(?:{ROMAN})"])
 
 
 def heading(line: Column) -> Column:
@@ -63,7 +65,9 @@ def detect_sections(pages: DataFrame) -> DataFrame:
     widths = Window.partitionBy("document_id", "page_number").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     hits = (
         lines.withColumn("char_start", F.col("page_start") + F.coalesce(F.sum(F.length("line") + 1).over(widths), F.lit(0)))
-        .withColumn("h", heading(strip(F.col("line"))))
+        .withColumn("s", strip(F.col("line")))
+        .filter(F.length("s").between(MIN_HEADING, MAX_HEADING) & F.col("s").rlike(ANY_HEADING))
+        .withColumn("h", heading(F.col("s")))
         .filter("h is not null")
     )
     ends = placed.groupBy("document_id").agg(F.max("page_number").alias("last_page"), F.sum(F.length("text") + 2).alias("total"))
