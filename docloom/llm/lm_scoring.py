@@ -193,6 +193,23 @@ def weigh(counts: np.ndarray, ends: int, model_path: str) -> tuple[list[tuple[by
     return [(raw, math.log(counts[i] + 0.5) - norm) for i, raw in known.items()], math.log(ends + 0.5) - norm
 
 
+def frequent_from(words: DataFrame, most: int) -> int:
+    """The least count such that at most ``most`` words have it or more.
+
+    Counts are read at 16 steps an octave: a histogram of a few hundred rows, whatever
+    the vocabulary, so no task sends its own top list.
+    """
+    step = F.floor(F.log2("n_all") * 16)
+    bins = sorted(words.groupBy(step.alias("bin")).agg(F.count(F.lit(1)).alias("words"), F.min("n_all").alias("least")).collect(), reverse=True)
+    cut, total = 1 << 62, 0
+    for row in bins:
+        total += row["words"]
+        if total > most:
+            break
+        cut = row["least"]
+    return cut
+
+
 def lm_scores(
     docs: DataFrame,
     model_path: str,
@@ -222,7 +239,7 @@ def lm_scores(
 
     scored = ws.save(words.mapInArrow(marginal, "h long, n_all long, n_train long, lp double"), "scored")
     ws.drop("words")
-    top = scored.orderBy(F.desc("n_all"), "h").limit(frequent).select("h", "n_train", "lp").toPandas()
+    top = scored.filter(F.col("n_all") >= frequent_from(scored, frequent)).select("h", "n_train", "lp").toPandas()
     sent = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64).view(np.uint64), top["n_train"].to_numpy(np.int64), top["lp"].to_numpy(float)))
 
     id_type = docs.schema[id_col].dataType.simpleString()
