@@ -218,16 +218,33 @@ def _features(docs: DataFrame, passed: list[str], text_col: str) -> DataFrame:
     return docs.mapInArrow(read, schema)
 
 
+def _probability(found: list[list[int]], weights: tuple[np.ndarray, float]) -> np.ndarray:
+    w, bias = weights
+    z = [bias + sum(w[f] * np.log1p(n) for f, n in zip(r[0::2], r[1::2])) for r in found]
+    return 1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30)))
+
+
+def _calm(docs: DataFrame, text_col: str, weights: tuple[np.ndarray, float], threshold: float) -> DataFrame:
+    """The rows below the threshold, judged and filtered in one pass."""
+    text_at = docs.columns.index(text_col)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, texts in textkit.slices(batch.column(text_at)):
+                keep = pa.array(_probability(clauses(texts), weights) < threshold)
+                yield batch.slice(row, len(texts)).filter(keep)
+
+    return docs.mapInArrow(read, docs.schema)
+
+
 def _scored(rows: DataFrame, weights: tuple[np.ndarray, float], threshold: float) -> DataFrame:
     """Add score and predicted to rows with clauses."""
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + ["score double, predicted int"])
     at = rows.columns.index("clauses")
-    w, bias = weights
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = [bias + sum(w[f] * np.log1p(n) for f, n in zip(r[0::2], r[1::2])) for r in batch.column(at).to_pylist()]
-            p = 1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30)))
+            p = _probability(batch.column(at).to_pylist(), weights)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
     return rows.mapInArrow(score, schema)
@@ -280,7 +297,4 @@ def toxicity_filter(
     own = docs.select(id_col, text_col).join(F.broadcast(ids.select(id_col).distinct()), id_col, "left_semi") if ids.count() <= 1_000_000 else docs.select(id_col, text_col)
     ws = Workspace(docs.sparkSession, "toxicity")
     weights = learn(ws.save(_features(own, [id_col], text_col), "clauses"), ids, id_col, label_col, fit_rows)
-    columns = docs.columns
-    renamed = docs.withColumnsRenamed({c: f"_own_{c}" for c in columns})
-    judged = _scored(_features(renamed, renamed.columns, f"_own_{text_col}"), weights, threshold).filter("predicted = 0")
-    return judged.select(*[F.col(f"_own_{c}").alias(c) for c in columns])
+    return _calm(docs, text_col, weights, threshold)
