@@ -18,15 +18,23 @@ from docloom.llm.store import Workspace
 SHINGLE_WORDS, SIMILARITY = 5, (80, 100)
 #: Ids up to which the dropped documents are broadcast; beyond, both sides are shuffled.
 BROADCAST_IDS = 1_000_000
+#: Rows of an Arrow batch: whole texts pass through Python, so batches are kept small.
+BATCH_ROWS = "1000"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def stage_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents (score of 0.3 or more) go."""
+    _small_batches(spark)
     return toxicity.toxicity_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents outside the count and compression limits go."""
+    _small_batches(spark)
     return quality_rules.quality_filter(docs)
 
 
@@ -35,6 +43,7 @@ def stage_ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     Rows of one id count as one document and stay together; rows without an id stay.
     """
+    _small_batches(spark)
     joined = ngram_jaccard.ngram_jaccard(docs, size=SHINGLE_WORDS, num=SIMILARITY[0], den=SIMILARITY[1])
     gone = Workspace(spark, "near-duplicates").save(joined.filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
     few = gone.count() <= BROADCAST_IDS
@@ -43,11 +52,13 @@ def stage_ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, as it is or with other slots, go."""
+    _small_batches(spark)
     return decontamination.decontamination_filter(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def stage_byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, encoded and decoded: (doc_id, n_tokens, ids_sha256, decoded_sha256)."""
+    _small_batches(spark)
     return byte_bpe.digests(byte_bpe.byte_bpe(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
