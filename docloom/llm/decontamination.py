@@ -2,16 +2,21 @@
 
 Words become template tokens: numbers, names (capitalised words inside a sentence)
 and units turn into typed placeholders, other words lose their case and the
-punctuation at their ends. Windows of ``size`` template tokens of every benchmark
-item are hashed; a document's windows are joined with them by hash. A hit is
-verified token by token, and its slots must be consistent: along a run of hits at
-one alignment, one value of the item always meets one value of the document and the
-other way round. So a question with other numbers or names is still caught, while a
-passage that merely has the same shape is not.
-
-A document is contaminated by an item when the windows of one consistent alignment
-cover at least ``share`` of the item's windows. An item with fewer words than ``size``
-has one window, its whole template. Windows made of placeholders only say nothing
+punctuation at their ends. Names in a row are one placeholder, so a new name may have
+another number of words. Windows of ``size`` template tokens of every benchmark item
+are hashed; a document's windows are joined with them by hash. A hit is verified token
+by token. Hits that follow one another in item and document form a chain: words may be
+put in, left out or changed between them, up to half the item's words or ``size``. The
+slots of a chain must be consistent: one value of the item always meets one value of
+the document and the other way round. So a question with other numbers or names is
+still caught, while a passage that merely has the same shape is not.
+
+A document is contaminated by an item when the windows of one consistent chain cover
+at least ``share`` of the item's windows, or when RUN template words in a row agree,
+``size`` of them literally. Items of fewer than ``3 * size - 1`` words have windows of
+a third of their words, LEAST at least, so that one changed word leaves half of them;
+below ``3 * LEAST - 1`` words it is ``size`` again, and an item with fewer words than
+that has one window, its whole template. Windows made of placeholders only say nothing
 and are left out.
 
 The benchmark's windows are broadcast while they number at most ``broadcast_windows``
@@ -27,7 +32,8 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +41,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import textkit
-from docloom.llm.textkit import U64, mix
+from docloom.llm.textkit import U64
 
 #: Template tokens in a window.
 SIZE = 8
+#: Fewest template tokens in a window of an item longer than that.
+LEAST = 5
+#: Template words in a row that contaminate, whatever the item's length.
+RUN = 13
 #: Windows up to which the benchmark is broadcast: at most 48 MB with their places.
 BROADCAST_WINDOWS = 2_000_000
 
@@ -57,6 +67,7 @@ _STRIP = "\"'()[]{}<>,;.!?:*_~`«»“”‘’¿¡#&|"
 
 NUM, NAME, UNIT = "\x01num", "\x01name", "\x01unit"
 _UNITS = frozenset(UNITS)
+_STEP = U64(0xC2B2AE3D27D4EB4F)
 
 
 def token(word: str, starts_sentence: bool) -> str:
@@ -81,8 +92,15 @@ def ends_sentence(word: str) -> bool:
     return word.rstrip("\"')]*»”’").endswith(tuple(_ENDS))
 
 
-def template(text: str | None) -> tuple[list[str], list[str]]:
-    """(template tokens, the words' bare values) of a text; a line break starts a sentence."""
+class Form(NamedTuple):
+    """A text as template tokens with the words' bare values."""
+
+    tokens: list[str]
+    values: list[str]
+
+
+def template(text: str | None) -> Form:
+    """The typed form of a text: a line break starts a sentence, a run of names is one slot."""
     tokens, values = [], []
     for line in (text or "").split("\n"):
         fresh = True
@@ -90,10 +108,15 @@ def template(text: str | None) -> tuple[list[str], list[str]]:
             word = raw.decode("utf-8", "replace")
             t = token(word, fresh)
             fresh = ends_sentence(word)
-            if t:
+            if not t:
+                continue
+            value = word.strip(_STRIP).lower()
+            if t == NAME and tokens and tokens[-1] == NAME:
+                values[-1] += " " + value
+            else:
                 tokens.append(t)
-                values.append(word.strip(_STRIP).lower())
-    return tokens, values
+                values.append(value)
+    return Form(tokens, values)
 
 
 def consistent(pairs: list[tuple[str, str]]) -> bool:
@@ -106,6 +129,74 @@ def consistent(pairs: list[tuple[str, str]]) -> bool:
     return True
 
 
+def window_width(n: int, size: int) -> int:
+    """Tokens in the windows of an item of ``n``: one changed word must spare half of a short item's."""
+    third = (n + 1) // 3
+    return min(size, n, third if third >= LEAST else n)
+
+
+class Part(NamedTuple):
+    """Windows of an item, at ``places``, that meet a document ``shift`` tokens further on without a gap."""
+
+    start: int
+    end: int
+    shift: int
+    places: list[int]
+
+
+def parts(by_shift: dict[int, list[int]], width: int) -> list[Part]:
+    """The maximal parts of the hits; places ascend."""
+    out: list[Part] = []
+    for shift, places in by_shift.items():
+        cut = 0
+        for i in range(1, len(places) + 1):
+            if i == len(places) or places[i] > places[i - 1] + width:
+                out.append(Part(places[cut], places[i - 1] + width, shift, places[cut:i]))
+                cut = i
+    return out
+
+
+def chains(found: list[Part], n: int, reach: int) -> Iterator[list[Part]]:
+    """Parts that follow one another in item and document with shifts at most ``reach`` apart.
+
+    Every part is in one chain; those of the most words come first.
+    """
+    found = sorted(found, key=lambda p: (p.start + p.shift, p.start))
+    score = [p.end - p.start for p in found]
+    back = [-1] * len(found)
+    low = 0
+    for i, p in enumerate(found):
+        while found[low].start + found[low].shift + n + reach < p.start + p.shift:
+            low += 1
+        for j in range(low, i):
+            q = found[j]
+            if abs(p.shift - q.shift) > reach or p.start < q.start:
+                continue
+            more = p.end - max(p.start, q.end, q.end + q.shift - p.shift)
+            if more > 0 and score[j] + more > score[i] and back[i] != j:
+                score[i], back[i] = score[j] + more, j
+    used = [False] * len(found)
+    for i in sorted(range(len(found)), key=lambda i: -score[i]):
+        chain: list[Part] = []
+        while i >= 0 and not used[i]:
+            used[i] = True
+            chain.append(found[i])
+            i = back[i]
+        if chain:
+            yield _disjoint(chain[::-1])
+
+
+def _disjoint(chain: list[Part]) -> list[Part]:
+    """The chain without windows on words of the document that the part before has."""
+    out, stop = [], -1
+    for p in chain:
+        places = [x for x in p.places if x + p.shift >= stop]
+        if places:
+            out.append(Part(places[0], p.end, p.shift, places))
+            stop = p.end + p.shift
+    return out
+
+
 class Items:
     """Benchmark items with their window hashes."""
 
@@ -113,49 +204,66 @@ class Items:
         self.size, self.share = size, share
         self.ids = [i for i, _ in items]
         self.templates = [template(t) for _, t in items]
-        self.hashes: list[dict[int, list[int]]] = []
+        self.widths = [window_width(len(t.tokens), size) for t in self.templates]
         self.windows: list[int] = []
-        every: set[int] = set()
-        short: dict[int, set[int]] = defaultdict(set)
-        for tokens, _ in self.templates:
-            places: dict[int, list[int]] = defaultdict(list)
-            width = min(size, len(tokens))
-            for at, h in enumerate(window_hashes(tokens, width).tolist()):
-                if any(t[0] != "\x01" for t in tokens[at : at + width]):
-                    places[h].append(at)
-            self.hashes.append(dict(places))
-            self.windows.append(sum(map(len, places.values())))
-            (every if width == size else short[width]).update(places)
-        self.sorted = {size: np.array(sorted(every), U64)} | {w: np.array(sorted(h), U64) for w, h in short.items() if w}
         self.by_hash: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, places in enumerate(self.hashes):
-            for h, at in places.items():
-                self.by_hash[h] += [(k, a) for a in at]
+        every: dict[int, set[int]] = defaultdict(set)
+        for k, (form, width) in enumerate(zip(self.templates, self.widths)):
+            known = 0
+            for at, h in enumerate(window_hashes(form.tokens, width).tolist()):
+                if any(t[0] != "\x01" for t in form.tokens[at : at + width]):
+                    self.by_hash[h].append((k, at))
+                    every[width].add(h)
+                    known += 1
+            self.windows.append(known)
+        self.sorted = {w: np.array(sorted(h), U64) for w, h in sorted(every.items())}
 
     def matches(self, text: str) -> list[tuple[int, float]]:
         """(item id, covered share of its windows) of the items that contaminate the text."""
-        tokens, values = template(text)
-        found: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for width in self.sorted:
-            h = window_hashes(tokens, width)
-            near = np.flatnonzero(np.isin(h, self.sorted[width]))
+        own = template(text)
+        found: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for width, wanted in self.sorted.items():
+            h = window_hashes(own.tokens, width)
+            near = np.flatnonzero(np.isin(h, wanted))
             for at, key in zip(near.tolist(), h[near].tolist()):
                 for k, place in self.by_hash[key]:
-                    item = self.templates[k][0]
-                    if min(self.size, len(item)) == width and item[place : place + width] == tokens[at : at + width]:
-                        found[k, at - place].add(place)
+                    if self.widths[k] == width and self.templates[k].tokens[place : place + width] == own.tokens[at : at + width]:
+                        found[k][at - place].append(place)
         best: dict[int, float] = {}
-        for (k, shift), places in found.items():
-            item, own = self.templates[k]
-            width = min(self.size, len(item))
-            if len(places) < self.share * self.windows[k]:
-                continue
-            covered = sorted({p + j for p in places for j in range(width)})
-            slots = [(item[p] + own[p], item[p] + values[p + shift]) for p in covered if item[p][0] == "\x01"]
-            if consistent(slots):
-                best[k] = max(best.get(k, 0.0), len(places) / self.windows[k])
+        for k, by_shift in found.items():
+            n = len(self.templates[k].tokens)
+            for chain in chains(parts(by_shift, self.widths[k]), n, max(self.size, n // 2)):
+                shifts = {p.shift for p in chain}
+                alone = [[p for p in chain if p.shift == s] for s in shifts] if len(shifts) > 1 else []
+                for some in (chain, *alone):
+                    share = self._judged(k, own, some)
+                    if share is not None:
+                        best[k] = max(best.get(k, 0.0), share)
         return sorted((self.ids[k], s) for k, s in best.items())
 
+    def _judged(self, k: int, own: Form, chain: list[Part]) -> float | None:
+        """The share of the item's windows in the chain, if that contaminates."""
+        item, width = self.templates[k], self.widths[k]
+        places = {x for p in chain for x in p.places}
+        slots = [(item.tokens[x] + item.values[x], item.tokens[x] + own.values[x + p.shift]) for p in chain for x in range(p.start, p.end) if item.tokens[x][0] == "\x01"]
+        if not consistent(slots):
+            return None
+        share = len(places) / self.windows[k]
+        if share >= self.share or any(self._tells(item, own, p, RUN) for p in parts(_by_shift(chain), width)):
+            return share
+        return None
+
+    def _tells(self, item: Form, own: Form, p: Part, least: int) -> bool:
+        """Whether a part has ``least`` words, ``size`` of them more than a slot of another value."""
+        return p.end - p.start >= least and sum(item.tokens[x][0] != "\x01" or item.values[x] == own.values[x + p.shift] for x in range(p.start, p.end)) >= self.size
+
+
+def _by_shift(chain: list[Part]) -> dict[int, list[int]]:
+    out: dict[int, list[int]] = defaultdict(list)
+    for p in chain:
+        out[p.shift] += p.places
+    return out
+
 
 def token_hashes(tokens: list[str]) -> np.ndarray:
     """64-bit hashes of template tokens, all in one pass."""
@@ -166,16 +274,37 @@ def token_hashes(tokens: list[str]) -> np.ndarray:
     return textkit.Texts(data, np.array([0, len(data)])).hash(starts, ends)
 
 
+def _windows(h: np.ndarray, widths: Iterable[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(width, hashes of all windows) for ascending widths, each made from the one before."""
+    out, done = np.zeros(len(h), U64), 0
+    for width in widths:
+        for k in range(done, min(width, len(h) + 1)):
+            out = out[: len(h) - k] * _STEP + h[k:]
+        done = width
+        yield width, out if width <= len(h) else out[:0]
+
+
 def window_hashes(tokens: list[str], size: int) -> np.ndarray:
-    """The hashes that ``textkit.windows`` gives the windows of these tokens."""
-    n = len(tokens) - size + 1
-    if n <= 0 or size == 0:
+    """The hashes of the windows of these tokens."""
+    if size == 0 or len(tokens) < size:
         return np.zeros(0, U64)
-    h = token_hashes(tokens)
-    out = np.zeros(n, U64)
-    for k in range(size):
-        out = out * U64(0xC2B2AE3D27D4EB4F) + h[k : k + n]
-    return mix(out)
+    return next(_windows(token_hashes(tokens), [size]))[1]
+
+
+class Wanted:
+    """Window hashes of one width; a table of their first bits answers most probes."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.shift = U64(64 - min(24, max(16, len(hashes).bit_length() + 5)))
+        self.table = np.zeros(1 << 64 - int(self.shift), bool)
+        self.table[(hashes >> self.shift).astype(np.int64)] = True
+
+    def at(self, h: np.ndarray) -> np.ndarray:
+        """Where the hashes are wanted."""
+        near = np.flatnonzero(self.table[(h >> self.shift).astype(np.int64)])
+        place = np.minimum(np.searchsorted(self.hashes, h[near]), len(self.hashes) - 1)
+        return near[self.hashes[place] == h[near]]
 
 
 #: What a word's template token is: its hash at a sentence's start and inside, and whether it ends one.
@@ -221,9 +350,10 @@ class _TokenCache:
 
 
 _cache: list[_TokenCache] = []
+_NAME_HASH = token_hashes([NAME])[0]
 
 
-def suspects(texts: textkit.Texts, wanted: dict[int, np.ndarray]) -> np.ndarray:
+def suspects(texts: textkit.Texts, wanted: dict[int, Wanted]) -> np.ndarray:
     """Which texts share a window hash with the benchmark."""
     if not _cache:
         _cache.append(_TokenCache())
@@ -241,12 +371,14 @@ def suspects(texts: textkit.Texts, wanted: dict[int, np.ndarray]) -> np.ndarray:
     token_hash = np.where(fresh, info.first[at], info.inner[at])
     real = (flags & 1) == 0
     doc = w.doc[real]
-    spans = textkit.Spans(w.start[real], w.end[real], doc, np.searchsorted(doc, np.arange(len(texts) + 1)))
-    for width, hashes in wanted.items():
-        win, first = textkit.windows(token_hash[real], spans, width)
-        place = np.minimum(np.searchsorted(hashes, win), len(hashes) - 1) if len(hashes) else np.zeros(0, np.int64)
-        if len(place):
-            out[doc[first[hashes[place] == win]]] = True
+    typed = token_hash[real]
+    again = typed == _NAME_HASH  # a name after a name: one slot
+    again[1:] &= again[:-1] & (doc[1:] == doc[:-1])
+    again[:1] = False
+    doc, typed = doc[~again], typed[~again]
+    for width, h in _windows(typed, wanted):
+        hit = wanted[width].at(h)
+        out[doc[hit[doc[hit] == doc[hit + width - 1]]]] = True
     return out
 
 
@@ -293,10 +425,11 @@ def _judged(docs: DataFrame, load, id_col: str, text_col: str, keep_text: bool)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = load()
+        wanted = {width: Wanted(h) for width, h in items.sorted.items()}
         for batch in batches:
             for row, texts in textkit.slices(batch.column(text_at)):
                 found: list[list[tuple[int, float]]] = [[] for _ in range(len(texts))]
-                for i in np.flatnonzero(suspects(texts, items.sorted)).tolist():
+                for i in np.flatnonzero(suspects(texts, wanted)).tolist():
                     found[i] = items.matches(texts.cut(int(texts.offsets[i]), int(texts.offsets[i + 1])).decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(i).slice(row, len(texts)) for i in passed]
@@ -317,8 +450,10 @@ def _item_parts(items: DataFrame, size: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, text in zip(*(c.to_pylist() for c in batch.columns)):
-                h = np.array(list(Items([(item, text)], size, 1.0).by_hash), U64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([item] * len(h), pa.int64()), pa.array([min(size, len(template(text)[0]))] * len(h), pa.int32())], names=["h", "item", "width"])
+                cut = Items([(item, text)], size, 1.0).sorted
+                h = np.concatenate([np.zeros(0, U64), *cut.values()]).view(np.int64)
+                width = np.repeat(np.array(list(cut), np.int32), [len(x) for x in cut.values()])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([item] * len(h), pa.int64()), pa.array(width, pa.int32())], names=["h", "item", "width"])
 
     return items.mapInArrow(cut, "h long, item long, width int")
 
@@ -339,7 +474,7 @@ def _decontaminate_shuffled(docs: DataFrame, items: DataFrame, id_col: str, text
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, text in zip(*(c.to_pylist() for c in batch.columns)):
-                tokens, _ = template(text)
+                tokens = template(text).tokens
                 h = np.unique(np.concatenate([window_hashes(tokens, k) for k in widths])) if widths else np.zeros(0, U64)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([number] * len(h), pa.int64())], names=["h", "_row"])
 

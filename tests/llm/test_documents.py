@@ -228,3 +228,25 @@ def test_url_rules_and_propagation(spark):
     by = {r.page_id: r for r in got}
     assert by[22].trust > 0 and by[20].distrust > by[20].trust
     assert url_filters.url_filter(spark.createDataFrame([], "page_id long, url string, html string"), rules).count() == 0
+
+
+LONG = "The old miller walked along the river every morning to count how many sacks of grain his three sons had carried from the barn to the boat before noon while their neighbour wrote the weight of each sack in a small green book that she kept under the table for the yearly market in town where all farmers met again at last"
+SHORT = "which of these rivers flows through the largest number of different countries before reaching seas"
+
+
+def caught(item, text):
+    return [i for i, _ in decontamination.Items([(1, item)], 8, 0.5).matches(f"{prose(1, 40)}. {text}. {prose(2, 40)}")] == [1]
+
+
+def test_decontamination_adds_up_shifted_windows(spark):
+    w, s = LONG.split()[:59], SHORT.split()
+    question = "When Anna buys some apples then how much money does Anna give the old seller after lunch if Anna takes them home"
+    texts = [" ".join(x) for x in (w[10:42], w[:29] + ["quite"] + w[29:], w[:29] + w[30:], s[:7] + ["quite"] + s[8:])] + [question.replace("Anna", "Mary Ann")]
+    items = [" ".join(w), " ".join(w), " ".join(w), " ".join(s), question]
+    assert len(w) == 59 and len(s) == 15
+    assert [caught(i, t) for i, t in zip(items, texts)] == [True] * 5
+    assert not caught(" ".join(w), " ".join(w[:12])) and not caught(" ".join(w), " ".join(reversed(w)))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    table = spark.createDataFrame([(k, f"{prose(k, 30)}. {t}") for k, t in enumerate(texts)], "doc_id long, text string")
+    for most in (1 << 20, 0):
+        assert all(r.doc_id in r["items"] for r in decontamination.decontaminate(table, bench, broadcast_windows=most).collect())
