@@ -11,6 +11,11 @@ slots of a chain must be consistent: one value of the item always meets one valu
 the document and the other way round. So a question with other numbers or names is
 still caught, while a passage that merely has the same shape is not.
 
+Every text also has a folded form: names are words like others there, without case, so
+a copy in lower case or capitals or with other sentence ends is found by it. Hits of
+either form count, each with its own windows. A name of the item that meets another
+name between two parts of a folded chain is a slot as it is in the typed form.
+
 A document is contaminated by an item when the windows of one consistent chain cover
 at least ``share`` of the item's windows, or when RUN template words in a row agree,
 ``size`` of them literally. Items of fewer than ``3 * size - 1`` words have windows of
@@ -93,15 +98,24 @@ def ends_sentence(word: str) -> bool:
 
 
 class Form(NamedTuple):
-    """A text as template tokens with the words' bare values."""
+    """A text as template tokens with the words' bare values, and which of them are names."""
 
     tokens: list[str]
     values: list[str]
+    names: list[bool]
+
+
+def folded(token: str) -> str:
+    """The token of a word that is no name, without case."""
+    return token.casefold()
 
 
-def template(text: str | None) -> Form:
-    """The typed form of a text: a line break starts a sentence, a run of names is one slot."""
-    tokens, values = [], []
+def template(text: str | None) -> tuple[Form, Form]:
+    """The typed form of a text, and the folded one, in which names are words like others.
+
+    A line break starts a sentence. In the typed form a run of names is one slot.
+    """
+    typed, plain = Form([], [], []), Form([], [], [])
     for line in (text or "").split("\n"):
         fresh = True
         for raw in line.encode("utf-8", "replace").split():
@@ -110,13 +124,16 @@ def template(text: str | None) -> Form:
             fresh = ends_sentence(word)
             if not t:
                 continue
-            value = word.strip(_STRIP).lower()
-            if t == NAME and tokens and tokens[-1] == NAME:
-                values[-1] += " " + value
+            value = word.strip(_STRIP).casefold()
+            name = t == NAME
+            for part, x in zip(plain, (folded(token(word, True)), value, name)):
+                part.append(x)
+            if name and typed.tokens and typed.names[-1]:
+                typed.values[-1] += " " + value
             else:
-                tokens.append(t)
-                values.append(value)
-    return Form(tokens, values)
+                for part, x in zip(typed, (t, value, name)):
+                    part.append(x)
+    return typed, plain
 
 
 def consistent(pairs: list[tuple[str, str]]) -> bool:
@@ -203,52 +220,59 @@ class Items:
     def __init__(self, items: list[tuple[int, str | None]], size: int, share: float):
         self.size, self.share = size, share
         self.ids = [i for i, _ in items]
-        self.templates = [template(t) for _, t in items]
-        self.widths = [window_width(len(t.tokens), size) for t in self.templates]
-        self.windows: list[int] = []
-        self.by_hash: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.forms = [template(t) for _, t in items]
+        self.widths = [[window_width(len(form.tokens), size) for form in both] for both in self.forms]
+        self.windows = [[0, 0] for _ in items]
+        self.by_hash: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         every: dict[int, set[int]] = defaultdict(set)
-        for k, (form, width) in enumerate(zip(self.templates, self.widths)):
-            known = 0
-            for at, h in enumerate(window_hashes(form.tokens, width).tolist()):
-                if any(t[0] != "\x01" for t in form.tokens[at : at + width]):
-                    self.by_hash[h].append((k, at))
-                    every[width].add(h)
-                    known += 1
-            self.windows.append(known)
+        for k, both in enumerate(self.forms):
+            for f, form in enumerate(both):
+                width = self.widths[k][f]
+                for at, h in enumerate(window_hashes(form.tokens, width).tolist()):
+                    if any(t[0] != "\x01" for t in form.tokens[at : at + width]):
+                        self.by_hash[h].append((k, f, at))
+                        every[width].add(h)
+                        self.windows[k][f] += 1
         self.sorted = {w: np.array(sorted(h), U64) for w, h in sorted(every.items())}
 
     def matches(self, text: str) -> list[tuple[int, float]]:
         """(item id, covered share of its windows) of the items that contaminate the text."""
-        own = template(text)
-        found: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for width, wanted in self.sorted.items():
-            h = window_hashes(own.tokens, width)
-            near = np.flatnonzero(np.isin(h, wanted))
-            for at, key in zip(near.tolist(), h[near].tolist()):
-                for k, place in self.by_hash[key]:
-                    if self.widths[k] == width and self.templates[k].tokens[place : place + width] == own.tokens[at : at + width]:
-                        found[k][at - place].append(place)
+        both = template(text)
+        found: dict[tuple[int, int], dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for f, own in enumerate(both):
+            for width, wanted in self.sorted.items():
+                h = window_hashes(own.tokens, width)
+                near = np.flatnonzero(np.isin(h, wanted))
+                for at, key in zip(near.tolist(), h[near].tolist()):
+                    for k, form, place in self.by_hash[key]:
+                        if form == f and self.widths[k][f] == width and self.forms[k][f].tokens[place : place + width] == own.tokens[at : at + width]:
+                            found[k, f][at - place].append(place)
         best: dict[int, float] = {}
-        for k, by_shift in found.items():
-            n = len(self.templates[k].tokens)
-            for chain in chains(parts(by_shift, self.widths[k]), n, max(self.size, n // 2)):
+        for (k, f), by_shift in found.items():
+            n = len(self.forms[k][f].tokens)
+            for chain in chains(parts(by_shift, self.widths[k][f]), n, max(self.size, n // 2)):
                 shifts = {p.shift for p in chain}
                 alone = [[p for p in chain if p.shift == s] for s in shifts] if len(shifts) > 1 else []
                 for some in (chain, *alone):
-                    share = self._judged(k, own, some)
+                    share = self._judged(k, f, both[f], some)
                     if share is not None:
                         best[k] = max(best.get(k, 0.0), share)
         return sorted((self.ids[k], s) for k, s in best.items())
 
-    def _judged(self, k: int, own: Form, chain: list[Part]) -> float | None:
+    def _judged(self, k: int, f: int, own: Form, chain: list[Part]) -> float | None:
         """The share of the item's windows in the chain, if that contaminates."""
-        item, width = self.templates[k], self.widths[k]
+        item, width = self.forms[k][f], self.widths[k][f]
         places = {x for p in chain for x in p.places}
-        slots = [(item.tokens[x] + item.values[x], item.tokens[x] + own.values[x + p.shift]) for p in chain for x in range(p.start, p.end) if item.tokens[x][0] == "\x01"]
+        slots = []
+        for p in chain:
+            slots += [(NAME if item.names[x] else item.tokens[x], x, x + p.shift) for x in range(p.start, p.end) if item.names[x] or item.tokens[x][0] == "\x01"]
+        for p, q in zip(chain, chain[1:]):  # names of the folded form that differ lie between its parts
+            if f and p.shift == q.shift:
+                slots += [(NAME, x, x + p.shift) for x in range(p.end, q.start) if item.names[x] and own.names[x + p.shift]]
+        slots = [(kind + item.values[x], kind + own.values[y]) for kind, x, y in slots]
         if not consistent(slots):
             return None
-        share = len(places) / self.windows[k]
+        share = len(places) / self.windows[k][f]
         if share >= self.share or any(self._tells(item, own, p, RUN) for p in parts(_by_shift(chain), width)):
             return share
         return None
@@ -307,7 +331,7 @@ class Wanted:
         return near[self.hashes[place] == h[near]]
 
 
-#: What a word's template token is: its hash at a sentence's start and inside, and whether it ends one.
+#: What a word's template token is: its hash at a sentence's start, inside and folded, and whether it ends one.
 _INFO_BITS = 21
 
 
@@ -318,6 +342,7 @@ class _TokenCache:
         self.table = textkit.HashTable(_INFO_BITS)
         self.first = np.zeros(1 << _INFO_BITS - 1, U64)
         self.inner = np.zeros(1 << _INFO_BITS - 1, U64)
+        self.folded = np.zeros(1 << _INFO_BITS - 1, U64)
         self.flags = np.zeros(1 << _INFO_BITS - 1, np.uint8)
         self.n = 0
 
@@ -332,7 +357,7 @@ class _TokenCache:
             new, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
             if self.n + len(new) > len(self.first):  # more new words in one slice than the cache holds
                 grow = self.n + len(new)
-                self.first, self.inner, self.flags = (np.concatenate((x, np.zeros(grow - len(x), x.dtype))) for x in (self.first, self.inner, self.flags))
+                self.first, self.inner, self.folded, self.flags = (np.concatenate((x, np.zeros(grow - len(x), x.dtype))) for x in (self.first, self.inner, self.folded, self.flags))
             where = miss[first]
             seen = [texts.cut(i, j).decode("utf-8", "replace") for i, j in zip(w.start[where].tolist(), w.end[where].tolist())]
             inner = [token(word, False) for word in seen]
@@ -340,6 +365,7 @@ class _TokenCache:
             part = slice(self.n, self.n + len(new))
             self.first[part] = token_hashes(opening)
             self.inner[part] = token_hashes(inner)
+            self.folded[part] = token_hashes([folded(t) for t in opening])
             self.flags[part] = [(not t) | 2 * ends_sentence(word) for word, t in zip(seen, inner)]
             places = self.n + np.arange(len(new))
             room = len(self.table.keys) // 4
@@ -375,10 +401,10 @@ def suspects(texts: textkit.Texts, wanted: dict[int, Wanted]) -> np.ndarray:
     again = typed == _NAME_HASH  # a name after a name: one slot
     again[1:] &= again[:-1] & (doc[1:] == doc[:-1])
     again[:1] = False
-    doc, typed = doc[~again], typed[~again]
-    for width, h in _windows(typed, wanted):
-        hit = wanted[width].at(h)
-        out[doc[hit[doc[hit] == doc[hit + width - 1]]]] = True
+    for own, h in ((doc[~again], typed[~again]), (doc, info.folded[at[real]])):
+        for width, win in _windows(h, wanted):
+            hit = wanted[width].at(win)
+            out[own[hit[own[hit] == own[hit + width - 1]]]] = True
     return out
 
 
@@ -400,8 +426,8 @@ def decontaminate(
     share of an item's windows. With ``keep_text`` whole rows are passed on instead of ids.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).filter("item is not null")
-    # No item has more windows than words, nor more words than half its characters and one.
-    bound = items.agg(F.coalesce(F.sum((F.length("text") / 2).cast("long") + 1), F.lit(0))).first()[0]
+    # No form of an item has more windows than words, nor more words than half its characters and one.
+    bound = 2 * items.agg(F.coalesce(F.sum((F.length("text") / 2).cast("long") + 1), F.lit(0))).first()[0]
     if bound > broadcast_windows:
         return _decontaminate_shuffled(docs, items, id_col, text_col, size, share, keep_text)
     sent = docs.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in items.orderBy("item").collect()])
@@ -474,8 +500,7 @@ def _decontaminate_shuffled(docs: DataFrame, items: DataFrame, id_col: str, text
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, text in zip(*(c.to_pylist() for c in batch.columns)):
-                tokens = template(text).tokens
-                h = np.unique(np.concatenate([window_hashes(tokens, k) for k in widths])) if widths else np.zeros(0, U64)
+                h = np.unique(np.concatenate([window_hashes(form.tokens, k) for form in template(text) for k in widths])) if widths else np.zeros(0, U64)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([number] * len(h), pa.int64())], names=["h", "_row"])
 
     own = numbered.select("_row", text_col).mapInArrow(cut, "h long, _row long")

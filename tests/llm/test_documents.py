@@ -250,3 +250,16 @@ def test_decontamination_adds_up_shifted_windows(spark):
     table = spark.createDataFrame([(k, f"{prose(k, 30)}. {t}") for k, t in enumerate(texts)], "doc_id long, text string")
     for most in (1 << 20, 0):
         assert all(r.doc_id in r["items"] for r in decontamination.decontaminate(table, bench, broadcast_windows=most).collect())
+
+
+def test_decontamination_sees_copies_in_other_case(spark):
+    item = "If Anna buys 12 kg of apples at 3 dollars per box then how much does Anna pay the seller at noon on that day"
+    german = "Heute kauft der Bauer im Dorf am Fluss eine Kuh und ein Schaf vom Markt der Stadt neben der großen Kirche aus Stein"
+    ends = "The boat left Paris. Then Tom saw Lyon. There Ann met Bob. Later Kim sold Rex. Now Max owns Leo. Soon Eva left Rome."
+    pairs = [(item, item.lower()), (item, item.upper()), (german, german.lower()), (german, german.upper()), (ends, ends.replace(".", " ;"))]
+    assert [caught(i, t) for i, t in pairs] == [True] * 5
+    assert not caught(german, german.upper()[:40])
+    bench = spark.createDataFrame(list(enumerate(i for i, _ in pairs)), "item_id long, text string")
+    table = spark.createDataFrame([(k, f"{prose(k, 30)}. {t}") for k, (_, t) in enumerate(pairs)], "doc_id long, text string")
+    for most in (1 << 20, 0):
+        assert all(r.doc_id in r["items"] for r in decontamination.decontaminate(table, bench, broadcast_windows=most).collect())
