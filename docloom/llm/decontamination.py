@@ -8,17 +8,19 @@ are hashed; a document's windows are joined with them by hash. A hit is verified
 by token. Hits that follow one another in item and document form a chain: words may be
 put in, left out or changed between them, up to half the item's words or ``size``. The
 slots of a chain must be consistent: one value of the item always meets one value of
-the document and the other way round. So a question with other numbers or names is
-still caught, while a passage that merely has the same shape is not.
+the document, which other values may meet too. The windows that hold a value of which
+this is not so are dropped, at all its places; the others count. So a question with
+other numbers or names is still caught, while a passage that merely has the same shape
+is not.
 
 Every text also has a folded form: names are words like others there, without case, so
 a copy in lower case or capitals or with other sentence ends is found by it. Hits of
 either form count, each with its own windows. A name of the item that meets another
 name between two parts of a folded chain is a slot as it is in the typed form.
 
-A document is contaminated by an item when the windows of one consistent chain cover
-at least ``share`` of the item's windows, or when RUN template words in a row agree,
-``size`` of them literally. Items of fewer than ``3 * size - 1`` words have windows of
+A document is contaminated by an item when the windows left of one chain are at least
+``share`` of the item's windows, or when RUN template words in a row agree, ``size`` of
+them literally; where windows were dropped, twice ``size`` words in a row. Items of fewer than ``3 * size - 1`` words have windows of
 a third of their words, LEAST at least, so that one changed word leaves half of them;
 below ``3 * LEAST - 1`` words it is ``size`` again, and an item with fewer words than
 that has one window, its whole template. Windows made of placeholders only say nothing
@@ -136,16 +138,6 @@ def template(text: str | None) -> tuple[Form, Form]:
     return typed, plain
 
 
-def consistent(pairs: list[tuple[str, str]]) -> bool:
-    """Whether slot values map one to one."""
-    there: dict[str, str] = {}
-    back: dict[str, str] = {}
-    for a, b in pairs:
-        if there.setdefault(a, b) != b or back.setdefault(b, a) != a:
-            return False
-    return True
-
-
 def window_width(n: int, size: int) -> int:
     """Tokens in the windows of an item of ``n``: one changed word must spare half of a short item's."""
     third = (n + 1) // 3
@@ -262,18 +254,21 @@ class Items:
     def _judged(self, k: int, f: int, own: Form, chain: list[Part]) -> float | None:
         """The share of the item's windows in the chain, if that contaminates."""
         item, width = self.forms[k][f], self.widths[k][f]
-        places = {x for p in chain for x in p.places}
-        slots = []
+        met: dict[str, set[str]] = defaultdict(set)
+        slots: list[tuple[int, str]] = []
         for p in chain:
-            slots += [(NAME if item.names[x] else item.tokens[x], x, x + p.shift) for x in range(p.start, p.end) if item.names[x] or item.tokens[x][0] == "\x01"]
+            slots += [(x, own.values[x + p.shift]) for x in range(p.start, p.end) if item.names[x] or item.tokens[x][0] == "\x01"]
         for p, q in zip(chain, chain[1:]):  # names of the folded form that differ lie between its parts
             if f and p.shift == q.shift:
-                slots += [(NAME, x, x + p.shift) for x in range(p.end, q.start) if item.names[x] and own.names[x + p.shift]]
-        slots = [(kind + item.values[x], kind + own.values[y]) for kind, x, y in slots]
-        if not consistent(slots):
-            return None
-        share = len(places) / self.windows[k][f]
-        if share >= self.share or any(self._tells(item, own, p, RUN) for p in parts(_by_shift(chain), width)):
+                slots += [(x, own.values[x + p.shift]) for x in range(p.end, q.start) if item.names[x] and own.names[x + p.shift]]
+        key = lambda x: (NAME if item.names[x] else item.tokens[x]) + item.values[x]
+        for x, value in slots:
+            met[key(x)].add(value)
+        bad = {x for x, _ in slots if len(met[key(x)]) > 1}
+        kept = [Part(p.start, p.end, p.shift, [x for x in p.places if not bad.intersection(range(x, x + width))]) for p in chain] if bad else chain
+        share = len({x for p in kept for x in p.places}) / self.windows[k][f]
+        least = max(RUN, 2 * self.size) if bad else RUN
+        if share >= self.share or any(self._tells(item, own, p, least) for p in parts(_by_shift(kept), width)):
             return share
         return None
 

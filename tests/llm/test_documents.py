@@ -263,3 +263,16 @@ def test_decontamination_sees_copies_in_other_case(spark):
     table = spark.createDataFrame([(k, f"{prose(k, 30)}. {t}") for k, (_, t) in enumerate(pairs)], "doc_id long, text string")
     for most in (1 << 20, 0):
         assert all(r.doc_id in r["items"] for r in decontamination.decontaminate(table, bench, broadcast_windows=most).collect())
+
+
+def test_decontamination_drops_conflicting_windows_only(spark):
+    item = "If Anna buys 12 kg of apples at 3 dollars per box then how much does Anna pay the seller at noon on that day"
+    story = " ".join(LONG.split()[:29] + ["as", "Emil", "said"] + LONG.split()[29:45] + ["and", "Emil", "knew"] + LONG.split()[45:59])
+    pairs = [(item, item.replace("12", "5").replace(" 3 ", " 5 ")), (story, story.replace("Emil knew", "Otto knew"))]
+    assert [caught(i, t) for i, t in pairs] == [True] * 2
+    shape = "If Otto likes 9 of those 4 big red dogs from Rome then why would Emil not feed Hans or Max"
+    assert not caught(item, shape)
+    bench = spark.createDataFrame(list(enumerate(i for i, _ in pairs)), "item_id long, text string")
+    table = spark.createDataFrame([(k, f"{prose(k, 30)}. {t}") for k, (_, t) in enumerate(pairs)], "doc_id long, text string")
+    for most in (1 << 20, 0):
+        assert all(r.doc_id in r["items"] for r in decontamination.decontaminate(table, bench, broadcast_windows=most).collect())
