@@ -44,7 +44,7 @@ def stage_ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     Rows of one id count as one document and stay together; rows without an id stay.
     """
     _small_batches(spark)
-    joined = ngram_jaccard.ngram_jaccard(docs, size=SHINGLE_WORDS, num=SIMILARITY[0], den=SIMILARITY[1])
+    joined = ngram_jaccard.ngram_jaccard(docs, size=SHINGLE_WORDS, num=SIMILARITY[0], den=SIMILARITY[1], links=False)
     gone = Workspace(spark, "near-duplicates").save(joined.filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
     few = gone.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)

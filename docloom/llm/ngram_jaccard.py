@@ -33,11 +33,14 @@ each task: only the task's least member of a leaf is sent on, as packed arrays,
 leaf or a set that a third of all documents share costs one entry a task.
 
 The result is exact up to 64-bit hashes of shingles. ``component`` is the smallest id
-reachable by links.
+reachable by links. The links that components need are only some; n_links counts all,
+over the pairs of distinct sets in each component: the other ids whose set is linked
+with the row's or equal to it.
 
 Null or wordless text: no shingles, linked with nothing. Fewer words than ``size``: the
-whole sequence is the only shingle. Repeated ids: the rows are one node. Null ids: the
-row is returned with a null component. Empty table: empty result.
+whole sequence is the only shingle. Repeated ids: the rows are one node, its number of
+links the largest that one of its texts has. Null ids: the row is returned with a null
+component and number of links. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -63,6 +66,8 @@ FLUSH = 1 << 20
 BROADCAST_IDS = 500_000
 #: Documents of a star or of one side of a leaf that a task joins.
 BLOCK = 256
+#: Shingles that a task counts at once.
+COLUMNS = 1 << 13
 
 
 class Plan:
@@ -131,6 +136,15 @@ def point(h: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     return np.bincount(slot, minlength=docs * GROUPS).reshape(docs, GROUPS)
 
 
+def prints(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Two 64-bit fingerprints of each set, as two rows."""
+    doc = np.repeat(np.arange(len(n)), n)
+    fp = np.zeros((2, len(n)), U64)
+    for k in (0, 1):
+        np.add.at(fp[k], doc, mix(h + U64(k + 1)))
+    return fp
+
+
 def leaves(h: np.ndarray, n: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     """(leaf, document index) of every filing."""
     doc = np.repeat(np.arange(len(n)), n)
@@ -180,10 +194,7 @@ def _index(docs: DataFrame, size: int, plan: Plan, buckets: int) -> DataFrame:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for row, texts in textkit.slices(batch.column(1)):
                 h, n = shingle_sets(texts, size)
-                doc = np.repeat(np.arange(len(n)), n)
-                fp = np.zeros((2, len(n)), U64)
-                for k in (0, 1):
-                    np.add.at(fp[k], doc, mix(h + U64(k + 1)))
+                fp = prints(h, n)
                 leaf, owner = leaves(h, n, plan)
                 held.append((ids[row : row + len(n)], n, fp, leaf, owner))
                 filled += len(leaf)
@@ -451,11 +462,14 @@ def ngram_jaccard(
     id_col: str = "doc_id",
     text_col: str = "text",
     buckets: int | None = None,
+    links: bool = True,
 ) -> DataFrame:
-    """(id, n_shingles, component_id) of every row; links need ``den * shared >= num * all``.
+    """(id, n_shingles, component_id, n_links) of every row; links need ``den * shared >= num * all``.
 
-    Ids are integers.
+    Ids are integers. Without ``links`` the last column is left out and only the links
+    that components need are verified.
     """
+    with_links = links
     spark = docs.sparkSession
     ws = Workspace(spark, "jaccard")
     plan = Plan(num, den)
@@ -487,7 +501,90 @@ def ngram_jaccard(
         F.col("doc").alias(id_col), "n_shingles", F.coalesce("component", "doc").alias("component_id")
     )
     nameless = _sets(rows.filter("doc is null"), size, [])
-    return out.unionByName(nameless.select(F.col("doc").alias(id_col), (F.octet_length("shingles") / 8).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
+    none = F.lit(None).cast("long")
+    nameless = nameless.select(F.col("doc").alias(id_col), (F.octet_length("shingles") / 8).cast("long").alias("n_shingles"), none.alias("component_id"))
+    if with_links:
+        counted = _link_counts(known, parts, size, plan, ws).withColumnRenamed("doc", id_col)
+        out = out.join(counted, id_col, "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+        nameless = nameless.withColumn("n_links", none)
+    return out.unionByName(nameless)
+
+
+def _link_counts(docs: DataFrame, parts: DataFrame, size: int, plan: Plan, ws: Workspace) -> DataFrame:
+    """(doc, n_links) of the documents in ``parts``.
+
+    All links lie inside components, so the distinct sets of each are compared with one
+    another, all pairs, in blocks of BLOCK; a pair of sets lies in one task. Tasks return
+    sums a set, weighted by the ids that have the other set, and no pairs.
+    """
+    members = parts.select(F.col("node").alias("doc"), "component")
+    rows = docs.join(F.broadcast(members) if members.count() <= BROADCAST_IDS else members, "doc")
+    rows = ws.save(_prints(rows.select("doc", "text", "component"), size), "prints")
+    key = ["component", "f", "g"]
+    classes = ws.save(rows.groupBy(key).agg(F.min("doc").alias("doc"), F.countDistinct("doc").alias("weight")), "classes")
+    split = classes.groupBy("component").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("component", (F.floor((F.col("m") - 1) / BLOCK) + 1).cast("long").alias("blocks"))
+    dealt = classes.join(split, "component").withColumn("mine", F.pmod(F.xxhash64("f", "g"), F.col("blocks")))
+    dealt = dealt.select("doc", *key, "weight", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = ws.save(dealt.select("doc", *key, "weight", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")), "class-tasks")
+    texts = docs.join(F.broadcast(dealt) if dealt.count() <= BROADCAST_IDS else dealt, "doc")
+    num, den = plan.num, plan.den
+
+    def count(group: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x, U64) for x in table.column("shingles").to_pylist()]
+        n = np.array([len(x) for x in sets], np.int64)
+        fp = prints(np.concatenate(sets), n).view(np.int64)
+        _, own = np.unique(np.stack([table.column(c).to_numpy() for c in ("f", "g")], axis=1), axis=0, return_index=True)
+        same = (fp[0] == table.column("f").to_numpy()) & (fp[1] == table.column("g").to_numpy())
+        if not same.all() or len(own) < len(n):  # rows of one id: another text, or the same again
+            at = np.flatnonzero(same)
+            _, first = np.unique(fp[:, at], axis=1, return_index=True)
+            table, sets, n = table.take(at[first]), [sets[i] for i in at[first]], n[at[first]]
+        weight, mine = (table.column(c).to_numpy() for c in ("weight", "mine"))
+        left, right = np.flatnonzero(mine == group[1].as_py()), np.flatnonzero(mine == group[2].as_py())
+        linked = overlaps(sets, left, right) >= Plan(num, den).needed(n[left][:, None], n[right][None, :])
+        total = np.zeros(len(n), np.int64)
+        if group[1] == group[2]:
+            np.fill_diagonal(linked, False)
+        else:
+            total[right] = weight[left] @ linked
+        total[left] = linked @ weight[right]
+        textkit.release()
+        return table.select(key).append_column("links", pa.array(total))
+
+    sums = _sets(texts, size, [*key, "weight", "mine", "i", "j"]).groupBy("component", "i", "j").applyInArrow(count, "component long, f long, g long, links long")
+    sums = ws.save(sums.groupBy(key).agg(F.sum("links").alias("links")), "class-links")
+    each = rows.join(classes.select(*key, "weight"), key).join(sums, key, "left")
+    return ws.save(each.groupBy("doc").agg(F.max(F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "counted")
+
+
+def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many shingles each left set shares with each right one."""
+    doc = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, slot, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    doc, slot = doc[times[slot] > 1], slot[times[slot] > 1]
+    order = np.argsort(slot, kind="stable")
+    doc, slot = doc[order], np.unique(slot[order], return_inverse=True)[1]
+    out = np.zeros((len(left), len(right)), np.float64)
+    for at in range(0, int(slot[-1]) + 1 if len(slot) else 0, COLUMNS):
+        i, j = np.searchsorted(slot, [at, at + COLUMNS])
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[doc[i:j], slot[i:j] - at] = 1
+        out += has[left] @ has[right].T
+    return out.astype(np.int64)
+
+
+def _prints(docs: DataFrame, size: int) -> DataFrame:
+    """(doc, component, f, g) of (doc, text, component): both fingerprints of the set."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, texts in textkit.slices(batch.column(1)):
+                h, n = shingle_sets(texts, size)
+                fp = prints(h, n).view(np.int64)
+                kept = [batch.column(i).slice(row, len(n)) for i in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(fp[0]), pa.array(fp[1])], names=["doc", "component", "f", "g"])
+
+    return docs.mapInArrow(build, "doc long, component long, f long, g long")
 
 
 def _labelled(pairs: DataFrame, parts: DataFrame) -> DataFrame:

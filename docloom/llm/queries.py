@@ -38,7 +38,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard.ngram_jaccard(_read(spark, sf_dir, "documents"), size=4, num=85, den=100)
+    return ngram_jaccard.ngram_jaccard(_read(spark, sf_dir, "documents"), size=4, num=85, den=100, links=False)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

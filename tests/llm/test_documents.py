@@ -276,3 +276,14 @@ def test_decontamination_drops_conflicting_windows_only(spark):
     table = spark.createDataFrame([(k, f"{prose(k, 30)}. {t}") for k, (_, t) in enumerate(pairs)], "doc_id long, text string")
     for most in (1 << 20, 0):
         assert all(r.doc_id in r["items"] for r in decontamination.decontaminate(table, bench, broadcast_windows=most).collect())
+
+
+def test_jaccard_counts_every_link(spark, rows, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 16)
+    more = near_copies(70, prose(9, 90), 1) + near_copies(20, prose(11, 8), 3)
+    every = rows + [(100 + k, t) for k, t in enumerate(more + more[:9])]
+    got = ngram_jaccard.ngram_jaccard(spark.createDataFrame(every, "doc_id long, text string").repartition(4), 4, 85, 100).collect()
+    sets = {i: shingles(t, 4) for i, t in every if i is not None}
+    want = {i: sum(j != i and bool(s) and 100 * len(s & t) >= 85 * len(s | t) > 0 for j, t in sets.items()) for i, s in sets.items()}
+    assert {r.doc_id: r.n_links for r in got if r.doc_id is not None} == want and len(got) == len(every)
+    assert all(r.n_links is None for r in got if r.doc_id is None)
