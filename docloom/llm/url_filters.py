@@ -11,8 +11,8 @@ Host edges come from absolute and protocol-relative links of the pages' html, on
 pair of different hosts, and all weigh alike. Each step of the walk is one join and
 one sum with map-side combination; hub hosts are split by the adaptive skew join, and
 every step is a table in the shared folder. The walk ends when the scores move by less
-than ``tolerance`` in total, after ``steps`` steps at the latest, or at once in a graph
-without edges between hosts. Mass at hosts without links leaves the walk.
+than ``tolerance`` in total, or at once in a graph without edges between hosts; one that
+still moves so after ``steps`` steps is an error. Mass at hosts without links leaves the walk.
 
 Null url or one without ``://``: empty host and path, no rule, allowed. Null html: no
 links. Repeated pages count for each row. Ties of rules of one length: the longer
@@ -89,6 +89,7 @@ def walk(edges: DataFrame, seeds: DataFrame, damping: float, steps: int, toleran
         return now
     fan = edges.groupBy("src").agg(F.count(F.lit(1)).alias("fan"))
     weighted = ws.save(edges.join(fan, "src"), f"{name}-edges")
+    change = float("inf")
     for k in range(1, steps + 1):
         moved = weighted.join(now.withColumnRenamed("host", "src"), "src").groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("score") / F.col("fan")) * damping).alias("in"))
         after = moved.join(start, "host", "full").select("host", (F.coalesce("in", F.lit(0.0)) + F.coalesce("base", F.lit(0.0))).alias("score"))
@@ -104,8 +105,8 @@ def walk(edges: DataFrame, seeds: DataFrame, damping: float, steps: int, toleran
         ws.drop(f"{name}-{k - 1}")
         now = after
         if change < tolerance:
-            break
-    return now
+            return now
+    raise RuntimeError(f"the {name} walk still moves by {change} after {steps} steps")
 
 
 def url_filter(
@@ -115,7 +116,7 @@ def url_filter(
     url_col: str = "url",
     html_col: str = "html",
     damping: float = 0.85,
-    steps: int = 20,
+    steps: int = 300,
     tolerance: float = 1e-6,
     limit: float = 0.5,
 ) -> DataFrame:

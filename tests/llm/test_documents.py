@@ -287,3 +287,12 @@ def test_jaccard_counts_every_link(spark, rows, monkeypatch):
     want = {i: sum(j != i and bool(s) and 100 * len(s & t) >= 85 * len(s | t) > 0 for j, t in sets.items()) for i, s in sets.items()}
     assert {r.doc_id: r.n_links for r in got if r.doc_id is not None} == want and len(got) == len(every)
     assert all(r.n_links is None for r in got if r.doc_id is None)
+
+
+def test_url_walk_ends_by_its_tolerance(spark):
+    pages = [page(1, "http://bad.net/x", ["http://linker.com/"]), page(2, "http://linker.com/a", ["http://bad.net/x"])]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filters.url_filter(table, [url_filters.Rule("net/", "block")], tolerance=1e-3).collect()}
+    assert abs(got[2].distrust - 0.4595) < 0.006 and abs(got[1].distrust - 0.5405) < 0.006
+    with pytest.raises(RuntimeError, match="distrust walk"):
+        url_filters.url_filter(table, [url_filters.Rule("net/", "block")], steps=2)
