@@ -18,6 +18,8 @@ from docloom.llm.store import Workspace
 SHINGLE_WORDS, SIMILARITY = 5, (80, 100)
 #: Ids up to which the dropped documents are broadcast; beyond, both sides are shuffled.
 BROADCAST_IDS = 1_000_000
+#: The rows' own number while near duplicates are removed.
+ROW = "_near_row"
 #: Rows of an Arrow batch: whole texts pass through Python, so batches are kept small.
 BATCH_ROWS = "1000"
 
@@ -39,15 +41,20 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id.
+    """One row of each group of near duplicates stays: the one with the smallest id.
 
-    Rows of one id count as one document and stay together; rows without an id stay.
+    Rows are told apart by a number of their own, so rows without an id or with the same
+    one are compared like others; an id goes before none, then the smaller number stays.
     """
     _small_batches(spark)
-    joined = ngram_jaccard.ngram_jaccard(docs, size=SHINGLE_WORDS, num=SIMILARITY[0], den=SIMILARITY[1], links=False)
-    gone = Workspace(spark, "near-duplicates").save(joined.filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    ws = Workspace(spark, "near-duplicates")
+    rows = ws.save(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    joined = ngram_jaccard.ngram_jaccard(rows, size=SHINGLE_WORDS, num=SIMILARITY[0], den=SIMILARITY[1], id_col=ROW, links=False)
+    groups = ws.save(joined.select(ROW, F.col("component_id").alias("_group")).join(rows.select(ROW, F.col("doc_id").alias("_id")), ROW), "groups")
+    first = groups.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull(), "_id", ROW)).getField(ROW).alias("_kept"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    gone = ws.save(groups.join(first, "_group").filter(F.col(ROW) != F.col("_kept")).select(ROW), "gone")
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    return rows.join(F.broadcast(gone) if few else gone, ROW, "left_anti").select(*docs.columns)
 
 
 def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

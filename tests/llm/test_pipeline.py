@@ -50,3 +50,11 @@ def test_stages_return_the_columns_of_documents(spark, tables):
     docs = spark.read.parquet(f"{base}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(0), base).columns == docs.columns
+
+
+def test_near_duplicates_without_or_with_repeated_ids(spark, tables):
+    near, other, third = prose(70, 120), prose(71, 120), prose(72, 120)
+    rows = [(None, near), (None, near + " tail"), (5, near), (7, other), (7, other), (7, third), (None, prose(73, 120)), (None, third + " end"), (None, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.stage_ngram_jaccard(spark, docs, tables[0]).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(5, near), (7, other), (7, third), (0, prose(73, 120)), (0, ""), (0, "")])
