@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; temporaries take about 40 bytes for each.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -141,6 +141,41 @@ def windows(hashes: np.ndarray, spans: Spans, size: int) -> tuple[np.ndarray, np
     return mix(out), at
 
 
+# Kinds of bytes: what is no ASCII letter, digit, sign or white space is not known yet.
+_LETTER, _DIGIT, _SIGN, _BLANK, _UNKNOWN = range(5)
+_KIND = np.full(256, _UNKNOWN, np.uint8)
+_KIND[33:127] = _SIGN
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[48:58] = _DIGIT
+_KIND[[0x20, *range(0x09, 0x0E)]] = _BLANK
+_KIND[39] = _UNKNOWN
+
+
+def unit_starts(texts: Texts, outer: np.ndarray) -> np.ndarray:
+    """First bytes of the units of all texts: ``outer`` flags, and changes between letters, digits, signs and white space.
+
+    Pre-tokenizers that tell letters, digits and signs apart split there for certain. A run between
+    ``outer`` flags with an apostrophe, or a character whose kind its bytes do not tell, is one unit.
+    A space belongs to what follows it.
+    """
+    d = texts.data
+    if not len(d):
+        return np.zeros(0, np.int64)
+    kind = _KIND[d]
+    lead = np.flatnonzero((d >= 0xC3) & (d <= 0xC9))  # U+00C0 to U+027F are letters but for two signs
+    lead = lead[lead + 1 < len(d)]
+    lead = lead[(d[lead] != 0xC3) | ((d[lead + 1] != 0x97) & (d[lead + 1] != 0xB7))]
+    kind[lead] = kind[lead + 1] = _LETTER
+    begin = outer.copy()
+    begin[texts.offsets[:-1][np.diff(texts.offsets) > 0]] = True
+    run = np.cumsum(begin) - 1
+    whole = np.zeros(int(run[-1]) + 1, bool)
+    whole[run[kind == _UNKNOWN]] = True
+    split = np.zeros(len(d), bool)
+    split[1:] = (kind[1:] != kind[:-1]) & (d[:-1] != 0x20)
+    return np.flatnonzero(begin | split & ~whole[run])
+
+
 def release() -> None:
     """Give freed memory back to the system; a worker that waits should hold none."""
     pa.default_memory_pool().release_unused()

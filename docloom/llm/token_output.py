@@ -8,17 +8,23 @@ it, so rank and select touch one block a plane. From the one file ``WaveletShard
 answers the id at a position, the count of an id in a range, the place of its k-th
 occurrence, all its places, and a document's or the whole shard's ids.
 
-Encoding goes through a cache of white-space units: where no two white-space
-characters meet, a byte-level tokenizer splits a text at every space, so a text's ids
-are those of its units, joined. Texts with white space side by side, with white space
-outside ASCII or with special strings are encoded whole.
+Encoding goes through a cache of units: where no two white-space characters meet, a
+byte-level tokenizer splits a text before every space, around other white space and
+between letters, digits and signs, so a text's ids are those of its units, joined. Runs
+that hold an apostrophe or a character whose kind the bytes do not tell are one unit up
+to the next space. Texts with white space side by side, with white space outside ASCII
+or with special strings are encoded whole. Units that the cache lacks go to the library
+as one text, a line each: a line break is a token of its own there, and no unit has one.
 
 Files are written under a temporary name and renamed, so a task that is run again
 leaves the same file. A shard holds at most ``shard_tokens`` tokens and a document,
 the unit of memory of both passes.
 
 Null text: no ids but the end id. Repeated rows: each is written. Rows of equal ids are
-ordered by their text. Null ids come first. Empty table: no file, empty result.
+ordered by a hash of their text, so that one id may fill many partitions. Null ids come
+first. Empty table: no file, empty result. An id that ``bits`` cannot hold is an error;
+by default they are as many as the vocabulary needs. Further columns are not read. One
+text is the least unit of work: about 60 bytes of memory for each byte of the longest.
 """
 
 from __future__ import annotations
@@ -48,6 +54,8 @@ BLOCK_BITS = 1 << 18
 SHARD_TOKENS = 1 << 22
 #: Units that a worker's cache holds, and the ids that they may have together.
 CACHE_BITS = 21
+#: Units that go to the library as one text.
+JOINED = 512
 
 
 @functools.lru_cache(maxsize=4)
@@ -63,6 +71,43 @@ def encode_whole(texts: list[str], path: str) -> list[list[int]]:
     return [e.ids for e in load(path).encode_batch_fast(texts, add_special_tokens=False)]
 
 
+@functools.lru_cache(maxsize=4)
+def line_break(path: str) -> int:
+    """The id of a line break, where that is a token of its own between two words; else -1."""
+    (one, joined, left, right) = encode_whole(["\n", "a\n b", "a", " b"], path)
+    return one[0] if len(one) == 1 and joined == left + one + right else -1
+
+
+def encode_units(units: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all units one after the other, how many each has).
+
+    Units go to the library JOINED at a time; those that are or end with white space alone, and all
+    where the breaks do not come back as they went in, one by one.
+    """
+    sizes = np.zeros(len(units), np.int64)
+    mark = line_break(path)
+    plain = [i for i, u in enumerate(units) if mark >= 0 and u and not textkit._SPACE[u[-1]] and b"\n" not in u]
+    alone = np.ones(len(units), bool)
+    texts = [b"\n".join([units[i] for i in plain[k : k + JOINED]]).decode("utf-8", "replace") for k in range(0, len(plain), JOINED)]
+    got: list[np.ndarray] = [np.zeros(0, np.uint32)]
+    for k, found in enumerate(encode_whole(texts, path) if texts else []):
+        flat = np.array(found, np.uint32)
+        at = np.flatnonzero(flat == mark)
+        some = plain[k * JOINED : (k + 1) * JOINED]
+        if len(at) == len(some) - 1:
+            alone[some] = False
+            sizes[some] = np.diff(at, prepend=-1, append=len(flat)) - 1
+            got.append(flat[flat != mark])
+    rest = np.flatnonzero(alone)
+    found = encode_whole([units[i].decode("utf-8", "replace") for i in rest.tolist()], path) if len(rest) else []
+    sizes[rest] = [len(x) for x in found]
+    out = np.zeros(int(sizes.sum()), np.uint32)
+    single = np.repeat(alone, sizes)
+    out[~single] = np.concatenate(got)
+    out[single] = np.fromiter((i for one in found for i in one), np.uint32, int(sizes[rest].sum()))
+    return out, sizes
+
+
 @functools.lru_cache(maxsize=4)
 def _specials(path: str) -> tuple[bytes, ...]:
     return tuple(t.content.encode() for t in load(path).get_added_tokens_decoder().values())
@@ -88,9 +133,7 @@ class UnitCache:
         if len(miss):
             new, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
             where = miss[first]
-            found = encode_whole([texts.cut(a, b).decode("utf-8", "replace") for a, b in zip(start[where].tolist(), end[where].tolist())], self.path)
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for one in found for i in one), np.uint32, int(sizes.sum()))
+            flat, sizes = encode_units([texts.cut(a, b) for a, b in zip(start[where].tolist(), end[where].tolist())], self.path)
             self._room(len(new), len(flat))
             self.begin[self.units : self.units + len(new)] = self.ids + np.cumsum(sizes) - sizes
             self.length[self.units : self.units + len(new)] = sizes
@@ -143,10 +186,7 @@ def encode_slice(texts: textkit.Texts, path: str, end_id: int) -> tuple[np.ndarr
     """(ids of all texts one after the other, each with the end id; how many each has)."""
     cache = _caches.setdefault(path, UnitCache(path))
     odd = _odd(texts, path)
-    begin = texts.data == 0x20
-    nonempty = texts.offsets[:-1][np.diff(texts.offsets) > 0]
-    begin[nonempty] = True
-    start = np.flatnonzero(begin)
+    start = textkit.unit_starts(texts, texts.data == 0x20)
     end = np.append(start[1:], len(texts.data)).astype(np.int64)
     doc = np.searchsorted(texts.offsets, start, "right") - 1
     use = ~odd[doc]
@@ -175,6 +215,8 @@ def encode_slice(texts: textkit.Texts, path: str, end_id: int) -> tuple[np.ndarr
 def build(ids: np.ndarray, counts: np.ndarray, doc_ids: pa.Array, bits: int) -> bytes:
     """The bytes of a shard file."""
     squeeze = zstandard.ZstdCompressor(level=1)
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} does not fit in {bits} bits")
     x = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     n = len(x)
     blocks = -(-n // BLOCK_BITS) if n else 0
@@ -318,13 +360,14 @@ def write_shards(
     id_col: str = "doc_id",
     text_col: str = "text",
     end_id: int = 0,
-    bits: int = 16,
+    bits: int | None = None,
     shard_tokens: int = SHARD_TOKENS,
 ) -> DataFrame:
     """Write all shards below ``folder`` (a URI that all executors reach) in ascending id order.
 
     Lazy: the files exist once the manifest (order, path, n_tokens, n_docs) is evaluated.
     """
+    wide = bits or max(1, max(load(tokenizer_path).get_vocab_size() - 1, end_id).bit_length())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = pyarrow.fs.FileSystem.from_uri(folder)
@@ -338,7 +381,7 @@ def write_shards(
         def close() -> pa.RecordBatch:
             nonlocal ids, counts, docs_, held, number
             n = np.concatenate(counts)
-            raw = build(np.concatenate(ids), n, pa.concat_arrays(docs_), bits)
+            raw = build(np.concatenate(ids), n, pa.concat_arrays(docs_), wide)
             path = f"{base}/part-{part:06d}-{number:06d}.wave"
             temporary = f"{path}.{uuid.uuid4().hex}"
             with files.open_output_stream(temporary) as out:
@@ -360,7 +403,9 @@ def write_shards(
         if counts:
             yield close()
 
-    ordered = docs.select(id_col, text_col).repartitionByRange(id_col).sortWithinPartitions(id_col, text_col)
+    keys = ["_id", "_hash", "_row"]
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_hash"), F.monotonically_increasing_id().alias("_row"))
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("_id", "_text")
     return ordered.mapInArrow(write, "order long, path string, n_tokens long, n_docs long")
 
 
@@ -393,7 +438,7 @@ def token_output(
     id_col: str = "doc_id",
     text_col: str = "text",
     end_id: int = 0,
-    bits: int = 16,
+    bits: int | None = None,
     shard_tokens: int = SHARD_TOKENS,
     folder: str | None = None,
 ) -> DataFrame:
@@ -401,7 +446,7 @@ def token_output(
     ws = Workspace(docs.sparkSession, "tokens")
     folder = folder or ws.path("shards")
     manifest = ws.save(write_shards(docs, tokenizer_path, folder, id_col, text_col, end_id, bits, shard_tokens), "manifest")
-    placed = sharding.prefix_sums(manifest, "order", ["n_tokens"], [], 64).withColumnRenamed("before_n_tokens", "start")
+    placed = sharding.prefix_sums(manifest, "order", ["n_tokens"], 64).withColumnRenamed("before_n_tokens", "start")
     files = max(1, manifest.count())
     spread = ws.save(placed.select("order", "path", "start"), "placed").repartitionByRange(files, "order")
     return read_shards(spread, folder, docs.schema[id_col].dataType.simpleString(), id_col)
