@@ -1,22 +1,30 @@
 """Byte-level BPE encoding and decoding over overlapping chunks.
 
-A text of up to ``chunk_chars`` characters is one chunk. A longer one is cut into
-chunks that overlap by ``overlap_chars``; the chunks are dealt out and pre-tokenised
-in parallel, each from its own first character. A chunk's pre-tokens are right from
-the first boundary that it shares with its (right) predecessor, since the pattern
-looks only ahead: two scans that meet at a position stay together. Neighbours are
-stitched at such a boundary in their overlap, and the pieces between stitches are
-encoded, again in parallel. Where an overlap holds no common boundary (one run of
-letters longer than the overlap), the two chunks are joined and scanned as one.
-Decoding concatenates the raw bytes of the ids.
-
-Null text: encoded as empty (no ids). Repeated rows: each is encoded on its own.
-Empty table: empty result. Further columns of the input are not read.
+Every text is cut into chunks of ``chunk_chars`` characters that overlap by
+``overlap_chars``; a text that fits is one chunk. Chunks are pre-tokenised in parallel,
+each from its own first character. A chunk's pre-tokens are right from the first
+boundary that it shares with its (right) predecessor, since the pattern looks only
+ahead: two scans that meet at a position stay together. Neighbours are stitched at such
+a boundary in their overlap, and the pieces between stitches are encoded, again in
+parallel. Where an overlap holds no common boundary (one run of letters longer than the
+overlap), the predecessor's scan goes on from its last sure boundary into the next
+chunks until the scans meet; only what lies between is one piece. A text of one chunk
+is stitched to nothing and so is its own piece, encoded where it is read. Decoding
+concatenates the raw bytes of the ids.
+
+The texts are read twice: once for the chunks of the texts of several chunks, which
+become a table, once for the others. A row's text, its boundaries and its ids must fit
+in one task, like the row itself.
+
+Null text: encoded as empty (no ids). Repeated rows: each is encoded on its own. Null
+ids are ids like others. Empty table: empty result. Further columns of the input are
+not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
 from collections.abc import Iterator
 
@@ -27,9 +35,15 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.store import Workspace
+
 #: Characters of a chunk, and those that it shares with the next.
-CHUNK_CHARS = 1 << 16
-OVERLAP_CHARS = 1 << 10
+CHUNK_CHARS = 1 << 13
+OVERLAP_CHARS = 1 << 9
+#: Characters that may follow a pre-token and still decide where it ends.
+MARGIN = 3
+#: Pieces that go to one row of the encoding step.
+TOGETHER = 8
 
 
 @functools.lru_cache(maxsize=4)
@@ -60,12 +74,12 @@ def decode_ids(ids: np.ndarray, ranks_path: str, pattern: str) -> bytes:
 def boundaries(text: str, pattern: str, trusted_end: bool) -> list[int]:
     """Ends of the pre-tokens of a chunk.
 
-    Unless the chunk ends its text, a pre-token that touches the chunk's end is left
-    out: more text might change it.
+    Unless the chunk ends its text, the pre-tokens within MARGIN of its end are left out:
+    more text might change them, as the letters do that make a sign an apostrophe's ending.
     """
     ends = [m.end() for m in regex.finditer(pattern, text)]
     if not trusted_end:
-        while ends and ends[-1] >= len(text):
+        while ends and ends[-1] > len(text) - MARGIN:
             ends.pop()
     return ends
 
@@ -76,32 +90,53 @@ def chunk_starts(n: int, chunk: int, overlap: int) -> list[int]:
     return list(range(0, max(n - overlap, 1), step))
 
 
-def stitch(ends: list[list[int]], starts: list[int], n: int, chunk: int) -> list[int]:
-    """Where the chunks' pieces begin, plus ``n``; -1 where a chunk joins its predecessor.
+def stitch(ends: list[list[int]], starts: list[int], text: str, pattern: str, chunk: int) -> list[int]:
+    """Where the pieces begin, plus the text's length.
 
-    ``ends[i]`` are boundaries in the text's own positions. A chunk's start counts as a
-    boundary of its own scan.
+    ``ends[i]`` are the boundaries of chunk i's scan, as positions in the text; a chunk's
+    start counts as one of its own scan.
     """
-    cuts = [0]
-    trusted = ends[0]
+    n, cuts, last = len(text), [0], 0  # the scan of chunk ``last`` is right from the last cut on
     for i in range(1, len(starts)):
-        low, high = starts[i], min(starts[i - 1] + chunk, n)
-        own = {e for e in ends[i] if e <= high} | {low}
-        common = [e for e in trusted if low <= e <= high and e in own] if trusted is not None else []
-        if common:
-            cuts.append(common[0])
-            trusted = ends[i]
-        else:  # the next chunk's scan is not known to be right until its texts are joined
-            cuts.append(-1)
-            trusted = None
-    return [*cuts, n]
+        if i <= last:
+            continue
+        at = _meet(text, ends[last], ends[i], max(starts[i], cuts[-1]), starts[i])
+        if at is None:
+            at, i = _run_on(ends, starts, text, pattern, chunk, last, cuts[-1])
+        last = i
+        if at is not None and at > cuts[-1]:
+            cuts.append(at)
+    return [*cuts, n] if cuts[-1] < n or n == 0 else cuts
+
 
+def _meet(text: str, known: list[int], other: list[int], low: int, start: int) -> int | None:
+    """The first boundary from ``low`` on that both scans have; ``other`` begins at ``start``.
+
+    A piece must not end with white space: alone, it would hide what follows the run.
+    """
+    found = set(other)
+    found.add(start)
+    return next((e for e in known[bisect.bisect_left(known, low) :] if e in found and not text[e - 1].isspace()), None)
 
-def _pieces(text: str, cuts: list[int]) -> Iterator[tuple[int, str]]:
-    """(number, text) of the pieces; a -1 runs on."""
-    known = [c for c in cuts if c >= 0]
-    for k, (a, b) in enumerate(zip(known, known[1:])):
-        yield k, text[a:b]
+
+def _run_on(ends: list[list[int]], starts: list[int], text: str, pattern: str, chunk: int, last: int, low: int) -> tuple[int | None, int]:
+    """(where the right scan, carried on past chunk ``last``, meets that of a later chunk; that chunk).
+
+    The scan goes over twice as many chunks each time, so its work is linear in the gap.
+    """
+    known = [e for e in ends[last] if e >= low]
+    sure, step = (known[-1] if known else low), 1
+    while True:
+        reach = min(last + step, len(starts) - 1)
+        stop = min(starts[reach] + chunk, len(text))
+        scan = [sure + e for e in boundaries(text[sure:stop], pattern, stop == len(text))]
+        for i in range(last + 1, reach + 1):
+            at = _meet(text, scan, ends[i], starts[i], starts[i])
+            if at is not None:
+                return at, i
+        if reach == len(starts) - 1:
+            return None, reach
+        step *= 2
 
 
 def byte_bpe(
@@ -115,116 +150,74 @@ def byte_bpe(
 ) -> DataFrame:
     """Encode every text: (id, ids binary of little-endian uint32, decoded binary).
 
-    ``chunk_chars`` must exceed twice ``overlap_chars``. Rows keep their number and
-    order of columns; the ids and decoded bytes of a null text are empty.
+    ``chunk_chars`` must exceed twice ``overlap_chars``. The ids and decoded bytes of a
+    null text are empty.
     """
     if chunk_chars <= 2 * overlap_chars:
         raise ValueError("chunk_chars must exceed twice overlap_chars")
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, ids binary, decoded binary"
-    key = pa.field("ids", pa.binary())
+    kept = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    several = F.coalesce(F.length("text"), F.lit(0)) > chunk_chars
 
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coded(texts: list[str]) -> list[pa.Array]:
+        ids = [encode_text(t, ranks_path, pattern) for t in texts]
+        return [pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([decode_ids(x, ranks_path, pattern) for x in ids], pa.binary())]
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [encode_text(t or "", ranks_path, pattern) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([x.astype("<u4").tobytes() for x in ids], key.type),
-                        pa.array([decode_ids(x, ranks_path, pattern) for x in ids], key.type),
-                    ],
-                    names=[id_col, "ids", "decoded"],
-                )
+                yield pa.RecordBatch.from_arrays([part.column(0), *coded([t or "" for t in part.column(1).to_pylist()])], names=["id", "ids", "decoded"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pre-token boundaries of each chunk, as positions in the whole text."""
         for batch in batches:
-            out = []
-            for text, start, last in zip(*(batch.column(c).to_pylist() for c in ("chunk", "start", "last"))):
-                out.append([start + e for e in boundaries(text, pattern, last)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row_key"), batch.column("start"), pa.array(out, pa.list_(pa.int32()))],
-                names=["row_key", "start", "ends"],
-            )
+            out = [[start + e for e in boundaries(text, pattern, last)] for text, start, last in zip(*(batch.column(c).to_pylist() for c in ("chunk", "start", "last")))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("start"), pa.array(out, pa.list_(pa.int32()))], names=["row", "start", "ends"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The pieces between stitches."""
+        """The pieces between stitches, some of them together where they follow one another."""
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("row_key", "text", "scans")}
-                scans = sorted(row["scans"], key=lambda s: s["start"])
-                starts = [s["start"] for s in scans]
-                cuts = stitch([s["ends"] or [] for s in scans], starts, len(row["text"]), chunk_chars)
-                pieces = list(_pieces(row["text"], cuts))
+                row, text, scans = (batch.column(c)[i].as_py() for c in ("row", "text", "scans"))
+                scans.sort(key=lambda s: s["start"])
+                cuts = stitch([s["ends"] or [] for s in scans], [s["start"] for s in scans], text, pattern, chunk_chars)
+                pieces = [text[a:b] for a, b in zip(cuts, cuts[1:])]
+                groups = [pieces[k : k + TOGETHER] for k in range(0, len(pieces), TOGETHER)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["row_key"]] * len(pieces), pa.string()), pa.array([k for k, _ in pieces], pa.int32()), pa.array([p for _, p in pieces], pa.string())],
-                    names=["row_key", "k", "piece"],
+                    [pa.array([row] * len(groups), pa.int64()), pa.array(range(len(groups)), pa.int32()), pa.array(groups, pa.list_(pa.string()))], names=["row", "k", "pieces"]
                 )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [encode_text(t, ranks_path, pattern) for t in batch.column("piece").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("row_key"),
-                    batch.column("k"),
-                    pa.array([x.astype("<u4").tobytes() for x in ids], key.type),
-                    pa.array([decode_ids(x, ranks_path, pattern) for x in ids], key.type),
-                ],
-                names=["row_key", "k", "ids", "decoded"],
-            )
-
-    rows = docs.select(F.col(id_col), F.col(text_col))
-    is_long = F.coalesce(F.length(text_col), F.lit(0)) > chunk_chars
-    direct = rows.filter(~is_long).mapInArrow(short, schema)
-
-    step = chunk_chars - overlap_chars
-    # Copies of a row are encoded once and given back by their number.
-    long = (
-        rows.filter(is_long)
-        .groupBy(id_col, text_col)
-        .agg(F.count(F.lit(1)).alias("copies"))
-        .withColumn("row_key", F.sha2(F.concat_ws("\x00", F.coalesce(F.col(id_col).cast("string"), F.lit("\x01")), F.col(text_col)), 256))
-    )
-    starts = F.sequence(F.lit(0), F.length(text_col) - F.lit(overlap_chars + 1), F.lit(step))
-    chunks = long.select("row_key", text_col, F.explode(starts).alias("start")).select(
-        "row_key",
-        "start",
-        F.expr(f"substring(`{text_col}`, start + 1, {chunk_chars})").alias("chunk"),
-        (F.col("start") + chunk_chars >= F.length(text_col)).alias("last"),
-    )
-    scans = chunks.repartition("row_key", "start").mapInArrow(scan, "row_key string, start int, ends array<int>")
-    gathered = scans.groupBy("row_key").agg(F.collect_list(F.struct("start", "ends")).alias("scans"))
-    pieces = (
-        long.select("row_key", F.col(text_col).alias("text"))
-        .join(gathered, "row_key")
-        .mapInArrow(cut, "row_key string, k int, piece string")
-        .repartition("row_key", "k")
-        .mapInArrow(encode, "row_key string, k int, ids binary, decoded binary")
-    )
-    joined = (
-        pieces.groupBy("row_key")
-        .agg(F.sort_array(F.collect_list(F.struct("k", "ids", "decoded"))).alias("parts"))
-        .select(
-            "row_key",
-            F.expr("unhex(array_join(transform(parts, p -> hex(p.ids)), ''))").alias("ids"),
-            F.expr("unhex(array_join(transform(parts, p -> hex(p.decoded)), ''))").alias("decoded"),
-        )
+            for i in range(batch.num_rows):
+                part = batch.slice(i, 1)
+                done = [pa.array([b"".join(x.to_pylist())], pa.binary()) for x in coded(part.column("pieces")[0].as_py())]
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("k"), *done], names=["row", "k", "ids", "decoded"])
+
+    ws = Workspace(docs.sparkSession, "byte-bpe")
+    long = ws.save(rows.filter(several).withColumn("row", F.monotonically_increasing_id()), "long")
+    starts = F.sequence(F.lit(0), F.length("text") - F.lit(overlap_chars + 1), F.lit(chunk_chars - overlap_chars))
+    chunks = long.select("row", "text", F.explode(starts).alias("start")).select(
+        "row", "start", F.expr(f"substring(text, start + 1, {chunk_chars})").alias("chunk"), (F.col("start") + chunk_chars >= F.length("text")).alias("last")
     )
-    whole = (
-        long.select("row_key", id_col, "copies")
-        .join(joined, "row_key")
-        .withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .select(id_col, "ids", "decoded")
+    scans = chunks.repartition("row", "start").mapInArrow(scan, "row long, start int, ends array<int>")
+    gathered = scans.groupBy("row").agg(F.collect_list(F.struct("start", "ends")).alias("scans"))
+    pieces = long.select("row", "text").join(gathered, "row").mapInArrow(cut, "row long, k int, pieces array<string>")
+    parts = pieces.repartition("row", "k").mapInArrow(encode, "row long, k int, ids binary, decoded binary")
+    joined = parts.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "ids", "decoded"))).alias("parts")).select(
+        "row",
+        F.expr("unhex(array_join(transform(parts, p -> hex(p.ids)), ''))").alias("ids"),
+        F.expr("unhex(array_join(transform(parts, p -> hex(p.decoded)), ''))").alias("decoded"),
     )
-    return direct.unionByName(whole)
+    stitched = long.select("row", "id").join(joined, "row").select("id", "ids", "decoded")
+    return rows.filter(~several).mapInArrow(single, f"id {kept}, ids binary, decoded binary").unionByName(stitched).withColumnRenamed("id", id_col)
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of ``byte_bpe`` rows, by built-in functions."""
     return encoded.select(
-        id_col,
+        F.col(f"`{id_col}`"),
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
