@@ -258,7 +258,7 @@ def lm_scores(
                 h = low.hash(w.start, w.end)
                 at = table.get(h)
                 hit = at >= 0
-                add = lambda x: np.bincount(w.doc[hit], weights=x[at[hit]], minlength=len(texts))
+                add = lambda x: np.bincount(w.doc[hit], weights=x[at[hit]], minlength=len(texts)).astype(float)
                 hr, dr = h[~hit], w.doc[~hit]
                 order = np.lexsort((hr, dr))
                 hr, dr = hr[order], dr[order]
