@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from docloom.llm import textkit
 from docloom.llm.textkit import U64, mix
@@ -111,6 +112,7 @@ def base_counts(texts: textkit.Texts) -> dict[str, np.ndarray]:
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+VERDICT = (*COUNTS, "base_failed", "kept", "ratio", "bad_share", "reason")
 
 
 def quality_rules(
@@ -124,8 +126,12 @@ def quality_rules(
 ) -> DataFrame:
     """(id, base counts, base_failed, kept, ratio, bad_share, reason) of every row.
 
-    With ``keep_text`` the whole row is passed on beside its verdict instead of its id.
+    With ``keep_text`` the whole row is passed on beside its verdict instead of its id; its
+    own columns with the name of one of these are then called ``_own_<name>``.
     """
+    clash = [c for c in VERDICT if c in docs.columns and (keep_text or c in (id_col, text_col))]
+    docs = docs.withColumnsRenamed({c: f"_own_{c}" for c in clash})
+    id_col, text_col = (f"_own_{c}" if c in clash else c for c in (id_col, text_col))
     carried = docs if keep_text else docs.select(id_col, text_col)
     names = carried.columns
     passed = [i for i, c in enumerate(names) if keep_text or c == id_col]
@@ -161,7 +167,5 @@ def quality_rules(
 
 def quality_filter(docs: DataFrame, **settings) -> DataFrame:
     """The rows that the rules keep, with their own columns only."""
-    clash = [c for c in (*COUNTS, "base_failed", "kept", "ratio", "bad_share", "reason") if c in docs.columns]
-    renamed = docs.withColumnsRenamed({c: f"_own_{c}" for c in clash})
-    judged = quality_rules(renamed, keep_text=True, **settings).filter("kept").select(*renamed.columns)
-    return judged.withColumnsRenamed({f"_own_{c}": c for c in clash})
+    judged = quality_rules(docs, keep_text=True, **settings).filter("kept")
+    return judged.select(*[F.col(f"`_own_{c}`" if c in VERDICT else f"`{c}`").alias(c) for c in docs.columns])
