@@ -1,38 +1,52 @@
 """Token counts by a map-side two-tier lookup.
 
-Text is cut at ASCII white space; no pre-token of the supported tokenizers crosses
-it, so a text's count is the sum over its white-space pieces. The first tier is a
-compact hash table (64-bit hash to length) of the most frequent pieces, broadcast
-once; the second is a table that each worker fills by encoding what it misses.
-No piece is ever shuffled: what the first pass sends is one bounded summary a task.
-
-The frequent pieces come from all documents: each task keeps a frequency summary of
-at most ``capacity`` pieces (counts of evicted pieces are carried as the summary's
-error, as in Misra and Gries), and the summaries are merged by adding counts. The
-table changes the speed only, never a count.
-
-Null text: no bytes, no tokens. Repeated rows: each is counted. Empty table: empty
-result. Further columns of the input are not read.
+A text's count is the sum over its units: places at which its tokenizer's pre-tokens
+split for certain (between letters, digits, signs and white space; a run with an
+apostrophe or a character of unknown kind is one unit). The first tier is a compact
+hash table (64-bit hash to length) of the most frequent units, broadcast once; the
+second is a table that each worker fills by encoding what it misses. No pre-token is
+ever shuffled: each task sends one bounded summary as one row.
+
+The frequent units come from all documents: each task keeps a frequency summary of at
+most ``capacity`` units (counts of evicted ones are carried as the summary's error, as
+in Misra and Gries); summaries are merged in a tree of two levels, each merge as bounded
+as its parts, and the driver gets one of them, whatever the number of tasks. The table
+changes the speed only, never a count.
+
+Which units hold is read from the tokenizer's file: for byte-level BPE and for patterns
+that drop white space there are two tiers; sentencepiece and any other kind of file are
+encoded text by text. So are texts that hold a special string, and in byte-level files
+texts with white space side by side or outside ASCII.
+
+Null text: no bytes, no tokens. Repeated rows: each is counted. Ties of frequency: the
+smaller hash. Empty table: empty result. Further columns of the input are not read,
+whatever their names. One text is the least unit of work: about 60 bytes of memory for
+each byte of the longest.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import functions as F
 
-from docloom.llm import textkit
+from docloom.llm import textkit, token_output
 from docloom.llm.textkit import HashTable
 
-#: Entries of the broadcast table: 16 bytes each, so 2 MB at most.
-FREQUENT = 1 << 16
-#: Pieces that a task's summary holds.
+#: Entries of the broadcast table: 16 bytes each.
+FREQUENT = 1 << 14
+#: Units that a summary holds.
 CAPACITY = 1 << 14
+#: Summaries of the first level of merging.
+MERGES = 64
 #: A worker's table has 2**22 slots, 64 MB, and is cleared when half full.
 CACHE_BITS = 22
 
@@ -61,19 +75,47 @@ def lengths(texts: list[str], path: str) -> np.ndarray:
     return np.fromiter(map(len, encoded), np.int64, len(texts))
 
 
-@functools.lru_cache(maxsize=4)
-def splits_at_space(path: str) -> bool:
-    """Whether counts add up over white-space pieces.
+#: What a file may say for its units to add up.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_KEEPS_UNITS = ("NFC", "Lowercase", "Replace")
+
 
-    True for pre-tokenizers that drop white space between pieces. Others (byte-level
-    ones that glue a space to the next word, sentencepiece) are encoded whole.
-    """
+@functools.lru_cache(maxsize=4)
+def kind(path: str) -> tuple[str, bool]:
+    """("words", "bytes" or "whole", whether A-Z fold): how a file's texts fall into units."""
     if path.endswith(".model"):
-        return False
-    probes = ["a b", "a  b", "a\n\tb c", " a ", "it 's don't x1 2y", "é ü\r\nß!? ..", "a\x0b\x0cb"]
-    whole = lengths(probes, path)
-    parts = [sum(lengths(p.split(), path)) for p in probes]
-    return whole.tolist() == parts
+        return "whole", False
+    with open(path, encoding="utf-8") as file:
+        said = json.load(file)
+    parts = lambda x, inner: [] if x is None else x[inner] if x["type"] == "Sequence" else [x]
+    norms, pres = parts(said.get("normalizer"), "normalizers"), parts(said.get("pre_tokenizer"), "pretokenizers")
+    if not norms and len(pres) == 1 and pres[0]["type"] == "ByteLevel" and pres[0].get("use_regex", True) and not pres[0]["add_prefix_space"]:
+        return "bytes", False
+    spaces = all(n["pattern"].get("Regex") == r"\s+" and n["content"] == " " for n in norms if n["type"] == "Replace")
+    cut = pres and pres[0]["type"] == "Split" and pres[0]["pattern"].get("Regex") == _PATTERN and pres[0]["behavior"] == "Removed" and pres[0]["invert"]
+    rest = all(p["type"] == "ByteLevel" and not p.get("use_regex", True) and not p["add_prefix_space"] for p in pres[1:])
+    if cut and rest and spaces and all(n["type"] in _KEEPS_UNITS for n in norms):
+        return "words", any(n["type"] == "Lowercase" for n in norms)
+    return "whole", False
+
+
+def units(texts: textkit.Texts, path: str) -> tuple[textkit.Texts, np.ndarray, np.ndarray, np.ndarray]:
+    """(texts as they are hashed, first bytes, ends, text of each unit)."""
+    how, folds = kind(path)
+    if folds:
+        texts = texts.lower()
+    if how == "bytes":
+        start = textkit.unit_starts(texts, texts.data == 0x20)
+        end = np.append(start[1:], len(texts.data)).astype(np.int64)
+        return texts, start, end, np.searchsorted(texts.offsets, start, "right") - 1
+    blank = textkit._SPACE[texts.data]
+    outer = np.zeros(len(blank), bool)
+    outer[1:] = blank[1:] != blank[:-1]
+    start = textkit.unit_starts(texts, outer)
+    end = np.append(start[1:], len(texts.data)).astype(np.int64)
+    solid = ~blank[start]
+    start, end = start[solid], end[solid]
+    return texts, start, end, np.searchsorted(texts.offsets, start, "right") - 1
 
 
 _caches: dict[str, HashTable] = {}
@@ -87,8 +129,11 @@ def _cache(path: str) -> HashTable:
 
 def count_slice(texts: textkit.Texts, path: str, frequent: HashTable | None) -> np.ndarray:
     """Token counts of a run of texts through the two tiers."""
-    w = textkit.words(texts)
-    h = texts.hash(w.start, w.end)
+    odd = _odd(texts, path)
+    low, start, end, doc = units(texts, path)
+    use = ~odd[doc]
+    start, end, doc = start[use], end[use], doc[use]
+    h = low.hash(start, end)
     n = frequent.get(h) if frequent is not None else np.full(len(h), -1, np.int64)
     miss = np.flatnonzero(n < 0)
     if len(miss):
@@ -100,50 +145,89 @@ def count_slice(texts: textkit.Texts, path: str, frequent: HashTable | None) ->
     if len(miss):
         new, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
         at = miss[first]
-        got = lengths([texts.cut(a, b).decode("utf-8", "replace") for a, b in zip(w.start[at].tolist(), w.end[at].tolist())], path)
+        got = lengths([low.cut(a, b).decode("utf-8", "replace") for a, b in zip(start[at].tolist(), end[at].tolist())], path)
         n[miss] = got[back]
         room = len(cache.keys) // 4
         cache.put(new[:room], got[:room])  # what finds no room is encoded again when it comes again
-    total = np.concatenate(([0], np.cumsum(n)))
-    return total[w.first[1:]] - total[w.first[:-1]]
-
-
-def summary(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
-    """One task's frequent pieces: (piece, hash, count)."""
-    keys, counts, names = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
-    for batch in batches:
-        for _, texts in textkit.slices(batch.column(0)):
-            w = textkit.words(texts)
-            new, first, n = np.unique(texts.hash(w.start, w.end), return_index=True, return_counts=True)
-            if len(new) > capacity:  # the rest of a slice is below its capacity-th count
-                keep = np.argpartition(-n, capacity)[:capacity]
-                new, first, n = new[keep], first[keep], n[keep]
-            old = np.isin(new, keys)
-            order = np.argsort(keys)
-            np.add.at(counts, order[np.searchsorted(keys, new[old], sorter=order)], n[old])
-            add = np.empty((~old).sum(), object)
-            add[:] = [texts.cut(a, b) for a, b in zip(w.start[first[~old]].tolist(), w.end[first[~old]].tolist())]
-            keys, counts, names = np.append(keys, new[~old]), np.append(counts, n[~old]), np.append(names, add)
-            if len(keys) > capacity:
-                cut = np.partition(counts, -capacity)[-capacity - 1]
-                keep = counts > cut
-                keys, counts, names = keys[keep], counts[keep] - cut, names[keep]
-    yield pa.RecordBatch.from_arrays([pa.array([x.decode("utf-8", "replace") for x in names], pa.string()), pa.array(keys.view(np.int64)), pa.array(counts)], names=["piece", "h", "n"])
+    total = np.bincount(doc, weights=n, minlength=len(texts)).astype(np.int64)
+    whole = np.flatnonzero(odd)
+    if len(whole):
+        total[whole] = lengths([texts.cut(int(texts.offsets[i]), int(texts.offsets[i + 1])).decode("utf-8", "replace") for i in whole], path)
+    return total
+
+
+class Summary:
+    """The most frequent units of what it has seen: hashes, counts and bytes of at most ``capacity``."""
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.keys, self.counts, self.names = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
+
+    def add(self, keys: np.ndarray, counts: np.ndarray, name) -> None:
+        """Add distinct units; ``name(places)`` gives their bytes, for those that are new."""
+        if len(keys) > self.capacity:  # the rest is below its capacity-th count
+            keep = np.argpartition(-counts, self.capacity)[: self.capacity]
+            keys, counts = keys[keep], counts[keep]
+        else:
+            keep = np.arange(len(keys))
+        order = np.argsort(self.keys)
+        place = np.searchsorted(self.keys, keys, sorter=order)
+        old = np.zeros(len(keys), bool)
+        inside = place < len(order)
+        old[inside] = self.keys[order[place[inside]]] == keys[inside]
+        self.counts[order[place[old]]] += counts[old]
+        names = np.empty(int((~old).sum()), object)
+        names[:] = name(keep[~old])
+        self.keys, self.counts, self.names = np.append(self.keys, keys[~old]), np.append(self.counts, counts[~old]), np.append(self.names, names)
+        if len(self.keys) > self.capacity:
+            cut = np.partition(self.counts, -self.capacity)[-self.capacity - 1]
+            keep = self.counts > cut
+            self.keys, self.counts, self.names = self.keys[keep], self.counts[keep] - cut, self.names[keep]
+
+    def row(self, bucket: int) -> pa.RecordBatch:
+        sizes = np.fromiter(map(len, self.names), np.int64, len(self.names))
+        packed = [self.keys.tobytes(), self.counts.tobytes(), sizes.tobytes(), b"".join(self.names)]
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *[pa.array([x], pa.binary()) for x in packed]], names=["bucket", "keys", "counts", "sizes", "names"])
+
+
+_SUMMARY = "bucket int, keys binary, counts binary, sizes binary, names binary"
+
+
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    ends = np.cumsum(np.frombuffer(row["sizes"], np.int64)).tolist()
+    names = [row["names"][a:b] for a, b in zip([0, *ends], ends)]
+    return np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["counts"], np.int64), names
 
 
 def frequent_table(docs: DataFrame, path: str, text_col: str, size: int, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, token counts) of at most ``size`` frequent pieces of all texts."""
-    found = (
-        docs.select(text_col)
-        .mapInArrow(lambda it: summary(it, capacity), "piece string, h long, n long")
-        .groupBy("h")
-        .agg(F.sum("n").alias("n"), F.min("piece").alias("piece"))
-        .orderBy(F.desc("n"), "h")
-        .limit(size)
-        .toPandas()
-    )
-    pieces = found["piece"].tolist()
-    return found["h"].to_numpy(np.int64).view(np.uint64), lengths(pieces, path) if pieces else np.zeros(0, np.int64)
+    """(hashes, token counts) of at most ``size`` frequent units of all texts."""
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Summary(capacity)
+        for batch in batches:
+            for _, texts in textkit.slices(batch.column(0)):
+                low, start, end, _ = units(texts, path)
+                keys, first, n = np.unique(low.hash(start, end), return_index=True, return_counts=True)
+                own.add(keys, n, lambda at: [low.cut(a, b) for a, b in zip(start[first[at]].tolist(), end[first[at]].tolist())])
+        if len(own.keys):
+            yield own.row(TaskContext.get().partitionId() % MERGES)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Summary(capacity)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, counts, names = _unpacked(batch.slice(i, 1).to_pylist()[0])
+                own.add(keys, counts, lambda at: [names[i] for i in at.tolist()])
+        if len(own.keys):
+            yield own.row(0)
+
+    parts = docs.select(F.col(text_col)).mapInArrow(seen, _SUMMARY).repartition(MERGES, "bucket").mapInArrow(merge, _SUMMARY)
+    found = parts.coalesce(1).mapInArrow(merge, _SUMMARY).collect()
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    keys, counts, names = _unpacked(found[0].asDict())
+    top = np.lexsort((keys, -counts))[:size]
+    return keys[top], lengths([names[i].decode("utf-8", "replace") for i in top.tolist()], path)
 
 
 def token_counts(
@@ -156,44 +240,40 @@ def token_counts(
     capacity: int = CAPACITY,
 ) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every text."""
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean"
-    additive = splits_at_space(path)
-    sent = None
-    if additive:
-        sent = docs.sparkSession.sparkContext.broadcast(frequent_table(docs, path, text_col, frequent, capacity))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean"
+    tiers = kind(path)[0] != "whole"
+    sent = docs.sparkSession.sparkContext.broadcast(frequent_table(rows, path, "text", frequent, capacity)) if tiers else None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None
-        if additive:
+        if tiers:
             table = HashTable(max(4, (2 * len(sent.value[0]) + 1).bit_length()))
             table.put(*sent.value)
         for batch in batches:
             for row, texts in textkit.slices(batch.column(1)):
-                if additive:
+                if tiers:
                     n = count_slice(texts, path, table)
-                    _whole_where_special(texts, n, path)
                 else:
                     cuts = texts.offsets.tolist()
                     n = lengths([texts.cut(a, b).decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])], path)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(row, len(texts)), pa.array(np.diff(texts.offsets)), pa.array(n), pa.array(n > max_tokens)],
-                    names=[id_col, "n_bytes", "n_tokens", "over_limit"],
+                    names=["id", "n_bytes", "n_tokens", "over_limit"],
                 )
 
-    return docs.select(id_col, text_col).mapInArrow(count, schema)
-
-
-@functools.lru_cache(maxsize=4)
-def _spaced_specials(path: str) -> tuple[bytes, ...]:
-    """Added tokens that hold white space, or take in what is beside them."""
-    added = load(path).get_added_tokens_decoder().values()
-    return tuple(t.content.encode() for t in added if t.lstrip or t.rstrip or t.content.split() != [t.content])
-
-
-def _whole_where_special(texts: textkit.Texts, n: np.ndarray, path: str) -> None:
-    """Recount whole texts with a special token that reaches over white space."""
-    for special in _spaced_specials(path):
-        if special in texts.data.tobytes():
-            for i, (a, b) in enumerate(zip(texts.offsets.tolist(), texts.offsets[1:].tolist())):
-                if special in (text := texts.cut(a, b)):
-                    n[i] = lengths([text.decode("utf-8", "replace")], path)[0]
+    return rows.mapInArrow(count, schema).withColumnRenamed("id", id_col)
+
+
+def _odd(texts: textkit.Texts, path: str) -> np.ndarray:
+    """Texts that the library must see whole."""
+    if kind(path)[0] == "bytes":
+        return token_output._odd(texts, path)
+    out = np.zeros(len(texts), bool)
+    raw = texts.data.tobytes()
+    for special in token_output._specials(path):
+        at = raw.find(special)
+        while at >= 0:
+            out[np.searchsorted(texts.offsets, at, "right") - 1] = True
+            at = raw.find(special, at + 1)
+    return out
