@@ -52,7 +52,7 @@ def tokens(c: Column) -> Column:
 def title_case(c: Column) -> Column:
     """First letter of every run of letters upper case, the others lower."""
     parts = F.regexp_extract_all(c, F.lit(r"(\p{L}+|\P{L}+)"), 1)
-    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1 << 20)))), "")
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, F.lit(2), F.length(p))))), "")
 
 
 def let(value: Column, body) -> Column:

@@ -112,18 +112,56 @@ def slice_breakdown(slices: DataFrame, fields: DataFrame, summaries: DataFrame,
     for d in tagged:
         out = out.join(d, "fixture", "left")
     out = out.filter(F.coalesce("_f", "_s", "_r").isNotNull())
+    for c in ("grounding_score", "extraction_time_ms", "summarisation_time_ms"):
+        if c not in out.columns:
+            out = out.withColumn(c, F.lit(None).cast("double"))
     mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4)
     return out.groupBy("slice_name", "slice_value").agg(
         F.count(F.lit(1)).alias("fixture_count"), mean("precision").alias("avg_precision"), mean("recall").alias("avg_recall"), mean("f1").alias("avg_f1"),
-        mean("factual_coverage").alias("avg_factual_coverage"), mean("query_ranked_avg_relevance").alias("avg_retrieval_relevance"), mean("relevance_lift").alias("avg_retrieval_lift"),
+        mean("factual_coverage").alias("avg_factual_coverage"), mean("grounding_score").alias("avg_grounding_score"),
+        mean("extraction_time_ms").alias("avg_extraction_time_ms"), mean("summarisation_time_ms").alias("avg_summarisation_time_ms"),
+        mean("query_ranked_avg_relevance").alias("avg_retrieval_relevance"), mean("relevance_lift").alias("avg_retrieval_lift"),
         F.coalesce(F.sum("true_positives"), F.lit(0)).alias("total_true_positives"), F.coalesce(F.sum("false_positives"), F.lit(0)).alias("total_false_positives"), F.coalesce(F.sum("false_negatives"), F.lit(0)).alias("total_false_negatives"),
     )
 
 
+#: The slices that a breakdown may have; others are left out.
+SLICES = (
+    "by_document_type", "by_size_category", "by_file_format", "by_extraction_density", "by_section_richness", "by_content_style",
+    "by_parse_quality", "by_page_count_bucket", "by_text_cleanliness", "by_task_type", "by_model_prompt",
+)
+
+
 def bucket_slices(documents: DataFrame) -> DataFrame:
     """Run-time slices by page count: up to 1, 5, 20, more."""
     pages = F.col("page_count")
-    return documents.select(F.lit("by_page_count_bucket").alias("slice_name"), F.when(pages <= 1, "1").when(pages <= 5, "2-5").when(pages <= 20, "6-20").otherwise("21+").alias("slice_value"), F.col("document_id").alias("fixture"))
+    bucket = F.when(pages <= 1, "single_page").when(pages <= 5, "short_multi_page").when(pages <= 20, "medium_multi_page").otherwise("long_document")
+    return documents.select(F.lit("by_page_count_bucket").alias("slice_name"), bucket.alias("slice_value"), F.col("document_id").alias("fixture"))
+
+
+def runtime_slices(documents: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Slices that a run gives by itself: parse quality, page count, cleanliness of the text, task, model and prompt.
+
+    ``documents`` has document_id, page_count and may have quality, likely_needs_ocr,
+    likely_scanned; ``runs`` (fixture, model, prompt) are the summaries that were made.
+    """
+    has = lambda c, empty: F.coalesce(F.col(c), F.lit(empty)) if c in documents.columns else F.lit(empty)
+    quality = has("quality", "unknown")
+    clean = F.when((quality == "degraded") | has("likely_needs_ocr", False) | has("likely_scanned", False), "low_text_or_degraded").otherwise("clean_text")
+    fixture = F.col("document_id").alias("fixture")
+    row = lambda name, value: F.struct(F.lit(name).alias("slice_name"), value.alias("slice_value"))
+    three = F.array(row("by_parse_quality", quality), row("by_text_cleanliness", clean), row("by_task_type", F.lit("deterministic_extraction")))
+    out = documents.select(F.explode(three).alias("s"), fixture).select("s.*", "fixture").unionByName(bucket_slices(documents))
+    if runs is None:
+        return out
+    two = F.array(row("by_task_type", F.lit("ai_summary")), row("by_model_prompt", F.concat_ws(":", "model", "prompt")))
+    return out.unionByName(runs.select(F.explode(two).alias("s"), "fixture").select("s.*", "fixture"))
+
+
+def merge_slices(given: DataFrame, runtime: DataFrame) -> DataFrame:
+    """Both tables' slices; a slice that the run gives replaces the given one of that name. Unknown names go."""
+    rest = given.join(runtime.select("slice_name").distinct(), "slice_name", "left_anti")
+    return rest.unionByName(runtime).filter(F.col("slice_name").isin(*SLICES))
 
 
 def routing_accuracy(actual: DataFrame, expected: DataFrame) -> DataFrame:
@@ -147,6 +185,34 @@ def evidence_attachment(fields: DataFrame) -> DataFrame:
     return fields.agg(F.count(F.lit(1)).alias("total_fields_extracted"), F.count_if(F.col("evidence_id").isNotNull()).alias("total_fields_with_evidence"))
 
 
+def pipeline_metrics(timings: DataFrame, routed: DataFrame, expected: DataFrame, fields: DataFrame, failures: DataFrame) -> DataFrame:
+    """One row over a whole run: counts, stage times, routing, failures, attached evidence.
+
+    ``failures`` has the fixtures that could not be processed.
+    """
+    failed = failures.agg(F.count(F.lit(1)).alias("fixtures_failed"), F.sort_array(F.collect_list("fixture")).alias("failures"))
+    parts = [timing_metrics(timings), routing_accuracy(routed, expected), evidence_attachment(fields), failed]
+    out = parts[0].withColumn("_one", F.lit(1))
+    for part in parts[1:]:  # single rows side by side
+        out = out.join(part.withColumn("_one", F.lit(1)), "_one")
+    rate = lambda a, b: F.when(b > 0, F.round(a / b, 4)).otherwise(0.0)
+    total = F.col("fixtures_processed") + F.col("fixtures_failed")
+    return out.drop("_one").withColumns(
+        {"total_fixtures": total, "extraction_failure_rate": rate(F.col("fixtures_failed"), total), "evidence_attachment_rate": rate(F.col("total_fields_with_evidence"), F.col("total_fields_extracted"))}
+    )
+
+
+def scored_text(summaries: DataFrame) -> DataFrame:
+    """(document_id, summary_text): narrative, key points and grounded points in lines; empty parts go.
+
+    ``summaries`` has document_id, summary_text, key_points, and may have grounded_points.
+    """
+    none = F.expr("cast(array() as array<string>)")
+    lists = [F.coalesce(F.col(c), none) for c in ("key_points", "grounded_points") if c in summaries.columns]
+    parts = F.filter(F.concat(F.array("summary_text"), *lists), lambda x: F.coalesce(x, F.lit("")) != "")
+    return summaries.select("document_id", F.array_join(parts, "\n").alias("summary_text"))
+
+
 def compare_experiments(rows: DataFrame) -> DataFrame:
     """Best variant by coverage, by grounding, by speed, and overall; first of equals.
 
@@ -159,3 +225,11 @@ def compare_experiments(rows: DataFrame) -> DataFrame:
         F.min_by("label", F.struct("processing_time_ms", "position")).alias("fastest_variant"),
         F.max_by("label", F.struct("factual_coverage", "grounding_score", -F.col("processing_time_ms"), first)).alias("recommended"),
     )
+
+
+def recommendation(rows: DataFrame) -> DataFrame:
+    """(experiment, recommendation): the best variant over all, with its figures in words."""
+    best = F.max_by(F.struct("label", "factual_coverage", "grounding_score", "processing_time_ms"), F.struct("factual_coverage", "grounding_score", -F.col("processing_time_ms"), -F.col("position")))
+    out = rows.groupBy("experiment").agg(best.alias("b"))
+    figures = F.format_string("%s: coverage %.2f, grounding %.2f, %d ms", "b.label", F.col("b.factual_coverage").cast("double"), F.col("b.grounding_score").cast("double"), F.col("b.processing_time_ms").cast("long"))
+    return out.select("experiment", figures.alias("recommendation"))

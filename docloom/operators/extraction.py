@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.scalars import POSTPROCESS_DATES, parse_date, strip
+from docloom.functions.scalars import POSTPROCESS_DATES, let, parse_date, strip
 
 CONTEXT = 60
 
@@ -70,32 +70,36 @@ def confidence(name: Column, value: Column) -> Column:
     )
 
 
+def _hit(field_index: int, rule: FieldRule, pattern_index: int):
+    """The struct of a whole match in ``clean``, null for none: no pattern matches the empty text.
+
+    The match is the first occurrence of its own text, since no pattern looks around itself.
+    """
+
+    def hit(whole: Column) -> Column:
+        start = F.greatest(F.lit(0), F.instr("clean", whole) - 1 - CONTEXT)
+        end = F.least(F.length("clean"), F.instr("clean", whole) - 1 + F.length(whole) + CONTEXT)
+        around = F.concat(F.when(start > 0, "…").otherwise(""), strip(F.substring("clean", start + 1, end - start)), F.when(end < F.length("clean"), "…").otherwise(""))
+        return F.when(
+            whole != "",
+            F.struct(
+                F.lit(field_index).alias("field_index"), F.lit(rule.name).alias("field_name"), F.lit(rule.method).alias("method"), F.lit(pattern_index).alias("pattern_index"),
+                strip(F.regexp_extract(whole, rule.patterns[pattern_index], 1)).alias("value"), around.alias("snippet"),
+            ),
+        )
+
+    return hit
+
+
 def extract_fields(pages: DataFrame, rules: list[FieldRule] = FIELD_RULES) -> DataFrame:
     """At most one row a document and field: the first page that matches, its first pattern.
 
-    Each page is stripped of markup once; all rules read that column.
+    Each page is stripped of markup once, and each pattern scans it once for its whole
+    match; value and place come from the match. What leaves a page is narrow.
     """
-    clean = pages.select("document_id", "page_number", strip_markup(F.col("text")).alias("clean"))
-    found = []
-    for field_index, rule in enumerate(rules):
-        for pattern_index, pattern in enumerate(rule.patterns):
-            whole = F.regexp_extract("clean", pattern, 0)
-            hit = F.struct(
-                F.lit(field_index).alias("field_index"),
-                F.lit(rule.name).alias("field_name"),
-                F.lit(rule.method).alias("method"),
-                F.lit(pattern_index).alias("pattern_index"),
-                strip(F.regexp_extract("clean", pattern, 1)).alias("value"),
-                F.regexp_instr("clean", F.lit(pattern)).alias("at"),
-                F.length(whole).alias("width"),
-            )
-            found.append(F.when(F.col("clean").rlike(pattern), hit))
-    # One row a page: all hits are made side by side, then unfolded.
-    hits = clean.select("document_id", "page_number", "clean", F.explode(F.array_compact(F.array(*found))).alias("h"))
-    start = F.greatest(F.lit(0), F.col("h.at") - 1 - CONTEXT)
-    end = F.least(F.length("clean"), F.col("h.at") - 1 + F.col("h.width") + CONTEXT)
-    snippet = F.concat(F.when(start > 0, "…").otherwise(""), strip(F.substring("clean", start + 1, end - start)), F.when(end < F.length("clean"), "…").otherwise(""))
-    rows = hits.select("document_id", "page_number", "h.*", snippet.alias("snippet"))
+    page = pages.select("document_id", "page_number", strip_markup(F.col("text")).alias("clean"))
+    found = [let(F.regexp_extract("clean", pattern, 0), _hit(i, rule, k)) for i, rule in enumerate(rules) for k, pattern in enumerate(rule.patterns)]
+    rows = page.select("document_id", "page_number", F.explode(F.array_compact(F.array(*found))).alias("h")).select("document_id", "page_number", "h.*")
     best = rows.groupBy("document_id", "field_index", "field_name", "method").agg(F.min_by(F.struct("value", "snippet", "page_number"), F.struct("page_number", "pattern_index")).alias("b"))
     out = best.select("document_id", "field_index", "field_name", F.col("b.value").alias("field_value"), "method", F.col("b.snippet").alias("snippet"), F.col("b.page_number").alias("page_number"))
     return out.withColumn("confidence", confidence(F.col("field_name"), F.col("field_value"))).withColumn("evidence_id", F.concat(F.lit("page:"), F.col("page_number")))

@@ -63,3 +63,45 @@ def corrected(queue: DataFrame, corrections: DataFrame) -> DataFrame:
     """Documents with a correction have the status ``corrected``."""
     done = corrections.select("document_id").distinct().withColumn("_c", F.lit(True))
     return queue.join(done, "document_id", "left").withColumn("status", F.when(F.col("_c"), "corrected").otherwise(F.col("status"))).drop("_c")
+
+
+#: Priorities from which the queue shows a row in red and in amber.
+URGENT, NOTABLE = 0.7, 0.4
+
+
+def queue_view(queue: DataFrame) -> DataFrame:
+    """The queue with what its page shows: whether a row is open, and the colour of its priority."""
+    p = F.col("priority_score")
+    return queue.withColumns({"open": F.col("status") == "pending_review", "colour": F.when(p >= URGENT, "red").when(p >= NOTABLE, "amber").otherwise("green")})
+
+
+def average_relevance(picks: DataFrame) -> DataFrame:
+    """Mean relevance of what each strategy picked, by document; 0 where it picked nothing."""
+    return picks.groupBy("document_id", "strategy").agg(F.round(F.coalesce(F.avg("relevance_score"), F.lit(0.0)), 4).alias("avg_relevance"), F.count(F.lit(1)).alias("picked"))
+
+
+def one_document(documents: DataFrame, document_id: str, **tables: DataFrame) -> dict[str, DataFrame]:
+    """A document's row and its rows in other tables (extractions, corrections, feedback), each newest first where it says when."""
+    own = lambda t: t.filter(F.col("document_id") == document_id)
+    dated = lambda t: own(t).orderBy(F.desc("created_at")) if "created_at" in t.columns else own(t)
+    return {"document": own(documents), **{name: dated(t) for name, t in tables.items()}}
+
+
+def corrections_of(corrections: DataFrame, kind: str | None = None, failure_source: str | None = None) -> DataFrame:
+    """Corrections, all or of one kind or source, newest first."""
+    for column, wanted in (("kind", kind), ("failure_source", failure_source)):
+        if wanted is not None:
+            corrections = corrections.filter(F.col(column) == wanted)
+    return corrections.orderBy(F.desc("created_at"))
+
+
+def health(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, readable, rows): whether each table can be read, and how many rows it has."""
+    spark = next(iter(tables.values())).sparkSession
+    seen = []
+    for name, table in tables.items():
+        try:
+            seen.append((name, True, table.count(), ""))
+        except Exception as e:  # an unreadable table is the answer, not a failure of the check
+            seen.append((name, False, 0, f"{type(e).__name__}: {e}"[:200]))
+    return spark.createDataFrame(seen, "table string, readable boolean, rows long, error string")

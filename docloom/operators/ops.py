@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.operators.parsing import HARD_FAILURES
+
 RECENT_ERRORS = 12
 
 
@@ -59,9 +61,61 @@ def fold_trace(outcomes: DataFrame) -> DataFrame:
     )
 
 
+#: Kinds of outcome: nothing amiss, a document is lost, worse than it could be, worth another try, for a person.
+KINDS = ("none", "hard", "soft", "retryable", "review_needed")
+LOW_CONFIDENCE, STRONG_GROUNDING = 0.5, 0.7
+
+
+def _outcomes(rows: DataFrame, position: int, stage: str, cases: list[tuple], success, duration) -> DataFrame:
+    """(document_id, position, stage, success, failure_kind, message, used_fallback, review_needed, duration_ms).
+
+    ``cases`` are (test, kind, message); the first that holds decides.
+    """
+    kind = message = None
+    for test, name, text in cases:
+        kind = F.when(test, name) if kind is None else kind.when(test, name)
+        message = F.when(test, text) if message is None else message.when(test, text)
+    took = F.coalesce(F.col(duration), F.lit(0)) if duration in rows.columns else F.lit(0)
+    out = rows.select("document_id", F.lit(position).alias("position"), F.lit(stage).alias("stage"), success.alias("success"), kind.otherwise("none").alias("failure_kind"), message.otherwise("").alias("message"), *_fallback(rows), took.cast("long").alias("duration_ms"))
+    return out.withColumn("review_needed", F.col("failure_kind") == "review_needed")
+
+
+def _fallback(rows: DataFrame) -> list:
+    return [(F.col("ocr_applied") if "ocr_applied" in rows.columns else F.lit(False)).alias("used_fallback")]
+
+
 def parse_outcomes(meta: DataFrame) -> DataFrame:
-    """The parse stage's outcome: a failed parse is a failed stage."""
-    return meta.select("document_id", F.lit(1).alias("position"), F.lit("parse").alias("stage"), (F.col("failure_reason") == "none").alias("success"), F.col("ocr_applied").alias("used_fallback"), (F.col("quality") != "good").alias("review_needed"), F.lit(0).alias("duration_ms"))
+    """The parse stage's outcome: a failed parse is a failed stage, and only OCR may save a text-less one."""
+    reason, quality = F.coalesce("failure_reason", F.lit("none")), F.coalesce("quality", F.lit("good"))
+    hard, bare, poor = reason.isin(*HARD_FAILURES), reason == "zero_text_pdf", quality == "unusable"
+    cases = [
+        (hard, "hard", F.concat(F.lit("not parsed: "), reason)),
+        (bare, "soft", F.lit("no text layer; OCR may find one")),
+        (poor, "hard", F.lit("parsed, but of no use")),
+        (quality == "degraded", "soft", F.lit("parsed with losses")),
+    ]
+    return _outcomes(meta, 1, "parse", cases, ~(hard | bare | poor), "parse_ms")
+
+
+def extraction_outcomes(stats: DataFrame) -> DataFrame:
+    """``stats`` has document_id, field_count, min_confidence: no or doubtful fields need a person, but are no failure."""
+    none = F.coalesce("field_count", F.lit(0)) == 0
+    cases = [(none, "review_needed", F.lit("no field was found")), (F.col("min_confidence") < LOW_CONFIDENCE, "review_needed", F.concat(F.lit("least confidence "), F.format_string("%.2f", "min_confidence")))]
+    return _outcomes(stats, 2, "extract", cases, F.lit(True), "extraction_ms")
+
+
+def summary_outcomes(audits: DataFrame) -> DataFrame:
+    """``audits`` has document_id, grounding_score, needs_review."""
+    score = F.format_string("%.2f", "grounding_score")
+    cases = [(F.coalesce("needs_review", F.lit(False)), "review_needed", F.concat(F.lit("grounding too weak: "), score)), (F.col("grounding_score") < STRONG_GROUNDING, "soft", F.concat(F.lit("grounding could be stronger: "), score))]
+    return _outcomes(audits, 3, "summarise", cases, F.lit(True), "summarisation_ms")
+
+
+def trace_flags(outcomes: DataFrame) -> DataFrame:
+    """Per document which kinds of outcome its stages had, and the messages of the failed ones in order."""
+    flags = [F.bool_or(F.col("failure_kind") == k).alias(f"has_{k}") for k in KINDS[1:]]
+    said = F.when(~F.col("success") & (F.col("message") != ""), F.struct("position", F.concat(F.col("stage"), F.lit(": "), F.col("message")).alias("said")))
+    return outcomes.groupBy("document_id").agg(F.sum("duration_ms").alias("total_ms"), *flags, F.transform(F.array_sort(F.collect_list(said)), lambda x: x["said"]).alias("warnings"))
 
 
 def latest(rows: DataFrame, keys: list[str], time: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,6 +91,45 @@ def quality():
     )
 
 
+#: Reads the pages of files: (document_id, content) rows in, (document_id, page_number, text) out.
+PageReader = Callable[[DataFrame], DataFrame]
+_READERS: dict[str, PageReader] = {}
+
+
+def register_reader(suffix: str, reader: PageReader) -> None:
+    """The reader of files with a suffix such as ``.pdf``."""
+    _READERS[suffix] = reader
+
+
+def page_reader(read: Callable[[bytes], list[str]]) -> PageReader:
+    """A reader from a plain function, bytes to the pages' texts; a file that it cannot read has none."""
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for document_id, content in zip(*(c.to_pylist() for c in batch.columns)):
+                try:
+                    found = read(content or b"")
+                except Exception:  # the reader's own errors mean an unreadable file, which parse_paged reports
+                    found = []
+                yield pa.RecordBatch.from_arrays([pa.array([document_id] * len(found), pa.string()), pa.array(range(1, len(found) + 1), pa.int32()), pa.array(found, pa.string())], names=["document_id", "page_number", "text"])
+
+    return lambda files: files.select("document_id", "content").mapInArrow(pages, "document_id string, page_number int, text string")
+
+
+def parse_paged(files: DataFrame, suffix: str = ".pdf") -> tuple[DataFrame, DataFrame]:
+    """(meta, pages) of the files with a suffix, by its registered reader.
+
+    A file without any page is unreadable; without a registered reader all of them are.
+    """
+    own = files.filter(file_suffix(F.col("filename")) == suffix)
+    reader = _READERS.get(suffix)
+    pages = reader(own) if reader else own.select("document_id", F.lit(1).alias("page_number"), F.lit("").alias("text")).filter(F.lit(False))
+    met = own.select("document_id").join(assess_pages(pages), "document_id", "left")
+    lost = F.col("page_count").isNull()
+    meta = met.withColumns({"failure_reason": F.when(lost, "unreadable_pdf").otherwise(F.col("failure_reason")), "quality": F.when(lost, "unusable").otherwise(F.col("quality"))})
+    return meta.fillna(0, ["page_count", "empty_page_count", "total_chars"]).fillna(0.0, ["text_density"]).fillna(False), pages
+
+
 #: An OCR backend: document rows in, (document_id, page_number, text) out.
 OcrAdapter = Callable[[DataFrame], DataFrame]
 
@@ -99,6 +139,21 @@ def no_ocr(documents: DataFrame) -> DataFrame:
     return documents.select("document_id", F.lit(1).alias("page_number"), F.lit("").alias("text")).filter(F.lit(False))
 
 
+#: Backends by name; the engines themselves are not bundled, so these names find nothing until they are registered.
+_OCR: dict[str, OcrAdapter] = {"tesseract": no_ocr, "textract": no_ocr, "none": no_ocr}
+
+
+def register_ocr(name: str, adapter: OcrAdapter) -> None:
+    _OCR[name] = adapter
+
+
+def ocr_adapter(name: str | None = None) -> OcrAdapter:
+    """The backend of a name; without one, the first that was registered in place of a bundled name, else none."""
+    if name is not None:
+        return _OCR[name]
+    return next((a for a in _OCR.values() if a is not no_ocr), no_ocr)
+
+
 def ocr_fallback(meta: DataFrame, pages: DataFrame, adapter: OcrAdapter = no_ocr) -> tuple[DataFrame, DataFrame]:
     """Try OCR on documents without any native text; (meta, pages) afterwards.
 

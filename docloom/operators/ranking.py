@@ -7,13 +7,16 @@ best are kept. Ties keep chunk order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.scalars import cosine, hash_embedding, query_terms, term_share
 
+# Sections that weigh more.
 HIGH_VALUE_SECTIONS = ("summary", "conclusion", "findings", "recommendations", "diagnosis", "treatment plan", "billing summary", "damage assessment")
 RRF_K = 60
 
@@ -35,28 +38,51 @@ def rank_lexical(chunks: DataFrame, query: str, top_k: int | None = 10) -> DataF
     return ranked(chunks.withColumn("score", lexical_score(F.col("text"), query)), top_k)
 
 
-def rank_salience(chunks: DataFrame, query: str, top_k: int | None = 10) -> DataFrame:
+def salience_score(query: str, total: Column) -> Column:
     """Position, section, parse quality and query overlap; peaks in a document's middle."""
-    total = F.count(F.lit(1)).over(Window.partitionBy("document_id"))
-    with_total = chunks.withColumn("_total", total)
     index = F.col("chunk_index")
-    place = index / F.greatest(F.col("_total") - 1, F.lit(1))
+    place = index / F.greatest(total - 1, F.lit(1))
     score = (
         F.lit(0.2) * (1 - F.abs(2 * place - 1))
         + F.when(index < 3, 0.15).otherwise(0.0)
-        + F.when(index >= F.col("_total") - 3, 0.10).otherwise(0.0)
+        + F.when(index >= total - 3, 0.10).otherwise(0.0)
         + F.when(F.lower("section_label").isin(*HIGH_VALUE_SECTIONS), 0.25).otherwise(0.0)
         - F.when(F.col("parse_quality") == "degraded", 0.1).when(F.col("parse_quality") == "unusable", 0.3).otherwise(0.0)
     )
     terms = query_terms(query)
     if terms:
         score = score + F.lit(0.3) * term_share(F.col("text"), terms)
-    return ranked(with_total.withColumn("score", F.round(F.greatest(score, F.lit(0.0)), 4)).drop("_total"), top_k)
+    return F.round(F.greatest(score, F.lit(0.0)), 4)
+
+
+def rank_salience(chunks: DataFrame, query: str, top_k: int | None = 10) -> DataFrame:
+    """Chunks by salience; see ``salience_score``."""
+    with_total = chunks.withColumn("_total", F.count(F.lit(1)).over(Window.partitionBy("document_id")))
+    return ranked(with_total.withColumn("score", salience_score(query, F.col("_total"))).drop("_total"), top_k)
+
+
+#: An embedder turns a text column into an array of doubles; texts of any table, in one plan.
+Embedder = Callable[[Column], Column]
+
 
+def hashed(dim: int = 64) -> Embedder:
+    """The deterministic embedder that needs no model."""
+    return lambda text: hash_embedding(text, dim)
 
-def embed_chunks(chunks: DataFrame, dim: int = 64) -> DataFrame:
-    """(document_id, chunk_id, chunk_index, vector) by the deterministic hash embedding."""
-    return chunks.select("document_id", "chunk_id", "chunk_index", hash_embedding(F.col("text"), dim).alias("vector"))
+
+def embedder(embed: Callable[[list[str]], list[list[float]]]) -> Embedder:
+    """An embedder from a plain function over a batch of texts, called once an Arrow batch."""
+
+    @F.pandas_udf("array<double>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        return pd.Series(embed(texts.fillna("").tolist()))
+
+    return vectors
+
+
+def embed_chunks(chunks: DataFrame, dim: int = 64, embed: Embedder | None = None) -> DataFrame:
+    """(document_id, chunk_id, chunk_index, vector) by an embedder, the hashed one if none is given."""
+    return chunks.select("document_id", "chunk_id", "chunk_index", (embed or hashed(dim))(F.col("text")).alias("vector"))
 
 
 def vector_index(entries: DataFrame) -> DataFrame:
@@ -70,12 +96,45 @@ def vector_search(index: DataFrame, vector: list[float], top_k: int = 10, tie: s
     return index.withColumn("score", cosine(F.col("vector"), query)).orderBy(F.desc("score"), tie).limit(top_k)
 
 
-def rank_vector(chunks: DataFrame, query: str, top_k: int | None = 10, dim: int = 64) -> DataFrame:
-    """Cosine to the query's hash embedding inside each document; 0 for an empty query."""
-    score = F.round(cosine(hash_embedding(F.col("text"), dim), hash_embedding(F.lit(query), dim)), 4) if query else F.lit(0.0)
+def rank_vector(chunks: DataFrame, query: str, top_k: int | None = 10, dim: int = 64, embed: Embedder | None = None) -> DataFrame:
+    """Cosine to the query's vector inside each document; 0 for an empty query."""
+    of = embed or hashed(dim)
+    score = F.round(cosine(of(F.col("text")), of(F.lit(query))), 4) if query else F.lit(0.0)
     return ranked(chunks.withColumn("score", score), top_k)
 
 
+def rank_embedded(chunks: DataFrame, query: str, top_k: int | None = 10, embed: Embedder | None = None) -> DataFrame:
+    """The vector ranking by a configured embedder; without one there is nothing to rank by."""
+    if embed is None:
+        raise ValueError("no embedder is configured")
+    return rank_vector(chunks, query, top_k, embed=embed)
+
+
+def index_hits(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Ranked hits of an index beside their chunks; hits whose chunk is not there are dropped.
+
+    ``hits`` has chunk_id and score; ranks follow the hits' order, with gaps where one was dropped.
+    """
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "chunk_id"))  # a top-k: few rows
+    return hits.select("chunk_id", "score", place.alias("rank")).join(chunks, "chunk_id")
+
+
+Reranker = Callable[[DataFrame, str, int], DataFrame]
+_RERANKERS: dict[str, Reranker] = {}
+
+
+def register_reranker(name: str, reranker: Reranker) -> None:
+    """``reranker(results, query, top_k)`` returns ranked rows."""
+    _RERANKERS[name] = reranker
+
+
+def rerank(results: DataFrame, query: str, top_k: int = 10, name: str = "score") -> DataFrame:
+    """Rerank by a registered reranker. No pair model is bundled: ``cross_encoder`` raises until one is registered."""
+    if name not in _RERANKERS:
+        raise NotImplementedError(f"no reranker is registered as {name}")
+    return _RERANKERS[name](results, query, top_k)
+
+
 def fuse(lists: list[tuple[str, DataFrame]], top_k: int | None = 10, k: int = RRF_K) -> DataFrame:
     """Reciprocal rank fusion of ranked lists; ties go to the first list that has the chunk."""
     parts = [d.select("document_id", "chunk_id", F.lit(i).alias("list"), "rank") for i, (_, d) in enumerate(lists)]
@@ -94,6 +153,9 @@ def rerank_by_score(results: DataFrame, top_k: int = 10) -> DataFrame:
     return results.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= top_k).drop("rank").withColumnRenamed("_r", "rank")
 
 
+register_reranker("score", lambda results, query, top_k: rerank_by_score(results, top_k))
+
+
 def retrieve_hybrid(chunks: DataFrame, query: str, top_k: int = 10, candidate_multiplier: int = 3, dim: int = 64) -> DataFrame:
     """Lexical, vector and salience candidates, fused. Long form with a ``signal`` column.
 

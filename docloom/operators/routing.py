@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.scalars import let
+
 SAMPLE_PAGES = 5
 TYPES = ("billing", "medical", "legal", "treatment", "correspondence")
 
@@ -39,19 +41,21 @@ def _rule(source: str, pattern, kind: str, weight: Column) -> Column:
     return F.struct(F.lit(source).alias("source"), pattern.alias("pattern"), F.lit(kind).alias("matched_type"), weight.alias("weight"))
 
 
-def matched_rules(filename: Column, sample: Column) -> Column:
+def matched_rules(stem: Column, sample: Column) -> Column:
     """All rules that fire, in rule order: array of (source, pattern, matched_type, weight).
 
-    Content keywords are substrings; a group needs two of them, and three reach its full weight.
+    Both texts are in lower case. Content keywords are substrings; a group needs two of them,
+    and three reach its full weight. A group's hits are listed once.
     """
-    stem = F.regexp_replace(filename, r"\.[^.]*$", "")
-    found = [F.when(F.lower(stem).rlike(p), _rule("filename", F.lit(p), t, F.lit(w))) for p, t, w in FILENAME_RULES]
-    low = F.lower(sample)
+    found = [F.when(stem.rlike(p), _rule("filename", F.lit(p), t, F.lit(w))) for p, t, w in FILENAME_RULES]
+
+    def group(kind: str, weight: float):
+        share = lambda hits: F.least(F.size(hits) / F.lit(3.0), F.lit(1.5))
+        pattern = lambda hits: F.concat(F.lit("keywords: "), F.array_join(F.slice(hits, 1, 5), ", "))
+        return lambda hits: F.when(F.size(hits) >= 2, _rule("content", pattern(hits), kind, F.lit(weight) * share(hits)))
+
     for words, kind, weight in CONTENT_RULES:
-        hits = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in words]))
-        share = F.least(F.size(hits) / F.lit(3.0), F.lit(1.5))
-        pattern = F.concat(F.lit("keywords: "), F.array_join(F.slice(hits, 1, 5), ", "))
-        found.append(F.when(F.size(hits) >= 2, _rule("content", pattern, kind, F.lit(weight) * share)))
+        found.append(let(F.array_compact(F.array(*[F.when(F.contains(sample, F.lit(w)), F.lit(w)) for w in words])), group(kind, weight)))
     return F.array_compact(F.array(*found))
 
 
@@ -60,7 +64,9 @@ def route(documents: DataFrame) -> DataFrame:
 
     Ties between types go to the one whose rule fired first.
     """
-    out = documents.select("document_id", "filename", matched_rules(F.col("filename"), F.coalesce("sample", F.lit(""))).alias("matched_rules"))
+    stem = F.lower(F.regexp_replace("filename", r"\.[^.]*$", ""))
+    low = documents.select("document_id", stem.alias("stem"), F.lower(F.coalesce("sample", F.lit(""))).alias("low"))
+    out = low.select("document_id", matched_rules(F.col("stem"), F.col("low")).alias("matched_rules"))
     kinds = F.array_distinct(F.transform("matched_rules", lambda r: r["matched_type"]))
     scores = F.transform(
         kinds,

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.scalars import percent
-from docloom.operators.ranking import rank_salience, rank_vector, retrieve_hybrid
+from docloom.operators.ranking import rank_vector, retrieve_hybrid, salience_score
 
 STRATEGIES = ("head", "head_tail", "sampled", "routing_aware", "query_ranked", "diversified")
+# The positional strategy of each document type.
 ROUTING = {"legal": "head_tail", "billing": "head", "medical": "sampled", "treatment": "sampled", "correspondence": "head"}
 PREVIEW = 120
 
@@ -37,21 +36,44 @@ def _positional(strategy: Column | str, budget: int) -> Column:
     return out.otherwise(tests["head"])
 
 
-def diversified(scored: DataFrame, budget: int) -> DataFrame:
-    """Round-robin over sections by score: each round takes every group's next best chunk.
+def _group() -> Column:
+    """Section, else page, of a chunk; a chunk without pages is grouped by its place, label or not."""
+    on_page = F.when(F.col("section_label") != "", F.col("section_label")).otherwise(F.concat(F.lit("page-"), F.get("page_numbers", F.lit(0))))
+    return F.when(F.size("page_numbers") > 0, on_page).otherwise(F.concat(F.lit("idx-"), F.floor(F.col("chunk_index") / 5)))
+
+
+def flag_strategies(chunks: DataFrame, budget: int, strategies: tuple[str, ...], query: str | None = None) -> DataFrame:
+    """The chunks that any strategy takes, with ``picks``: (strategy, place in its selection's order).
 
-    ``scored`` has score. A chunk without pages is grouped by its place, label or not.
+    All strategies are decided on the same rows: salience is scored once, and the windows of
+    a document share one partitioning. A document whose chunks fit the budget keeps all of
+    them in order, whatever the strategy. ``relevance`` is the salience score, 0 without a query.
     """
-    pages = F.size("page_numbers") > 0
-    group = F.when(pages, F.when(F.col("section_label") != "", F.col("section_label")).otherwise(F.concat(F.lit("page-"), F.get("page_numbers", F.lit(0))))).otherwise(
-        F.concat(F.lit("idx-"), F.floor(F.col("chunk_index") / 5))
-    )
-    out = scored.withColumn("grp", group)
-    inside = Window.partitionBy("document_id", "grp").orderBy(F.desc("score"), "chunk_index")
-    whole = Window.partitionBy("document_id", "grp")
-    out = out.withColumns({"turn": F.row_number().over(inside), "best": F.max("score").over(whole), "first": F.min("chunk_index").over(whole)})
-    order = Window.partitionBy("document_id").orderBy("turn", F.desc("best"), "first")
-    return out.withColumn("pick", F.row_number().over(order)).filter(F.col("pick") <= budget).drop("grp", "turn", "best", "first", "pick")
+    out = _with_totals(chunks)
+    whole = Window.partitionBy("document_id")
+    fits = F.col("total") <= budget
+    score = salience_score(query or "", F.col("total"))
+    out = out.withColumn("relevance", score if query else F.lit(0.0))
+    place = F.col("chunk_index").cast("double")
+    tests: dict[str, tuple[Column, Column]] = {}
+    if "query_ranked" in strategies and query:
+        out = out.withColumn("_ranked", F.row_number().over(whole.orderBy(F.desc("relevance"), "chunk_index")))
+        tests["query_ranked"] = (F.col("_ranked") <= budget, F.col("_ranked").cast("double"))
+    if "diversified" in strategies:
+        out = out.withColumn("_s", F.col("relevance") if query else 1.0 / (F.col("chunk_index") + 1)).withColumn("_g", _group())
+        inside = Window.partitionBy("document_id", "_g")
+        turns = {"_turn": F.row_number().over(inside.orderBy(F.desc("_s"), "chunk_index")), "_best": F.max("_s").over(inside), "_head": F.min("chunk_index").over(inside)}
+        # Round-robin: each round takes every group's next best chunk, the best groups first.
+        out = out.withColumns(turns).withColumn("_pick", F.row_number().over(whole.orderBy("_turn", F.desc("_best"), "_head")))
+        tests["diversified"] = (F.col("_pick") <= budget, place)
+    kind = F.coalesce(F.create_map(*[F.lit(x) for kv in ROUTING.items() for x in kv])[F.col("doc_type")], F.lit("head_tail"))
+    for name in strategies:
+        if name not in tests:
+            rule = kind if name == "routing_aware" else "head_tail" if name == "query_ranked" else name
+            tests[name] = (_positional(rule, budget), place)
+    taken = [F.when(fits | test, F.struct(F.lit(name).alias("strategy"), F.when(fits, place).otherwise(order).alias("place"))) for name, (test, order) in ((n, tests[n]) for n in strategies)]
+    out = out.withColumn("picks", F.array_compact(F.array(*taken))).filter(F.size("picks") > 0)
+    return out.drop(*[c for c in ("_ranked", "_s", "_g", "_turn", "_best", "_head", "_pick") if c in out.columns])
 
 
 def select_chunks(chunks: DataFrame, budget: int = 10, strategy: str = "head", query: str | None = None) -> DataFrame:
@@ -59,23 +81,9 @@ def select_chunks(chunks: DataFrame, budget: int = 10, strategy: str = "head", q
 
     A document whose chunks fit the budget keeps all of them in order, whatever the strategy.
     """
-    counted = _with_totals(chunks)
-    fits = counted.filter(F.col("total") <= budget)
-    over = counted.filter(F.col("total") > budget)
-    by_index = Window.partitionBy("document_id").orderBy("chunk_index")
-    if strategy == "query_ranked" and query:
-        picked = rank_salience(over, query, budget).withColumnRenamed("rank", "position").drop("score")
-    else:
-        if strategy == "diversified":
-            scored = rank_salience(over, query, None).drop("rank") if query else over.withColumn("score", 1.0 / (F.col("chunk_index") + 1))
-            kept = diversified(scored, budget).drop("score")
-        elif strategy == "routing_aware":
-            kind = F.coalesce(F.create_map(*[F.lit(x) for kv in ROUTING.items() for x in kv])[F.col("doc_type")], F.lit("head_tail"))
-            kept = over.filter(_positional(kind, budget))
-        else:
-            kept = over.filter(_positional("head_tail" if strategy == "query_ranked" else strategy, budget))
-        picked = kept.withColumn("position", F.row_number().over(by_index))
-    return fits.withColumn("position", F.row_number().over(by_index)).unionByName(picked).withColumn("strategy_used", F.lit(strategy))
+    taken = flag_strategies(chunks, budget, (strategy,), query)
+    order = Window.partitionBy("document_id").orderBy(F.get("picks", F.lit(0))["place"])
+    return taken.withColumn("position", F.row_number().over(order)).drop("picks", "relevance").withColumn("strategy_used", F.lit(strategy))
 
 
 def selection_meta(chunks: DataFrame, selected: DataFrame) -> DataFrame:
@@ -98,9 +106,9 @@ def summarise_range(pages: Column) -> Column:
 
 
 _ADVICE = {
-    "minimal": "WARNING: You have very limited visibility into this document. State clearly that your analysis is based on a small subset.",
-    "partial": "IMPORTANT: Your context covers only part of the document. Note any areas where missing pages or sections could affect your analysis.",
-    "good": "You have reasonable coverage but some sections/pages are missing. Flag if a finding seems incomplete due to missing context.",
+    "minimal": "Little of the document is shown here. Say so first, and claim nothing about the rest.",
+    "partial": "Much of the document is not shown here. Name the statements that the missing parts could change.",
+    "good": "Most of the document is shown here. Point out where a missing part would be needed to be sure.",
 }
 
 
@@ -140,16 +148,15 @@ def coverage_report(chunks: DataFrame, selected: DataFrame, documents: DataFrame
     missing = F.size("pages_missing")
     text = F.concat_ws(
         "\n",
-        F.lit("=== COVERAGE DISCLOSURE ==="),
-        F.concat(F.lit("You are seeing "), F.col("selected_chunks"), F.lit(" of "), F.col("total_chunks"), F.lit(" chunks ("), percent(F.col("c")), F.lit(" of document content).")),
+        F.concat(F.lit("[What is shown] "), F.col("selected_chunks"), F.lit("/"), F.col("total_chunks"), F.lit(" chunks, "), percent(F.col("c"))),
         F.when(F.col("total_pages") > 0, F.concat(F.lit("Pages covered: "), summarise_range(F.col("pages_covered")), F.lit(" ("), F.size("pages_covered"), F.lit("/"), F.col("total_pages"), F.lit(" pages)."))),
         F.when((F.col("total_pages") > 0) & missing.between(1, 10), F.concat(F.lit("Pages NOT covered: "), summarise_range(F.col("pages_missing")), F.lit("."))).when(
-            (F.col("total_pages") > 0) & (missing > 10), F.concat(missing, F.lit(" pages are not included in your context."))
+            (F.col("total_pages") > 0) & (missing > 10), F.concat(F.lit("Pages NOT covered: "), missing)
         ),
         F.when(F.size("sections_covered") > 0, F.concat(F.lit("Sections covered: "), F.array_join("sections_covered", ", "), F.lit("."))),
         F.when(F.size("sections_missing") > 0, F.concat(F.lit("Sections NOT covered: "), F.array_join("sections_missing", ", "), F.lit("."))),
         F.create_map(*[F.lit(x) for kv in _ADVICE.items() for x in kv])[F.col("coverage_level")],
-        F.lit("=== END COVERAGE DISCLOSURE ==="),
+        F.lit("[End of what is shown]"),
     )
     return out.select(
         "document_id", "total_chunks", "selected_chunks", F.round("c", 4).alias("chunk_coverage_ratio"), "total_pages", "pages_covered", "pages_missing",
@@ -163,25 +170,31 @@ def compare_strategies(chunks: DataFrame, query: str, budget: int = 5, strategie
 
     With ``hybrid`` the vector and the fused ranking are two further strategies.
     """
-    picks = [select_chunks(chunks, budget, s, query).select("document_id", F.lit(s).alias("strategy"), "chunk_id", "position") for s in strategies]
-    if hybrid:
-        picks.append(rank_vector(chunks, query, budget).select("document_id", F.lit("vector").alias("strategy"), "chunk_id", F.col("rank").alias("position")))
-        fused = retrieve_hybrid(chunks, query, budget).filter("signal = 'fused'")
-        picks.append(fused.select("document_id", F.lit("hybrid").alias("strategy"), "chunk_id", F.col("rank").alias("position")))
-    scored = rank_salience(chunks, query, None) if query else chunks.withColumn("score", F.lit(0.0))
-    facts = scored.select("document_id", "chunk_id", "chunk_index", "page_numbers", "section_label", F.col("score").alias("relevance_score"), F.regexp_replace(F.substring("text", 1, PREVIEW), "\n", " ").alias("text_preview"))
-    return reduce(DataFrame.unionByName, picks).join(facts, ["document_id", "chunk_id"])
-
-
-def overlap_matrix(picks: DataFrame) -> DataFrame:
+    preview = F.regexp_replace(F.substring("text", 1, PREVIEW), "\n", " ").alias("text_preview")
+    facts = ["document_id", "chunk_id", "chunk_index", "page_numbers", "section_label"]
+    taken = flag_strategies(chunks, budget, strategies, query).select(*facts, F.col("relevance").alias("relevance_score"), preview, F.explode("picks").alias("p"))
+    order = Window.partitionBy("document_id", "p.strategy").orderBy("p.place")
+    rest = [*facts[2:], "relevance_score", "text_preview"]
+    out = taken.select("document_id", "chunk_id", F.col("p.strategy").alias("strategy"), F.row_number().over(order).alias("position"), *rest)
+    if not hybrid:
+        return out
+    fused = retrieve_hybrid(chunks, query, budget).filter("signal = 'fused'").select("document_id", F.lit("hybrid").alias("strategy"), "chunk_id", F.col("rank").alias("position"))
+    near = rank_vector(chunks, query, budget).select("document_id", F.lit("vector").alias("strategy"), "chunk_id", F.col("rank").alias("position"))
+    scored = _with_totals(chunks).withColumn("relevance_score", salience_score(query, F.col("total")) if query else F.lit(0.0)).select(*facts, "relevance_score", preview)
+    return out.unionByName(near.unionByName(fused).join(scored, ["document_id", "chunk_id"]))
+
+
+def overlap_matrix(picks: DataFrame, strategies: tuple[str, ...] | None = None) -> DataFrame:
     """(document_id, a, b, shared): chunks that two strategies share, zeros included.
 
-    The pairs come from the set of strategies that took a chunk, so no chunk meets another.
+    The grid holds all ``strategies``, by default those that picked something. The pairs
+    come from the set of strategies that took a chunk, so no chunk meets another.
     """
     took = picks.groupBy("document_id", "chunk_id").agg(F.collect_set("strategy").alias("s"))
     shared = took.select("document_id", F.explode("s").alias("a"), "s").select("document_id", "a", F.explode("s").alias("b")).groupBy("document_id", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    names = picks.groupBy("document_id").agg(F.collect_set("strategy").alias("s"))
-    grid = names.select("document_id", F.explode("s").alias("a"), "s").select("document_id", "a", F.explode("s").alias("b"))
+    names = F.collect_set("strategy") if strategies is None else F.array(*map(F.lit, strategies))
+    docs = picks.groupBy("document_id").agg(names.alias("s")) if strategies is None else picks.select("document_id").distinct().withColumn("s", names)
+    grid = docs.select("document_id", F.explode("s").alias("a"), "s").select("document_id", "a", F.explode("s").alias("b"))
     return grid.join(shared, ["document_id", "a", "b"], "left").select("document_id", "a", "b", F.coalesce("n", F.lit(0)).alias("shared"))
 
 

@@ -6,16 +6,22 @@ user_prompt) rows to (document_id, response) rows, or a table of recorded respon
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.operators import evaluation as E
 from docloom.operators import grounding as G
 from docloom.operators import selection as S
 from docloom.operators import semantic as M
+from docloom.operators.ops import RETRYABLE
+from docloom.sources.settled import settle
 
 
 @dataclass(frozen=True)
@@ -75,24 +81,74 @@ def build_prompts(selected: DataFrame, coverage: DataFrame | None = None, fields
 Model = Callable[[DataFrame], DataFrame]
 
 
-def model_hook(complete: Callable[[str], str], retries: int = 1) -> Model:
-    """A hook from a plain function: bounded retries, failures kept as typed rows."""
+@dataclass(frozen=True)
+class CallPolicy:
+    """How a model is called: a time limit, retries of errors that may pass, a growing pause between them."""
+
+    retries: int = 1
+    timeout_s: float = 20.0
+    backoff_ms: int = 250
+    provider: str = ""
+    model: str = ""
+    #: Whether errors that are not likely to pass are tried again too.
+    retry_all: bool = True
+
+
+def _retryable(message: str) -> bool:
+    low = message.lower()
+    return any(m in low for m in RETRYABLE)
+
+
+def _answer(complete: Callable[[str], str], prompt: str, policy: CallPolicy) -> tuple:
+    """(response, attempts, error, retryable, latency_ms) of one prompt."""
+    tries, began = 0, time.monotonic()
+    while True:
+        tries += 1
+        pool = ThreadPoolExecutor(1)
+        try:
+            response, error, again = pool.submit(complete, prompt).result(policy.timeout_s), None, False
+        except Exception as e:  # the provider's error is the row's result
+            said = "timed out" if isinstance(e, TimeoutError) and not str(e) else str(e)
+            response, error = None, f"{type(e).__name__}: {said}"[:200]
+            again = _retryable(error)
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
+        if error is None or tries > policy.retries or not (again or policy.retry_all):
+            return response, tries, error, again, int((time.monotonic() - began) * 1000)
+        time.sleep(policy.backoff_ms * tries / 1000)
+
+
+def model_hook(complete: Callable[[str], str], retries: int | None = None, policy: CallPolicy = CallPolicy()) -> Model:
+    """A hook from a plain function: bounded retries, failures kept as typed rows.
+
+    Rows: document_id, response, attempts, error, retryable, latency_ms, provider, model.
+    """
+    policy = policy if retries is None else replace(policy, retries=retries)
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for document_id, prompt in zip(batch["document_id"], batch["user_prompt"]):
-                response, error, tries = None, None, 0
-                while response is None and tries <= retries:
-                    tries += 1
-                    try:
-                        response, error = complete(prompt), None
-                    except Exception as e:  # the provider's error is the row's result
-                        error = f"{type(e).__name__}: {e}"[:200]
-                rows.append((document_id, response, tries, error))
-            yield pd.DataFrame(rows, columns=["document_id", "response", "attempts", "error"])
+            rows = [(i, *_answer(complete, p, policy), policy.provider, policy.model) for i, p in zip(batch["document_id"], batch["user_prompt"])]
+            yield pd.DataFrame(rows, columns=["document_id", "response", "attempts", "error", "retryable", "latency_ms", "provider", "model"])
+
+    schema = "document_id string, response string, attempts int, error string, retryable boolean, latency_ms long, provider string, model string"
+    return lambda prompts: prompts.select("document_id", "user_prompt").mapInPandas(call, schema)
+
+
+def provider_calls(responses: DataFrame) -> DataFrame:
+    """The calls of a hook as rows of the operational metrics."""
+    return responses.select("document_id", "provider", "model", "latency_ms", F.col("error").isNull().alias("success"), "retryable", F.col("error").alias("message"))
 
-    return lambda prompts: prompts.select("document_id", "user_prompt").mapInPandas(call, "document_id string, response string, attempts int, error string")
+
+def degraded_responses(responses: DataFrame) -> DataFrame:
+    """Typed answers for the documents whose call failed: nothing is summarised, and a person is asked.
+
+    (document_id, status, summary_text, review_recommended, retryable, attempts, provider, model, message)
+    """
+    failed = responses.filter(F.col("error").isNotNull())
+    status = F.when(F.col("retryable"), "provider_unavailable").otherwise("provider_error")
+    return failed.select(
+        "document_id", status.alias("status"), F.lit("").alias("summary_text"), F.lit(True).alias("review_recommended"), "retryable", "attempts", "provider", "model", F.col("error").alias("message")
+    )
 
 
 def recorded(responses: DataFrame) -> Model:
@@ -104,11 +160,12 @@ def summarise(chunks: DataFrame, documents: DataFrame, model: Model, budget: int
     """Selection, coverage, prompt, response, validation, grounding, uncertainty, degradation.
 
     ``documents`` has document_id, page_count, quality. Returns the tables of all steps.
+    The steps that others read are written, so the model is called once a prompt.
     """
-    selected = S.select_chunks(chunks, budget, strategy, query)
-    coverage = S.coverage_report(chunks, selected, documents)
-    validated = G.validate_summaries(model(build_prompts(selected, coverage, fields)))
-    points = G.ground_points(validated, selected)
+    selected = settle(S.select_chunks(chunks, budget, strategy, query), "selected")
+    coverage = settle(S.coverage_report(chunks, selected, documents), "coverage")
+    validated = settle(G.validate_summaries(model(build_prompts(selected, coverage, fields))), "validated")
+    points = settle(G.ground_points(validated, selected), "points")
     audit = G.audit_grounding(validated, points, selected)
     llm_fields = validated.select("document_id", F.inline("structured_fields"))
     conflicts = G.field_contradictions(llm_fields, fields).groupBy("document_id").agg(F.count(F.lit(1)).alias("contradictions")) if fields is not None else None
@@ -128,8 +185,8 @@ def summarise(chunks: DataFrame, documents: DataFrame, model: Model, budget: int
 
 def chronology(chunks: DataFrame, model: Model, budget: int = 10, strategy: str = "head") -> dict[str, DataFrame]:
     """Selection, prompt, response, validation and audit of dated events."""
-    selected = S.select_chunks(chunks, budget, strategy)
-    validated = G.validate_chronologies(model(build_prompts(selected)))
+    selected = settle(S.select_chunks(chunks, budget, strategy), "selected")
+    validated = settle(G.validate_chronologies(model(build_prompts(selected))), "validated")
     return {"selected": selected, "validated": validated, "audit": G.audit_chronology(validated, selected)}
 
 
@@ -149,3 +206,48 @@ def register_task(name: str, task: Callable[..., dict[str, DataFrame]]) -> None:
 
 def run_task(name: str, *args, **kwargs) -> dict[str, DataFrame]:
     return _TASKS[name](*args, **kwargs)
+
+
+@dataclass(frozen=True)
+class Variant:
+    """One arm of a prompt experiment."""
+
+    label: str
+    model: Model
+    prompt: str = "summary_general@1.0"
+    strategy: str = "head"
+    budget: int = 10
+    query: str | None = None
+    use_fields: bool = False
+
+
+def run_experiment(name: str, chunks: DataFrame, documents: DataFrame, facts: DataFrame, variants: list[Variant], fields: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The same documents summarised by every variant, scored alike and compared.
+
+    ``facts`` has document_id and key_facts. ``rows`` holds a variant's averages over the
+    documents; times are those that the hook reports, 0 where it reports none.
+    """
+    scored = []
+    for position, v in enumerate(variants):
+        held: list[DataFrame] = []
+
+        def kept(prompts: DataFrame, v: Variant = v, held: list[DataFrame] = held) -> DataFrame:
+            held.append(settle(v.model(prompts), "responses"))
+            return held[0]
+
+        out = summarise(chunks, documents, kept, v.budget, v.strategy, v.query, fields if v.use_fields else None)
+        took = held[0].select("document_id", F.col("latency_ms").alias("ms")) if "latency_ms" in held[0].columns else held[0].select("document_id", F.lit(0).alias("ms"))
+        grounded = out["points"].filter("grounded").groupBy("document_id").agg(F.collect_list("text").alias("grounded_points"))
+        text = E.scored_text(out["summary"].join(grounded, "document_id", "left"))
+        metrics = E.summary_metrics(text.join(facts, "document_id").withColumn("fixture", F.col("document_id")))
+        each = metrics.join(out["audit"].select(F.col("document_id").alias("fixture"), "grounding_score"), "fixture").join(took.withColumnRenamed("document_id", "fixture"), "fixture")
+        each = each.join(out["validated"].select(F.col("document_id").alias("fixture"), "status"), "fixture")
+        scored.append(
+            settle(each, "variant").agg(
+                F.lit(name).alias("experiment"), F.lit(position).alias("position"), F.lit(v.label).alias("label"), F.lit(v.prompt).alias("prompt_ref"), F.lit(v.strategy).alias("chunk_selection"), F.lit(v.budget).alias("max_chunks"),
+                *[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4).alias(c) for c in ("factual_coverage", "grounding_score", "actionability")],
+                F.coalesce(F.sum("ms"), F.lit(0)).cast("long").alias("processing_time_ms"), F.count_if(F.col("status") == "valid").alias("valid"), F.count(F.lit(1)).alias("documents"),
+            )
+        )
+    rows = reduce(DataFrame.unionByName, scored)
+    return {"rows": rows, "comparison": E.compare_experiments(rows).join(E.recommendation(rows), "experiment")}

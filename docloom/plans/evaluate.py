@@ -2,41 +2,100 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.operators import evaluation, extraction
+from docloom.operators import evaluation, extraction, tasks
 from docloom.plans.ingest import ingest
+from docloom.sources.settled import settle
 
 
-def evaluate(files: DataFrame, expected_fields: DataFrame, expected_routing: DataFrame, slices: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Ingest and extract all fixtures, then score fields, routing, evidence and slices.
+def evaluate(
+    files: DataFrame,
+    expected_fields: DataFrame,
+    expected_routing: DataFrame,
+    slices: DataFrame | None = None,
+    facts: DataFrame | None = None,
+    model: tasks.Model | None = None,
+    timings: DataFrame | None = None,
+    budget: int = 5,
+) -> dict[str, DataFrame]:
+    """Ingest and extract all fixtures, then score fields, routing, evidence, summaries, retrieval and slices.
 
     ``files`` has document_id, filename, size_bytes, text; expectations are keyed by
-    fixture, the file name. Fixtures that fail to parse are counted, not scored.
+    fixture, the file name. Fixtures that fail to parse are counted, not scored. ``facts``
+    (fixture, key_facts, description) gives the summaries' key facts and, with them, each
+    document's retrieval query; with a ``model`` as well, summaries are made and scored.
+    ``timings`` (fixture, upload_time_ms, extraction_time_ms, summarisation_time_ms) are a
+    run's measured stages. Tables that several parts read are written once.
     """
-    tables = ingest(files)
-    names = tables["documents"].select("document_id", F.col("filename").alias("fixture"), "status")
+    tables = {name: settle(table, name) for name, table in ingest(files).items() if name in ("documents", "pages", "chunks", "routing")}
+    documents = tables["documents"]
+    names = documents.select("document_id", F.col("filename").alias("fixture"), "status")
     good = names.filter("status = 'parsed'").select("document_id", "fixture")
-    fields = extraction.postprocess_fields(extraction.extract_fields(tables["pages"])).join(good, "document_id")
+    fields = settle(extraction.postprocess_fields(extraction.extract_fields(tables["pages"])).join(good, "document_id"), "fields")
     actual = fields.select("fixture", "field_name", F.col("original_value").alias("actual_value"))
-    matches = evaluation.match_fields(expected_fields.join(good, "fixture", "left_semi"), actual)
+    matches = settle(evaluation.match_fields(expected_fields.join(good, "fixture", "left_semi"), actual), "matches")
     metrics = evaluation.field_metrics(matches)
     routed = tables["routing"].join(good, "document_id").select("fixture", "predicted_type")
-    runtime = evaluation.bucket_slices(tables["documents"].filter("status = 'parsed'").select(F.col("filename").alias("document_id"), "page_count"))
-    every = runtime if slices is None else runtime.unionByName(slices)
+    failures = names.filter("status <> 'parsed'")
     none = lambda *c: good.select("fixture", *[F.lit(None).cast("double").alias(x) for x in c]).filter(F.lit(False))
+    summaries, retrieval, runs = none("factual_coverage", "grounding_score"), none("query_ranked_avg_relevance", "relevance_lift"), None
+    if facts is not None:
+        retrieval = settle(retrieval_scores(tables["chunks"], good, facts, budget), "retrieval")
+        if model is not None:
+            summaries, runs = summary_scores(tables, good, facts, model)
+            summaries = settle(summaries, "summaries")
+    parsed = documents.filter("status = 'parsed'").withColumn("document_id", F.col("filename"))
+    runtime = evaluation.runtime_slices(parsed, runs)
+    every = runtime.filter(F.col("slice_name").isin(*evaluation.SLICES)) if slices is None else evaluation.merge_slices(slices, runtime)
+    stages = ("upload_time_ms", "extraction_time_ms", "summarisation_time_ms")
+    if timings is None:
+        timings = good.select("fixture", *[F.lit(0).alias(c) for c in stages])
+    timed = metrics.join(timings.select("fixture", "extraction_time_ms"), "fixture", "left")
+    scored = summaries.join(timings.select("fixture", "summarisation_time_ms"), "fixture", "left")
     return {
         "matches": matches,
         "field_metrics": metrics,
         "micro_average": evaluation.field_metrics(matches, []),
         "routing": evaluation.routing_accuracy(routed, expected_routing),
         "evidence": evaluation.evidence_attachment(fields),
-        "slices": evaluation.slice_breakdown(every, metrics, none("factual_coverage"), none("query_ranked_avg_relevance", "relevance_lift")),
-        "failures": names.filter("status <> 'parsed'"),
+        "summaries": summaries,
+        "retrieval": retrieval,
+        "pipeline": evaluation.pipeline_metrics(timings, routed, expected_routing, fields, failures),
+        "slices": evaluation.slice_breakdown(every, timed, scored, retrieval),
+        "failures": failures,
     }
 
 
+def summary_scores(tables: dict[str, DataFrame], good: DataFrame, facts: DataFrame, model: tasks.Model) -> tuple[DataFrame, DataFrame]:
+    """(metrics, runs): every fixture with facts is summarised, and its whole text scored against them."""
+    wanted = good.join(facts.select("fixture", "key_facts"), "fixture")
+    chunks = tables["chunks"].join(wanted.select("document_id"), "document_id", "left_semi")
+    documents = tables["documents"].join(wanted.select("document_id"), "document_id", "left_semi")
+    out = tasks.summarise(chunks, documents.select("document_id", "page_count", "quality"), model)
+    grounded = out["points"].filter("grounded").groupBy("document_id").agg(F.collect_list("text").alias("grounded_points"))
+    text = evaluation.scored_text(out["summary"].join(grounded, "document_id", "left"))
+    metrics = evaluation.summary_metrics(text.join(wanted, "document_id")).join(out["audit"].join(good, "document_id").select("fixture", "grounding_score"), "fixture", "left")
+    return metrics, wanted.select("fixture", F.lit("hook").alias("model"), F.lit(tasks.get_prompt("summary_general").ref).alias("prompt"))
+
+
+def retrieval_scores(chunks: DataFrame, good: DataFrame, facts: DataFrame, budget: int) -> DataFrame:
+    """Retrieval metrics by fixture, every document against its own query.
+
+    Queries come from the facts, so the terms are columns: a chunk's relevance is the share
+    of its document's terms that it holds.
+    """
+    terms = F.array_distinct(F.filter(F.split(F.lower("query"), r"\W+"), lambda w: w != ""))
+    asked = good.join(retrieval_queries(facts), "fixture").select("document_id", "fixture", terms.alias("terms"))
+    scored = chunks.join(asked, "document_id").withColumn("relevance_score", F.round(F.size(F.filter("terms", lambda t: F.contains(F.lower("text"), t))) / F.greatest(F.size("terms"), F.lit(1)), 4))
+    whole = Window.partitionBy("document_id")
+    ranked = scored.withColumns({"total_chunks": F.count(F.lit(1)).over(whole), "r": F.row_number().over(whole.orderBy(F.desc("relevance_score"), "chunk_index"))})
+    picks = F.array_compact(F.array(F.when(F.col("chunk_index") < budget, "head"), F.when(F.col("r") <= budget, "query_ranked")))
+    taken = ranked.select(F.col("fixture").alias("document_id"), "chunk_id", "relevance_score", "total_chunks", F.explode(picks).alias("strategy"))
+    return evaluation.retrieval_metrics(taken, budget).withColumnRenamed("document_id", "fixture")
+
+
 def retrieval_queries(facts: DataFrame) -> DataFrame:
     """(fixture, query): a fixture's first three facts, 300 characters, else its description."""
     text = F.substring(F.array_join(F.slice("key_facts", 1, 3), " "), 1, 300)

