@@ -327,7 +327,7 @@ class Wanted:
 
 
 #: What a word's template token is: its hash at a sentence's start, inside and folded, and whether it ends one.
-_INFO_BITS = 21
+_INFO_BITS = 20
 
 
 class _TokenCache:
@@ -403,6 +403,9 @@ def suspects(texts: textkit.Texts, wanted: dict[int, Wanted]) -> np.ndarray:
     return out
 
 
+JUDGED = ("items", "covered", "contaminated")
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -418,8 +421,15 @@ def decontaminate(
     """(id, items array, covered double, contaminated boolean) of every row.
 
     ``items`` are the ids of the contaminating items in order, ``covered`` the largest
-    share of an item's windows. With ``keep_text`` whole rows are passed on instead of ids.
+    share of an item's windows. With ``keep_text`` whole rows are passed on instead of ids;
+    their own columns with the name of one of these are then called ``_own_<name>``.
     """
+    if not keep_text:
+        docs = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+        return decontaminate(docs, benchmark, "_id", "_text", item_col, item_text_col, size, share, broadcast_windows, True).select(F.col("_id").alias(id_col), *JUDGED)
+    clash = [c for c in JUDGED if c in docs.columns]
+    docs = docs.withColumnsRenamed({c: f"_own_{c}" for c in clash})
+    id_col, text_col = (f"_own_{c}" if c in clash else c for c in (id_col, text_col))
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).filter("item is not null")
     # No form of an item has more windows than words, nor more words than half its characters and one.
     bound = 2 * items.agg(F.coalesce(F.sum((F.length("text") / 2).cast("long") + 1), F.lit(0))).first()[0]
@@ -431,10 +441,8 @@ def decontaminate(
 
 def decontamination_filter(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **settings) -> DataFrame:
     """The rows that no item contaminates, with their own columns only."""
-    own = docs.columns
-    renamed = docs.withColumnsRenamed({c: f"_own_{c}" for c in own})
-    judged = decontaminate(renamed, benchmark, text_col=f"_own_{text_col}", keep_text=True, **settings)
-    return judged.filter(~F.col("contaminated")).select(*[F.col(f"_own_{c}").alias(c) for c in own])
+    judged = decontaminate(docs, benchmark, text_col=text_col, keep_text=True, **settings).filter(~F.col("contaminated"))
+    return judged.select(*[F.col(f"`_own_{c}`" if c in JUDGED else f"`{c}`").alias(c) for c in docs.columns])
 
 
 def _judged(docs: DataFrame, load, id_col: str, text_col: str, keep_text: bool) -> DataFrame:
