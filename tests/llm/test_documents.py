@@ -7,10 +7,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import decontamination, lm_scoring, ngram_jaccard, quality_rules, sharding, toxicity, url_filters
+from docloom.llm import decontamination, lm_scoring, ngram_jaccard, quality_rules, sharding, textkit, toxicity, url_filters
 from docloom.llm.components import components
 from docloom.llm.store import Workspace
 
@@ -70,6 +71,24 @@ def test_jaccard_equals_all_pairs(spark, rows, size, num, den, monkeypatch):
     assert all(r.component_id is None for r in got if r.doc_id is None)
 
 
+def test_jaccard_splits_hot_leaves(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 16)
+    every = list(enumerate(near_copies(150, prose(9, 90), 4) + near_copies(40, prose(9, 90) + " " + prose(12, 25), 5)))
+    got = ngram_jaccard.ngram_jaccard(spark.createDataFrame(every, "doc_id long, text string").repartition(2), 4, 85, 100, links=False, hot=8).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_components(every, 4, 85, 100)
+
+
+def test_points_are_bounded_in_the_narrower_width():
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (5, 90, 300, 1000)]
+    sets += [np.unique(np.concatenate((x[: len(x) * 2 // 3], sets[3]))) for x in sets]
+    packed = [ngram_jaccard.point(x, ngram_jaccard.width(len(x))).astype(np.uint8).tobytes() for x in sets]
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets):
+            assert ngram_jaccard.bounds([packed[a]], [packed[b]])[0] >= len(np.intersect1d(x, y))
+    assert ngram_jaccard.bounds([b""], [packed[0]])[0] > 1 << 30
+
+
 def test_plan_never_misses_a_link():
     plan = ngram_jaccard.Plan(85, 100)
     for b in range(7, 400):
@@ -143,6 +162,62 @@ def test_grammar_reads_clauses_not_words():
     assert [o for _, o in machine.run(said_idiot)] == [(0, 0, 0, 1), (0, 0, 0, 0)]
 
 
+def replayed(text, classes):
+    """Matched clauses by word, one after the other: (kind, targeted, negated, reported) and how often."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    count, target, negated, reported = Counter(), False, 0, False
+    for m in re.finditer(r"[.!?;\n]|[0-9a-z'\u0080-\U0010ffff]+", low):
+        symbol = classes.get(m[0], "")
+        if m[0] in ".!?;\n":
+            target = reported = False
+            negated = 0
+            continue
+        target, reported = target or symbol == "target", reported or symbol == "report"
+        now = symbol == "negation" or negated > 0
+        negated = toxicity.REACH if symbol == "negation" else max(negated - 1, 0)
+        if symbol in ("insult", "threat"):
+            count[int(symbol == "threat"), int(target), int(now), int(reported)] += 1
+    return count
+
+
+def test_clauses_equal_a_replay():
+    classes = {w: name for name, some in (("insult", toxicity.INSULTS), ("threat", toxicity.THREATS), ("target", toxicity.TARGETS), ("negation", toxicity.NEGATIONS), ("report", toxicity.REPORTS)) for w in some}
+    rng = np.random.default_rng(5)
+    pool = ["You", "idiot", "scum", "kill", "not", "said", "a", "the", "Ünd", "x", "x", "y", "never", "quoted", "trash"]
+    texts = [None, "", "...", "idiot"] + ["".join(pool[rng.integers(len(pool))] + str(rng.choice([" ", " ", " ", ". ", "\n", ", "])) for _ in range(rng.integers(1, 60))) for _ in range(200)]
+    (_, cut), = list(textkit.slices(pa.array(texts)))
+    for text, found in zip(texts, toxicity.clauses(cut)):
+        want = replayed(text, classes)
+        flat = Counter({k * 8 + t * 4 + n * 2 + r: c for (k, t, n, r), c in want.items()})
+        for (k, *_), c in want.items():
+            flat[toxicity.CLAUSES + k] += c
+        assert dict(zip(found[0::2], found[1::2])) == dict(flat)
+
+
+def test_toxicity_learns_words_of_any_language(spark):
+    """Words of the toxic rows become attacks; words of both kinds of rows do not."""
+    rude = ["schufté", "lumpig", "canaillé", "estúpidoz"]
+    rng = np.random.default_rng(6)
+    bad = [bool(x) for x in rng.random(400) < 0.3]
+    said = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 3000, n))
+    rows = [(k, f"{said(25)} {rude[k % 4] + ' ' + rude[k // 3 % 4] if bad[k] else 'höflich'} {said(25)}") for k in range(400)]
+    rows += [(k, t + " denounced") for k, t in rows[:200]]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, int(bad[k])) for k in range(400)] + [(1, None), (None, 1)], "doc_id long, toxic int")
+    got = toxicity.toxicity(table, labels).collect()
+    held = [r for r in got if r.held_out]
+    assert len(got) == len(rows) and len(held) > 100 and all(r.predicted == int(bad[r.doc_id]) for r in held)
+    assert toxicity.toxicity(table, labels, fit_rows=60).count() == len(rows)
+
+
+def test_toxicity_of_empty_tables(spark, nothing):
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    assert toxicity.toxicity(nothing, labels).count() == 0
+    assert toxicity.toxicity_filter(nothing, labels.limit(0)).count() == 0
+    blank = spark.createDataFrame([(1, None), (2, ""), (None, " \n")], "doc_id long, text string")
+    assert {r.predicted for r in toxicity.toxicity(blank, labels.limit(0)).collect()} == {0}
+
+
 def test_toxicity_learns_and_scores_every_row(spark, docs, rows):
     train = [(k, f"{prose(k, 30)} {'idiot scum' if k % 3 == 0 else ''} {prose(k + 500, 30)}") for k in range(200, 500)]
     table = docs.unionByName(spark.createDataFrame(train, "doc_id long, text string"))
@@ -296,3 +371,47 @@ def test_url_walk_ends_by_its_tolerance(spark):
     assert abs(got[2].distrust - 0.4595) < 0.006 and abs(got[1].distrust - 0.5405) < 0.006
     with pytest.raises(RuntimeError, match="distrust walk"):
         url_filters.url_filter(table, [url_filters.Rule("net/", "block")], steps=2)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_shards_of_a_hot_key_and_of_strings(spark, kind):
+    rows = [(5 if k % 3 else k, prose(k, 1 + k % 40)) for k in range(300)] + [(None, prose(k, 3)) for k in range(60)] + [(7, None)]
+    name = lambda i: None if i is None else i if kind == "long" else f"same-prefix-{i:04d}"
+    table = spark.createDataFrame([(name(i), t) for i, t in rows], f"doc_id {kind}, text string").repartition(4).withColumns({c: F.lit(1) for c in ("key", "size", "one", "shard", "_bucket")})
+    got = sharding.byte_shards(table, shards=6, buckets=8).collect()
+    size = lambda t: len((t or "").encode()) + 8
+    want = sorted(((name(i) is not None, name(i) or 0 if kind == "long" else name(i) or "", zlib.crc32((t or "").encode()), size(t)) for i, t in rows))
+    total, before, places, slots = sum(x[3] for x in want), 0, [], Counter()
+    for _, i, crc, n in want:
+        shard = min((2 * before + n) * 6 // (2 * total), 5)
+        places.append((i, n, crc, shard, slots[shard]))
+        slots[shard] += 1
+        before += n
+    assert Counter((r.doc_id if r.doc_id is not None else 0 if kind == "long" else "", r.size, r.text_crc32, r.shard, r.slot) for r in got) == Counter(places)
+
+
+def test_verdict_columns_do_not_clash(spark, wide):
+    judged = quality_rules.quality_rules(wide, keep_text=True)
+    assert {"_own_kept", "_own_n_words", "_own_reason", "kept"} <= set(judged.columns) and judged.filter("_own_kept = 1").count() == wide.count()
+    items = spark.createDataFrame([(1, prose(3, 60))], "item_id long, text string")
+    for most in (1 << 20, 0):
+        found = decontamination.decontaminate(wide, items, keep_text=True, broadcast_windows=most)
+        assert "_own_items" in found.columns and {r.doc_id for r in found.filter("contaminated").collect()} == {16}
+        assert decontamination.decontaminate(wide, items, broadcast_windows=most).columns == ["doc_id", "items", "covered", "contaminated"]
+
+
+def test_operators_on_texts_without_words(spark):
+    blank = spark.createDataFrame([(1, None), (2, ""), (None, " \n"), (2, "")], "doc_id long, text string")
+    assert [r.n_words for r in quality_rules.quality_rules(blank).collect()] == [0] * 4
+    assert {r.n_tokens for r in lm_scoring.lm_scores(blank, P.path("piece_bpe_32k.model")).collect()} == {1}
+    got = ngram_jaccard.ngram_jaccard(blank, links=False).collect()
+    assert {(r.doc_id, r.component_id, r.n_shingles) for r in got} == {(1, 1, 0), (2, 2, 0), (None, None, 0)} and len(got) == 4
+
+
+def test_short_items_are_caught_at_any_place(spark):
+    items = ["Name the capital of France", "Berlin lies north of the old city walls", "Who wrote the Iliad", "12 plus 30 equals 42", "Otto Bauer"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = [(k, shape.format(t)) for k, t in enumerate(items) for shape in ("{}", f"{prose(k, 20)} and {{}} {prose(k + 9, 20)}", f"{prose(k, 20)}. {{}}. {prose(k + 9, 20)}")]
+    got = decontamination.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    missed = [(r.doc_id, r["items"]) for r in got if r.doc_id not in r["items"]]
+    assert not missed

@@ -30,12 +30,30 @@ def test_byte_bpe_equals_the_library(docs, rows, chunk, overlap):
     assert bag(got) == bag(want)
 
 
-def test_stitch_joins_chunks_without_a_common_boundary():
-    text = "a" * 500 + " b" * 20
-    starts = byte_bpe.chunk_starts(len(text), 100, 20)
-    ends = [[s + e for e in byte_bpe.boundaries(text[s : s + 100], P.PATTERN, s + 100 >= len(text))] for s in starts]
-    cuts = byte_bpe.stitch(ends, starts, len(text), 100)
-    assert "".join(p for _, p in byte_bpe._pieces(text, cuts)) == text and -1 in cuts
+def stitched(text, chunk, overlap):
+    starts = byte_bpe.chunk_starts(len(text), chunk, overlap)
+    ends = [[s + e for e in byte_bpe.boundaries(text[s : s + chunk], P.PATTERN, s + chunk >= len(text))] for s in starts]
+    return byte_bpe.stitch(ends, starts, text, P.PATTERN, chunk)
+
+
+def test_stitched_pieces_encode_like_the_whole_text():
+    rng = np.random.default_rng(3)
+    for _ in range(600):
+        most = int(rng.choice([1, 3, 30, 200]))
+        parts = ["a" * int(rng.integers(1, most + 1)), " ", "  ", "\n", "don't", "'s", "'re", "12" * int(rng.integers(1, most + 1)), "!?", ".", "é", "好", " x"]
+        text = "".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(8, 60)))
+        cuts = stitched(text, 20, int(rng.choice([4, 9])))
+        assert cuts[0] == 0 and cuts[-1] == len(text) and cuts == sorted(set(cuts))
+        got = [i for a, b in zip(cuts, cuts[1:]) for i in byte_bpe.encode_text(text[a:b], RANKS, P.PATTERN).tolist()]
+        assert got == byte_bpe.encode_text(text, RANKS, P.PATTERN).tolist()
+
+
+def test_stitching_goes_on_after_a_run_longer_than_an_overlap():
+    text = "word " * 2000 + "x" * 1500 + " tail" * 3000
+    cuts = stitched(text, 1000, 64)
+    assert max(b - a for a, b in zip(cuts, cuts[1:])) < 4000 and len(cuts) > 25
+    whole = "a" * 500
+    assert stitched(whole, 100, 20) == [0, 500]
 
 
 def test_byte_bpe_refuses_a_large_overlap(docs):
@@ -95,3 +113,48 @@ def test_hash_table_holds_what_it_is_given():
     keys = textkit.mix(np.arange(1, 101, dtype=np.uint64))
     table.put(keys, np.arange(100))
     assert (table.get(keys) == np.arange(100)).all() and (table.get(keys + np.uint64(1)) == -1).all()
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_units_add_up_to_the_librarys_ids(name):
+    path = P.path(name)
+    texts = ["it's don't x1y2", "ABC <|endoftext|> d", "á ëx,   zz q", "1234 5.6%", "Ünïcode—dash … »quote« ×÷", "你好, world 2²", "\x1c\x1d a\x85b", "fin. (x) 's 'll'a", "İI ΣΑΣ", " \n ", "", None, "é'é", "e\u0301 a\u0301,", "tab\tand\nbreak\n", "x," * 40, "A1b2 " * 30]
+    rng = np.random.default_rng(8)
+    parts = ["word", "Word", ",", ".", " ", " ", "\n", "7", "é", "'", "ß", "!", "—", "\t"]
+    texts += ["".join(parts[k] for k in rng.integers(0, len(parts), 40)) for _ in range(300)]
+    for _, cut in textkit.slices(pa.array(texts)):
+        assert token_counts.count_slice(cut, path, None).tolist() == token_counts.lengths([t or "" for t in texts], path).tolist()
+        if name.startswith("byte"):
+            ids, n = token_output.encode_slice(cut, path, 0)
+            ends = np.cumsum(n)
+            assert [ids[e - k : e - 1].tolist() for e, k in zip(ends, n)] == token_output.encode_whole([t or "" for t in texts], path)
+
+
+def test_shards_refuse_ids_that_do_not_fit():
+    ids = np.array([1, 70000, 3], np.uint32)
+    with pytest.raises(ValueError):
+        token_output.build(ids, np.array([3]), pa.array([1]), 16)
+    shard = token_output.WaveletShard(token_output.build(ids, np.array([3]), pa.array([1]), 17))
+    assert shard.ids().tolist() == ids.tolist() and shard.access(1) == 70000 and shard.locate(70000) == [1]
+
+
+def test_token_queries_take_any_id_and_extra_columns(spark, rows):
+    from pyspark.sql import functions as F
+
+    long = "lorem ipsum, dolor 12 " * 150_000  # longer than a slice of the batch kernels
+    table = spark.createDataFrame([(str(i), t) for i, t in rows] + [("long", long)], "`the id` string, text string")
+    table = table.withColumns({c: F.lit(1) for c in ("id", "ids", "decoded", "row", "_id", "_text", "n_tokens", "chunk")})
+    lib = {i: t or "" for i, t in [(str(i), t) for i, t in rows] + [("long", long)]}
+    got = byte_bpe.digests(byte_bpe.byte_bpe(table, RANKS, P.PATTERN, id_col="the id"), id_col="the id").collect()
+    assert {r["the id"]: r.decoded_sha256 for r in got}["long"] == hashlib.sha256(long.encode()).hexdigest() and len(got) == len(rows) + 1
+    counts = token_counts.token_counts(table, P.path("word_bpe_49k.json"), id_col="the id").collect()
+    assert {r["the id"]: r.n_tokens for r in counts if r["the id"] != "None"} == {i: int(token_counts.lengths([t], P.path("word_bpe_49k.json"))[0]) for i, t in lib.items() if i != "None"}
+    ids = token_output.token_output(table, JSON, id_col="the id").collect()
+    assert len(ids) == len(rows) + 1 and {r["the id"]: r.n_tokens for r in ids}["long"] == len(token_output.encode_whole([long], JSON)[0]) + 1
+
+
+def test_frequent_units_come_from_all_tasks(spark):
+    texts = [("common words " * 50 + f"rare{k}x{k * 7} ",) for k in range(400)]
+    keys, n = token_counts.frequent_table(spark.createDataFrame(texts, "text string").repartition(9), P.path("word_bpe_49k.json"), "text", 2, 16)
+    want = {int(textkit.Texts(np.frombuffer(w, np.uint8), np.array([0, len(w)])).hash(np.array([0]), np.array([len(w)]))[0]) for w in (b"common", b"words")}
+    assert set(map(int, keys)) == want and n.tolist() == [1, 1]
