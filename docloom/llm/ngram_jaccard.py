@@ -11,26 +11,31 @@ In so many dimensions a tree of bounding boxes alone would visit nearly every le
 
 * Leaves. The groups are dealt into ``D + 1 + e`` blocks, D being the largest
   distance that a link allows in the size class. Two linked points agree in all but
-  D blocks, so they share at least one leaf: a block and its exact counts. Every
-  point is filed under its blocks' counts in its own size class and the next. Blocks
-  without any shingle are not filed unless a point has more than ``e`` of them.
+  D blocks, so they share at least ``1 + e`` leaves: a block and its exact counts. Every
+  point is filed under its blocks' counts in its own size class and the next.
+* Rare leaves. Leaves have one order for all points: blocks without any shingle first,
+  then the leaves of most members. A point leaves out its first ``e`` leaves of that
+  order. Two linked points share ``e`` leaves before the last one they share, so
+  neither leaves that one out, and a point with no more than ``e`` shared leaves has no
+  link at all. So a passage that many documents share makes no large leaf of them.
 * Stars. Each leaf's members are paired with its least one. Pairs that the summed
   minima of their points cannot exclude form stars around that document; a star's
-  members are joined with it and with each other in blocks of BLOCK through a
-  bulk-loaded R-tree, which bounds the overlap of two boxes, then of two points, by the
-  summed minima. Pairs that survive are verified on their shingle sets unless links
-  found before connect them already, so a block returns fewer links than it has members.
-* What the stars leave open. In a leaf whose members lie in different components, the
-  members are joined through the same tree over their points alone; the surviving pairs
-  of different components form stars again and are verified.
-
-Each document's set travels once for its first star, and once more for each later pair
-that is still open. Documents that merely share a passage, and so a leaf, are told apart
-by their points and their sets never travel.
-
-Equal sets are collapsed first, map-side and globally. Leaves are pre-aggregated in
-each task: only the task's least member of a leaf is sent on, as packed arrays, so a
-leaf or a set that a third of all documents share costs one entry a task.
+  members are joined with it and with each other in blocks through a bulk-loaded
+  R-tree, which bounds the overlap of two boxes, then of two points, by the summed
+  minima. Pairs that survive are verified on their shingle sets unless links found
+  before connect them already, so a block returns fewer links than it has members.
+* What the stars leave open. Where the members of a leaf lie in different components,
+  those outside the largest one are joined with all through the same tree over their
+  points alone; the surviving pairs form stars again and are verified.
+
+A point has about as many groups as half the document's shingles, so its bound tells
+long documents apart as well as short ones. Points of different width are folded to the
+narrower one. Only the sets of pairs that the points let pass travel.
+
+Equal sets are collapsed first, map-side and globally. Filings travel as packed arrays,
+to the leaf's bucket and from there to the member's. A leaf of more than HOT members in
+one task counts as one of the largest: its members go to their own buckets at once, and
+only a notice goes to the leaf's. Its star is made in two steps over salted parts.
 
 The result is exact up to 64-bit hashes of shingles. ``component`` is the smallest id
 reachable by links. The links that components need are only some; n_links counts all,
@@ -57,15 +62,19 @@ from docloom.llm.components import components
 from docloom.llm.store import Workspace
 from docloom.llm.textkit import U64, mix
 
-#: Fine groups in a block, and coordinates of the points that bound a pair.
+#: Fine groups in a block, and the fewest coordinates of a point.
 FINE = 1 << 12
-GROUPS = 256
+GROUPS = 64
+#: One spare block for so many that may differ.
+SPARE = 4
 #: Entries that a task holds before it sorts and sends them: 16 bytes each.
-FLUSH = 1 << 20
+FLUSH = 1 << 18
+#: Members of a leaf in one task from which it counts as one of the largest, and the rank that it has then.
+HOT, LARGEST = 1024, 1 << 30
 #: Rows up to which the tasks of documents are joined to their texts by a broadcast; beyond, by a shuffle.
 BROADCAST_IDS = 500_000
-#: Documents of a star or of one side of a leaf that a task joins.
-BLOCK = 256
+#: Documents of a star or of one side of a leaf that a task joins, and the shingles of a star's task.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 #: Shingles that a task counts at once.
 COLUMNS = 1 << 13
 
@@ -86,7 +95,7 @@ class Plan:
         self.starts = np.array(starts, np.int64)
         ends = np.append(self.starts[1:], largest) - 1
         allowed = np.array([self.apart(int(e), int(e)) for e in ends], np.int64)
-        self.spare = 1 + allowed // 32
+        self.spare = 1 + allowed // SPARE
         self.blocks = allowed + 1 + self.spare
 
     def apart(self, a, b):
@@ -130,10 +139,21 @@ def shingle_sets(texts: textkit.Texts, size: int) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(sets) if sets else np.zeros(0, U64)), n
 
 
-def point(h: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
-    """Count vectors: one row of GROUPS counts a document."""
-    slot = doc * GROUPS + (mix(h) & U64(GROUPS - 1)).astype(np.int64)
-    return np.bincount(slot, minlength=docs * GROUPS).reshape(docs, GROUPS)
+def width(n: int) -> int:
+    """Coordinates of the point of ``n`` shingles: the power of two from n / 2 on."""
+    return max(GROUPS, 1 << max(0, (n - 1) // 2).bit_length())
+
+
+def point(h: np.ndarray, wide: int) -> np.ndarray:
+    """The count vector of a set."""
+    return np.bincount((mix(h) & U64(wide - 1)).astype(np.int64), minlength=wide)
+
+
+def fold(vectors: np.ndarray, wide: int) -> np.ndarray:
+    """Points, one a row, in fewer coordinates."""
+    if vectors.shape[1] == wide:
+        return vectors
+    return vectors.reshape(len(vectors), -1, wide).sum(axis=1, dtype=np.int64)
 
 
 def prints(h: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -145,11 +165,15 @@ def prints(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return fp
 
 
-def leaves(h: np.ndarray, n: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """(leaf, document index) of every filing."""
+def leaves(h: np.ndarray, n: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(leaf, document index) of every filing; a row of spare leaves still to be left out for even and odd classes.
+
+    A leaf's last bit is that of its class, and a document is filed in two that follow one another.
+    """
     doc = np.repeat(np.arange(len(n)), n)
     mixed = mix(h ^ U64(0xA5A5A5A5A5A5A5A5))
-    out_leaf, out_doc = [], []
+    out_leaf, out_doc = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    left = np.full((2, len(n)), NO_SPARE, np.int64)
     for cls in plan.filings(n):
         filed = cls >= 0
         k = np.where(filed, plan.blocks[np.maximum(cls, 0)], 0)
@@ -162,29 +186,36 @@ def leaves(h: np.ndarray, n: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.nda
         slot = base[d] + (group % k[d].astype(U64)).astype(np.int64)
         total = np.zeros(base[-1], U64)
         np.add.at(total, slot, mix(group + U64(1)))
-        empty = np.bincount(slot, minlength=base[-1]) == 0
+        keep = np.bincount(slot, minlength=base[-1]) > 0
         owner = np.repeat(np.arange(len(n)), k)
         block = np.arange(base[-1]) - base[owner]
+        salt = mix((cls[owner].astype(U64) << U64(32)) + block.astype(U64))
+        leaf = mix(total ^ salt) & ~U64(1) | (cls[owner] & 1).astype(U64)
         spare = plan.spare[np.maximum(cls, 0)]
-        many = np.bincount(owner[empty], minlength=len(n)) > spare
-        keep = ~empty | many[owner]
-        salt = mix((cls[owner[keep]].astype(U64) << U64(32)) + block[keep].astype(U64))
-        out_leaf.append(mix(total[keep] ^ salt))
+        void = np.bincount(owner[~keep], minlength=len(n))
+        for i in np.flatnonzero(filed & (void > spare)).tolist():  # more empty blocks than may be left out
+            at = base[i] + np.flatnonzero(~keep[base[i] : base[i + 1]])
+            keep[at[np.argsort(leaf[at], kind="stable")[spare[i] :]]] = True
+        here = np.flatnonzero(filed)
+        left[cls[here] & 1, here] = np.minimum(np.maximum(spare - void, 0)[here], NO_SPARE - 1)
+        out_leaf.append(leaf[keep])
         out_doc.append(owner[keep])
-    if not out_leaf:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    return np.concatenate(out_leaf), np.concatenate(out_doc)
+    return np.concatenate(out_leaf), np.concatenate(out_doc), left
+
 
+#: What stands for the spare leaves of a class in which a document is not filed.
+NO_SPARE = 0xFFFF
 
-_INDEX = "kind string, a long, b long"
-_SENT = "bucket int, leaf binary, leaf_ids binary, cells binary, sets binary, stars binary, equals binary, points binary"
+_INDEX = "kind string, a long, b long, m int"
+_ARRAYS = ("leaf", "ids", "m", "hot", "sets", "equals", "points", "cells")
+_SENT = "bucket int, source int, " + ", ".join(f"{c} binary" for c in _ARRAYS)
 
 
-def _index(docs: DataFrame, size: int, plan: Plan, buckets: int) -> DataFrame:
-    """Points (kind p: id, set size), leaves (c: leaf, member), their stars (s) and equal sets (e).
+def _index(docs: DataFrame, size: int, plan: Plan, buckets: int, hot: int = HOT) -> DataFrame:
+    """Points (kind p: id, set size), leaves (c: leaf, member, members) and equal sets (e: two ids).
 
-    A leaf (a set) of m members gives m - 1 pairs, each with its least member; leaves of
-    one member are left out.
+    A set of m members gives m - 1 pairs, each with its least member. A leaf is there
+    only for the members that do not leave it out.
     """
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,30 +226,34 @@ def _index(docs: DataFrame, size: int, plan: Plan, buckets: int) -> DataFrame:
             for row, texts in textkit.slices(batch.column(1)):
                 h, n = shingle_sets(texts, size)
                 fp = prints(h, n)
-                leaf, owner = leaves(h, n, plan)
-                held.append((ids[row : row + len(n)], n, fp, leaf, owner))
-                filled += len(leaf)
+                held.append((ids[row : row + len(n)], n, fp, *leaves(h, n, plan)))
+                filled += len(held[-1][3])
                 if filled > FLUSH:
-                    yield _packed(held, buckets)
+                    yield _packed(held, buckets, hot)
                     filled = 0
         if held:
-            yield _packed(held, buckets)
+            yield _packed(held, buckets, hot)
         textkit.release()
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["bucket"] != now and rows:
-                    yield _gathered(rows)
-                    rows = []
-                now = row["bucket"]
-                rows.append(row)
-        if rows:
-            yield _gathered(rows)
-        textkit.release()
+    def by_bucket(work):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, rows = None, []
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if row["bucket"] != now and rows:
+                        yield work(rows)
+                        rows = []
+                    now = row["bucket"]
+                    rows.append(row)
+            if rows:
+                yield work(rows)
+            textkit.release()
 
-    return docs.mapInArrow(file, _SENT).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, _INDEX)
+        return run
+
+    sent = docs.mapInArrow(file, _SENT).repartition("bucket").sortWithinPartitions("bucket")
+    sent = sent.mapInArrow(by_bucket(lambda rows: _gathered(rows, buckets)), _SENT).repartition("bucket").sortWithinPartitions("bucket")
+    return sent.mapInArrow(by_bucket(_ranked), _INDEX)
 
 
 def _stars(keys: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,20 +269,37 @@ def _stars(keys: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndar
     return order[starts], np.unique(pairs, axis=0) if len(pairs) else pairs.astype(np.int64)
 
 
-def _shared(leaf: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """(leaf, member) of the leaves with two or more entries."""
-    order = np.argsort(leaf, kind="stable")
-    same = leaf[order[1:]] == leaf[order[:-1]]
-    hit = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(leaf) else np.zeros(0, bool)
-    at = order[hit]
-    return np.stack([leaf[at].view(np.int64), ids[at]], axis=1)
+def _squeezed(x: np.ndarray) -> bytes:
+    """The bytes of integers, all lowest bytes first: those that are always zero then compress to nothing."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()
+
+
+def _loosened(raw: bytes, kind) -> np.ndarray:
+    wide = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(wide, -1).T).view(kind).reshape(-1)
+
+
+def _spread(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each id."""
+    return ((mix(ids.astype(np.int64).view(U64)) >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+
+
+def _cuts(part: np.ndarray, buckets: int) -> tuple[np.ndarray, list[slice]]:
+    """The order by bucket and each bucket's places in it."""
+    order = np.argsort(part, kind="stable")
+    at = np.searchsorted(part[order], np.arange(buckets + 1))
+    return order, [slice(at[b], at[b + 1]) for b in range(buckets)]
+
+
+def _messages(rows: list[dict]) -> pa.RecordBatch:
+    columns = [pa.array([r["bucket"] for r in rows], pa.int32()), pa.array([r.get("source", -1) for r in rows], pa.int32())]
+    return pa.RecordBatch.from_arrays(columns + [pa.array([r.get(c) for r in rows], pa.binary()) for c in _ARRAYS], names=["bucket", "source", *_ARRAYS])
 
 
-def _packed(held: list[tuple], buckets: int) -> pa.RecordBatch:
-    """What a task sends: for each bucket its leaves' and sets' least members, its own pairs, its points."""
-    ids = np.concatenate([x[0] for x in held])
-    n = np.concatenate([x[1] for x in held])
-    fp = np.concatenate([x[2] for x in held], axis=1)
+def _packed(held: list[tuple], buckets: int, least: int) -> pa.RecordBatch:
+    """What a task sends: filings to the leaves' buckets; points, its own equal sets and members of hot leaves to the documents'."""
+    ids, n = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+    fp, left = (np.concatenate([x[k] for x in held], axis=1) for k in (2, 5))
     shift = np.cumsum([0] + [len(x[0]) for x in held])
     leaf = np.concatenate([x[3] for x in held])
     owner = np.concatenate([x[4] + s for x, s in zip(held, shift)])
@@ -259,44 +311,92 @@ def _packed(held: list[tuple], buckets: int) -> pa.RecordBatch:
     filed[lead] = True
     take = filed[owner]
     leaf, member = leaf[take], ids[owner[take]]
-    pivot, stars = _stars([leaf], member)
-
-    def part(x: np.ndarray) -> np.ndarray:
-        return ((x >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
-
-    def by_bucket(key: np.ndarray, *columns: np.ndarray) -> list[list[bytes]]:
-        order = np.argsort(key, kind="stable")
-        at = np.searchsorted(part(key[order]), np.arange(buckets + 1))
-        return [[c[order[at[b] : at[b + 1]]].tobytes() for b in range(buckets)] for c in columns]
-
-    leafs, leaf_ids = by_bucket(leaf[pivot], leaf[pivot], member[pivot])
-    (sets,) = by_bucket(fp[0][lead], np.stack([fp[0][lead].view(np.int64), fp[1][lead].view(np.int64), ids[lead]], axis=1))
-    spread = lambda x: mix(x.astype(np.int64).view(U64))
-    local = _shared(leaf, member)
-    (cells,) = by_bucket(local[:, 0].copy().view(U64), local)
-    (own,) = by_bucket(spread(stars[:, 1].copy()), stars)
-    (same,) = by_bucket(spread(equals[:, 1].copy()), equals)
-    (points,) = by_bucket(spread(ids), np.stack([ids, n], axis=1))
-    rows = [b for b in range(buckets) if leafs[b] or points[b] or sets[b] or own[b] or same[b]]  # cells lie in buckets of leaves
-    return pa.RecordBatch.from_arrays(
-        [pa.array(rows, pa.int32()), *[pa.array([c[b] for b in rows], pa.binary()) for c in (leafs, leaf_ids, cells, sets, own, same, points)]],
-        names=["bucket", "leaf", "leaf_ids", "cells", "sets", "stars", "equals", "points"],
-    )
-
-
-def _gathered(rows: list[dict]) -> pa.RecordBatch:
-    """One bucket's points and pairs."""
-    read = lambda c, kind, width: np.frombuffer(b"".join(r[c] for r in rows), kind).reshape(-1, width)
-    points, sets = read("points", np.int64, 2), read("sets", np.int64, 3)
-    leaf, ids = read("leaf", U64, 1)[:, 0], read("leaf_ids", np.int64, 1)[:, 0]
-    _, stars = _stars([leaf], ids)
-    cells = np.concatenate([_shared(leaf, ids), read("cells", np.int64, 2)])
+    order = np.argsort(leaf, kind="stable")
+    leaf, member = leaf[order], member[order]
+    starts = np.flatnonzero(np.concatenate(([True], leaf[1:] != leaf[:-1]))) if len(leaf) else np.zeros(0, np.int64)
+    count = np.diff(np.append(starts, len(leaf)))
+    hot = np.repeat(count >= least, count)
+    # A leaf is its bucket and 32 bits more: two that fall together give candidates and no links.
+    bucket = lambda x: ((x >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+    whole = bucket(leaf) << 32 | (leaf & U64(0xFFFFFFFF)).astype(np.int64)
+    notice = whole[starts[count >= least]]
+    hot_cells = np.stack([whole[hot], member[hot]], axis=1)
+    whole, member = whole[~hot], member[~hot]
+    cut = np.searchsorted(whole, np.arange(buckets + 1) << 32)
+    sets = np.stack([fp[0][lead].view(np.int64), fp[1][lead].view(np.int64), ids[lead]], axis=1)
+    set_order, set_at = _cuts(bucket(fp[0][lead]), buckets)
+    point_order, point_at = _cuts(_spread(ids, buckets), buckets)
+    points = np.stack([ids, n, left[0] << 16 | left[1]], axis=1)[point_order]
+    equal_order, equal_at = _cuts(_spread(equals[:, 1], buckets), buckets)
+    cell_order, cell_at = _cuts(_spread(hot_cells[:, 1], buckets), buckets)
+    rows = []
+    for b in range(buckets):
+        own = slice(cut[b], cut[b + 1])
+        row = {
+            "bucket": b, "leaf": _squeezed(whole[own].astype(np.uint32)), "ids": _squeezed(member[own]), "hot": (notice[notice >> 32 == b] & 0xFFFFFFFF).astype(np.uint32).tobytes(),
+            "sets": sets[set_order[set_at[b]]].tobytes(), "equals": equals[equal_order[equal_at[b]]].tobytes(), "points": _squeezed(points[point_at[b]].reshape(-1)), "cells": hot_cells[cell_order[cell_at[b]]].tobytes(),
+        }
+        if any(row[c] for c in _ARRAYS if c in row):
+            rows.append(row)
+    return _messages(rows)
+
+
+def _read(rows: list[dict], column: str, kind, wide: int) -> np.ndarray:
+    return np.frombuffer(b"".join(r[column] or b"" for r in rows), kind).reshape(-1, wide)
+
+
+def _gathered(rows: list[dict], buckets: int) -> pa.RecordBatch:
+    """One bucket of leaves: the shared ones with their number of members, sent to the members' buckets; the rest passes through."""
+    here = rows[0]["bucket"]
+    leaf = np.concatenate([_loosened(r["leaf"] or b"", np.uint32) for r in rows])
+    ids = np.concatenate([_loosened(r["ids"] or b"", np.int64) for r in rows])
+    hot = np.unique(_read(rows, "hot", np.uint32, 1))
+    order = np.argsort(leaf, kind="stable")
+    leaf, ids = leaf[order], ids[order]
+    starts = np.flatnonzero(np.concatenate(([True], leaf[1:] != leaf[:-1]))) if len(leaf) else np.zeros(0, np.int64)
+    count = np.diff(np.append(starts, len(leaf)))
+    count[np.isin(leaf[starts], hot)] = LARGEST
+    m = np.repeat(count, np.diff(np.append(starts, len(leaf)))).astype(np.int32)
+    shared = m > 1
+    leaf, ids, m = leaf[shared], ids[shared], m[shared]
+    order, at = _cuts(_spread(ids, buckets), buckets)
+    leaf, ids, m = leaf[order], ids[order], m[order]
+    sets = _read(rows, "sets", np.int64, 3)
     _, equals = _stars([sets[:, 1], sets[:, 0]], sets[:, 2])
-    stars = np.concatenate([stars.reshape(-1, 2), read("stars", np.int64, 2)])
-    equals = np.concatenate([equals.reshape(-1, 2), read("equals", np.int64, 2)])
-    kinds = ["p"] * len(points) + ["c"] * len(cells) + ["s"] * len(stars) + ["e"] * len(equals)
-    every = np.concatenate([points, cells, stars, equals])
-    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(every[:, 0]), pa.array(every[:, 1])], names=["kind", "a", "b"])
+    equals = np.concatenate([equals.reshape(-1, 2), _read(rows, "equals", np.int64, 2)])
+    out = [{"bucket": b, "source": here, "leaf": _squeezed(leaf[p]), "ids": _squeezed(ids[p]), "m": _squeezed(m[p])} for b, p in enumerate(at) if p.stop > p.start]
+    points = b"".join(_loosened(r["points"], np.int64).tobytes() for r in rows if r["points"])
+    out.append({"bucket": here, "points": _squeezed(np.frombuffer(points, np.int64)), "equals": equals.tobytes(), "cells": b"".join(r["cells"] or b"" for r in rows)})
+    return _messages(out)
+
+
+def _ranked(rows: list[dict]) -> pa.RecordBatch:
+    """One bucket of documents: points, equal sets and the leaves that the documents do not leave out."""
+    filed = [r for r in rows if r["source"] >= 0]
+    far = [(_loosened(r["leaf"], np.uint32).astype(np.int64) | r["source"] << 32, _loosened(r["ids"], np.int64), _loosened(r["m"], np.int32).astype(np.int64)) for r in filed]
+    hot = _read(rows, "cells", np.int64, 2)
+    leaf, ids, m = (np.concatenate(x) for x in zip(*far, (hot[:, 0], hot[:, 1], np.full(len(hot), LARGEST))))
+    points = np.frombuffer(b"".join(_loosened(r["points"], np.int64).tobytes() for r in rows if r["points"]), np.int64).reshape(-1, 3)
+    equals = _read(rows, "equals", np.int64, 2)
+    known, own = np.unique(points[:, 0], return_inverse=True)
+    spare = np.full((2, len(known)), NO_SPARE, np.int64)
+    np.minimum.at(spare[0], own, points[:, 2] >> 16)  # an id of several texts leaves out what all of them may
+    np.minimum.at(spare[1], own, points[:, 2] & 0xFFFF)
+    odd = leaf & 1
+    order = np.lexsort((leaf, -m, odd, ids))
+    leaf, ids, m, odd = (x[order] for x in (leaf, ids, m, odd))
+    if len(ids):
+        fresh = np.concatenate(([True], (ids[1:] != ids[:-1]) | (odd[1:] != odd[:-1])))
+        again = np.concatenate(([False], (leaf[1:] == leaf[:-1]) & ~fresh[1:]))
+        place = np.cumsum(~again)
+        first = np.flatnonzero(fresh)
+        place -= np.repeat(place[first], np.diff(np.append(first, len(ids))))
+        keep = ~again & (place >= spare[odd, np.searchsorted(known, ids)])
+        leaf, ids, m = leaf[keep], ids[keep], m[keep]
+    kinds = pa.array(["p"] * len(points) + ["e"] * len(equals) + ["c"] * len(ids), pa.string())
+    none = np.zeros(len(points) + len(equals), np.int64)
+    columns = [np.concatenate((points[:, 0], equals[:, 0], leaf)), np.concatenate((points[:, 1], equals[:, 1], ids)), np.concatenate((none, m)).astype(np.int32)]
+    return pa.RecordBatch.from_arrays([kinds, *map(pa.array, columns)], names=["kind", "a", "b", "m"])
 
 
 class CountTree:
@@ -313,7 +413,6 @@ class CountTree:
                 split += [p[: len(p) // 2], p[len(p) // 2 :]]
             parts = split
         self.leaves = [p for p in parts if len(p)]
-        vectors = np.where((vectors == 255).all(axis=1, keepdims=True), 1 << 40, vectors) if vectors.size else vectors  # not known: excludes nothing
         self.levels = [(np.array([vectors[p].max(axis=0) for p in self.leaves]), np.array([n[p].min() for p in self.leaves]))]
         while len(self.levels[-1][0]) > 1:
             high, low = self.levels[-1]
@@ -328,7 +427,7 @@ class CountTree:
             level, i, j = stack.pop()
             a = self.levels[min(level, len(self.levels) - 1)]
             b = other.levels[min(level, len(other.levels) - 1)]
-            if np.minimum(a[0][i], b[0][j]).sum() < plan.needed(int(a[1][i]), int(b[1][j])):
+            if np.minimum(a[0][i], b[0][j]).sum(dtype=np.int64) < plan.needed(int(a[1][i]), int(b[1][j])):
                 continue
             if level == 0:
                 yield self.leaves[i], other.leaves[j]
@@ -398,36 +497,45 @@ def _points(docs: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for row, texts in textkit.slices(batch.column(1)):
                 h, n = shingle_sets(texts, size)
-                v = point(h, np.repeat(np.arange(len(n)), n), len(n))
-                packed = [x.astype(np.uint8).tobytes() if m < 256 else b"" for x, m in zip(v, v.max(axis=1, initial=0))]
+                cut = np.concatenate(([0], np.cumsum(n)))
+                points = [point(h[i:j], width(j - i)) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
+                packed = [x.astype(np.uint8).tobytes() if x.max() < 256 else b"" for x in points]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(n)), pa.array(n), pa.array(packed, pa.binary())], names=["doc", "n", "vector"])
 
     return docs.mapInArrow(build, "doc long, n long, vector binary")
 
 
-_DENSE = b"\xff" * GROUPS
-
-
-def _unpack(column: pa.Array) -> np.ndarray:
-    """Vectors as rows; an empty one as the largest there is."""
-    return np.frombuffer(b"".join(x or _DENSE for x in column.to_pylist()), np.uint8).reshape(-1, GROUPS)
+def bounds(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """The summed minima of pairs of packed points, in the coordinates of the narrower one; an empty one bounds nothing."""
+    wide = np.array([(len(x), len(y)) for x, y in zip(left, right)], np.int64).reshape(-1, 2)
+    out = np.full(len(wide), 1 << 40, np.int64)
+    for la, lb in np.unique(wide, axis=0).tolist():
+        least = min(la, lb)
+        if not least:
+            continue
+        every = np.flatnonzero((wide == (la, lb)).all(axis=1))
+        step = max(1, (1 << 21) // max(la, lb))
+        for k in range(0, len(every), step):
+            at = every[k : k + step]
+            a, b = (fold(np.frombuffer(b"".join(side[i] for i in at), np.uint8).reshape(len(at), w), least) for side, w in ((left, la), (right, lb)))
+            out[at] = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def _possible(pairs: DataFrame, points: DataFrame, plan: Plan) -> DataFrame:
-    """The pairs (a, b) that the summed minima of their points do not exclude."""
+    """The pairs (a, b) that the summed minima of their points do not exclude, with the size of b."""
     num, den = plan.num, plan.den
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Plan(num, den)
         for batch in batches:
-            top = np.minimum(_unpack(batch.column("va")), _unpack(batch.column("vb"))).sum(axis=1, dtype=np.int64)
-            dense = np.array([not x or not y for x, y in zip(batch.column("va").to_pylist(), batch.column("vb").to_pylist())], bool)
             na, nb = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
-            yield batch.select(["a", "b"]).filter(pa.array(dense | (top >= p.needed(na, nb))))
+            top = bounds(batch.column("va").to_pylist(), batch.column("vb").to_pylist())
+            yield batch.select(["a", "b", "nb"]).filter(pa.array(top >= p.needed(na, nb)))
 
     for side in ("b", "a"):
         pairs = pairs.join(points.select(F.col("doc").alias(side), F.col("n").alias(f"n{side}"), F.col("vector").alias(f"v{side}")), side)
-    return pairs.mapInArrow(bound, "a long, b long")
+    return pairs.mapInArrow(bound, "a long, b long, nb long")
 
 
 def _linked(docs: DataFrame, dealt: DataFrame, size: int, plan: Plan, few: bool) -> DataFrame:
@@ -443,11 +551,11 @@ def _linked(docs: DataFrame, dealt: DataFrame, size: int, plan: Plan, few: bool)
         doc, comp, left, right = (table.column(c).to_numpy() for c in ("doc", "component", "left", "right"))
         sets = [np.frombuffer(x, U64) for x in table.column("shingles").to_pylist()]
         n = np.array([len(x) for x in sets], np.int64)
-        flat = np.concatenate(sets)
-        vectors = point(flat, np.repeat(np.arange(len(sets)), n), len(sets)).astype(np.int32)
+        wide = width(int(n.min()))
+        vectors = np.stack([point(x, wide) for x in sets])
         found = connect(comp, n, vectors, sets, np.flatnonzero(left), np.flatnonzero(right), Plan(num, den))
         at = np.array(found, np.int64).reshape(-1, 2)
-        if len(flat) > 1 << 20:
+        if n.sum() > 1 << 20:
             textkit.release()
         return pa.table({"a": pa.array(doc[at[:, 0]]), "b": pa.array(doc[at[:, 1]])})
 
@@ -463,6 +571,7 @@ def ngram_jaccard(
     text_col: str = "text",
     buckets: int | None = None,
     links: bool = True,
+    hot: int = HOT,
 ) -> DataFrame:
     """(id, n_shingles, component_id, n_links) of every row; links need ``den * shared >= num * all``.
 
@@ -473,28 +582,32 @@ def ngram_jaccard(
     spark = docs.sparkSession
     ws = Workspace(spark, "jaccard")
     plan = Plan(num, den)
-    buckets = buckets or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     known = rows.filter("doc is not null")
-    index = ws.save(_index(known, size, plan, buckets), "index")
+    index = ws.save(_index(known, size, plan, buckets, hot), "index")
+    ws.release()
 
     equals = index.filter("kind = 'e'").select("a", "b")
-    stars = ws.save(index.filter("kind = 's'").select("a", "b").distinct(), "stars")
-    wanted = ws.save(stars.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "wanted")
+    lists, split = _members(index.filter("kind = 'c'").select(F.col("a").alias("leaf"), F.col("b").alias("doc"), "m"), ws)
+    stars = ws.save(_leaf_stars(lists, split).distinct(), "stars")
+    inside = lists.select(F.explode("members").alias("doc")).unionByName(split.select(F.explode("members").alias("doc")))
+    wanted = ws.save(inside.distinct(), "wanted")
     few = wanted.count() <= BROADCAST_IDS
     points = ws.save(_points(known.join(F.broadcast(wanted) if few else wanted, "doc", "left_semi"), size), "points")
     kept = ws.save(_possible(stars, points, plan), "kept")
+    ws.drop("wanted")
 
     # The first star of each document, then the other pairs whose ends are still apart.
-    lead = kept.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = equals.unionByName(_verified(known, lead, None, size, plan, ws, "lead"))
-    parts = ws.save(components(links, ws, "parts-1"), "parts-lead")
+    lead = kept.groupBy("b").agg(F.min(F.struct("a", "nb")).alias("s")).select("s.a", "b", "s.nb")
+    parts = ws.save(components(equals.unionByName(_verified(known, lead, None, size, plan, ws, "lead")), ws, "parts"), "parts-lead")
     rest = kept.join(lead, ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(known, rest, parts, size, plan, ws, "rest"))
-    parts = ws.save(components(links, ws, "parts-2"), "parts-rest")
-    more = _within_leaves(index.filter("kind = 'c'").select(F.col("a").alias("leaf"), F.col("b").alias("doc")), stars, parts, points, plan, ws)
-    links = links.unionByName(_verified(known, more, parts, size, plan, ws, "open"))
-    parts = ws.save(components(links, ws, "parts-3"), "parts")
+    parts = _merged(parts, _verified(known, rest, parts, size, plan, ws, "rest"), ws, "rest")
+    more = _within_leaves(lists, split, stars, parts, points, plan, ws)
+    if not more.isEmpty():
+        parts = _merged(parts, _verified(known, more, parts, size, plan, ws, "open"), ws, "open")
+    ws.drop("lists", "split", "stars", "points", "kept", "within", "lead-links", "rest-links", "open-links")
+    ws.release()
 
     sizes = index.filter("kind = 'p'").select(F.col("a").alias("doc"), F.col("b").alias("n_shingles"))
     out = sizes.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").select(
@@ -594,6 +707,18 @@ def _labelled(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return pairs.filter("ca <> cb")
 
 
+def _merged(parts: DataFrame, links: DataFrame, ws: Workspace, name: str) -> DataFrame:
+    """(node, component) after further links: only the components that they connect are worked on again."""
+    joined = _labelled(links, parts)
+    if joined.isEmpty():
+        return parts
+    joined = ws.save(joined, f"{name}-joined")
+    alone = joined.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(parts, "node", "left_anti")
+    every = parts.unionByName(alone.withColumn("component", F.col("node")))
+    top = components(joined.select("ca", "cb"), ws, f"tops-{name}").select(F.col("node").alias("component"), F.col("component").alias("top"))
+    return ws.save(every.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component")), f"parts-{name}")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, parts: DataFrame | None, size: int, plan: Plan, ws: Workspace, name: str) -> DataFrame:
     """Links that connect what the pairs hold apart: the pairs' stars, block by block.
 
@@ -601,61 +726,126 @@ def _verified(docs: DataFrame, pairs: DataFrame, parts: DataFrame | None, size:
     """
     both = _labelled(pairs, parts) if parts is not None else pairs.withColumns({"ca": F.col("a"), "cb": F.col("b")})
     both = ws.save(both, f"{name}-pairs")
-    counts = both.groupBy("a").agg((F.floor((F.count(F.lit(1)) - 1) / BLOCK) + 1).cast("long").alias("blocks"), F.min("ca").alias("ca"))
+    blocks = F.greatest(F.floor((F.count(F.lit(1)) - 1) / BLOCK), F.floor(F.sum("nb") / BLOCK_SHINGLES)) + 1
+    counts = both.groupBy("a").agg(blocks.cast("long").alias("blocks"), F.min("ca").alias("ca"))
     yes = F.lit(True)
     arms = both.drop("ca").join(counts.select("a", "blocks"), "a").select(F.col("b").alias("doc"), F.col("a").alias("cluster"), F.pmod(F.xxhash64("b"), F.col("blocks")).alias("task"), yes.alias("left"), yes.alias("right"), F.col("cb").alias("component"))
     hubs = counts.select(F.col("a").alias("doc"), F.col("a").alias("cluster"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("task"), yes.alias("left"), yes.alias("right"), F.col("ca").alias("component"))
     tasks = ws.save(arms.unionByName(hubs), f"{name}-tasks")
-    return ws.save(_linked(docs, tasks, size, plan, tasks.count() <= BROADCAST_IDS), f"{name}-links")
+    found = ws.save(_linked(docs, tasks, size, plan, tasks.count() <= BROADCAST_IDS), f"{name}-links")
+    ws.drop(f"{name}-pairs", f"{name}-tasks")
+    return found
 
 
-def _within_leaves(cells: DataFrame, stars: DataFrame, parts: DataFrame, points: DataFrame, plan: Plan, ws: Workspace) -> DataFrame:
-    """Pairs that share a leaf, lie in different components, were no star, and pass the bound.
+def _members(cells: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """The leaves' members: each distinct list once (list, members), and those of large leaves by part (leaf, part, members).
 
-    Leaves of two members hold a star and no more. The members of the others that are
-    not one component are joined through the tree, by blocks: a leaf of m members makes
-    blocks of BLOCK, and a task holds two of them.
+    A list has about BLOCK members at most.
     """
-    members = cells.distinct().join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").select("leaf", "doc", F.coalesce("component", "doc").alias("component"))
-    counts = members.groupBy("leaf").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("m"))
-    split = counts.filter("c1 <> c2 and m > 2").select("leaf", (F.floor((F.col("m") - 1) / BLOCK) + 1).cast("long").alias("blocks"))
-    open_ = ws.save(members.join(split, "leaf"), "open")
-    mine = F.pmod(F.xxhash64("doc"), F.col("blocks"))
-    rows = (
-        open_.withColumn("mine", mine)
-        .select("leaf", "doc", "component", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-        .select("leaf", "doc", "component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine")
-        .join(points, "doc")
-    )
+    sized = cells.filter(F.col("m") < LARGEST).withColumn("m", F.col("m").cast("long"))
+    hot = cells.filter(F.col("m") == LARGEST).select("leaf", "doc")
+    sized = sized.unionByName(hot.join(hot.groupBy("leaf").agg(F.count(F.lit(1)).alias("m")), "leaf"))
+    small = sized.filter(F.col("m") <= BLOCK).groupBy("leaf").agg(F.sort_array(F.collect_set("doc")).alias("members"))
+    small = small.filter(F.size("members") > 1).select("members").distinct()
+    lists = ws.save(small.select(F.monotonically_increasing_id().alias("list"), "members"), "lists")
+    part = F.pmod(F.xxhash64("doc"), F.floor((F.col("m") - 1) / BLOCK) + 1).cast("long")
+    large = sized.filter(F.col("m") > BLOCK).groupBy("leaf", part.alias("part")).agg(F.sort_array(F.collect_set("doc")).alias("members"))
+    return lists, ws.save(large, "split")
+
+
+def _leaf_stars(lists: DataFrame, split: DataFrame) -> DataFrame:
+    """(a, b): the least member of each leaf with the others; in a large leaf part by part, then over the parts' least ones."""
+    arms = lists.select("members").unionByName(split.select("members"))
+    arms = arms.select(F.col("members")[0].alias("a"), F.explode(F.expr("slice(members, 2, size(members))")).alias("b"))
+    heads = split.select("leaf", F.col("members")[0].alias("b"))
+    return arms.unionByName(heads.join(heads.groupBy("leaf").agg(F.min("b").alias("a")), "leaf").filter("a <> b").select("a", "b"))
+
+
+def _within_leaves(lists: DataFrame, split: DataFrame, stars: DataFrame, parts: DataFrame, points: DataFrame, plan: Plan, ws: Workspace) -> DataFrame:
+    """Pairs that share a leaf, lie in different components, were no star, and pass the bound, with the size of b.
+
+    Leaves of two members hold a star and no more. The others are taken together by their
+    least member, since leaves with the same one have much the same members. Where the
+    members are not one component, those outside the largest one are joined with all,
+    through the tree; a task holds BLOCK of either at most.
+    """
+    of = parts.select(F.col("node").alias("doc"), "component")
+    small = lists.filter(F.size("members") > 2).select(F.lit(0).alias("kind"), F.col("members")[0].alias("leaf"), F.explode("members").alias("doc")).distinct()
+    rows = small.unionByName(split.select(F.lit(1).alias("kind"), "leaf", F.explode("members").alias("doc")))
+    rows = ws.save(rows.join(of, "doc", "left").withColumn("component", F.coalesce("component", "doc")), "grouped")
+    key = ["kind", "leaf"]
+    sizes = rows.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("n"))
+    blocks = lambda n: (F.floor((n - 1) / BLOCK) + 1).cast("long")
+    tops = sizes.groupBy(*key).agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    tops = tops.select(*key, F.col("main.component").alias("main"), blocks(F.col("m") - F.col("main.n")).alias("lefts"), blocks(F.col("m")).alias("rights"))
+    opened = ws.save(rows.join(tops, key), "opened")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    deal = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
+    near = opened.filter("component <> main").withColumn("i", deal("lefts")).select(*key, "i", every("rights").alias("j"), "doc", "component", F.lit(True).alias("left"))
+    far = opened.withColumn("j", deal("rights")).select(*key, every("lefts").alias("i"), "j", "doc", "component", F.lit(False).alias("left"))
+    dealt = near.unionByName(far).join(points, "doc")
     num, den = plan.num, plan.den
 
-    def join(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        doc, comp, n, mine = (table.column(c).to_numpy() for c in ("doc", "component", "n", "mine"))
-        i, j = key[1].as_py(), key[2].as_py()
-        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-        found = _tree_pairs(doc, comp, n, _unpack(table.column("vector")), left, right, Plan(num, den)) if len(left) and len(right) else {}
-        return pa.table({"a": pa.array(list(found), pa.int64()), "bs": pa.array([sorted(v) for v in found.values()], pa.list_(pa.int64()))})
-
-    pairs = rows.groupBy("leaf", "i", "j").applyInArrow(join, "a long, bs array<long>").select("a", F.explode("bs").alias("b")).distinct()
-    return ws.save(pairs.join(stars, ["a", "b"], "left_anti"), "within")
-
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = Plan(num, den)
+        for table in _groups(batches, ["kind", "leaf", "i", "j"]):
+            doc, comp, n, side = (table.column(c).to_numpy() for c in ("doc", "component", "n", "left"))
+            left, right = np.flatnonzero(side), np.flatnonzero(~side)
+            if len(left) and len(right):
+                found = _tree_pairs(doc, comp, n, table.column("vector").to_pylist(), left, right, p)
+                if found:
+                    a, b, nb = (np.array(x, np.int64) for x in zip(*sorted(found)))
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(nb)], names=["a", "b", "nb"])
+
+    place = [*key, "i", "j"]
+    pairs = dealt.repartition(*place).sortWithinPartitions(*place).mapInArrow(join, "a long, b long, nb long").distinct()
+    out = ws.save(pairs.join(stars, ["a", "b"], "left_anti"), "within")
+    ws.drop("grouped", "opened")
+    return out
 
-def _tree_pairs(doc: np.ndarray, comp: np.ndarray, n: np.ndarray, vectors: np.ndarray, left: np.ndarray, right: np.ndarray, plan: Plan) -> dict[int, set[int]]:
-    """Pairs of different components that the bound lets pass: greater ids by smaller id.
 
-    A full vector stands for one that is not known, and for all counts of 255.
+def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """The runs of rows with one key, across batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in key]
+        fresh = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        cuts = [0, *fresh.tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            now = tuple(int(c[a]) for c in columns)
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _tree_pairs(doc: np.ndarray, comp: np.ndarray, n: np.ndarray, packed: list[bytes], left: np.ndarray, right: np.ndarray, plan: Plan) -> set[tuple[int, int, int]]:
+    """(a, b, size of b) of the pairs of different components that the bound lets pass; a is the smaller id.
+
+    An empty point is not known and excludes nothing.
     """
-    a, b = CountTree(vectors[left].astype(np.int64), n[left]), CountTree(vectors[right].astype(np.int64), n[right])
-    full = (vectors == 255).all(axis=1)
-    out: dict[int, set[int]] = {}
+    known = [x for x in packed if x]
+    wide = min(map(len, known), default=1)
+    vectors = np.full((len(packed), wide), 0xFFFF, np.uint16)
+    for at in {len(x) for x in known}:
+        rows = [i for i, x in enumerate(packed) if len(x) == at]
+        vectors[rows] = fold(np.frombuffer(b"".join(packed[i] for i in rows), np.uint8).reshape(len(rows), at), wide)
+    a, b = CountTree(vectors[left], n[left]), CountTree(vectors[right], n[right])
+    out = set()
     for p, q in a.near_leaves(b, plan):
         p, q = left[p], right[q]
         apart = comp[p][:, None] != comp[q][None, :]
         if not apart.any():
             continue
-        top = np.minimum(vectors[p][:, None, :], vectors[q][None, :, :]).sum(axis=2, dtype=np.int64)
-        top[full[p]], top[:, full[q]] = 1 << 40, 1 << 40
+        top = np.minimum(vectors[p][:, None, :], vectors[q][None, :, :]).sum(axis=2, dtype=np.uint32)
         i, j = np.nonzero(apart & (top >= plan.needed(n[p][:, None], n[q][None, :])))
-        for x, y in zip(doc[p[i]].tolist(), doc[q[j]].tolist()):
-            out.setdefault(min(x, y), set()).add(max(x, y))
+        for x, y in zip(p[i].tolist(), q[j].tolist()):
+            x, y = (x, y) if doc[x] < doc[y] else (y, x)
+            out.add((int(doc[x]), int(doc[y]), int(n[y])))
     return out

@@ -7,6 +7,7 @@ and nothing lives on one machine only.
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -44,8 +45,14 @@ class Workspace:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        """Delete a table whose readers have all been materialised."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Delete tables whose readers have all been materialised."""
+        sc = self.spark.sparkContext
+        for name in names:
+            path = sc._jvm.org.apache.hadoop.fs.Path(self.path(name))
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of finished plans, which else wait for the driver's collector."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
