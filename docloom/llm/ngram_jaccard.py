@@ -75,6 +75,8 @@ HOT, LARGEST = 1024, 1 << 30
 BROADCAST_IDS = 500_000
 #: Documents of a star or of one side of a leaf that a task joins, and the shingles of a star's task.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: Members of a leaf that one task holds against those outside the largest component.
+FAR = 2048
 #: Shingles that a task counts at once.
 COLUMNS = 1 << 13
 
@@ -603,9 +605,9 @@ def ngram_jaccard(
     parts = ws.save(components(equals.unionByName(_verified(known, lead, None, size, plan, ws, "lead")), ws, "parts"), "parts-lead")
     rest = kept.join(lead, ["a", "b"], "left_anti")
     parts = _merged(parts, _verified(known, rest, parts, size, plan, ws, "rest"), ws, "rest")
-    more = _within_leaves(lists, split, stars, parts, points, plan, ws)
-    if not more.isEmpty():
-        parts = _merged(parts, _verified(known, more, parts, size, plan, ws, "open"), ws, "open")
+    tasks = _within_leaves(lists, split, parts, points, plan, ws)
+    links = ws.save(_linked(known, tasks, size, plan, tasks.count() <= BROADCAST_IDS), "open-links")
+    parts = _merged(parts, links, ws, "open")
     ws.drop("lists", "split", "stars", "points", "kept", "within", "lead-links", "rest-links", "open-links")
     ws.release()
 
@@ -761,13 +763,15 @@ def _leaf_stars(lists: DataFrame, split: DataFrame) -> DataFrame:
     return arms.unionByName(heads.join(heads.groupBy("leaf").agg(F.min("b").alias("a")), "leaf").filter("a <> b").select("a", "b"))
 
 
-def _within_leaves(lists: DataFrame, split: DataFrame, stars: DataFrame, parts: DataFrame, points: DataFrame, plan: Plan, ws: Workspace) -> DataFrame:
-    """Pairs that share a leaf, lie in different components, were no star, and pass the bound, with the size of b.
+def _within_leaves(lists: DataFrame, split: DataFrame, parts: DataFrame, points: DataFrame, plan: Plan, ws: Workspace) -> DataFrame:
+    """Tasks (doc, cluster, task, left, right, component) of documents that share a leaf, lie in different components and pass the bound.
 
     Leaves of two members hold a star and no more. The others are taken together by their
     least member, since leaves with the same one have much the same members. Where the
     members are not one component, those outside the largest one are joined with all,
-    through the tree; a task holds BLOCK of either at most.
+    through the tree; a task holds BLOCK of the former and FAR of the latter at most. Out
+    come the documents of any pair that the points let pass, not the pairs: their sets
+    meet in a task of their own, which returns only links that connect components.
     """
     of = parts.select(F.col("node").alias("doc"), "component")
     small = lists.filter(F.size("members") > 2).select(F.lit(0).alias("kind"), F.col("members")[0].alias("leaf"), F.explode("members").alias("doc")).distinct()
@@ -775,9 +779,9 @@ def _within_leaves(lists: DataFrame, split: DataFrame, stars: DataFrame, parts:
     rows = ws.save(rows.join(of, "doc", "left").withColumn("component", F.coalesce("component", "doc")), "grouped")
     key = ["kind", "leaf"]
     sizes = rows.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("n"))
-    blocks = lambda n: (F.floor((n - 1) / BLOCK) + 1).cast("long")
+    blocks = lambda n, most: (F.floor((n - 1) / most) + 1).cast("long")
     tops = sizes.groupBy(*key).agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    tops = tops.select(*key, F.col("main.component").alias("main"), blocks(F.col("m") - F.col("main.n")).alias("lefts"), blocks(F.col("m")).alias("rights"))
+    tops = tops.select(*key, F.col("main.component").alias("main"), blocks(F.col("m") - F.col("main.n"), BLOCK).alias("lefts"), blocks(F.col("m"), FAR).alias("rights"))
     opened = ws.save(rows.join(tops, key), "opened")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     deal = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
@@ -792,14 +796,17 @@ def _within_leaves(lists: DataFrame, split: DataFrame, stars: DataFrame, parts:
             doc, comp, n, side = (table.column(c).to_numpy() for c in ("doc", "component", "n", "left"))
             left, right = np.flatnonzero(side), np.flatnonzero(~side)
             if len(left) and len(right):
-                found = _tree_pairs(doc, comp, n, table.column("vector").to_pylist(), left, right, p)
-                if found:
-                    a, b, nb = (np.array(x, np.int64) for x in zip(*sorted(found)))
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(nb)], names=["a", "b", "nb"])
+                found = _tree_pairs(comp, n, table.column("vector").to_pylist(), left, right, p)
+                if len(found):
+                    some = table.take(pa.array(found))
+                    key = [some.column(c).combine_chunks() for c in ("kind", "leaf", "i", "j")]
+                    columns = [some.column("doc").combine_chunks(), *key, some.column("left").combine_chunks(), some.column("component").combine_chunks()]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc", "kind", "leaf", "i", "j", "left", "component"])
 
     place = [*key, "i", "j"]
-    pairs = dealt.repartition(*place).sortWithinPartitions(*place).mapInArrow(join, "a long, b long, nb long").distinct()
-    out = ws.save(pairs.join(stars, ["a", "b"], "left_anti"), "within")
+    met = dealt.repartition(*place).sortWithinPartitions(*place).mapInArrow(join, "doc long, kind int, leaf long, i long, j long, left boolean, component long")
+    tasks = met.select("doc", F.xxhash64("kind", "leaf").alias("cluster"), F.xxhash64("i", "j").alias("task"), "left", (~F.col("left")).alias("right"), "component")
+    out = ws.save(tasks, "within")
     ws.drop("grouped", "opened")
     return out
 
@@ -825,8 +832,8 @@ def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def _tree_pairs(doc: np.ndarray, comp: np.ndarray, n: np.ndarray, packed: list[bytes], left: np.ndarray, right: np.ndarray, plan: Plan) -> set[tuple[int, int, int]]:
-    """(a, b, size of b) of the pairs of different components that the bound lets pass; a is the smaller id.
+def _tree_pairs(comp: np.ndarray, n: np.ndarray, packed: list[bytes], left: np.ndarray, right: np.ndarray, plan: Plan) -> np.ndarray:
+    """The rows of any pair (left, right) of different components that the bound lets pass.
 
     An empty point is not known and excludes nothing.
     """
@@ -837,15 +844,14 @@ def _tree_pairs(doc: np.ndarray, comp: np.ndarray, n: np.ndarray, packed: list[b
         rows = [i for i, x in enumerate(packed) if len(x) == at]
         vectors[rows] = fold(np.frombuffer(b"".join(packed[i] for i in rows), np.uint8).reshape(len(rows), at), wide)
     a, b = CountTree(vectors[left], n[left]), CountTree(vectors[right], n[right])
-    out = set()
+    hit = np.zeros(len(packed), bool)
     for p, q in a.near_leaves(b, plan):
         p, q = left[p], right[q]
         apart = comp[p][:, None] != comp[q][None, :]
         if not apart.any():
             continue
         top = np.minimum(vectors[p][:, None, :], vectors[q][None, :, :]).sum(axis=2, dtype=np.uint32)
-        i, j = np.nonzero(apart & (top >= plan.needed(n[p][:, None], n[q][None, :])))
-        for x, y in zip(p[i].tolist(), q[j].tolist()):
-            x, y = (x, y) if doc[x] < doc[y] else (y, x)
-            out.add((int(doc[x]), int(doc[y]), int(n[y])))
-    return out
+        ok = apart & (top >= plan.needed(n[p][:, None], n[q][None, :]))
+        hit[p[ok.any(axis=1)]] = True
+        hit[q[ok.any(axis=0)]] = True
+    return np.flatnonzero(hit)
