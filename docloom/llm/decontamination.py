@@ -284,13 +284,13 @@ def _by_shift(chain: list[Part]) -> dict[int, list[int]]:
     return out
 
 
+#: Of template hashes, which only choose what is compared: every hit is verified on its tokens.
+SEED = 10
+
+
 def token_hashes(tokens: list[str]) -> np.ndarray:
     """64-bit hashes of template tokens, all in one pass."""
-    raw = [t.encode("utf-8", "replace") for t in tokens]
-    ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
-    starts = np.concatenate(([0], ends[:-1])) if len(raw) else ends
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    return textkit.Texts(data, np.array([0, len(data)])).hash(starts, ends)
+    return textkit.hash_all([t.encode("utf-8", "replace") for t in tokens], SEED)
 
 
 def _windows(h: np.ndarray, widths: Iterable[int]) -> Iterator[tuple[int, np.ndarray]]:
@@ -331,10 +331,10 @@ _INFO_BITS = 20
 
 
 class _TokenCache:
-    """Template hashes by word hash, so that a word is canonicalised once a worker."""
+    """Template hashes by word, so that a word is canonicalised once a worker."""
 
     def __init__(self):
-        self.table = textkit.HashTable(_INFO_BITS)
+        self.table = textkit.UnitTable(_INFO_BITS)
         self.first = np.zeros(1 << _INFO_BITS - 1, U64)
         self.inner = np.zeros(1 << _INFO_BITS - 1, U64)
         self.folded = np.zeros(1 << _INFO_BITS - 1, U64)
@@ -342,32 +342,25 @@ class _TokenCache:
         self.n = 0
 
     def rows(self, texts: textkit.Texts, w: textkit.Spans) -> np.ndarray:
-        h = texts.hash(w.start, w.end)
-        if self.n > len(self.first) // 2:
+        if self.table.full() or self.n > len(self.first) // 2:
             self.table.clear()
             self.n = 0
-        at = self.table.get(h)
-        miss = np.flatnonzero(at < 0)
-        if len(miss):
-            new, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            if self.n + len(new) > len(self.first):  # more new words in one slice than the cache holds
-                grow = self.n + len(new)
-                self.first, self.inner, self.folded, self.flags = (np.concatenate((x, np.zeros(grow - len(x), x.dtype))) for x in (self.first, self.inner, self.folded, self.flags))
-            where = miss[first]
-            seen = [texts.cut(i, j).decode("utf-8", "replace") for i, j in zip(w.start[where].tolist(), w.end[where].tolist())]
-            inner = [token(word, False) for word in seen]
-            opening = [token(word, True) if t == NAME else t for word, t in zip(seen, inner)]
-            part = slice(self.n, self.n + len(new))
-            self.first[part] = token_hashes(opening)
-            self.inner[part] = token_hashes(inner)
-            self.folded[part] = token_hashes([folded(t) for t in opening])
-            self.flags[part] = [(not t) | 2 * ends_sentence(word) for word, t in zip(seen, inner)]
-            places = self.n + np.arange(len(new))
-            room = len(self.table.keys) // 4
-            self.table.put(new[:room], places[:room])
-            at[miss] = places[back]
-            self.n += len(new)
-        return at
+        return self.table.rows(texts, w.start, w.end, self._learn)
+
+    def _learn(self, names: list[bytes]) -> np.ndarray:
+        if self.n + len(names) > len(self.first):  # more new words in one slice than the cache holds
+            grow = self.n + len(names)
+            self.first, self.inner, self.folded, self.flags = (np.concatenate((x, np.zeros(grow - len(x), x.dtype))) for x in (self.first, self.inner, self.folded, self.flags))
+        seen = [x.decode("utf-8", "replace") for x in names]
+        inner = [token(word, False) for word in seen]
+        opening = [token(word, True) if t == NAME else t for word, t in zip(seen, inner)]
+        part = slice(self.n, self.n + len(names))
+        self.first[part] = token_hashes(opening)
+        self.inner[part] = token_hashes(inner)
+        self.folded[part] = token_hashes([folded(t) for t in opening])
+        self.flags[part] = [(not t) | 2 * ends_sentence(word) for word, t in zip(seen, inner)]
+        self.n = part.stop
+        return np.arange(part.start, part.stop)
 
 
 _cache: list[_TokenCache] = []

@@ -14,7 +14,8 @@ tokenizer segments the training words (end tokens counted beside), smoothed by 0
 
 Word counts cover all documents. The most frequent ``frequent`` words (24 bytes each)
 are broadcast; the remaining occurrences meet their word's row in a shuffle join, where
-no key is hot, since the frequent words are gone.
+no key is hot, since the frequent words are gone. Words meet by two hashes with seeds drawn
+for the run.
 
 Null, empty or wordless text: the end token alone. Repeated rows: each is scored (and
 counted in training). Empty table: empty result. A null id belongs to the training
@@ -114,7 +115,7 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-def vocabulary(rows: DataFrame) -> DataFrame:
+def vocabulary(rows: DataFrame, seed: int) -> DataFrame:
     """(h, word, n_all, n_train) of every distinct word; ``rows`` has text and held_out."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +136,7 @@ def vocabulary(rows: DataFrame) -> DataFrame:
             for row, texts in textkit.slices(batch.column(0)):
                 low = texts.lower()
                 w = textkit.words(low)
-                h, first, back = np.unique(low.hash(w.start, w.end), return_index=True, return_inverse=True)
+                h, first, back = np.unique(low.hash(w.start, w.end, seed), return_index=True, return_inverse=True)
                 n = np.bincount(back, minlength=len(h))
                 taught = np.bincount(back, weights=~held[row : row + len(texts)].astype(bool)[w.doc], minlength=len(h)).astype(np.int64)
                 for lo in range(0, len(h), HELD // 2):
@@ -221,7 +222,8 @@ def lm_scores(
     spark = docs.sparkSession
     ws = Workspace(spark, "lm")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(id_col).alias("held_out"))
-    words = ws.save(vocabulary(rows), "words")
+    seed, second = textkit.new_seed(), textkit.new_seed()
+    words = ws.save(vocabulary(rows, seed), "words")
     ends = rows.filter("not held_out").count()
     total, distinct = words.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.count_if(F.col("n_train") > 0)).first()
     n, v = total + ends, distinct + (ends > 0)
@@ -234,17 +236,19 @@ def lm_scores(
     def marginal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(sent_weights.value)
         for batch in batches:
-            score = [lattice.log_likelihood(x) / math.log(10) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(score, pa.float64())], names=["h", "n_all", "n_train", "lp"])
+            seen = batch.column(1).to_pylist()
+            score = [lattice.log_likelihood(x) / math.log(10) for x in seen]
+            again = textkit.hash_all(seen, second).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(again), batch.column(2), batch.column(3), pa.array(score, pa.float64())], names=["h", "g", "n_all", "n_train", "lp"])
 
-    scored = ws.save(words.mapInArrow(marginal, "h long, n_all long, n_train long, lp double"), "scored")
+    scored = ws.save(words.mapInArrow(marginal, "h long, g long, n_all long, n_train long, lp double"), "scored")
     ws.drop("words")
     top = scored.filter(F.col("n_all") >= frequent_from(scored, frequent)).select("h", "n_train", "lp").toPandas()
     sent = spark.sparkContext.broadcast((top["h"].to_numpy(np.int64).view(np.uint64), top["n_train"].to_numpy(np.int64), top["lp"].to_numpy(float)))
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {id_type}, held_out boolean, n_words long, known long, base double, lp double, rare array<struct<h: long, tf: long>>"
-    rare_type = pa.struct([("h", pa.int64()), ("tf", pa.int64())])
+    schema = f"id {id_type}, held_out boolean, n_words long, known long, base double, lp double, rare array<struct<h: long, g: long, tf: long>>"
+    rare_type = pa.struct([("h", pa.int64()), ("g", pa.int64()), ("tf", pa.int64())])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, lps = sent.value
@@ -255,17 +259,17 @@ def lm_scores(
             for row, texts in textkit.slices(batch.column(1)):
                 low = texts.lower()
                 w = textkit.words(low)
-                h = low.hash(w.start, w.end)
+                h = low.hash(w.start, w.end, seed)
                 at = table.get(h)
                 hit = at >= 0
                 add = lambda x: np.bincount(w.doc[hit], weights=x[at[hit]], minlength=len(texts)).astype(float)
-                hr, dr = h[~hit], w.doc[~hit]
-                order = np.lexsort((hr, dr))
-                hr, dr = hr[order], dr[order]
+                far = np.flatnonzero(~hit)
+                far = far[np.lexsort((h[far], w.doc[far]))]
+                hr, dr, gr = h[far], w.doc[far], low.hash(w.start[far], w.end[far], second)
                 new = np.flatnonzero(np.concatenate(([True], (hr[1:] != hr[:-1]) | (dr[1:] != dr[:-1])))) if len(hr) else np.zeros(0, np.int64)
                 tf = np.diff(np.append(new, len(hr)))
                 cuts = np.searchsorted(dr[new], np.arange(len(texts) + 1)).astype(np.int32)
-                rare = pa.StructArray.from_arrays([pa.array(hr[new].view(np.int64)), pa.array(tf)], fields=list(rare_type))
+                rare = pa.StructArray.from_arrays([pa.array(hr[new].view(np.int64)), pa.array(gr[new].view(np.int64)), pa.array(tf)], fields=list(rare_type))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(row, len(texts)),
@@ -282,8 +286,8 @@ def lm_scores(
     part = ws.save(rows.select("id", "text", "held_out").mapInArrow(split, schema).withColumn("row", F.monotonically_increasing_id()), "rows")
     met = (
         part.select("row", F.explode("rare").alias("r"))
-        .select("row", "r.h", "r.tf")
-        .join(scored.select("h", "n_train", F.col("lp").alias("word_lp")), "h")
+        .select("row", "r.h", "r.g", "r.tf")
+        .join(scored.select("h", "g", "n_train", F.col("lp").alias("word_lp")), ["h", "g"])
         .groupBy("row")
         .agg(
             F.sum(F.col("tf") * F.log10(F.col("n_train") + 0.5)).alias("r_base"),

@@ -37,7 +37,7 @@ to the leaf's bucket and from there to the member's. A leaf of more than HOT mem
 one task counts as one of the largest: its members go to their own buckets at once, and
 only a notice goes to the leaf's. Its star is made in two steps over salted parts.
 
-The result is exact up to 64-bit hashes of shingles. ``component`` is the smallest id
+The result is exact up to 64-bit hashes of shingles, whose seed is drawn for the run. ``component`` is the smallest id
 reachable by links. The links that components need are only some; n_links counts all,
 over the pairs of distinct sets in each component: the other ids whose set is linked
 with the row's or equal to it.
@@ -51,6 +51,7 @@ component and number of links. Empty table: empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -118,11 +119,19 @@ class Plan:
         return [own, np.where(fits, own + 1, -1)]
 
 
-def shingle_sets(texts: textkit.Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
+class Shingles(NamedTuple):
+    """Words of a shingle, and the seed of its hashes."""
+
+    size: int
+    seed: int
+
+
+def shingle_sets(texts: textkit.Texts, how: Shingles) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, one after the other, and their counts."""
+    size = how.size
     low = texts.lower()
     spans = textkit.words(low)
-    h = low.hash(spans.start, spans.end)
+    h = low.hash(spans.start, spans.end, how.seed)
     win, at = textkit.windows(h, spans, size)
     first = np.searchsorted(at, spans.first)
     count = np.diff(spans.first)
@@ -213,7 +222,7 @@ _ARRAYS = ("leaf", "ids", "m", "hot", "sets", "equals", "points", "cells")
 _SENT = "bucket int, source int, " + ", ".join(f"{c} binary" for c in _ARRAYS)
 
 
-def _index(docs: DataFrame, size: int, plan: Plan, buckets: int, hot: int = HOT) -> DataFrame:
+def _index(docs: DataFrame, how: Shingles, plan: Plan, buckets: int, hot: int = HOT) -> DataFrame:
     """Points (kind p: id, set size), leaves (c: leaf, member, members) and equal sets (e: two ids).
 
     A set of m members gives m - 1 pairs, each with its least member. A leaf is there
@@ -226,7 +235,7 @@ def _index(docs: DataFrame, size: int, plan: Plan, buckets: int, hot: int = HOT)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for row, texts in textkit.slices(batch.column(1)):
-                h, n = shingle_sets(texts, size)
+                h, n = shingle_sets(texts, how)
                 fp = prints(h, n)
                 held.append((ids[row : row + len(n)], n, fp, *leaves(h, n, plan)))
                 filled += len(held[-1][3])
@@ -474,7 +483,7 @@ def connect(comp: np.ndarray, n: np.ndarray, vectors: np.ndarray, sets: list[np.
     return out
 
 
-def _sets(docs: DataFrame, size: int, carried: list[str]) -> DataFrame:
+def _sets(docs: DataFrame, how: Shingles, carried: list[str]) -> DataFrame:
     """``doc``, ``carried`` and the shingles of the documents' ``text``."""
     names = docs.columns
     at = [names.index(c) for c in ("doc", *carried)]
@@ -484,7 +493,7 @@ def _sets(docs: DataFrame, size: int, carried: list[str]) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, texts in textkit.slices(batch.column(text_at)):
-                h, n = shingle_sets(texts, size)
+                h, n = shingle_sets(texts, how)
                 cut = np.concatenate(([0], np.cumsum(n)))
                 shingles = pa.array([h[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(row, len(n)) for i in at], shingles], names=[*[names[i] for i in at], "shingles"])
@@ -492,13 +501,13 @@ def _sets(docs: DataFrame, size: int, carried: list[str]) -> DataFrame:
     return docs.mapInArrow(build, schema)
 
 
-def _points(docs: DataFrame, size: int) -> DataFrame:
+def _points(docs: DataFrame, how: Shingles) -> DataFrame:
     """(doc, n, vector) of the documents; a count over 255 leaves the vector empty, which excludes nothing."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, texts in textkit.slices(batch.column(1)):
-                h, n = shingle_sets(texts, size)
+                h, n = shingle_sets(texts, how)
                 cut = np.concatenate(([0], np.cumsum(n)))
                 points = [point(h[i:j], width(j - i)) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
                 packed = [x.astype(np.uint8).tobytes() if x.max() < 256 else b"" for x in points]
@@ -540,14 +549,14 @@ def _possible(pairs: DataFrame, points: DataFrame, plan: Plan) -> DataFrame:
     return pairs.mapInArrow(bound, "a long, b long, nb long")
 
 
-def _linked(docs: DataFrame, dealt: DataFrame, size: int, plan: Plan, few: bool) -> DataFrame:
+def _linked(docs: DataFrame, dealt: DataFrame, how: Shingles, plan: Plan, few: bool) -> DataFrame:
     """Links (a, b) inside the tasks of ``dealt`` (doc, cluster, task, left, right, component).
 
     A task joins its left documents with its right ones.
     """
     num, den = plan.num, plan.den
     with_text = docs.join(F.broadcast(dealt) if few else dealt, "doc")
-    rows = _sets(with_text, size, ["cluster", "task", "left", "right", "component"])
+    rows = _sets(with_text, how, ["cluster", "task", "left", "right", "component"])
 
     def join(table: pa.Table) -> pa.Table:
         doc, comp, left, right = (table.column(c).to_numpy() for c in ("doc", "component", "left", "right"))
@@ -583,11 +592,11 @@ def ngram_jaccard(
     with_links = links
     spark = docs.sparkSession
     ws = Workspace(spark, "jaccard")
-    plan = Plan(num, den)
+    plan, how = Plan(num, den), Shingles(size, textkit.new_seed())
     buckets = buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     known = rows.filter("doc is not null")
-    index = ws.save(_index(known, size, plan, buckets, hot), "index")
+    index = ws.save(_index(known, how, plan, buckets, hot), "index")
     ws.release()
 
     equals = index.filter("kind = 'e'").select("a", "b")
@@ -596,17 +605,17 @@ def ngram_jaccard(
     inside = lists.select(F.explode("members").alias("doc")).unionByName(split.select(F.explode("members").alias("doc")))
     wanted = ws.save(inside.distinct(), "wanted")
     few = wanted.count() <= BROADCAST_IDS
-    points = ws.save(_points(known.join(F.broadcast(wanted) if few else wanted, "doc", "left_semi"), size), "points")
+    points = ws.save(_points(known.join(F.broadcast(wanted) if few else wanted, "doc", "left_semi"), how), "points")
     kept = ws.save(_possible(stars, points, plan), "kept")
     ws.drop("wanted")
 
     # The first star of each document, then the other pairs whose ends are still apart.
     lead = kept.groupBy("b").agg(F.min(F.struct("a", "nb")).alias("s")).select("s.a", "b", "s.nb")
-    parts = ws.save(components(equals.unionByName(_verified(known, lead, None, size, plan, ws, "lead")), ws, "parts"), "parts-lead")
+    parts = ws.save(components(equals.unionByName(_verified(known, lead, None, how, plan, ws, "lead")), ws, "parts"), "parts-lead")
     rest = kept.join(lead, ["a", "b"], "left_anti")
-    parts = _merged(parts, _verified(known, rest, parts, size, plan, ws, "rest"), ws, "rest")
+    parts = _merged(parts, _verified(known, rest, parts, how, plan, ws, "rest"), ws, "rest")
     tasks = _within_leaves(lists, split, parts, points, plan, ws)
-    links = ws.save(_linked(known, tasks, size, plan, tasks.count() <= BROADCAST_IDS), "open-links")
+    links = ws.save(_linked(known, tasks, how, plan, tasks.count() <= BROADCAST_IDS), "open-links")
     parts = _merged(parts, links, ws, "open")
     ws.drop("lists", "split", "stars", "points", "kept", "within", "lead-links", "rest-links", "open-links")
     ws.release()
@@ -615,17 +624,17 @@ def ngram_jaccard(
     out = sizes.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").select(
         F.col("doc").alias(id_col), "n_shingles", F.coalesce("component", "doc").alias("component_id")
     )
-    nameless = _sets(rows.filter("doc is null"), size, [])
+    nameless = _sets(rows.filter("doc is null"), how, [])
     none = F.lit(None).cast("long")
     nameless = nameless.select(F.col("doc").alias(id_col), (F.octet_length("shingles") / 8).cast("long").alias("n_shingles"), none.alias("component_id"))
     if with_links:
-        counted = _link_counts(known, parts, size, plan, ws).withColumnRenamed("doc", id_col)
+        counted = _link_counts(known, parts, how, plan, ws).withColumnRenamed("doc", id_col)
         out = out.join(counted, id_col, "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
         nameless = nameless.withColumn("n_links", none)
     return out.unionByName(nameless)
 
 
-def _link_counts(docs: DataFrame, parts: DataFrame, size: int, plan: Plan, ws: Workspace) -> DataFrame:
+def _link_counts(docs: DataFrame, parts: DataFrame, how: Shingles, plan: Plan, ws: Workspace) -> DataFrame:
     """(doc, n_links) of the documents in ``parts``.
 
     All links lie inside components, so the distinct sets of each are compared with one
@@ -634,7 +643,7 @@ def _link_counts(docs: DataFrame, parts: DataFrame, size: int, plan: Plan, ws: W
     """
     members = parts.select(F.col("node").alias("doc"), "component")
     rows = docs.join(F.broadcast(members) if members.count() <= BROADCAST_IDS else members, "doc")
-    rows = ws.save(_prints(rows.select("doc", "text", "component"), size), "prints")
+    rows = ws.save(_prints(rows.select("doc", "text", "component"), how), "prints")
     key = ["component", "f", "g"]
     classes = ws.save(rows.groupBy(key).agg(F.min("doc").alias("doc"), F.countDistinct("doc").alias("weight")), "classes")
     split = classes.groupBy("component").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("component", (F.floor((F.col("m") - 1) / BLOCK) + 1).cast("long").alias("blocks"))
@@ -666,7 +675,7 @@ def _link_counts(docs: DataFrame, parts: DataFrame, size: int, plan: Plan, ws: W
         textkit.release()
         return table.select(key).append_column("links", pa.array(total))
 
-    sums = _sets(texts, size, [*key, "weight", "mine", "i", "j"]).groupBy("component", "i", "j").applyInArrow(count, "component long, f long, g long, links long")
+    sums = _sets(texts, how, [*key, "weight", "mine", "i", "j"]).groupBy("component", "i", "j").applyInArrow(count, "component long, f long, g long, links long")
     sums = ws.save(sums.groupBy(key).agg(F.sum("links").alias("links")), "class-links")
     each = rows.join(classes.select(*key, "weight"), key).join(sums, key, "left")
     return ws.save(each.groupBy("doc").agg(F.max(F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "counted")
@@ -688,13 +697,13 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.
     return out.astype(np.int64)
 
 
-def _prints(docs: DataFrame, size: int) -> DataFrame:
+def _prints(docs: DataFrame, how: Shingles) -> DataFrame:
     """(doc, component, f, g) of (doc, text, component): both fingerprints of the set."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, texts in textkit.slices(batch.column(1)):
-                h, n = shingle_sets(texts, size)
+                h, n = shingle_sets(texts, how)
                 fp = prints(h, n).view(np.int64)
                 kept = [batch.column(i).slice(row, len(n)) for i in (0, 2)]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(fp[0]), pa.array(fp[1])], names=["doc", "component", "f", "g"])
@@ -721,7 +730,7 @@ def _merged(parts: DataFrame, links: DataFrame, ws: Workspace, name: str) -> Dat
     return ws.save(every.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component")), f"parts-{name}")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, parts: DataFrame | None, size: int, plan: Plan, ws: Workspace, name: str) -> DataFrame:
+def _verified(docs: DataFrame, pairs: DataFrame, parts: DataFrame | None, how: Shingles, plan: Plan, ws: Workspace, name: str) -> DataFrame:
     """Links that connect what the pairs hold apart: the pairs' stars, block by block.
 
     Every block holds the star's first document.
@@ -734,7 +743,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, parts: DataFrame | None, size:
     arms = both.drop("ca").join(counts.select("a", "blocks"), "a").select(F.col("b").alias("doc"), F.col("a").alias("cluster"), F.pmod(F.xxhash64("b"), F.col("blocks")).alias("task"), yes.alias("left"), yes.alias("right"), F.col("cb").alias("component"))
     hubs = counts.select(F.col("a").alias("doc"), F.col("a").alias("cluster"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("task"), yes.alias("left"), yes.alias("right"), F.col("ca").alias("component"))
     tasks = ws.save(arms.unionByName(hubs), f"{name}-tasks")
-    found = ws.save(_linked(docs, tasks, size, plan, tasks.count() <= BROADCAST_IDS), f"{name}-links")
+    found = ws.save(_linked(docs, tasks, how, plan, tasks.count() <= BROADCAST_IDS), f"{name}-links")
     ws.drop(f"{name}-pairs", f"{name}-tasks")
     return found
 

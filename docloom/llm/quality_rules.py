@@ -91,13 +91,13 @@ def base_counts(texts: textkit.Texts) -> dict[str, np.ndarray]:
     ln = textkit.lines(texts)
     worded = np.searchsorted(w.start, ln.end) > np.searchsorted(w.start, ln.start)
     at = np.flatnonzero(worded)
-    key = texts.hash(ln.start[at], ln.end[at]) ^ mix(ln.doc[at].astype(U64))
+    key = texts.hash(ln.start[at], ln.end[at], textkit.OWN_SEED) ^ mix(ln.doc[at].astype(U64))
     _, firsts = np.unique(key, return_index=True)
     again = np.ones(len(at), bool)
     again[firsts] = False
     dup_lines = np.bincount(ln.doc[at[again]], minlength=len(texts))
 
-    win, first = textkit.windows(texts.hash(w.start, w.end), w, 3)
+    win, first = textkit.windows(texts.hash(w.start, w.end, textkit.OWN_SEED), w, 3)
     win = win ^ mix(w.doc[first].astype(U64) + U64(0x51))
     order = np.argsort(win, kind="stable")
     same = win[order[1:]] == win[order[:-1]]

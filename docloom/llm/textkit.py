@@ -1,17 +1,20 @@
 """Vectorised word and line hashing over Arrow string columns.
 
-Texts are read straight from the Arrow buffers. A 64-bit polynomial prefix hash
-gives the hash of any byte range in O(1), so words, lines and word windows of a
-whole batch are hashed without a Python object per word. Words are maximal runs
-of bytes other than 0x20 and 0x09-0x0D, i.e. the pattern ``[^\\x20\\x09-\\x0D]+``.
-
-Distinct strings are told apart by 64-bit hashes: among 10**7 distinct strings
-the chance of any collision is below 10**-5.
+Texts are read straight from the Arrow buffers. Byte ranges are hashed eight bytes at a
+time for all ranges of a batch at once, so there is no Python object per word; long ones
+go to XXH3 one by one. Words are maximal runs of bytes other than 0x20 and 0x09-0x0D,
+i.e. the pattern ``[^\\x20\\x09-\\x0D]+``.
+
+A hash has 64 bits and a seed. Tables that live in one process take OWN_SEED, drawn at
+its start; what several tasks must agree on takes a seed that the driver draws for the
+run. So no text can be made to collide, and among 10**7 distinct strings the chance that
+any two do is below 10**-5. ``UnitTable`` also compares the bytes.
 """
 
 from __future__ import annotations
 
 import ctypes
+import secrets
 import sys
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -19,18 +22,30 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text handled at once; temporaries take about 40 bytes for each.
 SLICE_BYTES = 1 << 19
 
+#: Ranges of more bytes are hashed one by one.
+LONG = 256
+
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+#: The seed where none is given: a hash that anyone can work out.
+SEED = 0
+#: The seed of tables that no other process reads.
+OWN_SEED = secrets.randbits(64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Byte values as hash terms; the upper half of each word is filled by mix().
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+#: Masks that keep the first 0 to 8 bytes of a lane.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+def new_seed() -> int:
+    """A seed for one run, to be drawn by the driver and sent to all its tasks."""
+    return secrets.randbits(64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -43,25 +58,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_TERM = mix(np.arange(1, 257, dtype=U64) * U64(_BASE))
-
-
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, 0 to n."""
-    if len(_powers[0]) <= n:
-        size = max(n + 1, SLICE_BYTES + 1)
-        for at, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, base, U64)
-            p[0] = 1
-            _powers[at] = np.cumprod(p, dtype=U64)
-    return _powers[0], _powers[1]
-
-
 class Texts:
     """A run of texts as one byte buffer: ``data[offsets[i]:offsets[i + 1]]`` is text i."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.data, self.offsets, self._prefix = data, offsets, None
+        self.data, self.offsets, self._lanes = data, offsets, None
 
     def __len__(self) -> int:
         return len(self.offsets) - 1
@@ -70,14 +71,29 @@ class Texts:
         """A-Z lower-cased, other bytes as they are."""
         return Texts(_LOWER[self.data], self.offsets)
 
-    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def lane(self, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The next eight bytes from each place as one number; those from ``left`` on are 0."""
+        if self._lanes is None:
+            padded = np.zeros(len(self.data) + 8, np.uint8)
+            padded[: len(self.data)] = self.data
+            self._lanes = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))
+        return self._lanes[at] & _KEEP[np.minimum(left, 8)]
+
+    def hash(self, start: np.ndarray, end: np.ndarray, seed: int = SEED) -> np.ndarray:
         """64-bit hashes of the byte ranges."""
-        power, inverse = _pow(len(self.data))
-        if self._prefix is None:
-            self._prefix = np.zeros(len(self.data) + 1, U64)
-            np.cumsum(_TERM[self.data] * power[: len(self.data)], dtype=U64, out=self._prefix[1:])
-        h = (self._prefix[end] - self._prefix[start]) * inverse[start]
-        return mix(h + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+        start, size = np.asarray(start), np.asarray(end) - start
+        out = mix(size.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(seed))
+        short = size <= LONG
+        now = slice(None) if short.all() else np.flatnonzero(short)
+        at, left = start[now], size[now]
+        while len(at):
+            out[now] = mix(out[now] ^ self.lane(at, left))
+            more = np.flatnonzero(left > 8)
+            now = more if isinstance(now, slice) else now[more]
+            at, left = at[more] + 8, left[more] - 8
+        for i in np.flatnonzero(~short).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.data[start[i] : start[i] + size[i]], seed)
+        return out
 
     def cut(self, start: int, end: int) -> bytes:
         return self.data[start:end].tobytes()
@@ -89,6 +105,14 @@ class Texts:
         return total[self.offsets[1:]] - total[self.offsets[:-1]]
 
 
+def hash_all(names: list[bytes], seed: int) -> np.ndarray:
+    """The hashes of these strings, as ``Texts.hash`` gives them."""
+    ends = np.cumsum(np.fromiter(map(len, names), np.int64, len(names)))
+    starts = np.concatenate(([0], ends[:-1])) if len(names) else ends
+    data = np.frombuffer(b"".join(names), np.uint8)
+    return Texts(data, np.array([0, len(data)])).hash(starts, ends, seed)
+
+
 class Spans(NamedTuple):
     """Byte ranges with the text each belongs to; ``first[i]:first[i + 1]`` are those of text i."""
 
@@ -245,3 +269,84 @@ class HashTable:
             won = free & (self.keys[slot] == h[todo])
             self.values[slot[won]] = values[todo[won]]
             todo, slot = todo[~won], (slot[~won] + 1) & (len(self.keys) - 1)
+
+
+class UnitTable:
+    """A number for each byte string that was added, found by hash and told apart by its bytes.
+
+    Strings that share a hash with another one, or find no room, are not kept: they stay unknown.
+    """
+
+    def __init__(self, bits: int):
+        self.table = HashTable(bits)
+        self.values, self.begin, self.size = (np.zeros(1024, np.int64) for _ in range(3))
+        self.pool = np.zeros(1 << 16, np.uint8)
+        self.n = self.bytes = 0
+
+    def full(self) -> bool:
+        return self.table.full()
+
+    def clear(self) -> None:
+        self.table.clear()
+        self.n = self.bytes = 0
+
+    def get(self, h: np.ndarray, texts: Texts, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The number of each range, -1 where it is unknown."""
+        row = self.table.get(h)
+        hit = np.flatnonzero(row >= 0)
+        own, at, left = row[hit], start[hit], end[hit] - start[hit]
+        same = self.size[own] == left
+        bad = [hit[~same]]
+        hit, own, at, left = hit[same], own[same], at[same], left[same]
+        place = self.begin[own]
+        lanes = np.ndarray(len(self.pool) - 7, "<u8", self.pool, strides=(1,))
+        while len(hit):
+            differ = (lanes[place] & _KEEP[np.minimum(left, 8)]) != texts.lane(at, left)
+            bad.append(hit[differ])
+            more = np.flatnonzero(~differ & (left > 8))
+            hit, place, at, left = hit[more], place[more] + 8, at[more] + 8, left[more] - 8
+        out = np.where(row >= 0, self.values[np.maximum(row, 0)], -1)
+        out[np.concatenate(bad)] = -1
+        return out
+
+    def put(self, h: np.ndarray, names: list[bytes], values: np.ndarray) -> None:
+        """Add distinct strings; of those with one hash the first is kept."""
+        _, first = np.unique(h, return_index=True)
+        first = first[self.table.get(h[first]) < 0][: len(self.table.keys) // 4]
+        size = np.fromiter((len(names[i]) for i in first.tolist()), np.int64, len(first))
+        self._room(len(first), int(size.sum()))
+        part = slice(self.n, self.n + len(first))
+        self.values[part], self.size[part] = values[first], size
+        self.begin[part] = self.bytes + np.cumsum(size) - size
+        raw = b"".join([names[i] for i in first.tolist()])
+        self.pool[self.bytes : self.bytes + len(raw)] = np.frombuffer(raw, np.uint8)
+        self.table.put(h[first], np.arange(part.start, part.stop))
+        self.n, self.bytes = part.stop, self.bytes + len(raw)
+
+    def _room(self, units: int, size: int) -> None:
+        if self.n + units > len(self.values):
+            grow = max(self.n + units, 2 * len(self.values)) - len(self.values)
+            self.values, self.begin, self.size = (np.concatenate((x, np.zeros(grow, np.int64))) for x in (self.values, self.begin, self.size))
+        if self.bytes + size + 8 > len(self.pool):  # a lane may be read at the last byte
+            self.pool = np.concatenate((self.pool, np.zeros(max(self.bytes + size + 8, 2 * len(self.pool)) - len(self.pool), np.uint8)))
+
+    def rows(self, texts: Texts, start: np.ndarray, end: np.ndarray, learn) -> np.ndarray:
+        """The number of every range; ``learn`` gives those of a list of unknown strings."""
+        if self.full():
+            self.clear()
+        h = texts.hash(start, end, OWN_SEED)
+        out = self.get(h, texts, start, end)
+        miss = np.flatnonzero(out < 0)
+        if not len(miss):
+            return out
+        cut = lambda at: [texts.cut(a, b) for a, b in zip(start[at].tolist(), end[at].tolist())]
+        new, first = np.unique(h[miss], return_index=True)
+        names = cut(miss[first])
+        self.put(new, names, learn(names))
+        out[miss] = self.get(h[miss], texts, start[miss], end[miss])
+        miss = miss[out[miss] < 0]
+        if len(miss):  # no room, or a hash that another string has
+            names = cut(miss)
+            some = {name: i for i, name in enumerate(dict.fromkeys(names))}
+            out[miss] = np.asarray(learn(list(some)))[[some[name] for name in names]]
+        return out

@@ -5,7 +5,7 @@ split for certain (between letters, digits, signs and white space; a run with an
 apostrophe or a character of unknown kind is one unit). The first tier is a compact
 hash table (64-bit hash to length) of the most frequent units, broadcast once; the
 second is a table that each worker fills by encoding what it misses. No pre-token is
-ever shuffled: each task sends one bounded summary as one row.
+ever shuffled by its key: each task sends one bounded summary as one row.
 
 The frequent units come from all documents: each task keeps a frequency summary of at
 most ``capacity`` units (counts of evicted ones are carried as the summary's error, as
@@ -30,18 +30,18 @@ import functools
 import json
 import os
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import functions as F
 
 from docloom.llm import textkit, token_output
-from docloom.llm.textkit import HashTable
+from docloom.llm.textkit import UnitTable
 
-#: Entries of the broadcast table: 16 bytes each.
+#: Entries of the broadcast table: a unit, its hash and its length each.
 FREQUENT = 1 << 14
 #: Units that a summary holds.
 CAPACITY = 1 << 14
@@ -118,37 +118,39 @@ def units(texts: textkit.Texts, path: str) -> tuple[textkit.Texts, np.ndarray, n
     return texts, start, end, np.searchsorted(texts.offsets, start, "right") - 1
 
 
-_caches: dict[str, HashTable] = {}
+_caches: dict[str, UnitTable] = {}
 
 
-def _cache(path: str) -> HashTable:
+def _cache(path: str) -> UnitTable:
     if path not in _caches:
-        _caches[path] = HashTable(CACHE_BITS)
+        _caches[path] = UnitTable(CACHE_BITS)
     return _caches[path]
 
 
-def count_slice(texts: textkit.Texts, path: str, frequent: HashTable | None) -> np.ndarray:
+class Frequent(NamedTuple):
+    """The first tier: units, their hashes by ``seed`` and their token counts."""
+
+    seed: int
+    keys: np.ndarray
+    names: list[bytes]
+    counts: np.ndarray
+
+    def table(self) -> UnitTable:
+        out = UnitTable(max(4, (4 * len(self.keys) + 1).bit_length()))
+        out.put(self.keys, self.names, self.counts)
+        return out
+
+
+def count_slice(texts: textkit.Texts, path: str, frequent: UnitTable | None, seed: int = 0) -> np.ndarray:
     """Token counts of a run of texts through the two tiers."""
     odd = _odd(texts, path)
     low, start, end, doc = units(texts, path)
     use = ~odd[doc]
     start, end, doc = start[use], end[use], doc[use]
-    h = low.hash(start, end)
-    n = frequent.get(h) if frequent is not None else np.full(len(h), -1, np.int64)
+    n = frequent.get(low.hash(start, end, seed), low, start, end) if frequent is not None else np.full(len(start), -1, np.int64)
     miss = np.flatnonzero(n < 0)
     if len(miss):
-        cache = _cache(path)
-        if cache.full():
-            cache.clear()
-        n[miss] = cache.get(h[miss])
-        miss = miss[n[miss] < 0]
-    if len(miss):
-        new, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
-        at = miss[first]
-        got = lengths([low.cut(a, b).decode("utf-8", "replace") for a, b in zip(start[at].tolist(), end[at].tolist())], path)
-        n[miss] = got[back]
-        room = len(cache.keys) // 4
-        cache.put(new[:room], got[:room])  # what finds no room is encoded again when it comes again
+        n[miss] = _cache(path).rows(low, start[miss], end[miss], lambda names: lengths([x.decode("utf-8", "replace") for x in names], path))
     total = np.bincount(doc, weights=n, minlength=len(texts)).astype(np.int64)
     whole = np.flatnonzero(odd)
     if len(whole):
@@ -201,13 +203,19 @@ def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
 
 def frequent_table(docs: DataFrame, path: str, text_col: str, size: int, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, token counts) of at most ``size`` frequent units of all texts."""
+    found = frequent_units(docs, path, text_col, size, capacity, textkit.SEED)
+    return found.keys, found.counts
+
+
+def frequent_units(docs: DataFrame, path: str, text_col: str, size: int, capacity: int, seed: int) -> Frequent:
+    """At most ``size`` frequent units of all texts."""
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Summary(capacity)
         for batch in batches:
             for _, texts in textkit.slices(batch.column(0)):
                 low, start, end, _ = units(texts, path)
-                keys, first, n = np.unique(low.hash(start, end), return_index=True, return_counts=True)
+                keys, first, n = np.unique(low.hash(start, end, seed), return_index=True, return_counts=True)
                 own.add(keys, n, lambda at: [low.cut(a, b) for a, b in zip(start[first[at]].tolist(), end[first[at]].tolist())])
         if len(own.keys):
             yield own.row(TaskContext.get().partitionId() % MERGES)
@@ -224,10 +232,11 @@ def frequent_table(docs: DataFrame, path: str, text_col: str, size: int, capacit
     parts = docs.select(F.col(text_col)).mapInArrow(seen, _SUMMARY).repartition(MERGES, "bucket").mapInArrow(merge, _SUMMARY)
     found = parts.coalesce(1).mapInArrow(merge, _SUMMARY).collect()
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return Frequent(seed, np.zeros(0, np.uint64), [], np.zeros(0, np.int64))
     keys, counts, names = _unpacked(found[0].asDict())
     top = np.lexsort((keys, -counts))[:size]
-    return keys[top], lengths([names[i].decode("utf-8", "replace") for i in top.tolist()], path)
+    names = [names[i] for i in top.tolist()]
+    return Frequent(seed, keys[top], names, lengths([x.decode("utf-8", "replace") for x in names], path))
 
 
 def token_counts(
@@ -243,17 +252,14 @@ def token_counts(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean"
     tiers = kind(path)[0] != "whole"
-    sent = docs.sparkSession.sparkContext.broadcast(frequent_table(rows, path, "text", frequent, capacity)) if tiers else None
+    sent = docs.sparkSession.sparkContext.broadcast(frequent_units(rows, path, "text", frequent, capacity, textkit.new_seed())) if tiers else None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = None
-        if tiers:
-            table = HashTable(max(4, (2 * len(sent.value[0]) + 1).bit_length()))
-            table.put(*sent.value)
+        table = sent.value.table() if tiers else None
         for batch in batches:
             for row, texts in textkit.slices(batch.column(1)):
                 if tiers:
-                    n = count_slice(texts, path, table)
+                    n = count_slice(texts, path, table, sent.value.seed)
                 else:
                     cuts = texts.offsets.tolist()
                     n = lengths([texts.cut(a, b).decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])], path)

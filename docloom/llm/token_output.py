@@ -114,36 +114,31 @@ def _specials(path: str) -> tuple[bytes, ...]:
 
 
 class UnitCache:
-    """Ids of white-space units by hash; cleared when it is full."""
+    """Ids of white-space units by their bytes; cleared when it is full."""
 
     def __init__(self, path: str):
         self.path = path
-        self.table = textkit.HashTable(CACHE_BITS)
+        self.table = textkit.UnitTable(CACHE_BITS)
         self.begin, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(1 << 16, np.uint32)
         self.units = self.ids = 0
 
-    def rows(self, h: np.ndarray, texts: textkit.Texts, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def rows(self, texts: textkit.Texts, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The cache row of every unit; new units are encoded."""
         if self.table.full():
             self.table.clear()
             self.units = self.ids = 0
-        at = self.table.get(h)
-        miss = np.flatnonzero(at < 0)
-        if len(miss):
-            new, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            where = miss[first]
-            flat, sizes = encode_units([texts.cut(a, b) for a, b in zip(start[where].tolist(), end[where].tolist())], self.path)
-            self._room(len(new), len(flat))
-            self.begin[self.units : self.units + len(new)] = self.ids + np.cumsum(sizes) - sizes
-            self.length[self.units : self.units + len(new)] = sizes
-            self.pool[self.ids : self.ids + len(flat)] = flat
-            rows = self.units + np.arange(len(new))
-            self.units, self.ids = self.units + len(new), self.ids + len(flat)
-            room = len(self.table.keys) // 4  # what finds no room in the table is encoded again next time
-            self.table.put(new[:room], rows[:room])
-            at[miss] = rows[back]
-        return at
+        return self.table.rows(texts, start, end, self._learn)
+
+    def _learn(self, names: list[bytes]) -> np.ndarray:
+        flat, sizes = encode_units(names, self.path)
+        self._room(len(names), len(flat))
+        self.begin[self.units : self.units + len(names)] = self.ids + np.cumsum(sizes) - sizes
+        self.length[self.units : self.units + len(names)] = sizes
+        self.pool[self.ids : self.ids + len(flat)] = flat
+        rows = self.units + np.arange(len(names))
+        self.units, self.ids = self.units + len(names), self.ids + len(flat)
+        return rows
 
     def _room(self, units: int, ids: int) -> None:
         if self.units + units > len(self.begin):
@@ -191,7 +186,7 @@ def encode_slice(texts: textkit.Texts, path: str, end_id: int) -> tuple[np.ndarr
     doc = np.searchsorted(texts.offsets, start, "right") - 1
     use = ~odd[doc]
     start, end, doc = start[use], end[use], doc[use]
-    row = cache.rows(texts.hash(start, end), texts, start, end)
+    row = cache.rows(texts, start, end)
     size = cache.length[row]
     count = np.bincount(doc, weights=size, minlength=len(texts)).astype(np.int64)
     whole = np.flatnonzero(odd)

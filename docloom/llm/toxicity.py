@@ -47,6 +47,8 @@ FIT_ROWS = 100_000
 REACH = 4
 #: Toxic rows that a learned word needs, and learned words at most.
 SUPPORT, LEXICON = 3, 1 << 16
+#: The lexicon's hashes; a word that is made to share one with a listed word is read as that word.
+SEED = 8
 #: Lower bounds of the log-odds from which a word is a suspect and an insult.
 SUSPECT_ODDS, INSULT_ODDS = 1.0, 2.0
 
@@ -139,8 +141,7 @@ _machine: list[Transducer] = []
 
 
 def _hash(word: str) -> int:
-    raw = np.frombuffer(word.encode(), np.uint8)
-    return int(textkit.Texts(raw, np.array([0, len(raw)])).hash(np.array([0]), np.array([len(raw)]))[0])
+    return int(textkit.hash_all([word.encode()], SEED)[0])
 
 
 def odds(pos: np.ndarray, neg: np.ndarray, toxic: float, other: float) -> np.ndarray:
@@ -224,7 +225,7 @@ def split(texts: textkit.Texts) -> Words:
     stops = np.concatenate(([0], np.cumsum(_CLAUSE_END[low.data])))
     broken = np.zeros(len(start), bool)
     broken[1:] = stops[start[1:]] > stops[end[:-1]]
-    return Words(low.hash(start, end), np.searchsorted(low.offsets, start, "right") - 1, np.searchsorted(start, low.offsets), broken)
+    return Words(low.hash(start, end, SEED), np.searchsorted(low.offsets, start, "right") - 1, np.searchsorted(start, low.offsets), broken)
 
 
 def clauses(texts: textkit.Texts, lexicon: Lexicon | None = None, variants: np.ndarray | None = None) -> list[list[int]]:
