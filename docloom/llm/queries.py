@@ -12,6 +12,7 @@ from docloom.llm import (
     byte_bpe,
     decontamination,
     lm_scoring,
+    merkle_manifest,
     ngram_jaccard,
     quality_rules,
     sharding,
@@ -76,6 +77,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    n_chars = F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    shown = merkle_manifest.leaf(*[n_chars if c == "n_chars" else F.col(c) for c in merkle_manifest.COLUMNS])
+    rows = merkle_manifest.merkle_manifest(docs, carried={"shown": F.when(tampered, shown)})
+    found = merkle_manifest.folded(F.coalesce("shown", "leaf"), F.col("proof"))
+    out = rows.select("doc_id", "leaf", "subroot", "root", merkle_manifest.proof_digest(F.col("proof")).alias("proof_sha256"), found.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -87,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 #: Exact Jaccard links and their components, for op2.
@@ -130,4 +143,42 @@ s AS (SELECT *, least(CAST((2 * before + size) * 24 // (2 * total) AS INTEGER),
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, n - min(n) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
 """
 
-ORACLES: dict[str, str] = {"op2_ngram_jaccard": _OP2, "op7_sharding": _OP7}
+#: CRC-32 of a short text, by bytes; the table is built by its polynomial.
+_CRC = r"""tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, i)) AS t)"""
+_CRC_OF = "xor(4294967295, list_reduce(list_transform(range(1, length({0}) + 1), lambda j: CAST(ascii(substring({0}, j, 1)) AS BIGINT)), lambda c, y: xor(c // 256, t[xor(c % 256, y) + 1]), 4294967295))"
+
+#: Leaves, levels, proofs and folds, for op11.
+_OP11 = rf"""
+WITH RECURSIVE {_CRC},
+rows AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, *, CAST(doc_id AS VARCHAR) AS i, coalesce('=' || lang, '') AS tree FROM documents),
+shown AS (SELECT *, n_chars + CASE WHEN {_CRC_OF.format("i")} % 7 = 0 THEN 1 ELSE 0 END AS m FROM rows, tab),
+leaves AS (SELECT r, doc_id, tree, sha256(replace(head, '#', coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) || tail) AS own,
+  sha256(replace(head, '#', coalesce(strlen(CAST(m AS VARCHAR)) || ':' || m, '-')) || tail) AS other
+  FROM (SELECT *, coalesce(strlen(i) || ':' || i, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || '#' AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail FROM shown)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, own) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+t AS (SELECT tree, 0 AS lvl, pos, n, own AS digest FROM placed
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY tree, lvl, pos // 2, n),
+s AS (SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS lvl, pos, n, digest FROM s
+  UNION ALL
+  SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY lvl, pos // 2, n),
+steps AS (
+  SELECT p.r, t.lvl, t.digest, t.pos < (p.pos >> t.lvl) AS is_left FROM placed p JOIN t ON t.tree = p.tree AND t.n > 1 AND t.pos = xor(p.pos >> t.lvl, 1)
+  UNION ALL
+  SELECT p.r, 100 + u.lvl, u.digest, u.pos < (s.pos >> u.lvl) FROM placed p JOIN s ON s.tree = p.tree JOIN u ON u.n > 1 AND u.pos = xor(s.pos >> u.lvl, 1)),
+heights AS (SELECT tree, max(lvl) AS h FROM t GROUP BY tree),
+every AS (
+  SELECT p.r, k AS lvl FROM placed p JOIN heights USING (tree), range(0, 100) AS g(k) WHERE k < h
+  UNION ALL
+  SELECT p.r, 100 + k FROM placed p, range(0, 100) AS g(k) WHERE k < (SELECT max(lvl) FROM u)),
+proofs AS (SELECT e.r, list({{'d': coalesce(st.digest, ''), 'l': coalesce(st.is_left, false)}} ORDER BY e.lvl) AS p FROM every e LEFT JOIN steps st ON st.r = e.r AND st.lvl = e.lvl GROUP BY e.r),
+f AS (SELECT p.doc_id, p.own AS leaf, s.digest AS subroot, (SELECT digest FROM u WHERE n = 1) AS root,
+  sha256(coalesce(array_to_string(list_transform(q.p, lambda x: x.d), ''), '')) AS proof_sha256,
+  list_reduce(coalesce(q.p, []), lambda a, x: {{'d': CASE WHEN x.l THEN sha256(x.d || a.d) ELSE sha256(a.d || x.d) END, 'l': false}}, {{'d': p.other, 'l': false}}).d AS folded_root
+  FROM placed p JOIN s ON s.tree = p.tree LEFT JOIN proofs q ON q.r = p.r)
+SELECT *, folded_root = root AS verified FROM f
+"""
+
+ORACLES: dict[str, str] = {"op2_ngram_jaccard": _OP2, "op7_sharding": _OP7, "op11_merkle_manifest": _OP11}
