@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import (
     byte_bpe,
+    conversation_trie,
     decontamination,
     lm_scoring,
     merkle_manifest,
@@ -88,6 +89,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv")
+    heads = (conv - conv % 100, F.crc32(conv.cast("string").cast("binary")) % 6, 5)
+    nodes, _ = conversation_trie.conversation_trie(_read(spark, sf_dir, "conversations"), heads=heads)
+    return nodes.select(
+        conv.alias("conv_id"), "depth", F.col("parent_conv").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", F.col("saved").alias("saved_tokens"), "ends_sha256"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -100,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 #: Exact Jaccard links and their components, for op2.
@@ -181,4 +192,33 @@ f AS (SELECT p.doc_id, p.own AS leaf, s.digest AS subroot, (SELECT digest FROM u
 SELECT *, folded_root = root AS verified FROM f
 """
 
-ORACLES: dict[str, str] = {"op2_ngram_jaccard": _OP2, "op7_sharding": _OP7, "op11_merkle_manifest": _OP11}
+#: Rebuilt conversations, their prefixes and the prefixes' subtrees, for op13.
+_OP13 = rf"""
+WITH {_CRC},
+c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+g AS (SELECT conv_id, turn, length(text) AS w, sha256(strlen(role) || ':' || role || strlen(text) || ':' || text) AS d FROM c),
+o AS (SELECT conv_id, w, d, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) - 1 AS pos FROM g),
+n AS (SELECT conv_id, count(*) AS n, CAST(conv_id AS VARCHAR) AS i FROM o GROUP BY conv_id),
+h AS (SELECT conv_id, n, conv_id - conv_id % 100 AS base, {_CRC_OF.format("i")} % 6 AS h FROM n, tab),
+k AS (SELECT h.conv_id, h.base, h.h, least(h.h, coalesce(b.n, 0)) AS k FROM h LEFT JOIN n b ON b.conv_id = h.base),
+r AS (
+  SELECT k.conv_id, o.pos + 1 AS depth, w, d FROM k JOIN o ON o.conv_id = k.base AND o.pos < k.h
+  UNION ALL
+  SELECT k.conv_id, k.k + o.pos - k.h + 1, w, d FROM k JOIN o ON o.conv_id = k.conv_id WHERE o.pos >= k.h),
+p AS (
+  SELECT conv_id, depth, w, string_agg(d, '') OVER (PARTITION BY conv_id ORDER BY depth) AS key FROM r
+  UNION ALL
+  SELECT conv_id, 0, 0, '' FROM k),
+l AS (SELECT conv_id, max(depth) AS len FROM p GROUP BY conv_id),
+nodes AS (
+  SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, max(w) AS w, max(len) AS longest,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE depth = len), '') AS ends
+  FROM p JOIN l USING (conv_id) GROUP BY depth, key)
+SELECT a.conv_id, a.depth, any_value(u.conv_id) AS parent_conv_id, any_value(a.n_convs) AS n_convs, count(*) FILTER (WHERE b.depth = a.depth + 1) AS n_children,
+  CAST(sum(CASE WHEN b.longest = b.depth THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum((b.n_convs - 1) * b.w) AS BIGINT) AS saved_tokens, sha256(any_value(a.ends)) AS ends_sha256
+FROM nodes a JOIN nodes b ON b.depth >= a.depth AND left(b.key, 64 * a.depth) = a.key
+LEFT JOIN nodes u ON u.depth = a.depth - 1 AND u.key = left(a.key, 64 * (a.depth - 1))
+GROUP BY a.conv_id, a.depth
+"""
+
+ORACLES: dict[str, str] = {"op2_ngram_jaccard": _OP2, "op7_sharding": _OP7, "op11_merkle_manifest": _OP11, "op13_conversation_trie": _OP13}
