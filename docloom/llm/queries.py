@@ -15,6 +15,7 @@ from docloom.llm import (
     lm_scoring,
     merkle_manifest,
     ngram_jaccard,
+    quality_classifier,
     quality_rules,
     sharding,
     token_counts,
@@ -89,6 +90,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_classifier.quality_classifier(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), threshold=0.5)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = F.col("conv")
     heads = (conv - conv % 100, F.crc32(conv.cast("string").cast("binary")) % 6, 5)
@@ -110,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_quality_classifier": op12_quality_classifier,
     "op13_conversation_trie": op13_conversation_trie,
 }
 
