@@ -37,9 +37,16 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(t for t in re.split(r"\W+", query.lower()) if t))
 
 
-def term_share(text: Column, terms: list[str]) -> Column:
-    """Share of the terms that occur in the text as substrings."""
+def terms_of(query: Column) -> Column:
+    """``query_terms`` of a column."""
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(query, F.lit(""))), r"(?U)\W+"), lambda t: t != ""))
+
+
+def term_share(text: Column, terms: list[str] | Column) -> Column:
+    """Share of the terms, a list or an array column, that occur in the text as substrings."""
     low = F.lower(text)
+    if isinstance(terms, Column):
+        return F.size(F.filter(terms, lambda t: F.contains(low, t))) / F.greatest(F.size(terms), F.lit(1)).cast("double")
     hits = sum((F.contains(low, F.lit(t)).cast("int") for t in terms), F.lit(0))
     return hits / F.lit(float(max(len(terms), 1)))
 

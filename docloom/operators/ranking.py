@@ -38,8 +38,11 @@ def rank_lexical(chunks: DataFrame, query: str, top_k: int | None = 10) -> DataF
     return ranked(chunks.withColumn("score", lexical_score(F.col("text"), query)), top_k)
 
 
-def salience_score(query: str, total: Column) -> Column:
-    """Position, section, parse quality and query overlap; peaks in a document's middle."""
+def salience_score(query: str | Column, total: Column) -> Column:
+    """Position, section, parse quality and query overlap; peaks in a document's middle.
+
+    The query is a text, or an array column of its terms.
+    """
     index = F.col("chunk_index")
     place = index / F.greatest(total - 1, F.lit(1))
     score = (
@@ -49,8 +52,8 @@ def salience_score(query: str, total: Column) -> Column:
         + F.when(F.lower("section_label").isin(*HIGH_VALUE_SECTIONS), 0.25).otherwise(0.0)
         - F.when(F.col("parse_quality") == "degraded", 0.1).when(F.col("parse_quality") == "unusable", 0.3).otherwise(0.0)
     )
-    terms = query_terms(query)
-    if terms:
+    terms = query if isinstance(query, Column) else query_terms(query)
+    if isinstance(query, Column) or terms:
         score = score + F.lit(0.3) * term_share(F.col("text"), terms)
     return F.round(F.greatest(score, F.lit(0.0)), 4)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,38 +44,69 @@ def _group() -> Column:
     return F.when(F.size("page_numbers") > 0, on_page).otherwise(F.concat(F.lit("idx-"), F.floor(F.col("chunk_index") / 5)))
 
 
-def flag_strategies(chunks: DataFrame, budget: int, strategies: tuple[str, ...], query: str | None = None) -> DataFrame:
-    """The chunks that any strategy takes, with ``picks``: (strategy, place in its selection's order).
+@dataclass(frozen=True)
+class Arm:
+    """One selection among several over the same chunks."""
+
+    label: str
+    strategy: str = "head"
+    budget: int = 10
+    query: str | None = None
+
 
-    All strategies are decided on the same rows: salience is scored once, and the windows of
-    a document share one partitioning. A document whose chunks fit the budget keeps all of
-    them in order, whatever the strategy. ``relevance`` is the salience score, 0 without a query.
+def flag_arms(chunks: DataFrame, arms: list[Arm]) -> DataFrame:
+    """The chunks that any arm takes, with ``picks``: (strategy, place in its selection's order) by the arm's label.
+
+    All arms are decided on the same rows: salience is scored once a query, and the windows of
+    a document share one partitioning. A document whose chunks fit an arm's budget keeps all of
+    them in order, whatever the strategy. ``relevance`` is the first query's salience score, 0 without one.
     """
     out = _with_totals(chunks)
     whole = Window.partitionBy("document_id")
-    fits = F.col("total") <= budget
-    score = salience_score(query or "", F.col("total"))
-    out = out.withColumn("relevance", score if query else F.lit(0.0))
+    queries = list(dict.fromkeys(a.query or "" for a in arms))
+    scores = [f"_score{k}" for k in range(len(queries))]
+    for name, query in zip(scores, queries):
+        out = out.withColumn(name, salience_score(query, F.col("total")) if query else F.lit(0.0))
     place = F.col("chunk_index").cast("double")
-    tests: dict[str, tuple[Column, Column]] = {}
-    if "query_ranked" in strategies and query:
-        out = out.withColumn("_ranked", F.row_number().over(whole.orderBy(F.desc("relevance"), "chunk_index")))
-        tests["query_ranked"] = (F.col("_ranked") <= budget, F.col("_ranked").cast("double"))
-    if "diversified" in strategies:
-        out = out.withColumn("_s", F.col("relevance") if query else 1.0 / (F.col("chunk_index") + 1)).withColumn("_g", _group())
-        inside = Window.partitionBy("document_id", "_g")
-        turns = {"_turn": F.row_number().over(inside.orderBy(F.desc("_s"), "chunk_index")), "_best": F.max("_s").over(inside), "_head": F.min("chunk_index").over(inside)}
-        # Round-robin: each round takes every group's next best chunk, the best groups first.
-        out = out.withColumns(turns).withColumn("_pick", F.row_number().over(whole.orderBy("_turn", F.desc("_best"), "_head")))
-        tests["diversified"] = (F.col("_pick") <= budget, place)
     kind = F.coalesce(F.create_map(*[F.lit(x) for kv in ROUTING.items() for x in kv])[F.col("doc_type")], F.lit("head_tail"))
-    for name in strategies:
-        if name not in tests:
-            rule = kind if name == "routing_aware" else "head_tail" if name == "query_ranked" else name
-            tests[name] = (_positional(rule, budget), place)
-    taken = [F.when(fits | test, F.struct(F.lit(name).alias("strategy"), F.when(fits, place).otherwise(order).alias("place"))) for name, (test, order) in ((n, tests[n]) for n in strategies)]
-    out = out.withColumn("picks", F.array_compact(F.array(*taken))).filter(F.size("picks") > 0)
-    return out.drop(*[c for c in ("_ranked", "_s", "_g", "_turn", "_best", "_head", "_pick") if c in out.columns])
+    made: list[str] = list(scores)
+    taken = []
+    for arm in arms:
+        k = queries.index(arm.query or "")
+        fits = F.col("total") <= arm.budget
+        if arm.strategy == "query_ranked" and arm.query:
+            if f"_ranked{k}" not in made:
+                out = out.withColumn(f"_ranked{k}", F.row_number().over(whole.orderBy(F.desc(scores[k]), "chunk_index")))
+                made.append(f"_ranked{k}")
+            test, order = F.col(f"_ranked{k}") <= arm.budget, F.col(f"_ranked{k}").cast("double")
+        elif arm.strategy == "diversified":
+            if f"_pick{k}" not in made:
+                own = {c: f"_{c}{k}" for c in ("s", "g", "turn", "best", "first", "pick")}
+                out = out.withColumn(own["s"], F.col(scores[k]) if arm.query else 1.0 / (F.col("chunk_index") + 1)).withColumn(own["g"], _group())
+                inside = Window.partitionBy("document_id", own["g"])
+                turns = {own["turn"]: F.row_number().over(inside.orderBy(F.desc(own["s"]), "chunk_index")), own["best"]: F.max(own["s"]).over(inside), own["first"]: F.min("chunk_index").over(inside)}
+                # Round-robin: each round takes every group's next best chunk, the best groups first.
+                out = out.withColumns(turns).withColumn(own["pick"], F.row_number().over(whole.orderBy(own["turn"], F.desc(own["best"]), own["first"])))
+                made += own.values()
+            test, order = F.col(f"_pick{k}") <= arm.budget, place
+        else:
+            rule = kind if arm.strategy == "routing_aware" else "head_tail" if arm.strategy == "query_ranked" else arm.strategy
+            test, order = _positional(rule, arm.budget), place
+        taken.append(F.when(fits | test, F.struct(F.lit(arm.label).alias("strategy"), F.when(fits, place).otherwise(order).alias("place"))))
+    out = out.withColumns({"relevance": F.col(scores[0]), "picks": F.array_compact(F.array(*taken))}).filter(F.size("picks") > 0)
+    return out.drop(*made)
+
+
+def flag_strategies(chunks: DataFrame, budget: int, strategies: tuple[str, ...], query: str | None = None) -> DataFrame:
+    """``flag_arms`` of several strategies with one budget and query."""
+    return flag_arms(chunks, [Arm(name, name, budget, query) for name in strategies])
+
+
+def select_arms(chunks: DataFrame, arms: list[Arm]) -> DataFrame:
+    """The chunks of every arm's selection, with ``arm`` and their position in it."""
+    taken = flag_arms(chunks, arms).withColumn("_pick", F.explode("picks"))
+    order = Window.partitionBy("document_id", "_pick.strategy").orderBy("_pick.place")
+    return taken.withColumns({"arm": F.col("_pick.strategy"), "position": F.row_number().over(order)}).drop("_pick", "picks", "relevance")
 
 
 def select_chunks(chunks: DataFrame, budget: int = 10, strategy: str = "head", query: str | None = None) -> DataFrame:
@@ -112,13 +145,23 @@ _ADVICE = {
 }
 
 
-def coverage_report(chunks: DataFrame, selected: DataFrame, documents: DataFrame) -> DataFrame:
+def _labels() -> Column:
+    return F.sort_array(F.collect_set(F.when(F.col("section_label") != "", F.col("section_label"))))
+
+
+def chunk_totals(chunks: DataFrame) -> DataFrame:
+    """(document_id, total_chunks, all_sections)."""
+    return chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("total_chunks"), _labels().alias("all_sections"))
+
+
+def coverage_report(chunks: DataFrame, selected: DataFrame, documents: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """Chunk, page and section coverage of a selection, with its disclosure text.
 
     ``documents`` has document_id and page_count. Sections are the labels of the chunks.
+    ``totals`` replaces ``chunk_totals`` where ids are not those of the chunks (runs).
     """
-    labels = lambda: F.sort_array(F.collect_set(F.when(F.col("section_label") != "", F.col("section_label"))))
-    every = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("total_chunks"), labels().alias("all_sections"))
+    labels = _labels
+    every = chunk_totals(chunks) if totals is None else totals
     seen = selected.groupBy("document_id").agg(
         F.count(F.lit(1)).alias("selected_chunks"), labels().alias("sections_covered"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("page_numbers")))).alias("pages_covered")
     )
@@ -150,10 +193,10 @@ def coverage_report(chunks: DataFrame, selected: DataFrame, documents: DataFrame
         "\n",
         F.concat(F.lit("[What is shown] "), F.col("selected_chunks"), F.lit("/"), F.col("total_chunks"), F.lit(" chunks, "), percent(F.col("c"))),
         F.when(F.col("total_pages") > 0, F.concat(F.lit("Pages covered: "), summarise_range(F.col("pages_covered")), F.lit(" ("), F.size("pages_covered"), F.lit("/"), F.col("total_pages"), F.lit(" pages)."))),
-        F.when((F.col("total_pages") > 0) & missing.between(1, 10), F.concat(F.lit("Pages NOT covered: "), summarise_range(F.col("pages_missing")), F.lit("."))).when(
-            (F.col("total_pages") > 0) & (missing > 10), F.concat(F.lit("Pages NOT covered: "), missing)
+        F.when((F.col("total_pages") > 0) & missing.between(1, 10), F.concat(F.lit("Left out are pages "), summarise_range(F.col("pages_missing")))).when(
+            (F.col("total_pages") > 0) & (missing > 10), F.concat(F.lit("Left out are "), missing, F.lit(" pages"))
         ),
-        F.when(F.size("sections_covered") > 0, F.concat(F.lit("Sections covered: "), F.array_join("sections_covered", ", "), F.lit("."))),
+        F.when(F.size("sections_covered") > 0, F.concat(F.lit("Sections here: "), F.array_join("sections_covered", "; "))),
         F.when(F.size("sections_missing") > 0, F.concat(F.lit("Sections NOT covered: "), F.array_join("sections_missing", ", "), F.lit("."))),
         F.create_map(*[F.lit(x) for kv in _ADVICE.items() for x in kv])[F.col("coverage_level")],
         F.lit("[End of what is shown]"),

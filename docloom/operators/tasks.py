@@ -1,4 +1,4 @@
-"""Prompts, prompt assembly and the summarisation, chronology and hierarchy composites.
+"""The summarisation, chronology and hierarchy composites, and prompt experiments.
 
 The model call itself is a hook: a function from (document_id, system_prompt,
 user_prompt) rows to (document_id, response) rows, or a table of recorded responses.
@@ -6,157 +6,36 @@ user_prompt) rows to (document_id, response) rows, or a table of recorded respon
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, replace
-from functools import reduce
+from collections.abc import Callable
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators import evaluation as E
 from docloom.operators import grounding as G
 from docloom.operators import selection as S
 from docloom.operators import semantic as M
-from docloom.operators.ops import RETRYABLE
+from docloom.operators.models import CallPolicy, Model, ResponseStore, degraded_responses, model_hook, prompt_digest, provider_calls, recorded
+from docloom.operators.prompts import PromptTemplate, build_prompts, get_prompt, list_prompts, register_prompt, with_templates
 from docloom.sources.settled import settle
 
-
-@dataclass(frozen=True)
-class PromptTemplate:
-    name: str
-    version: str
-    task: str
-    system: str
-
-    @property
-    def ref(self) -> str:
-        return f"{self.name}@{self.version}"
-
-
-_JSON = "Answer with one JSON object and cite the chunk ids that support every statement."
-_REGISTRY: dict[tuple[str, str], PromptTemplate] = {}
-
-
-def register_prompt(template: PromptTemplate) -> None:
-    _REGISTRY[template.name, template.version] = template
-
-
-for _name, _task, _text in (
-    ("summary_general", "summarisation", "Summarise the document from the given chunks."),
-    ("summary_billing", "summarisation", "Summarise charges, payments and balances from the given chunks."),
-    ("summary_medical", "summarisation", "Summarise findings, treatment and follow-up from the given chunks."),
-    ("chronology_general", "chronology", "List the dated events that the given chunks report."),
-    ("hierarchy_general", "hierarchical", "Combine the given section summaries into one summary of the document."),
-):
-    register_prompt(PromptTemplate(_name, "1.0", _task, f"{_text} {_JSON}"))
-
-
-def get_prompt(name: str, version: str = "1.0") -> PromptTemplate:
-    return _REGISTRY[name, version]
-
-
-def list_prompts(spark: SparkSession) -> DataFrame:
-    """The registry as a table, by task, name and version."""
-    rows = [(p.task, p.name, p.version, p.system) for p in _REGISTRY.values()]
-    return spark.createDataFrame(rows, "task string, name string, version string, system string").orderBy("task", "name", "version")
-
-
-def build_prompts(selected: DataFrame, coverage: DataFrame | None = None, fields: DataFrame | None = None) -> DataFrame:
-    """(document_id, user_prompt): known fields, then chunks in order, then the disclosure."""
-    block = F.concat(F.lit("[chunk_id: "), F.col("chunk_id"), F.lit("]\n"), F.col("text"))
-    out = selected.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("chunks"))
-    parts = ["chunks"]
-    if fields is not None:
-        line = F.concat(F.lit("- "), F.col("field_name"), F.lit(": "), F.col("field_value"))
-        known = fields.groupBy("document_id").agg(F.concat(F.lit("Known fields:\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("field_index", line.alias("l")))), lambda x: x["l"]), "\n")).alias("known"))
-        out, parts = out.join(known, "document_id", "left"), ["known", *parts]
-    if coverage is not None:
-        out, parts = out.join(coverage.select("document_id", "disclosure_text"), "document_id", "left"), [*parts, "disclosure_text"]
-    return out.select("document_id", F.concat_ws("\n\n", *parts).alias("user_prompt"))
-
-
-Model = Callable[[DataFrame], DataFrame]
-
-
-@dataclass(frozen=True)
-class CallPolicy:
-    """How a model is called: a time limit, retries of errors that may pass, a growing pause between them."""
-
-    retries: int = 1
-    timeout_s: float = 20.0
-    backoff_ms: int = 250
-    provider: str = ""
-    model: str = ""
-    #: Whether errors that are not likely to pass are tried again too.
-    retry_all: bool = True
-
-
-def _retryable(message: str) -> bool:
-    low = message.lower()
-    return any(m in low for m in RETRYABLE)
-
-
-def _answer(complete: Callable[[str], str], prompt: str, policy: CallPolicy) -> tuple:
-    """(response, attempts, error, retryable, latency_ms) of one prompt."""
-    tries, began = 0, time.monotonic()
-    while True:
-        tries += 1
-        pool = ThreadPoolExecutor(1)
-        try:
-            response, error, again = pool.submit(complete, prompt).result(policy.timeout_s), None, False
-        except Exception as e:  # the provider's error is the row's result
-            said = "timed out" if isinstance(e, TimeoutError) and not str(e) else str(e)
-            response, error = None, f"{type(e).__name__}: {said}"[:200]
-            again = _retryable(error)
-        finally:
-            pool.shutdown(wait=False, cancel_futures=True)
-        if error is None or tries > policy.retries or not (again or policy.retry_all):
-            return response, tries, error, again, int((time.monotonic() - began) * 1000)
-        time.sleep(policy.backoff_ms * tries / 1000)
-
-
-def model_hook(complete: Callable[[str], str], retries: int | None = None, policy: CallPolicy = CallPolicy()) -> Model:
-    """A hook from a plain function: bounded retries, failures kept as typed rows.
-
-    Rows: document_id, response, attempts, error, retryable, latency_ms, provider, model.
-    """
-    policy = policy if retries is None else replace(policy, retries=retries)
-
-    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(i, *_answer(complete, p, policy), policy.provider, policy.model) for i, p in zip(batch["document_id"], batch["user_prompt"])]
-            yield pd.DataFrame(rows, columns=["document_id", "response", "attempts", "error", "retryable", "latency_ms", "provider", "model"])
-
-    schema = "document_id string, response string, attempts int, error string, retryable boolean, latency_ms long, provider string, model string"
-    return lambda prompts: prompts.select("document_id", "user_prompt").mapInPandas(call, schema)
-
-
-def provider_calls(responses: DataFrame) -> DataFrame:
-    """The calls of a hook as rows of the operational metrics."""
-    return responses.select("document_id", "provider", "model", "latency_ms", F.col("error").isNull().alias("success"), "retryable", F.col("error").alias("message"))
-
-
-def degraded_responses(responses: DataFrame) -> DataFrame:
-    """Typed answers for the documents whose call failed: nothing is summarised, and a person is asked.
-
-    (document_id, status, summary_text, review_recommended, retryable, attempts, provider, model, message)
-    """
-    failed = responses.filter(F.col("error").isNotNull())
-    status = F.when(F.col("retryable"), "provider_unavailable").otherwise("provider_error")
-    return failed.select(
-        "document_id", status.alias("status"), F.lit("").alias("summary_text"), F.lit(True).alias("review_recommended"), "retryable", "attempts", "provider", "model", F.col("error").alias("message")
-    )
-
-
-def recorded(responses: DataFrame) -> Model:
-    """A hook that looks responses up in a table."""
-    return lambda prompts: prompts.select("document_id").join(responses, "document_id", "left")
-
-
-def summarise(chunks: DataFrame, documents: DataFrame, model: Model, budget: int = 10, strategy: str = "head", query: str | None = None, fields: DataFrame | None = None) -> dict[str, DataFrame]:
+__all__ = [
+    "CallPolicy", "Model", "PromptTemplate", "ResponseStore", "Variant", "build_prompts", "chronology", "degraded_responses", "get_prompt", "hierarchy", "list_prompts", "model_hook", "prompt_digest",
+    "provider_calls", "recorded", "register_prompt", "register_task", "run_experiment", "run_task", "summarise", "with_templates",
+]
+
+
+def summarise(
+    chunks: DataFrame,
+    documents: DataFrame,
+    model: Model,
+    budget: int = 10,
+    strategy: str = "head",
+    query: str | None = None,
+    fields: DataFrame | None = None,
+    template: PromptTemplate | None = None,
+) -> dict[str, DataFrame]:
     """Selection, coverage, prompt, response, validation, grounding, uncertainty, degradation.
 
     ``documents`` has document_id, page_count, quality. Returns the tables of all steps.
@@ -164,7 +43,13 @@ def summarise(chunks: DataFrame, documents: DataFrame, model: Model, budget: int
     """
     selected = settle(S.select_chunks(chunks, budget, strategy, query), "selected")
     coverage = settle(S.coverage_report(chunks, selected, documents), "coverage")
-    validated = settle(G.validate_summaries(model(build_prompts(selected, coverage, fields))), "validated")
+    return _summarised(selected, coverage, documents, model, fields, template)
+
+
+def _summarised(selected: DataFrame, coverage: DataFrame, documents: DataFrame, model: Model, fields: DataFrame | None, template: PromptTemplate | DataFrame | None) -> dict[str, DataFrame]:
+    """What follows the selection; a document_id may be a run's."""
+    responses = settle(model(build_prompts(selected, coverage, fields, template)), "responses")
+    validated = settle(G.validate_summaries(responses), "validated")
     points = settle(G.ground_points(validated, selected), "points")
     audit = G.audit_grounding(validated, points, selected)
     llm_fields = validated.select("document_id", F.inline("structured_fields"))
@@ -180,13 +65,14 @@ def summarise(chunks: DataFrame, documents: DataFrame, model: Model, budget: int
         "document_id", "parse_quality", F.lit(False).alias("likely_low_quality_source"), "coverage_level", "grounding_score", F.col("key_points_ungrounded").alias("unsupported_claims"), "contradictions", "validation_status", "inferred_claims",
     )
     assessed = G.uncertainty(inputs)
-    return {"selected": selected, "coverage": coverage, "validated": validated, "points": points, "audit": audit, "gaps": G.evidence_gaps(points, audit), "uncertainty": assessed, "summary": G.degrade_summaries(validated, assessed, points), "usage": G.usage_meta(validated, selected)}
+    return {"selected": selected, "coverage": coverage, "responses": responses, "validated": validated, "points": points, "audit": audit, "gaps": G.evidence_gaps(points, audit), "uncertainty": assessed, "summary": G.degrade_summaries(validated, assessed, points), "usage": G.usage_meta(validated, selected)}
 
 
-def chronology(chunks: DataFrame, model: Model, budget: int = 10, strategy: str = "head") -> dict[str, DataFrame]:
+def chronology(chunks: DataFrame, model: Model, budget: int = 10, strategy: str = "head", query: str | None = None, template: PromptTemplate | None = None) -> dict[str, DataFrame]:
     """Selection, prompt, response, validation and audit of dated events."""
-    selected = settle(S.select_chunks(chunks, budget, strategy), "selected")
-    validated = settle(G.validate_chronologies(model(build_prompts(selected))), "validated")
+    selected = settle(S.select_chunks(chunks, budget, strategy, query), "selected")
+    prompts = build_prompts(selected, template=template or get_prompt("chronology_general"))
+    validated = settle(G.validate_chronologies(model(prompts)), "validated")
     return {"selected": selected, "validated": validated, "audit": G.audit_chronology(validated, selected)}
 
 
@@ -210,7 +96,7 @@ def run_task(name: str, *args, **kwargs) -> dict[str, DataFrame]:
 
 @dataclass(frozen=True)
 class Variant:
-    """One arm of a prompt experiment."""
+    """One arm of a prompt experiment: the prompt it sends, the model it asks, the chunks it shows."""
 
     label: str
     model: Model
@@ -219,35 +105,87 @@ class Variant:
     budget: int = 10
     query: str | None = None
     use_fields: bool = False
+    #: The model's name in the rows; empty: the template's.
+    model_name: str = ""
+
+
+def _runs(documents: DataFrame, variants: list[Variant]) -> DataFrame:
+    """One row for each document and variant, with the variant's settings and its template.
+
+    ``document_id`` is the run's, ``source_id`` the document's. A prompt that is not registered is an error.
+    """
+    rows = []
+    for position, v in enumerate(variants):
+        name, _, version = v.prompt.partition("@")
+        get_prompt(name, version or "1.0")
+        rows.append((str(position), position, v.label, name, version or "1.0", v.model_name, v.strategy, v.budget, v.use_fields))
+    schema = "arm string, position int, label string, prompt_name string, prompt_version string, model string, chunk_selection string, max_chunks int, use_fields boolean"
+    table = with_templates(documents.sparkSession.createDataFrame(rows, schema))
+    every = documents.withColumnRenamed("document_id", "source_id").withColumn("arm", F.explode(F.array(*[F.lit(r[0]) for r in rows])))
+    return every.join(F.broadcast(table), "arm").withColumn("document_id", F.concat_ws(":", "arm", "source_id"))
 
 
 def run_experiment(name: str, chunks: DataFrame, documents: DataFrame, facts: DataFrame, variants: list[Variant], fields: DataFrame | None = None) -> dict[str, DataFrame]:
     """The same documents summarised by every variant, scored alike and compared.
 
-    ``facts`` has document_id and key_facts. ``rows`` holds a variant's averages over the
-    documents; times are those that the hook reports, 0 where it reports none.
+    One plan over (document, variant) rows: every step runs once for all variants, under run
+    ids. ``facts`` has document_id and key_facts. ``runs`` holds a row a document and variant
+    with its status, scores and notes, ``rows`` a variant's averages over the documents; times
+    are those that the hooks report, 0 where they report none.
     """
-    scored = []
-    for position, v in enumerate(variants):
-        held: list[DataFrame] = []
-
-        def kept(prompts: DataFrame, v: Variant = v, held: list[DataFrame] = held) -> DataFrame:
-            held.append(settle(v.model(prompts), "responses"))
-            return held[0]
-
-        out = summarise(chunks, documents, kept, v.budget, v.strategy, v.query, fields if v.use_fields else None)
-        took = held[0].select("document_id", F.col("latency_ms").alias("ms")) if "latency_ms" in held[0].columns else held[0].select("document_id", F.lit(0).alias("ms"))
-        grounded = out["points"].filter("grounded").groupBy("document_id").agg(F.collect_list("text").alias("grounded_points"))
-        text = E.scored_text(out["summary"].join(grounded, "document_id", "left"))
-        metrics = E.summary_metrics(text.join(facts, "document_id").withColumn("fixture", F.col("document_id")))
-        each = metrics.join(out["audit"].select(F.col("document_id").alias("fixture"), "grounding_score"), "fixture").join(took.withColumnRenamed("document_id", "fixture"), "fixture")
-        each = each.join(out["validated"].select(F.col("document_id").alias("fixture"), "status"), "fixture")
-        scored.append(
-            settle(each, "variant").agg(
-                F.lit(name).alias("experiment"), F.lit(position).alias("position"), F.lit(v.label).alias("label"), F.lit(v.prompt).alias("prompt_ref"), F.lit(v.strategy).alias("chunk_selection"), F.lit(v.budget).alias("max_chunks"),
-                *[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4).alias(c) for c in ("factual_coverage", "grounding_score", "actionability")],
-                F.coalesce(F.sum("ms"), F.lit(0)).cast("long").alias("processing_time_ms"), F.count_if(F.col("status") == "valid").alias("valid"), F.count(F.lit(1)).alias("documents"),
-            )
+    runs = settle(_runs(documents, variants), "runs")
+    keys = runs.select("document_id", "source_id", "arm")
+    arms = [S.Arm(str(i), v.strategy, v.budget, v.query) for i, v in enumerate(variants)]
+    taken = S.select_arms(chunks, arms).withColumnRenamed("document_id", "source_id")
+    selected = settle(taken.withColumn("document_id", F.concat_ws(":", "arm", "source_id")).drop("arm", "source_id"), "selected")
+    totals = keys.join(S.chunk_totals(chunks).withColumnRenamed("document_id", "source_id"), "source_id").drop("source_id", "arm")
+    coverage = settle(S.coverage_report(chunks, selected, runs, totals), "coverage")
+    known = None
+    if fields is not None:
+        known = runs.filter("use_fields").select("document_id", "source_id").join(fields.withColumnRenamed("document_id", "source_id"), "source_id").drop("source_id")
+
+    def asked(prompts: DataFrame) -> DataFrame:
+        """Every arm's prompts by its own hook; arms that share one are asked together."""
+        hooks = list(dict.fromkeys(v.model for v in variants))
+        arm = F.substring_index("document_id", ":", 1)
+        parts = [hook(prompts.filter(arm.isin(*[str(i) for i, v in enumerate(variants) if v.model == hook]))) for hook in hooks]
+        parts = [p.select("document_id", "response", (F.col("latency_ms") if "latency_ms" in p.columns else F.lit(0)).cast("long").alias("latency_ms")) for p in parts]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    out = _summarised(selected, coverage, runs.select("document_id", "page_count", "quality"), asked, known, runs)
+    grounded = out["points"].filter("grounded").groupBy("document_id").agg(F.collect_list("text").alias("grounded_points"))
+    text = E.scored_text(out["summary"].join(grounded, "document_id", "left"))
+    wanted = keys.join(facts.withColumnRenamed("document_id", "source_id"), "source_id").select("document_id", "key_facts")
+    metrics = E.summary_metrics(text.join(wanted, "document_id").withColumn("fixture", F.col("document_id"))).withColumnRenamed("fixture", "document_id")
+    each = (
+        runs.select("document_id", "source_id", "position", "label", "prompt_ref", "model", "chunk_selection", "max_chunks")
+        .join(metrics.select("document_id", "factual_coverage", "actionability"), "document_id")
+        .join(out["audit"].select("document_id", "grounding_score", "needs_review"), "document_id")
+        .join(out["usage"].select("document_id", F.col("evidence_usage_ratio").alias("evidence_support")), "document_id")
+        .join(out["validated"].select("document_id", "status", F.size("issues").alias("issues")), "document_id")
+        .join(out["coverage"].select("document_id", "coverage_level", "selected_chunks", "total_chunks"), "document_id")
+        .join(out["uncertainty"].select("document_id", "review_recommended", "abstained", "risk_flags"), "document_id")
+        .join(out["responses"].select("document_id", F.coalesce("latency_ms", F.lit(0)).alias("processing_time_ms")), "document_id")
+    )
+    notes = F.array_compact(
+        F.array(
+            F.concat_ws(" ", F.lit("shown"), F.concat_ws("/", "selected_chunks", "total_chunks"), F.lit("chunks,"), "coverage_level"),
+            F.when(F.col("issues") > 0, F.concat(F.lit("repaired: "), F.col("issues"))),
+            F.when(F.size("risk_flags") > 0, F.concat(F.lit("risks: "), F.array_join("risk_flags", ", "))),
+            F.when(F.col("abstained"), "no summary was given").when(F.col("review_recommended"), "to be reviewed"),
         )
-    rows = reduce(DataFrame.unionByName, scored)
-    return {"rows": rows, "comparison": E.compare_experiments(rows).join(E.recommendation(rows), "experiment")}
+    )
+    detail = ["position", "label", "prompt_ref", "model", "chunk_selection", "max_chunks", "status", "processing_time_ms", "factual_coverage", "grounding_score", "evidence_support", "actionability"]
+    scored = settle(each.select(F.col("source_id").alias("document_id"), *detail, notes.alias("notes")), "scored")
+    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4).alias(c)
+    arm = ["position", "label", "prompt_ref", "model", "chunk_selection", "max_chunks"]
+    by_status = scored.groupBy(*arm, "status").agg(F.count(F.lit(1)).alias("n")).groupBy(*arm).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "status", "n"))), ", ").alias("statuses"))
+    rows = scored.groupBy(*arm).agg(
+        *map(mean, ("factual_coverage", "grounding_score", "evidence_support", "actionability")),
+        F.sum("processing_time_ms").alias("processing_time_ms"), F.count_if(F.col("status") == "valid").alias("valid"), F.count(F.lit(1)).alias("documents"),
+    )
+    rows = rows.join(by_status, arm).withColumn("experiment", F.lit(name))
+    return {"rows": rows, "runs": scored, "comparison": E.compare_experiments(rows).join(E.recommendation(rows), "experiment")}

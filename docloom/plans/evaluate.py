@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.operators import evaluation, extraction, tasks
+from docloom.operators import evaluation, extraction, searching, tasks
 from docloom.plans.ingest import ingest
 from docloom.sources.settled import settle
 
@@ -81,18 +81,13 @@ def summary_scores(tables: dict[str, DataFrame], good: DataFrame, facts: DataFra
 
 
 def retrieval_scores(chunks: DataFrame, good: DataFrame, facts: DataFrame, budget: int) -> DataFrame:
-    """Retrieval metrics by fixture, every document against its own query.
-
-    Queries come from the facts, so the terms are columns: a chunk's relevance is the share
-    of its document's terms that it holds.
-    """
-    terms = F.array_distinct(F.filter(F.split(F.lower("query"), r"\W+"), lambda w: w != ""))
-    asked = good.join(retrieval_queries(facts), "fixture").select("document_id", "fixture", terms.alias("terms"))
-    scored = chunks.join(asked, "document_id").withColumn("relevance_score", F.round(F.size(F.filter("terms", lambda t: F.contains(F.lower("text"), t))) / F.greatest(F.size("terms"), F.lit(1)), 4))
-    whole = Window.partitionBy("document_id")
-    ranked = scored.withColumns({"total_chunks": F.count(F.lit(1)).over(whole), "r": F.row_number().over(whole.orderBy(F.desc("relevance_score"), "chunk_index"))})
-    picks = F.array_compact(F.array(F.when(F.col("chunk_index") < budget, "head"), F.when(F.col("r") <= budget, "query_ranked")))
-    taken = ranked.select(F.col("fixture").alias("document_id"), "chunk_id", "relevance_score", "total_chunks", F.explode(picks).alias("strategy"))
+    """Retrieval metrics by fixture, every document against its own query, ranked as a search ranks."""
+    queries = good.join(retrieval_queries(facts), "fixture").select(F.col("document_id").alias("query_id"), "document_id", "fixture", "query")
+    ranked = searching.rank_queries(chunks, queries.drop("fixture"), 1 << 30, "salience").drop("query_id").withColumnRenamed("score", "relevance_score")
+    ranked = ranked.withColumn("total_chunks", F.count(F.lit(1)).over(Window.partitionBy("document_id")))
+    picks = F.array_compact(F.array(F.when(F.col("chunk_index") < budget, "head"), F.when(F.col("rank") <= budget, "query_ranked")))
+    taken = ranked.withColumn("strategy", F.explode(picks)).join(queries.select("document_id", "fixture"), "document_id")
+    taken = taken.select(F.col("fixture").alias("document_id"), "chunk_id", "relevance_score", "total_chunks", "strategy")
     return evaluation.retrieval_metrics(taken, budget).withColumnRenamed("document_id", "fixture")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docloom.plans import asks as _asks  # noqa: F401  registers its queries
 from docloom.plans.queries import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
