@@ -597,7 +597,6 @@ def ngram_jaccard(
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     known = rows.filter("doc is not null")
     index = ws.save(_index(known, how, plan, buckets, hot), "index")
-    ws.release()
 
     equals = index.filter("kind = 'e'").select("a", "b")
     lists, split = _members(index.filter("kind = 'c'").select(F.col("a").alias("leaf"), F.col("b").alias("doc"), "m"), ws)
@@ -618,7 +617,6 @@ def ngram_jaccard(
     links = ws.save(_linked(known, tasks, how, plan, tasks.count() <= BROADCAST_IDS), "open-links")
     parts = _merged(parts, links, ws, "open")
     ws.drop("lists", "split", "stars", "points", "kept", "within", "lead-links", "rest-links", "open-links")
-    ws.release()
 
     sizes = index.filter("kind = 'p'").select(F.col("a").alias("doc"), F.col("b").alias("n_shingles"))
     out = sizes.join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").select(

@@ -1,98 +1,48 @@
 """Contiguous shards of near-equal bytes from global prefix sums.
 
-Rows are ordered by a key and dealt into buckets of that order; each bucket's total
-is aggregated map-side. The buckets' running totals, one row a bucket, give each
-bucket its offset, and a window inside the bucket gives each row its place: global
-prefix sums without a global sort or a single-task window over rows. The line of
-all bytes is cut at equal targets: a row goes to the shard in which its middle
-byte falls, so shards are contiguous in key order and no shard's size is further
-from the target than one row's size.
+Rows are dealt by ranges of their key and sorted inside each range. The ranges' totals,
+one row a range, give each range its offset, and a running sum inside the range gives each
+row its place: global prefix sums without a global sort or a single-task window over rows.
+The line of all bytes is cut at equal targets: a row goes to the shard in which its middle
+byte falls, so shards are contiguous in key order and no shard's size is further from the
+target than one row's size.
 
 Only (key, size, checksum) move; texts stay where they are. Rows with equal keys are
-ordered by the checksum and the size of their text. A key that many rows share lies in
-buckets of its own, cut by the checksum, so no window holds more than its part. Rows
-that agree in all three are alike and may stand in any order. Keys may be numbers,
-dates or strings; strings are dealt by their first seven bytes and ordered whole. Null
-key: first in the order. Null text: size ``overhead`` alone. Empty table: empty result.
-Further columns are not read, whatever their names.
+ordered by the checksum and the size of their text, rows that agree in all three by a number
+of their own, so a key that many rows share, or one row many times, is cut like any run of
+rows. Keys may be numbers, dates or strings. Null key: first in the order. Null text: size
+``overhead`` alone. Empty table: empty result. Further columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from docloom.llm.store import Workspace
 
-#: Accuracy of the bucket bounds: they are within 1 / ACCURACY of the rows of their rank.
-ACCURACY = 100_000
 
-
-#: Parts of a bucket that holds one key.
-PARTS = 64
-
-
-def _rank(rows: DataFrame, key: str) -> Column:
-    """A number or date that never falls as the key rises."""
-    if not isinstance(rows.schema[key].dataType, StringType):
-        return F.col(key)
-    head = F.rpad(F.hex(F.substring(F.col(key).cast("binary"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("long")
-
-
-def order_buckets(rows: DataFrame, key: str, buckets: int) -> Column:
-    """A bucket number that never falls as ``key`` rises; about equal rows in each.
-
-    The bounds are ``buckets - 1`` approximate quantiles of all rows, a bounded array. A bound
-    has an odd number of its own, the keys between two bounds an even one; nulls have -1.
-    """
-    rank = _rank(rows, key)
-    at = [i / buckets for i in range(1, buckets)]
-    found = rows.agg(F.percentile_approx(rank, at, ACCURACY).alias("bounds")).first()["bounds"] if at else None
-    bounds = sorted(set(found or []))
-    if not bounds:
-        return F.when(rank.isNull(), -1).otherwise(0)
-    # The insertion point in a sorted array, by halving: log2(buckets) steps a row.
-    steps = max(1, len(bounds).bit_length())
-    array = F.array(*[F.lit(b) for b in bounds])
-    middle = lambda s: ((s["lo"] + s["hi"]) / 2).cast("int")
-    fold = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)),
-        F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")),
-        lambda s, _: F.when(s["lo"] >= s["hi"], s).otherwise(
-            F.when(F.get(array, middle(s)) < rank, F.struct((middle(s) + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(
-                F.struct(s["lo"].alias("lo"), middle(s).alias("hi"))
-            )
-        ),
-    )["lo"]
-    return F.when(rank.isNull(), -1).otherwise(2 * fold + F.coalesce((F.get(array, fold) == rank).cast("int"), F.lit(0)))
-
-
-def prefix_sums(rows: DataFrame, key: str, sizes: list[str], buckets: int, ties: tuple[str, ...] = ()) -> DataFrame:
-    """Add, for each column of ``sizes``, ``before_<size>`` (its sum over all earlier rows) and ``all_<size>``.
-
-    The first of ``ties`` is a 32-bit checksum; it cuts the buckets that hold a single key.
-    """
-    number = order_buckets(rows, key, buckets)
-    single = (F.pmod(number, F.lit(2)) == 1) & F.lit(bool(ties) and not isinstance(rows.schema[key].dataType, StringType)) | F.col(key).isNull() & F.lit(bool(ties))
-    part = F.when(single, F.floor(F.col(ties[0]) * PARTS / (1 << 32)).cast("int")).otherwise(0) if ties else F.lit(0)
-    dealt = rows.withColumn("_bucket", number).withColumn("_part", part)
-    totals = dealt.groupBy("_bucket", "_part").agg(*[F.sum(s).alias(f"_{s}") for s in sizes])
-    # At most PARTS rows a bucket: the number of buckets is a parameter, so this window is bounded.
-    running = Window.orderBy("_bucket", "_part").rowsBetween(Window.unboundedPreceding, -1)
+def prefix_sums(rows: DataFrame, key: str, sizes: list[str], ranges: int, ties: tuple[str, ...], ws: Workspace) -> DataFrame:
+    """Add, for each column of ``sizes``, ``before_<size>`` (its sum over all earlier rows) and ``all_<size>``."""
+    order = [F.col(key).asc_nulls_first(), *ties, "_tie"]
+    dealt = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    # A row's number tells its range and its place there.
+    dealt = ws.save(dealt.drop("_tie").withColumn("_at", F.monotonically_increasing_id()), "ranges").withColumn("_range", F.shiftrightunsigned("_at", 33))
+    totals = dealt.groupBy("_range").agg(*[F.sum(s).alias(f"_{s}") for s in sizes])
+    # One row a range: their number is a parameter, so these windows are bounded.
+    running = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(F.lit(0))
     offsets = totals.select(
-        "_bucket",
-        "_part",
+        "_range",
         *[F.coalesce(F.sum(f"_{s}").over(running), F.lit(0)).alias(f"_offset_{s}") for s in sizes],
         *[F.sum(f"_{s}").over(every).alias(f"all_{s}") for s in sizes],
     )
-    inside = Window.partitionBy("_bucket", "_part").orderBy(F.col(key).asc_nulls_first(), *ties).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        dealt.join(F.broadcast(offsets), ["_bucket", "_part"])
+        dealt.join(F.broadcast(offsets), "_range")
         .select("*", *[(F.col(f"_offset_{s}") + F.coalesce(F.sum(s).over(inside), F.lit(0))).alias(f"before_{s}") for s in sizes])
-        .drop("_bucket", "_part", *[f"_offset_{s}" for s in sizes])
+        .drop("_at", "_range", *[f"_offset_{s}" for s in sizes])
     )
 
 
@@ -107,19 +57,20 @@ def byte_shards(
     """(id, size, text_crc32, shard, slot) of every row.
 
     ``size`` is the text's UTF-8 bytes plus ``overhead``; ``slot`` counts from 0 inside
-    a shard, in key order.
+    a shard, in key order. ``buckets`` are the ranges that rows are dealt to.
     """
     spark = docs.sparkSession
-    buckets = buckets or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ws = Workspace(spark, "sharding")
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     raw = F.coalesce(F.col(text_col).cast("binary"), F.lit("").cast("binary"))
     # The one pass over the texts; what follows reads this narrow table.
-    rows = Workspace(spark, "sharding").save(docs.select(
+    rows = ws.save(docs.select(
         F.col(id_col).alias("key"),
         (F.octet_length(raw) + F.lit(overhead)).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
         F.lit(1).cast("long").alias("one"),
     ), "sizes")
-    placed = prefix_sums(rows, "key", ["size", "one"], buckets, ("text_crc32", "size"))
+    placed = prefix_sums(rows, "key", ["size", "one"], buckets, ("text_crc32", "size"), ws)
     shard = F.least(F.expr(f"cast((before_size * 2 + size) * {shards} div (all_size * 2) as int)"), F.lit(shards - 1))
     placed = placed.withColumn("shard", shard)
     # The rows before a shard's first one: one row a shard.

@@ -7,27 +7,11 @@ and nothing lives on one machine only.
 
 from __future__ import annotations
 
-import gc
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where it is unset (tests), a new one.
-
-    The fallback is a temporary folder of this machine and is meant for local
-    mode only, where the driver and the executors are the same process.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='docloom-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from docloom.sources.settled import shared_dir
 
 
 class Workspace:
@@ -51,8 +35,3 @@ class Workspace:
         for name in names:
             path = sc._jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of finished plans, which else wait for the driver's collector."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
