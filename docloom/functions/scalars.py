@@ -104,10 +104,27 @@ REVIEW_DATES = ["yyyy-M-d", "M/d/yyyy", "M-d-yyyy", "MMMM d, yyyy", "MMM d, yyyy
 EVALUATION_DATES = ["MMMM d, yyyy", "MMMM d yyyy", "M/d/yyyy", "M/d/yy", "yyyy-M-d", "MMM d, yyyy", "d MMMM yyyy"]
 
 
+_PARTS = re.compile(r"MMMM|MMM|yyyy|yy|[Md]")
+
+
+def _shape(pattern: str) -> str:
+    """A pattern that all texts of a date pattern fit: words for month names, digits for the rest."""
+    out, at = "", 0
+    for m in _PARTS.finditer(pattern):
+        out += re.escape(pattern[at : m.start()]) + (r"[\p{L}.]+" if m[0].startswith("MMM") else r"[+-]?\d+")
+        at = m.end()
+    return f"^{out}{re.escape(pattern[at:])}$"
+
+
 def parse_date(value: Column, patterns: list[str]) -> Column:
-    """First pattern that fits, as a date; null if none does."""
+    """First pattern that fits, as a date; null if none does.
+
+    The patterns are the optional parts of one, so a text is parsed once, and only where it
+    has the shape of any: a failed parse costs far more than the test.
+    """
     shaped = F.initcap(value)  # month names in any case
-    return F.coalesce(*[F.try_to_timestamp(F.when(F.length(value) <= 40, shaped), F.lit(p)).cast("date") for p in patterns])
+    fits = (F.length(value) <= 40) & value.rlike("|".join(map(_shape, patterns)))
+    return F.try_to_timestamp(F.when(fits, shaped), F.lit("".join(f"[{p}]" for p in patterns))).cast("date")
 
 
 def amount(value: Column) -> Column:

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from docloom.functions.scalars import EVALUATION_DATES, alnum, amount, parse_date, strip
 
 COVERED = 0.55
-# Words that carry no fact, and cues of an actionable text.
+# Words that carry no fact.
 STOPWORDS = """
 a an the is was were are be been being have has had do does did will would shall should may might can could of in to for
 with on at by from as into about and or but if then that this it its
 """.split()
+# Cues of an actionable text.
 ACTION_CUES = ["recommend", "follow-up", "refer", "plan", "schedule", "continue", "request", "next step", "deadline", "within", "payment due", "action required", "pending", "should", "advised", "prescribe"]
 
 

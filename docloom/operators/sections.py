@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.scalars import strip, title_case
-from docloom.operators.chunking import page_offsets
 
 MIN_HEADING, MAX_HEADING = 3, 120
 
@@ -54,25 +53,35 @@ def heading(line: Column) -> Column:
     return F.when(F.length(line).between(MIN_HEADING, MAX_HEADING), out)
 
 
+def heading_lines(text: Column) -> Column:
+    """(place, line) of the lines of a text that look like headings, stripped; one pass over its lines."""
+    hit = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("line"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.filter(F.array(hit), lambda _: F.lit(False)).alias("hits"))
+
+    def step(acc: Column, line: Column) -> Column:
+        bare = strip(line)
+        found = (F.length(line) >= MIN_HEADING) & F.length(bare).between(MIN_HEADING, MAX_HEADING) & bare.rlike(ANY_HEADING)
+        hits = F.when(found, F.array_append(acc["hits"], F.struct(acc["at"].alias("at"), bare.alias("line")))).otherwise(acc["hits"])
+        return F.struct((acc["at"] + F.length(line) + 1).alias("at"), hits.alias("hits"))
+
+    return F.aggregate(F.split(text, "\n"), start, step, lambda acc: acc["hits"])
+
+
 def detect_sections(pages: DataFrame) -> DataFrame:
     """Section intervals in order; neighbours of one label are one section.
 
     A section runs to the next heading; the last one to the end of the document,
-    counting the joiner after its last page.
+    counting the joiner after its last page. Lines are read where their page is; what
+    moves, once, to a document's place are its pages' lengths and their headings.
     """
-    placed = page_offsets(pages)
-    lines = placed.select("document_id", "page_number", "page_start", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    widths = Window.partitionBy("document_id", "page_number").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    hits = (
-        lines.withColumn("char_start", F.col("page_start") + F.coalesce(F.sum(F.length("line") + 1).over(widths), F.lit(0)))
-        .withColumn("s", strip(F.col("line")))
-        .filter(F.length("s").between(MIN_HEADING, MAX_HEADING) & F.col("s").rlike(ANY_HEADING))
-        .withColumn("h", heading(F.col("s")))
-        .filter("h is not null")
-    )
-    ends = placed.groupBy("document_id").agg(F.max("page_number").alias("last_page"), F.sum(F.length("text") + 2).alias("total"))
+    narrow = pages.select("document_id", "page_number", (F.length("text") + 2).alias("size"), heading_lines(F.col("text")).alias("hits"))
+    whole = Window.partitionBy("document_id")
+    earlier = whole.orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
+    placed = narrow.withColumns({"above": F.coalesce(F.sum("size").over(earlier), F.lit(0)), "last_page": F.max("page_number").over(whole), "total": F.sum("size").over(whole)})
+    lines = placed.select("document_id", "page_number", "last_page", "total", "above", F.explode("hits").alias("hit"))
+    hits = lines.withColumn("char_start", F.col("above") + F.col("hit.at")).withColumn("h", heading(F.col("hit.line"))).filter("h is not null")
     order = Window.partitionBy("document_id").orderBy("page_number", "char_start")
-    hits = hits.join(ends, "document_id").select(
+    hits = hits.select(
         "document_id",
         F.col("h.label").alias("label"),
         F.col("page_number").alias("page_start"),
