@@ -23,6 +23,7 @@ from docloom.llm import (
     toxicity,
     url_filters,
 )
+from docloom.sources.inputs import spread
 
 RULES = [
     url_filters.Rule("net/", "block"),
@@ -33,7 +34,7 @@ RULES = [
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard.ngram_jaccard(_read(spark, sf_dir, "documents"), size=4, num=85, den=100, links=False)
+    return ngram_jaccard.ngram_jaccard(_read(spark, sf_dir, "documents"), size=4, num=85, den=100)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,8 +147,8 @@ WITH RECURSIVE w AS (
   UNION
   SELECT r.doc_id, u.b FROM r JOIN u ON u.a = r.root
 )
-SELECT n.doc_id, n.n AS n_shingles, min(r.root) AS component_id
-FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n
+SELECT n.doc_id, n.n AS n_shingles, min(r.root) AS component_id, coalesce(any_value(l.n_links), 0) AS n_links
+FROM n JOIN r ON r.doc_id = n.doc_id LEFT JOIN (SELECT a, count(*) AS n_links FROM u GROUP BY a) l ON l.a = n.doc_id GROUP BY n.doc_id, n.n
 """
 
 #: Prefix sums and shards, for op7; the CRC-32 table is built by its polynomial.
