@@ -178,3 +178,73 @@ def ocr_fallback(meta: DataFrame, pages: DataFrame, adapter: OcrAdapter = no_ocr
     ).withColumn("quality", quality())
     kept = pages.join(found.select("document_id").distinct(), "document_id", "left_anti")
     return after, kept.select("document_id", "page_number", "text").unionByName(found.select("document_id", "page_number", "text"))
+
+
+META = (
+    "document_id", "filename", "file_suffix", "parse_strategy", "failure_reason", "quality", "page_count", "empty_page_count", "total_chars", "text_density",
+    "native_text_extracted", "likely_scanned", "likely_needs_ocr", "ocr_applied", "status",
+)
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """(document_id, filename, text) of files with ``content``: null if there is none, empty if it is no UTF-8."""
+    raw = F.col("content").cast("string")
+    text = F.when(F.col("content").isNull(), None).when(F.is_valid_utf8(raw), raw).otherwise("")
+    return files.select("document_id", "filename", text.alias("text"))
+
+
+def readable_suffixes() -> tuple[str, ...]:
+    """Suffixes of paged files: those with a reader, and ``.pdf``, which is known without one."""
+    return tuple(sorted({*_READERS, ".pdf"}))
+
+
+def parse_files(files: DataFrame | Callable[..., DataFrame], ocr: OcrAdapter | None = None) -> tuple[DataFrame, DataFrame]:
+    """(meta, pages) of files of any kind, by their suffixes: text, paged by registered readers, others unsupported.
+
+    ``files`` has document_id, filename, content, or is a function that loads them, given
+    ``suffixes``, ``without`` or ``content`` to load some (``documents.read_files`` of a path):
+    then each file is opened once, and unsupported ones are not. Paged documents without native
+    text are tried by ``ocr``, by default the registered backend.
+    """
+    paged = readable_suffixes()
+    if callable(files):
+        load = files
+    else:
+        kind = file_suffix(F.col("filename"))
+
+        def load(suffixes: str = "", without: str = "", content: bool = True) -> DataFrame:
+            return files.filter(kind.isin(*suffixes.split(",")) if suffixes else ~kind.isin(*without.split(",")))
+
+    one = parse_text_files(decoded(load(suffixes=",".join(TEXT_SUFFIXES))))
+    parsed = one.filter("status = 'parsed'").select("document_id", F.lit(1).alias("page_number"), "text")
+    no = F.lit(False)
+    text = one.withColumns({"empty_page_count": F.when(F.col("failure_reason") == "empty_extraction", 1).otherwise(0), "native_text_extracted": F.col("status") == "parsed", "likely_scanned": no, "likely_needs_ocr": no, "ocr_applied": no})
+    metas, tables = [text.select(*META)], [parsed]
+    for suffix in paged:
+        own = load(suffixes=suffix)
+        meta, pages = ocr_fallback(*parse_paged(own, suffix), ocr or ocr_adapter())
+        failed = F.col("quality") == "unusable"
+        named = own.select("document_id", "filename").join(meta, "document_id").withColumns(
+            {
+                "file_suffix": F.lit(suffix),
+                "parse_strategy": F.when(F.col("ocr_applied"), "ocr").otherwise("page_reader"),
+                "status": F.when(failed, "failed").otherwise("parsed"),
+            }
+        )
+        metas.append(named.select(*META))
+        tables.append(pages.join(named.filter("status = 'parsed'").select("document_id"), "document_id", "left_semi").select("document_id", F.col("page_number").cast("int"), "text"))
+    rest = load(without=",".join((*TEXT_SUFFIXES, *paged)), content=False)
+    metas.append(
+        rest.select(
+            "document_id", "filename", file_suffix(F.col("filename")).alias("file_suffix"), F.lit("").alias("parse_strategy"), F.lit("unsupported_file_type").alias("failure_reason"), F.lit("unusable").alias("quality"),
+            *[F.lit(0).alias(c) for c in ("page_count", "empty_page_count", "total_chars")], F.lit(0.0).alias("text_density"),
+            *[F.lit(False).alias(c) for c in ("native_text_extracted", "likely_scanned", "likely_needs_ocr", "ocr_applied")], F.lit("failed").alias("status"),
+        )
+    )
+    types = {"page_count": "long", "empty_page_count": "long", "total_chars": "long"}
+    meta, pages = None, None
+    for m, t in zip(metas, [*tables, None]):
+        m = m.select(*[F.col(c).cast(types[c]) if c in types else F.col(c) for c in META])
+        meta = m if meta is None else meta.unionByName(m)
+        pages = t if pages is None else pages if t is None else pages.unionByName(t)
+    return meta, pages

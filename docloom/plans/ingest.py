@@ -2,23 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import chunking, cleaning, parsing, routing, sections
+from docloom.sources.documents import read_files
+from docloom.sources.settled import settle
 
 
 def ingest(files: DataFrame, clean: cleaning.CleanConfig = cleaning.CleanConfig(), chunks: chunking.ChunkConfig = chunking.ChunkConfig()) -> dict[str, DataFrame]:
     """All tables of an ingest of text files (document_id, filename, size_bytes, text).
 
+    Files that come with ``content`` instead of ``text`` may be of any kind (``ingest_files``).
     Failed parses keep their row in ``documents`` and have no pages. Every step keys on
     document_id, so one partitioning serves them all.
     """
+    if "content" in files.columns:
+        return ingest_files(files, clean, chunks)
     parsed = parsing.parse_text_files(files)
     pages = cleaning.clean_pages(parsing.pages_of_text(parsed), clean).select("document_id", "page_number", "text")
     return _finish(files, parsed, pages, chunks)
 
 
+def ingest_files(
+    files: DataFrame | str,
+    clean: cleaning.CleanConfig = cleaning.CleanConfig(),
+    chunks: chunking.ChunkConfig = chunking.ChunkConfig(),
+    ocr: parsing.OcrAdapter | None = None,
+    spark: SparkSession | None = None,
+) -> dict[str, DataFrame]:
+    """All tables of an ingest of files of any kind: (document_id, filename, size_bytes, content) rows, or a path.
+
+    Of a path, each file is opened once: what was parsed is written before it is cleaned,
+    routed and chunked.
+    """
+    if isinstance(files, str):
+        spark, path = spark or SparkSession.getActiveSession(), files
+        files = read_files(spark, path, content=False)
+        meta, raw = parsing.parse_files(lambda **only: read_files(spark, path, **only), ocr)
+    else:
+        meta, raw = parsing.parse_files(files, ocr)
+    raw = settle(raw, "parsed-pages")
+    pages = cleaning.clean_pages(raw, clean).select("document_id", "page_number", "text")
+    return _finish(files, settle(meta, "parsed"), pages, chunks)
+
+
 def _finish(files: DataFrame, parsed: DataFrame, pages: DataFrame, config: chunking.ChunkConfig) -> dict[str, DataFrame]:
     routed = routing.route(files.select("document_id", "filename").join(routing.text_samples(pages), "document_id"))
     cut = chunking.chunk(pages, config)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from docloom.operators.parsing import parse_text_files
+from docloom.operators.parsing import OcrAdapter, parse_files, parse_text_files
 from docloom.operators.routing import route
 
 
@@ -15,6 +16,22 @@ def route_stream(files: DataFrame) -> DataFrame:
     return route(parsed.select("document_id", "filename", F.col("text").alias("sample")))
 
 
+def ingest_stream(files: DataFrame, folder: str, checkpoint: str, ocr: OcrAdapter | None = None) -> StreamingQuery:
+    """Parse a stream of files (``documents.stream_files``) into ``folder``/documents and ``folder``/pages, and stop when all are read.
+
+    Every batch has a folder of its own, which a batch that runs again writes anew, so what
+    is read back has each file once.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        meta, pages = parse_files(batch.persist(), ocr)
+        meta.write.mode("overwrite").parquet(f"{folder}/documents/batch={number}")
+        pages.write.mode("overwrite").parquet(f"{folder}/pages/batch={number}")
+        batch.unpersist()
+
+    return files.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def windowed_counts(events: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Event counts and value sums by type and window; events later than ``late`` are dropped."""
     return (
