@@ -1,20 +1,19 @@
 """Byte-level BPE encoding and decoding over overlapping chunks.
 
 Every text is cut into chunks of ``chunk_chars`` characters that overlap by
-``overlap_chars``; a text that fits is one chunk. Chunks are pre-tokenised in parallel,
-each from its own first character. A chunk's pre-tokens are right from the first
-boundary that it shares with its (right) predecessor, since the pattern looks only
-ahead: two scans that meet at a position stay together. Neighbours are stitched at such
-a boundary in their overlap, and the pieces between stitches are encoded, again in
-parallel. Where an overlap holds no common boundary (one run of letters longer than the
-overlap), the predecessor's scan goes on from its last sure boundary into the next
-chunks until the scans meet; only what lies between is one piece. A text of one chunk
-is stitched to nothing and so is its own piece, encoded where it is read. Decoding
-concatenates the raw bytes of the ids.
-
-The texts are read twice: once for the chunks of the texts of several chunks, which
-become a table, once for the others. A row's text, its boundaries and its ids must fit
-in one task, like the row itself.
+``overlap_chars``; a text that fits is one chunk. Chunks are pre-tokenised each from its
+own first character. A chunk's pre-tokens are right from the first boundary that it
+shares with its (right) predecessor, since the pattern looks only ahead: two scans that
+meet at a position stay together. Neighbours are stitched at such a boundary in their
+overlap, and the pieces between stitches are encoded. Where an overlap holds no common
+boundary (one run of letters longer than the overlap), the predecessor's scan goes on
+from its last sure boundary into the next chunks until the scans meet; only what lies
+between is one piece. Decoding concatenates the raw bytes of the ids.
+
+Texts are worked on in parallel, and so are the chunks and the pieces of a text of more
+than ``spread_chars`` characters: those are dealt to all tasks, which for a shorter text
+would cost more than the work itself. The rows are the same either way. A row's text, its
+boundaries and its ids must fit in one task, like the row itself.
 
 Null text: encoded as empty (no ids). Repeated rows: each is encoded on its own. Null
 ids are ids like others. Empty table: empty result. Further columns of the input are
@@ -40,6 +39,8 @@ from docloom.llm.store import Workspace
 #: Characters of a chunk, and those that it shares with the next.
 CHUNK_CHARS = 1 << 13
 OVERLAP_CHARS = 1 << 9
+#: Characters of a text from which its chunks are dealt to all tasks.
+SPREAD_CHARS = 1 << 20
 #: Characters that may follow a pre-token and still decide where it ends.
 MARGIN = 3
 #: Pieces that go to one row of the encoding step.
@@ -147,6 +148,7 @@ def byte_bpe(
     text_col: str = "text",
     chunk_chars: int = CHUNK_CHARS,
     overlap_chars: int = OVERLAP_CHARS,
+    spread_chars: int = SPREAD_CHARS,
 ) -> DataFrame:
     """Encode every text: (id, ids binary of little-endian uint32, decoded binary).
 
@@ -157,17 +159,29 @@ def byte_bpe(
         raise ValueError("chunk_chars must exceed twice overlap_chars")
     kept = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    several = F.coalesce(F.length("text"), F.lit(0)) > chunk_chars
+    several = F.coalesce(F.length("text"), F.lit(0)) > max(spread_chars, chunk_chars)
 
-    def coded(texts: list[str]) -> list[pa.Array]:
-        ids = [encode_text(t, ranks_path, pattern) for t in texts]
-        return [pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([decode_ids(x, ranks_path, pattern) for x in ids], pa.binary())]
+    def coded(texts: list[str]) -> list[np.ndarray]:
+        return [encode_text(t, ranks_path, pattern).astype("<u4") for t in texts]
+
+    def whole(text: str) -> np.ndarray:
+        """The ids of one text, by its chunks."""
+        if len(text) <= chunk_chars:
+            return coded([text])[0]
+        starts = chunk_starts(len(text), chunk_chars, overlap_chars)
+        ends = [[s + e for e in boundaries(text[s : s + chunk_chars], pattern, s + chunk_chars >= len(text))] for s in starts]
+        cuts = stitch(ends, starts, text, pattern, chunk_chars)
+        return np.concatenate(coded([text[a:b] for a, b in zip(cuts, cuts[1:])]))
+
+    def both(ids: list[np.ndarray]) -> list[pa.Array]:
+        """Ids and decoded bytes as columns."""
+        return [pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([decode_ids(x, ranks_path, pattern) for x in ids], pa.binary())]
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), *coded([t or "" for t in part.column(1).to_pylist()])], names=["id", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *both([whole(t or "") for t in part.column(1).to_pylist()])], names=["id", "ids", "decoded"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pre-token boundaries of each chunk, as positions in the whole text."""
@@ -192,8 +206,14 @@ def byte_bpe(
         for batch in batches:
             for i in range(batch.num_rows):
                 part = batch.slice(i, 1)
-                done = [pa.array([b"".join(x.to_pylist())], pa.binary()) for x in coded(part.column("pieces")[0].as_py())]
-                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("k"), *done], names=["row", "k", "ids", "decoded"])
+                done = np.concatenate(coded(part.column("pieces")[0].as_py()))
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("k"), pa.array([done.tobytes()], pa.binary())], names=["row", "k", "ids"])
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([part.column("id"), *both([np.frombuffer(part.column("ids")[0].as_py(), "<u4")])], names=["id", "ids", "decoded"])
 
     ws = Workspace(docs.sparkSession, "byte-bpe")
     long = ws.save(rows.filter(several).withColumn("row", F.monotonically_increasing_id()), "long")
@@ -204,14 +224,13 @@ def byte_bpe(
     scans = chunks.repartition("row", "start").mapInArrow(scan, "row long, start int, ends array<int>")
     gathered = scans.groupBy("row").agg(F.collect_list(F.struct("start", "ends")).alias("scans"))
     pieces = long.select("row", "text").join(gathered, "row").mapInArrow(cut, "row long, k int, pieces array<string>")
-    parts = pieces.repartition("row", "k").mapInArrow(encode, "row long, k int, ids binary, decoded binary")
-    joined = parts.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "ids", "decoded"))).alias("parts")).select(
-        "row",
-        F.expr("unhex(array_join(transform(parts, p -> hex(p.ids)), ''))").alias("ids"),
-        F.expr("unhex(array_join(transform(parts, p -> hex(p.decoded)), ''))").alias("decoded"),
+    parts = pieces.repartition("row", "k").mapInArrow(encode, "row long, k int, ids binary")
+    joined = parts.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts")).select(
+        "row", F.expr("unhex(array_join(transform(parts, p -> hex(p.ids)), ''))").alias("ids")
     )
-    stitched = long.select("row", "id").join(joined, "row").select("id", "ids", "decoded")
-    return rows.filter(~several).mapInArrow(single, f"id {kept}, ids binary, decoded binary").unionByName(stitched).withColumnRenamed("id", id_col)
+    coded_type = f"id {kept}, ids binary, decoded binary"
+    stitched = long.select("row", "id").join(joined, "row").select("id", "ids").mapInArrow(decode, coded_type)
+    return rows.filter(~several).mapInArrow(single, coded_type).unionByName(stitched).withColumnRenamed("id", id_col)
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
