@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from docloom.llm.store import Workspace
 
 
-def prefix_sums(rows: DataFrame, key: str, sizes: list[str], ranges: int, ties: tuple[str, ...], ws: Workspace) -> DataFrame:
+def prefix_sums(rows: DataFrame, key: str, sizes: list[str], ranges: int, ties: tuple[str, ...] = (), ws: Workspace | None = None) -> DataFrame:
     """Add, for each column of ``sizes``, ``before_<size>`` (its sum over all earlier rows) and ``all_<size>``."""
+    ws = ws or Workspace(rows.sparkSession, "sums")
     order = [F.col(key).asc_nulls_first(), *ties, "_tie"]
     dealt = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     # A row's number tells its range and its place there.
