@@ -18,7 +18,7 @@ they are on unseen rows. The weights come from a ridge logistic regression.
 
 The training rows are a sample of the labelled ones outside the held-out fold: all, or
 where there are more than ``fit_rows``, those whose id's hash lies below that share.
-The lexicon holds at most LEXICON learned words, those of the greatest bound.
+Every word of theirs with SUPPORT is a candidate; the lexicon holds all that are classified.
 
 Null, empty or wordless text: no clause, so the base score. Long texts are read whole.
 Repeated rows: each is scored. Several labels of one id: the largest. Empty table: empty
@@ -45,8 +45,8 @@ from docloom.llm.textkit import U64
 FIT_ROWS = 100_000
 #: Words after a negation that it reaches.
 REACH = 4
-#: Toxic rows that a learned word needs, and learned words at most.
-SUPPORT, LEXICON = 3, 1 << 16
+#: Toxic rows that a learned word needs.
+SUPPORT = 3
 #: The lexicon's hashes; a word that is made to share one with a listed word is read as that word.
 SEED = 8
 #: Lower bounds of the log-odds from which a word is a suspect and an insult.
@@ -60,9 +60,24 @@ subhuman freak freaks retard retards retarded asshole assholes bitch bitches dic
 wanker fuckface fucker motherfucker shithead dipshit bullshit garbage
 """.split()
 THREATS = "kill murder strangle stab shoot behead slaughter exterminate lynch burn rape beat destroy hurt".split()
-TARGETS = "you your yours yourself you're youre u he him she her they them their those these people everyone we us i me my".split()
-NEGATIONS = "not no never isn't aren't wasn't weren't don't doesn't didn't won't can't cannot neither nor hardly without".split()
-REPORTS = "said says say saying called calls calling quoted quotes quote wrote writes reported reports claims claimed alleged allegedly stated according".split()
+TARGETS = """
+you your yours yourself you're youre u he him she her they them their those these people everyone
+du dich dir dein deine ihr euch sie ihn ihm ihnen diese leute
+tu te toi ton ta vous votre il elle ils elles lui eux ces gens
+tú ti usted ustedes él ella ellos ellas esos esas gente
+""".split()
+NEGATIONS = """
+not no never isn't aren't wasn't weren't don't doesn't didn't won't can't cannot neither nor hardly without
+nicht kein keine keinen nie niemals ohne weder
+ne pas jamais aucun aucune sans ni
+nunca jamás sin ningún ninguna tampoco
+""".split()
+REPORTS = """
+said says say saying called calls calling quoted quotes quote wrote writes reported reports claims claimed alleged allegedly stated according
+sagte sagt sagten nannte nennt schrieb schreibt behauptet laut angeblich
+dit disait disent appelle appelait écrit selon prétend
+dijo dice dicen llamó llama escribió según afirma
+""".split()
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END, SUSPECT = range(8)
 _CLASSES = ((INSULT, INSULTS), (THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS))
@@ -402,10 +417,6 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     if len(sizes) < 2:
         return Model(listed(), *_default_weights())
     pos = ws.save(_word_counts(rows.filter("label <> 0"), None).filter(F.col("n") >= SUPPORT), "toxic-words")
-    most = pos.count()
-    if most > 16 * LEXICON:  # the rarest go until a multiple of the lexicon is left
-        least = pos.agg(F.percentile_approx("n", 1 - 16 * LEXICON / most)).first()[0]
-        pos = pos.filter(F.col("n") > least)
     seen = pos.orderBy("h").toPandas()
     table = np.sort(np.concatenate((seen["h"].to_numpy(np.int64).view(U64), np.array([_hash(w) for _, some in _CLASSES for w in some], U64))))
     wanted = np.unique(table)
@@ -414,10 +425,6 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     counts = np.zeros((2, len(wanted)), np.int64)
     for k, found in enumerate((seen, neg)):
         counts[k, np.searchsorted(wanted, found["h"].to_numpy(np.int64).view(U64))] = found["n"]
-    bound = odds(counts[0], counts[1], sizes[1], sizes[0])
-    if len(wanted) > LEXICON:
-        kept = np.sort(np.argsort(-bound, kind="stable")[:LEXICON])
-        wanted, counts = wanted[kept], counts[:, kept]
     lexicon = Lexicon.learned(wanted, counts[0], counts[1], sizes[1], sizes[0])
     sent = spark.sparkContext.broadcast(lexicon)
     marked = rows.select("text", F.when(F.col("label") != 0, 1).otherwise(2).alias("variant"))
