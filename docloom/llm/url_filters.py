@@ -9,10 +9,13 @@ a fully blocked seed gets by its own and exceeds its trust; else it is allowed.
 
 Host edges come from absolute and protocol-relative links of the pages' html, once a
 pair of different hosts, and all weigh alike. Each step of the walk is one join and
-one sum with map-side combination; hub hosts are split by the adaptive skew join, and
-every step is a table in the shared folder. The walk ends when the scores move by less
-than ``tolerance`` in total, or at once in a graph without edges between hosts; one that
-still moves so after ``steps`` steps is an error. Mass at hosts without links leaves the walk.
+one sum with map-side combination. The scores of up to BROADCAST_HOSTS hosts are
+broadcast, so the edges, dealt once by their source, stay where they are; beyond, both
+sides are shuffled and hub hosts split by the adaptive skew join. Every step is a table
+in the shared folder. The walk ends when the scores move by less than ``tolerance`` in
+total, or at once in a graph without edges between hosts; one that still moves so after
+``steps`` steps is an error. Mass at hosts without links goes back to the seeds, each by
+its weight: that makes all scores larger by one factor, which is applied at the end.
 
 Null url or one without ``://``: empty host and path, no rule, allowed. Null html: no
 links. Repeated pages count for each row. Ties of rules of one length: the longer
@@ -33,6 +36,10 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["']?((?:https?:)?//[^"'\s>]+)"""
 
 
+#: Hosts whose scores are broadcast in a step.
+BROADCAST_HOSTS = 300_000
+
+
 @dataclass(frozen=True)
 class Rule:
     """``host/path`` with a verdict; it fits the host, its subdomains and the paths below."""
@@ -78,35 +85,41 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return found.filter("src <> '' and dst <> '' and src <> dst").distinct()
 
 
-def walk(edges: DataFrame, seeds: DataFrame, damping: float, steps: int, tolerance: float, ws: Workspace, name: str) -> DataFrame:
-    """(host, score) of a walk along (src, dst) that restarts at ``seeds`` (host, weight).
+def walk(edges: DataFrame, seeds: DataFrame, damping: float, steps: int, tolerance: float, ws: Workspace, name: str) -> tuple[DataFrame, float]:
+    """(host, score) of a walk along (src, dst) that restarts at ``seeds`` (host, weight), and the score of a lone seed of weight 1.
 
-    Scores are not normalised: a seed of weight 1 without incoming links gets ``1 - damping``.
+    The scores of all hosts add up to the seeds' weights.
     """
     start = seeds.filter("weight > 0").select("host", (F.col("weight") * (1 - damping)).alias("base"))
     now = ws.save(start.select("host", F.col("base").alias("score")), f"{name}-0")
-    if not edges.take(1):
-        return now
-    fan = edges.groupBy("src").agg(F.count(F.lit(1)).alias("fan"))
-    weighted = ws.save(edges.join(fan, "src"), f"{name}-edges")
-    change = float("inf")
-    for k in range(1, steps + 1):
-        moved = weighted.join(now.withColumnRenamed("host", "src"), "src").groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("score") / F.col("fan")) * damping).alias("in"))
-        after = moved.join(start, "host", "full").select("host", (F.coalesce("in", F.lit(0.0)) + F.coalesce("base", F.lit(0.0))).alias("score"))
-        after = ws.save(after, f"{name}-{k}")
-        change = (
-            after.select("host", "score")
-            .unionByName(now.select("host", (-F.col("score")).alias("score")))
-            .groupBy("host")
-            .agg(F.abs(F.sum("score")).alias("d"))
-            .agg(F.coalesce(F.sum("d"), F.lit(0.0)))
-            .first()[0]
-        )
-        ws.drop(f"{name}-{k - 1}")
-        now = after
-        if change < tolerance:
-            return now
-    raise RuntimeError(f"the {name} walk still moves by {change} after {steps} steps")
+    change = 0.0
+    if edges.take(1):
+        hosts = edges.select(F.explode(F.array("src", "dst")).alias("host")).unionByName(start.select("host")).distinct().count()
+        fan = edges.groupBy("src").agg(F.count(F.lit(1)).alias("fan"))
+        weighted = ws.save(edges.join(fan, "src"), f"{name}-edges")
+        for k in range(1, steps + 1):
+            here = now.withColumnRenamed("host", "src")
+            met = weighted.join(F.broadcast(here) if hosts <= BROADCAST_HOSTS else here, "src")
+            moved = met.groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("score") / F.col("fan")) * damping).alias("in"))
+            after = moved.join(start, "host", "full").select("host", (F.coalesce("in", F.lit(0.0)) + F.coalesce("base", F.lit(0.0))).alias("score"))
+            after = ws.save(after, f"{name}-{k}")
+            change = (
+                after.select("host", "score")
+                .unionByName(now.select("host", (-F.col("score")).alias("score")))
+                .groupBy("host")
+                .agg(F.abs(F.sum("score")).alias("d"))
+                .agg(F.coalesce(F.sum("d"), F.lit(0.0)))
+                .first()[0]
+            )
+            ws.drop(f"{name}-{k - 1}")
+            now = after
+            if change < tolerance:
+                break
+        else:
+            raise RuntimeError(f"the {name} walk still moves by {change} after {steps} steps")
+    given, held = start.agg(F.sum("base")).first()[0], now.agg(F.sum("score")).first()[0]
+    factor = given / (1 - damping) / held if held else 1.0
+    return now.select("host", (F.col("score") * factor).alias("score")), (1 - damping) * factor
 
 
 def url_filter(
@@ -134,13 +147,13 @@ def url_filter(
         "seeds",
     )
     edges = ws.save(host_edges(pages, url_col, html_col), "edges")
-    trust = walk(edges, seeds.select("host", F.col("allowed").alias("weight")), damping, steps, tolerance, ws, "trust")
+    trust, _ = walk(edges, seeds.select("host", F.col("allowed").alias("weight")), damping, steps, tolerance, ws, "trust")
     turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    distrust = walk(turned, seeds.select("host", F.col("blocked").alias("weight")), damping, steps, tolerance, ws, "distrust")
+    distrust, alone = walk(turned, seeds.select("host", F.col("blocked").alias("weight")), damping, steps, tolerance, ws, "distrust")
 
     scores = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host", "full")
     scored = judged.join(scores, "host", "left").select(
         id_col, "host", "path", "rule", "by_rule", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")
     )
-    bad = (F.col("distrust") >= limit * (1 - damping)) & (F.col("distrust") > F.col("trust"))
+    bad = (F.col("distrust") >= limit * alone - 1e-9) & (F.col("distrust") > F.col("trust"))
     return scored.select(id_col, "host", "path", "rule", F.coalesce("by_rule", F.when(bad, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
