@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from docloom.operators import evaluation as E
 from docloom.operators import grounding as G
 from docloom.operators import selection as S
-from docloom.operators import semantic as M
+from docloom.operators.hierarchy import hierarchy
 from docloom.operators.models import CallPolicy, Model, ResponseStore, degraded_responses, model_hook, prompt_digest, provider_calls, recorded
 from docloom.operators.prompts import PromptTemplate, build_prompts, get_prompt, list_prompts, register_prompt, with_templates
 from docloom.sources.settled import settle
@@ -76,13 +76,6 @@ def chronology(chunks: DataFrame, model: Model, budget: int = 10, strategy: str
     return {"selected": selected, "validated": validated, "audit": G.audit_chronology(validated, selected)}
 
 
-def hierarchy(chunks: DataFrame, model: Model | None = None) -> dict[str, DataFrame]:
-    """Facts of all chunks, their sections, the synthesis prompt and its response."""
-    sections = M.section_summaries(M.chunk_facts(chunks))
-    prompts = M.synthesis_prompts(sections).withColumnRenamed("prompt", "user_prompt")
-    return {"sections": sections, "prompts": prompts, "responses": model(prompts) if model else None}
-
-
 _TASKS: dict[str, Callable[..., dict[str, DataFrame]]] = {"summarisation": summarise, "chronology": chronology, "hierarchical": hierarchy}
 
 
