@@ -124,5 +124,7 @@ def latest(rows: DataFrame, keys: list[str], time: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(time), -F.col("position"))).alias("r")).select(*keys, "r.*")
 
 
-def newest_first(rows: DataFrame, time: str = "created_at") -> DataFrame:
-    return rows.orderBy(F.desc(time))
+def newest_first(rows: DataFrame, time: str = "created_at", *ties: str) -> DataFrame:
+    """Rows by time, newest first; equal times by ``ties``, by default the ids and the position that the table has."""
+    ties = ties or tuple(c for c in rows.columns if c.endswith("_id") or c == "position")
+    return rows.orderBy(F.desc(time), *ties)

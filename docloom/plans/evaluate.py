@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators import evaluation, extraction, searching, tasks
+from docloom.operators.stages import Stages
 from docloom.plans.ingest import ingest
 from docloom.sources.settled import settle
 
@@ -27,15 +28,18 @@ def evaluate(
     (fixture, key_facts, description) gives the summaries' key facts and, with them, each
     document's retrieval query; with a ``model`` as well, summaries are made and scored.
     ``timings`` (fixture, upload_time_ms, extraction_time_ms, summarisation_time_ms) are a
-    run's measured stages. Tables that several parts read are written once.
+    run's measured stages. Tables that several parts read are written once; ``stages`` tells
+    their rows, failures, bytes and times.
     """
-    tables = {name: settle(table, name) for name, table in ingest(files).items() if name in ("documents", "pages", "chunks", "routing")}
+    stages = Stages(files.sparkSession)
+    told = {"documents": ("failure_reason", None), "pages": (None, F.octet_length("text")), "chunks": (None, F.octet_length("text")), "routing": (None, None)}
+    tables = {name: stages.keep(table, name, *told[name]) for name, table in ingest(files).items() if name in told}
     documents = tables["documents"]
     names = documents.select("document_id", F.col("filename").alias("fixture"), "status")
     good = names.filter("status = 'parsed'").select("document_id", "fixture")
-    fields = settle(extraction.postprocess_fields(extraction.extract_fields(tables["pages"])).join(good, "document_id"), "fields")
+    fields = stages.keep(extraction.postprocess_fields(extraction.extract_fields(tables["pages"])).join(good, "document_id"), "fields")
     actual = fields.select("fixture", "field_name", F.col("original_value").alias("actual_value"))
-    matches = settle(evaluation.match_fields(expected_fields.join(good, "fixture", "left_semi"), actual), "matches")
+    matches = stages.keep(evaluation.match_fields(expected_fields.join(good, "fixture", "left_semi"), actual), "matches")
     metrics = evaluation.field_metrics(matches)
     routed = tables["routing"].join(good, "document_id").select("fixture", "predicted_type")
     failures = names.filter("status <> 'parsed'")
@@ -49,9 +53,8 @@ def evaluate(
     parsed = documents.filter("status = 'parsed'").withColumn("document_id", F.col("filename"))
     runtime = evaluation.runtime_slices(parsed, runs)
     every = runtime.filter(F.col("slice_name").isin(*evaluation.SLICES)) if slices is None else evaluation.merge_slices(slices, runtime)
-    stages = ("upload_time_ms", "extraction_time_ms", "summarisation_time_ms")
     if timings is None:
-        timings = good.select("fixture", *[F.lit(0).alias(c) for c in stages])
+        timings = good.select("fixture", *[F.lit(0).alias(c) for c in ("upload_time_ms", "extraction_time_ms", "summarisation_time_ms")])
     timed = metrics.join(timings.select("fixture", "extraction_time_ms"), "fixture", "left")
     scored = summaries.join(timings.select("fixture", "summarisation_time_ms"), "fixture", "left")
     return {
@@ -65,6 +68,7 @@ def evaluate(
         "pipeline": evaluation.pipeline_metrics(timings, routed, expected_routing, fields, failures),
         "slices": evaluation.slice_breakdown(every, timed, scored, retrieval),
         "failures": failures,
+        "stages": stages.table(),
     }
 
 

@@ -6,22 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import chunking, cleaning, parsing, routing, sections
+from docloom.operators.stages import Stages, kept
 from docloom.sources.documents import read_files
-from docloom.sources.settled import settle
 
 
-def ingest(files: DataFrame, clean: cleaning.CleanConfig = cleaning.CleanConfig(), chunks: chunking.ChunkConfig = chunking.ChunkConfig()) -> dict[str, DataFrame]:
+def ingest(files: DataFrame, clean: cleaning.CleanConfig = cleaning.CleanConfig(), chunks: chunking.ChunkConfig = chunking.ChunkConfig(), stages: Stages | None = None) -> dict[str, DataFrame]:
     """All tables of an ingest of text files (document_id, filename, size_bytes, text).
 
     Files that come with ``content`` instead of ``text`` may be of any kind (``ingest_files``).
     Failed parses keep their row in ``documents`` and have no pages. Every step keys on
-    document_id, so one partitioning serves them all.
+    document_id, so one partitioning serves them all. With ``stages`` the steps' tables are
+    written and their figures noted.
     """
     if "content" in files.columns:
-        return ingest_files(files, clean, chunks)
-    parsed = parsing.parse_text_files(files)
+        return ingest_files(files, clean, chunks, stages=stages)
+    parsed = kept(stages, parsing.parse_text_files(files), "parse", "failure_reason", F.octet_length("text"))
     pages = cleaning.clean_pages(parsing.pages_of_text(parsed), clean).select("document_id", "page_number", "text")
-    return _finish(files, parsed, pages, chunks)
+    return _finish(files, parsed, pages, chunks, stages)
 
 
 def ingest_files(
@@ -30,6 +31,7 @@ def ingest_files(
     chunks: chunking.ChunkConfig = chunking.ChunkConfig(),
     ocr: parsing.OcrAdapter | None = None,
     spark: SparkSession | None = None,
+    stages: Stages | None = None,
 ) -> dict[str, DataFrame]:
     """All tables of an ingest of files of any kind: (document_id, filename, size_bytes, content) rows, or a path.
 
@@ -42,15 +44,18 @@ def ingest_files(
         meta, raw = parsing.parse_files(lambda **only: read_files(spark, path, **only), ocr)
     else:
         meta, raw = parsing.parse_files(files, ocr)
-    raw = settle(raw, "parsed-pages")
+    stages = stages or Stages(raw.sparkSession)
+    raw = stages.keep(raw, "read", size=F.octet_length("text"))
+    meta = stages.keep(meta, "parse", "failure_reason")
     pages = cleaning.clean_pages(raw, clean).select("document_id", "page_number", "text")
-    return _finish(files, settle(meta, "parsed"), pages, chunks)
+    return _finish(files, meta, pages, chunks, stages)
 
 
-def _finish(files: DataFrame, parsed: DataFrame, pages: DataFrame, config: chunking.ChunkConfig) -> dict[str, DataFrame]:
+def _finish(files: DataFrame, parsed: DataFrame, pages: DataFrame, config: chunking.ChunkConfig, stages: Stages | None = None) -> dict[str, DataFrame]:
+    pages = kept(stages, pages, "clean", size=F.octet_length("text"))
     routed = routing.route(files.select("document_id", "filename").join(routing.text_samples(pages), "document_id"))
-    cut = chunking.chunk(pages, config)
-    found = sections.detect_sections(pages)
+    cut = kept(stages, chunking.chunk(pages, config), "chunk", size=F.octet_length("text"))
+    found = kept(stages, sections.detect_sections(pages), "sections")
     documents = (
         parsed.drop("text")
         .join(files.select("document_id", F.col("size_bytes").alias("file_size_bytes")), "document_id")
@@ -58,7 +63,8 @@ def _finish(files: DataFrame, parsed: DataFrame, pages: DataFrame, config: chunk
         .join(chunking.chunk_meta(cut), "document_id", "left")
         .fillna({"chunk_count": 0})
     )
-    return {"documents": documents, "pages": pages, "sections": found, "chunks": sections.enrich_chunks(cut, found, documents), "sizes": chunking.classify_size(documents), "routing": routed}
+    out = {"documents": documents, "pages": pages, "sections": found, "chunks": sections.enrich_chunks(cut, found, documents), "sizes": chunking.classify_size(documents), "routing": routed}
+    return out if stages is None else out | {"stages": stages.table()}
 
 
 def ingest_pages(pages: DataFrame, names: DataFrame, config: chunking.ChunkConfig = chunking.ChunkConfig()) -> DataFrame:
