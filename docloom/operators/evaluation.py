@@ -85,6 +85,59 @@ def summary_metrics(summaries: DataFrame) -> DataFrame:
     )
 
 
+def fact_details(key_facts: Column, text: Column) -> Column:
+    """Each key fact with whether the text covers it, in order."""
+    found = fact_tokens(F.coalesce(text, F.lit("")))
+    told = lambda f: (F.size(fact_tokens(f)) == 0) | (F.size(F.array_intersect(fact_tokens(f), found)) / F.size(fact_tokens(f)) >= COVERED)
+    return F.transform(key_facts, lambda f: F.struct(f.alias("fact"), told(f).alias("covered")))
+
+
+def summary_dimensions(summaries: DataFrame, audits: DataFrame | None = None, usage: DataFrame | None = None, timings: DataFrame | None = None) -> DataFrame:
+    """Every dimension of a summary's evaluation, by fixture.
+
+    ``summaries`` is that of ``summary_metrics``; ``audits`` (``audit_grounding``), ``usage``
+    (``usage_meta``) and ``timings`` (summarisation_time_ms) are keyed by fixture. What no table
+    tells is 0, or false.
+    """
+    out = summary_metrics(summaries).join(summaries.select("fixture", fact_details(F.col("key_facts"), F.col("summary_text")).alias("fact_details")), "fixture")
+    parts = [
+        (audits, {"grounding_score": F.col("grounding_score"), "contradiction_count": F.col("key_points_ungrounded"), "chunks_provided": F.col("chunks_provided"), "chunks_cited": F.col("chunks_cited_valid"), "key_points_total": F.col("key_points_total"), "key_points_grounded": F.col("key_points_grounded"), "needs_review": F.col("needs_review")}),
+        (usage, {"evidence_support": F.col("evidence_usage_ratio")}),
+        (timings, {"summarisation_time_ms": F.col("summarisation_time_ms").cast("long")}),
+    ]
+    types = {"grounding_score": "double", "evidence_support": "double", "needs_review": "boolean"}
+    for table, columns in parts:
+        if table is not None:
+            out = out.join(table.select("fixture", *[c.alias(name) for name, c in columns.items()]), "fixture", "left")
+        for name in columns:
+            nothing = F.lit(False) if types.get(name) == "boolean" else F.lit(0).cast(types.get(name, "long"))
+            out = out.withColumn(name, F.coalesce(F.col(name).cast(types.get(name, "long")), nothing) if table is not None else nothing)
+    return out
+
+
+def retrieval_dimensions(metrics: DataFrame, usage: DataFrame | None = None, audits: DataFrame | None = None, recommendations: DataFrame | None = None, latencies: DataFrame | None = None) -> DataFrame:
+    """``retrieval_metrics`` with what the answer made of the chunks, the recommendation and notes, by document.
+
+    ``usage`` (``usage_meta``), ``audits`` (``audit_grounding``), ``recommendations``
+    (``selection.recommend``) and ``latencies`` (retrieval_latency_ms) are keyed by document_id;
+    what no table tells is 0, or empty.
+    """
+    out = metrics
+    parts = [
+        (usage, "evidence_usefulness", lambda: F.round("evidence_usage_ratio", 4), F.lit(0.0)), (audits, "answer_grounding", lambda: F.round("grounding_score", 4), F.lit(0.0)),
+        (recommendations, "recommendation", lambda: F.col("recommendation"), F.lit("")), (latencies, "retrieval_latency_ms", lambda: F.col("retrieval_latency_ms").cast("long"), F.lit(0).cast("long")),
+    ]
+    for table, name, value, nothing in parts:
+        if table is None:
+            out = out.withColumn(name, nothing)
+        else:
+            out = out.join(table.select("document_id", value().alias(name)), "document_id", "left").withColumn(name, F.coalesce(name, nothing))
+    none = F.col("strategy_count") == 0
+    gained = F.concat(F.lit("ranking by the query raised the mean relevance by "), F.format_string("%.3f", "relevance_lift"))
+    said = F.when(none, "no strategy picked anything").when(F.col("relevance_lift") > 0, gained).otherwise("ranking by the query raised nothing")
+    return out.withColumn("notes", F.array_compact(F.array(said, F.nullif(F.col("recommendation"), F.lit("")))))
+
+
 def retrieval_metrics(picks: DataFrame, budget: int) -> DataFrame:
     """Relevance of head and query_ranked, their lift and overlap, by document."""
     # Scores have four decimals: averaged as whole ten-thousandths, half up, in any order of rows.

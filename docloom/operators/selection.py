@@ -251,5 +251,5 @@ def recommend(picks: DataFrame) -> DataFrame:
     """Average relevance of head and query_ranked, the lift, and what follows from it."""
     mean = lambda s: F.avg(F.when(F.col("strategy") == s, F.col("relevance_score")))
     out = picks.groupBy("document_id").agg(F.coalesce(mean("head"), F.lit(0.0)).alias("head_avg"), F.coalesce(mean("query_ranked"), F.lit(0.0)).alias("ranked_avg"))
-    lift = F.col("ranked_avg") - F.col("head_avg")
+    lift = F.round(F.col("ranked_avg") - F.col("head_avg"), 9)  # sums of the same scores in another order are equal
     return out.select("document_id", "head_avg", "ranked_avg", lift.alias("lift"), F.when(lift > 0.1, "query_ranked").when(lift > 0, "query_ranked_slightly").otherwise("similar").alias("recommendation"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import searching, tasks
-from docloom.plans.queries import _CHUNKS, _plain_chunks, query
+from docloom.operators import evaluation, grounding, searching, selection, tasks
+from docloom.plans.queries import _CHUNKS, _PICKS, _RESPONSES, BUDGET, _picks, _plain_chunks, _responses, query
 from docloom.sources import inputs as I
 
 
@@ -79,3 +79,39 @@ def vector_batch_search(spark: SparkSession, sf: str) -> DataFrame:
     index.add_batch(entries, "vec_id")  # the first half is there already
     asked = entries.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "vector")
     return index.search(asked, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(
+    f"""WITH {_RESPONSES}, k AS (SELECT document_id, provided, CASE WHEN total > 3 THEN 3 ELSE 2 END AS n FROM f0 JOIN np USING (document_id))
+SELECT document_id AS fixture, round(2 / 3, 6) AS factual_coverage, 0.0 AS actionability, 'The order and the balance: true; made up: true; nothing of it: false' AS fact_details, round(1 / n, 4) AS grounding_score, CAST(n - 1 AS BIGINT) AS contradiction_count,
+  CAST(provided AS BIGINT) AS chunks_provided, CAST(1 AS BIGINT) AS chunks_cited, CAST(n AS BIGINT) AS key_points_total, CAST(1 AS BIGINT) AS key_points_grounded, true AS needs_review, round(1 / provided, 4) AS evidence_support FROM k"""
+)
+def summary_dimensions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every dimension of the recorded responses' evaluation."""
+    chunks = _plain_chunks(spark, sf)
+    selected = selection.select_chunks(chunks, BUDGET, "head")
+    validated = grounding.validate_summaries(_responses(chunks))
+    audit = grounding.audit_grounding(validated, grounding.ground_points(validated, selected), selected)
+    facts = F.array(*map(F.lit, ("The order and the balance", "made up", "nothing of it")))
+    text = evaluation.scored_text(validated.select("document_id", "summary_text", F.transform("key_points", lambda p: p["point"]).alias("key_points"))).withColumn("key_facts", facts)
+    named = lambda table: table.withColumnRenamed("document_id", "fixture")
+    out = evaluation.summary_dimensions(named(text), named(audit), named(grounding.usage_meta(validated, selected)))
+    told = F.array_join(F.transform("fact_details", lambda f: F.concat_ws(": ", f["fact"], f["covered"].cast("string"))), "; ")
+    return out.drop("summarisation_time_ms").withColumns({"fact_details": told, "factual_coverage": F.round("factual_coverage", 6)})
+
+
+@query(
+    f"""WITH {_PICKS}, m AS (SELECT document_id, round(coalesce(avg(score) FILTER (strategy = 'query_ranked'), 0.0) - coalesce(avg(score) FILTER (strategy = 'head'), 0.0), 9) AS lift FROM picks GROUP BY document_id),
+pr AS (SELECT document_id, count(*) AS provided FROM (SELECT document_id, chunk_id FROM ch WHERE total <= {BUDGET} OR chunk_index < {BUDGET}) GROUP BY document_id), z AS (SELECT DISTINCT document_id, total FROM ch)
+SELECT document_id, CASE WHEN lift > 0.1 THEN 'query_ranked' WHEN lift > 0 THEN 'query_ranked_slightly' ELSE 'similar' END AS recommendation, round(1 / provided, 4) AS evidence_usefulness, CAST(CASE WHEN total > 3 THEN 0.3333 ELSE 0.5 END AS DOUBLE) AS answer_grounding FROM m JOIN pr USING (document_id) JOIN z USING (document_id)"""
+)
+def retrieval_dimensions(spark: SparkSession, sf: str) -> DataFrame:
+    """What retrieval was good for: the answer's use of the chunks, its grounding, the recommendation."""
+    chunks = _plain_chunks(spark, sf)
+    picks = _picks(spark, sf)
+    totals = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("total_chunks"))
+    selected = selection.select_chunks(chunks, BUDGET, "head")
+    validated = grounding.validate_summaries(_responses(chunks))
+    audit = grounding.audit_grounding(validated, grounding.ground_points(validated, selected), selected)
+    out = evaluation.retrieval_dimensions(evaluation.retrieval_metrics(picks.join(totals, "document_id"), BUDGET), grounding.usage_meta(validated, selected), audit, selection.recommend(picks))
+    return out.select("document_id", "recommendation", "evidence_usefulness", "answer_grounding")

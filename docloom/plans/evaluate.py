@@ -80,7 +80,8 @@ def summary_scores(tables: dict[str, DataFrame], good: DataFrame, facts: DataFra
     out = tasks.summarise(chunks, documents.select("document_id", "page_count", "quality"), model)
     grounded = out["points"].filter("grounded").groupBy("document_id").agg(F.collect_list("text").alias("grounded_points"))
     text = evaluation.scored_text(out["summary"].join(grounded, "document_id", "left"))
-    metrics = evaluation.summary_metrics(text.join(wanted, "document_id")).join(out["audit"].join(good, "document_id").select("fixture", "grounding_score"), "fixture", "left")
+    named = lambda table: table.join(good, "document_id").drop("document_id")
+    metrics = evaluation.summary_dimensions(text.join(wanted, "document_id"), named(out["audit"]), named(out["usage"])).drop("summarisation_time_ms")
     return metrics, wanted.select("fixture", F.lit("hook").alias("model"), F.lit(tasks.get_prompt("summary_general").ref).alias("prompt"))
 
 
