@@ -120,15 +120,27 @@ def _asked(prompts: DataFrame) -> DataFrame:
     return prompts.select("document_id", text("model").alias("model"), text("system_prompt").alias("system_prompt"), text("user_prompt").alias("user_prompt"))
 
 
-def model_hook(complete: Callable, retries: int | None = None, policy: CallPolicy = CallPolicy()) -> Model:
+def model_hook(complete: Callable, retries: int | None = None, policy: CallPolicy | None = None) -> Model:
     """A hook from a plain function of (system, user), or of the user prompt alone.
 
     Rows: document_id, response, attempts, error, retryable, latency_ms, provider, model (the
-    row's own, else the policy's). Failures are rows with a typed error.
+    row's own, else the policy's). Failures are rows with a typed error. Without a policy the
+    session's settings hold.
     """
-    policy = policy if retries is None else replace(policy, retries=retries)
     told = _told(complete)
 
+    def ask(prompts: DataFrame) -> DataFrame:
+        from docloom.settings import call_policy  # it builds on this module
+
+        held = policy or call_policy(prompts.sparkSession)
+        return _called(prompts, told, held if retries is None else replace(held, retries=retries))
+
+    return ask
+
+
+def _called(prompts: DataFrame, told: Callable[[str, str], str], policy: CallPolicy) -> DataFrame:
+    """The answers of a function to prompt rows."""
+
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), policy.batch):
@@ -137,7 +149,7 @@ def model_hook(complete: Callable, retries: int | None = None, policy: CallPolic
                 rows = [(i, *a, policy.provider, m or policy.model) for i, m, a in zip(part["document_id"], part["model"], got)]
                 yield pd.DataFrame(rows, columns=["document_id", *_NAMES])
 
-    return lambda prompts: _asked(prompts).mapInPandas(call, f"document_id string, {_ANSWER}")
+    return _asked(prompts).mapInPandas(call, f"document_id string, {_ANSWER}")
 
 
 def prompt_digest(model: Column, system: Column, user: Column) -> Column:

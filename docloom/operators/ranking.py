@@ -159,16 +159,43 @@ def rerank_by_score(results: DataFrame, top_k: int = 10) -> DataFrame:
 register_reranker("score", lambda results, query, top_k: rerank_by_score(results, top_k))
 
 
+SIGNALS = ("lexical", "vector", "salience")
+
+
+def fuse_signals(chunks: DataFrame, query: str, signals: tuple[str, ...] = SIGNALS, wide: int = 30, dim: int = 64, k: int = RRF_K) -> DataFrame:
+    """The chunks that any signal has among its first ``wide``, with (score, rank) of each and of the fusion.
+
+    Equal to ``fuse`` of the single rankings, on one scan: all scores are columns of the same
+    rows, all ranks windows of one partitioning. Columns are ``<signal>_score``, ``<signal>_rank``
+    (null beyond ``wide``), ``score`` and ``rank``.
+    """
+    whole = Window.partitionBy("document_id")
+    out = chunks.withColumn("_total", F.count(F.lit(1)).over(whole))
+    of = hashed(dim)
+    score = {
+        "lexical": lambda: lexical_score(F.col("text"), query),
+        "vector": lambda: F.round(cosine(of(F.col("text")), of(F.lit(query))), 4) if query else F.lit(0.0),
+        "salience": lambda: salience_score(query, F.col("_total")),
+    }
+    out = out.withColumns({f"{s}_score": score[s]() for s in signals})
+    out = out.withColumns({f"{s}_rank": F.row_number().over(whole.orderBy(F.desc(f"{s}_score"), "chunk_index")) for s in signals})
+    out = out.withColumns({f"{s}_rank": F.when(F.col(f"{s}_rank") <= wide, F.col(f"{s}_rank")) for s in signals})
+    out = out.filter(F.coalesce(*[F.col(f"{s}_rank") for s in signals]).isNotNull())
+    total = sum((F.coalesce(1.0 / (F.lit(k) + F.col(f"{s}_rank")), F.lit(0.0)) for s in signals), F.lit(0.0))
+    first = F.coalesce(*[F.when(F.col(f"{s}_rank").isNotNull(), F.struct(F.lit(i).alias("list"), F.col(f"{s}_rank").alias("rank"))) for i, s in enumerate(signals)])
+    out = out.withColumns({"score": F.round(total, 6), "_first": first})
+    return out.withColumn("rank", F.row_number().over(whole.orderBy(F.desc("score"), "_first"))).drop("_first", "_total")
+
+
 def retrieve_hybrid(chunks: DataFrame, query: str, top_k: int = 10, candidate_multiplier: int = 3, dim: int = 64) -> DataFrame:
     """Lexical, vector and salience candidates, fused. Long form with a ``signal`` column.
 
     Each signal gives ``candidate_multiplier`` times ``top_k`` candidates to the fusion.
     """
-    wide = top_k * candidate_multiplier
-    lists = [("lexical", rank_lexical(chunks, query, wide)), ("vector", rank_vector(chunks, query, wide, dim)), ("salience", rank_salience(chunks, query, wide))]
-    signals = [d.filter(F.col("rank") <= top_k).select("document_id", F.lit(name).alias("signal"), "chunk_id", "rank", "score") for name, d in lists]
-    fused = fuse(lists, top_k).select("document_id", F.lit("fused").alias("signal"), "chunk_id", "rank", "score")
-    return reduce(DataFrame.unionByName, [*signals, fused])
+    rows = fuse_signals(chunks, query, SIGNALS, top_k * candidate_multiplier, dim)
+    named = [(s, F.col(f"{s}_rank"), F.col(f"{s}_score")) for s in SIGNALS] + [("fused", F.col("rank"), F.col("score"))]
+    hits = [F.when(rank <= top_k, F.struct(F.lit(name).alias("signal"), rank.alias("rank"), score.alias("score"))) for name, rank, score in named]
+    return rows.select("document_id", "chunk_id", F.explode(F.array_compact(F.array(*hits))).alias("h")).select("document_id", "h.signal", "chunk_id", "h.rank", "h.score")
 
 
 def search(chunks: DataFrame, query: str, ranker: str = "salience", top_k: int = 10) -> DataFrame:

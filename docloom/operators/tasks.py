@@ -18,6 +18,7 @@ from docloom.operators import selection as S
 from docloom.operators.hierarchy import hierarchy
 from docloom.operators.models import CallPolicy, Model, ResponseStore, degraded_responses, model_hook, prompt_digest, provider_calls, recorded
 from docloom.operators.prompts import PromptTemplate, build_prompts, get_prompt, list_prompts, register_prompt, with_templates
+from docloom.settings import load_settings
 from docloom.sources.settled import settle
 
 __all__ = [
@@ -30,7 +31,7 @@ def summarise(
     chunks: DataFrame,
     documents: DataFrame,
     model: Model,
-    budget: int = 10,
+    budget: int | None = None,
     strategy: str = "head",
     query: str | None = None,
     fields: DataFrame | None = None,
@@ -39,8 +40,10 @@ def summarise(
     """Selection, coverage, prompt, response, validation, grounding, uncertainty, degradation.
 
     ``documents`` has document_id, page_count, quality. Returns the tables of all steps.
-    The steps that others read are written, so the model is called once a prompt.
+    The steps that others read are written, so the model is called once a prompt. Without a
+    ``budget`` the session's setting holds.
     """
+    budget = budget or load_settings(chunks.sparkSession).max_llm_chunks
     selected = settle(S.select_chunks(chunks, budget, strategy, query), "selected")
     coverage = settle(S.coverage_report(chunks, selected, documents), "coverage")
     return _summarised(selected, coverage, documents, model, fields, template)

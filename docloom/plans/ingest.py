@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from docloom.operators import chunking, cleaning, parsing, routing, sections
 from docloom.operators.stages import Stages, kept
+from docloom.settings import chunk_config
 from docloom.sources.documents import read_files
 
 
-def ingest(files: DataFrame, clean: cleaning.CleanConfig = cleaning.CleanConfig(), chunks: chunking.ChunkConfig = chunking.ChunkConfig(), stages: Stages | None = None) -> dict[str, DataFrame]:
+def ingest(files: DataFrame, clean: cleaning.CleanConfig = cleaning.CleanConfig(), chunks: chunking.ChunkConfig | None = None, stages: Stages | None = None) -> dict[str, DataFrame]:
     """All tables of an ingest of text files (document_id, filename, size_bytes, text).
 
     Files that come with ``content`` instead of ``text`` may be of any kind (``ingest_files``).
     Failed parses keep their row in ``documents`` and have no pages. Every step keys on
     document_id, so one partitioning serves them all. With ``stages`` the steps' tables are
-    written and their figures noted.
+    written and their figures noted. Without ``chunks`` the session's settings hold.
     """
     if "content" in files.columns:
         return ingest_files(files, clean, chunks, stages=stages)
@@ -28,7 +29,7 @@ def ingest(files: DataFrame, clean: cleaning.CleanConfig = cleaning.CleanConfig(
 def ingest_files(
     files: DataFrame | str,
     clean: cleaning.CleanConfig = cleaning.CleanConfig(),
-    chunks: chunking.ChunkConfig = chunking.ChunkConfig(),
+    chunks: chunking.ChunkConfig | None = None,
     ocr: parsing.OcrAdapter | None = None,
     spark: SparkSession | None = None,
     stages: Stages | None = None,
@@ -51,7 +52,8 @@ def ingest_files(
     return _finish(files, meta, pages, chunks, stages)
 
 
-def _finish(files: DataFrame, parsed: DataFrame, pages: DataFrame, config: chunking.ChunkConfig, stages: Stages | None = None) -> dict[str, DataFrame]:
+def _finish(files: DataFrame, parsed: DataFrame, pages: DataFrame, config: chunking.ChunkConfig | None, stages: Stages | None = None) -> dict[str, DataFrame]:
+    config = config or chunk_config(pages.sparkSession)
     pages = kept(stages, pages, "clean", size=F.octet_length("text"))
     routed = routing.route(files.select("document_id", "filename").join(routing.text_samples(pages), "document_id"))
     cut = kept(stages, chunking.chunk(pages, config), "chunk", size=F.octet_length("text"))

@@ -316,7 +316,7 @@ SELECT document_id, chunk_id, rank, CAST(score AS DOUBLE) AS score FROM r WHERE
 )
 def rank_fusion(spark: SparkSession, sf: str) -> DataFrame:
     c = _plain_chunks(spark, sf)
-    return ranking.fuse([("lexical", ranking.rank_lexical(c, QUERY, 30)), ("salience", ranking.rank_salience(c, QUERY, 30))], 10).select("document_id", "chunk_id", "rank", "score")
+    return ranking.fuse_signals(c, QUERY, ("lexical", "salience"), 30).filter("rank <= 10").select("document_id", "chunk_id", "rank", "score")
 
 
 def _embedding_sql(text: str) -> str:

@@ -6,6 +6,9 @@ from dataclasses import dataclass, fields
 
 from pyspark.sql import SparkSession
 
+from docloom.operators.chunking import ChunkConfig
+from docloom.operators.models import CallPolicy
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -38,3 +41,15 @@ def load_settings(spark: SparkSession) -> Settings:
         except (KeyError, ValueError):
             raise ValueError(f"{key}: {said!r} is no {kind.__name__}") from None
     return Settings(**found)
+
+
+def chunk_config(spark: SparkSession) -> ChunkConfig:
+    """How documents are cut where a run does not say."""
+    held = load_settings(spark)
+    return ChunkConfig(chunk_size=held.chunk_size, overlap=held.chunk_overlap)
+
+
+def call_policy(spark: SparkSession) -> CallPolicy:
+    """How models are called where a run does not say."""
+    held = load_settings(spark)
+    return CallPolicy(retries=held.llm_max_retries, timeout_s=held.llm_timeout_s, backoff_ms=held.llm_retry_backoff_ms, provider=held.llm_provider, model=held.llm_model)

@@ -179,3 +179,36 @@ def test_enriched_chunks_carry_what_their_parts_say(spark):
         own = sorted(found.get(r.document_id, []), key=lambda s: s.section_index)
         at = [s.label for s in own if s.char_start <= r.char_start < s.char_end] or [s.label for s in own if s.page_start <= 1 <= s.page_end]
         assert r.section_label == (at[-1] if at else "")
+
+
+def test_settings_reach_the_operators(spark, chunks):
+    from docloom import settings
+    from docloom.plans.ingest import ingest
+
+    said = {"chunk_size": "40", "chunk_overlap": "5", "max_llm_chunks": "2", "llm_max_retries": "0", "llm_model": "big", "llm_provider": "own"}
+    for k, v in said.items():
+        spark.conf.set(f"spark.docloom.{k}", v)
+    try:
+        assert settings.chunk_config(spark).chunk_size == 40 and settings.call_policy(spark).retries == 0
+        made = ingest(spark.createDataFrame([("a", "a.txt", 90, "word " * 18)], "document_id string, filename string, size_bytes long, text string"))["chunks"]
+        assert made.agg(F.max(F.length("text"))).first()[0] == 40
+        documents = spark.createDataFrame([("d", 3, "good")], "document_id string, page_count int, quality string")
+
+        def broken(system, user):
+            raise ValueError("no")
+
+        out = tasks.summarise(chunks, documents, tasks.model_hook(broken))
+        row = out["responses"].first()
+        assert out["selected"].count() == 2 and (row.attempts, row.model, row.provider) == (1, "big", "own")
+    finally:
+        for k in said:
+            spark.conf.unset(f"spark.docloom.{k}")
+
+
+@pytest.mark.parametrize("wide", [2, 30])
+def test_fused_signals_equal_the_fusion_of_their_lists(spark, chunks, wide):
+    more = chunks.unionByName(chunks.withColumns({"document_id": F.lit("e"), "chunk_id": F.concat(F.lit("e"), "chunk_id")}).filter("chunk_index < 4"))
+    lists = [("lexical", ranking.rank_lexical(more, "payment text", wide)), ("vector", ranking.rank_vector(more, "payment text", wide)), ("salience", ranking.rank_salience(more, "payment text", wide))]
+    want = sorted(map(tuple, ranking.fuse(lists, 5).select("document_id", "chunk_id", "rank", "score").collect()))
+    got = ranking.fuse_signals(more, "payment text", wide=wide).filter("rank <= 5")
+    assert sorted(map(tuple, got.select("document_id", "chunk_id", "rank", "score").collect())) == want
