@@ -31,8 +31,9 @@ The benchmark's windows are broadcast while they number at most ``broadcast_wind
 by a shuffle on the hash, and only the documents with hits are verified.
 
 Null, empty or wordless text on either side: no windows, never contaminated. Repeated
-documents are judged alike; repeated items count as separate items. Empty tables: an
-empty result, or no document contaminated.
+documents are judged alike; repeated items count as separate items. Item ids are numbers
+or strings; an item without an id counts like others and is a null, last, among a
+document's items. Empty tables: an empty result, or no document contaminated.
 """
 
 from __future__ import annotations
@@ -46,6 +47,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from docloom.llm import textkit
 from docloom.llm.textkit import U64
@@ -249,7 +251,7 @@ class Items:
                     share = self._judged(k, f, both[f], some)
                     if share is not None:
                         best[k] = max(best.get(k, 0.0), share)
-        return sorted((self.ids[k], s) for k, s in best.items())
+        return sorted(((self.ids[k], s) for k, s in best.items()), key=lambda x: (x[0] is None, x[0] if x[0] is not None else 0, x[1]))
 
     def _judged(self, k: int, f: int, own: Form, chain: list[Part]) -> float | None:
         """The share of the item's windows in the chain, if that contaminates."""
@@ -423,13 +425,14 @@ def decontaminate(
     clash = [c for c in JUDGED if c in docs.columns]
     docs = docs.withColumnsRenamed({c: f"_own_{c}" for c in clash})
     id_col, text_col = (f"_own_{c}" if c in clash else c for c in (id_col, text_col))
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).filter("item is not null")
+    kind = "long" if isinstance(benchmark.schema[item_col].dataType, IntegralType) else "string"
+    items = benchmark.select(F.col(item_col).cast(kind).alias("name"), F.col(item_text_col).alias("text"))
     # No form of an item has more windows than words, nor more words than half its characters and one.
     bound = 2 * items.agg(F.coalesce(F.sum((F.length("text") / 2).cast("long") + 1), F.lit(0))).first()[0]
     if bound > broadcast_windows:
-        return _decontaminate_shuffled(docs, items, id_col, text_col, size, share, keep_text)
-    sent = docs.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in items.orderBy("item").collect()])
-    return _judged(docs, lambda: Items(sent.value, size, share), id_col, text_col, keep_text)
+        return _decontaminate_shuffled(docs, items, id_col, text_col, size, share, keep_text, kind)
+    sent = docs.sparkSession.sparkContext.broadcast([(r["name"], r["text"]) for r in items.orderBy(F.col("name").asc_nulls_last()).collect()])
+    return _judged(docs, lambda: Items(sent.value, size, share), id_col, text_col, keep_text, kind)
 
 
 def decontamination_filter(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **settings) -> DataFrame:
@@ -438,11 +441,12 @@ def decontamination_filter(docs: DataFrame, benchmark: DataFrame, text_col: str
     return judged.select(*[F.col(f"`_own_{c}`" if c in JUDGED else f"`{c}`").alias(c) for c in docs.columns])
 
 
-def _judged(docs: DataFrame, load, id_col: str, text_col: str, keep_text: bool) -> DataFrame:
+def _judged(docs: DataFrame, load, id_col: str, text_col: str, keep_text: bool, kind: str) -> DataFrame:
     carried = docs if keep_text else docs.select(id_col, text_col)
     names = carried.columns
     passed = [i for i, c in enumerate(names) if keep_text or c == id_col]
-    schema = ", ".join(f"`{names[i]}` {carried.schema[i].dataType.simpleString()}" for i in passed) + ", items array<long>, covered double, contaminated boolean"
+    schema = ", ".join(f"`{names[i]}` {carried.schema[i].dataType.simpleString()}" for i in passed) + f", items array<{kind}>, covered double, contaminated boolean"
+    named = pa.list_(pa.int64() if kind == "long" else pa.string())
     text_at = names.index(text_col)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -456,7 +460,7 @@ def _judged(docs: DataFrame, load, id_col: str, text_col: str, keep_text: bool)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(i).slice(row, len(texts)) for i in passed]
                     + [
-                        pa.array([[i for i, _ in f] for f in found], pa.list_(pa.int64())),
+                        pa.array([[i for i, _ in f] for f in found], named),
                         pa.array([max((s for _, s in f), default=0.0) for f in found], pa.float64()),
                         pa.array([bool(f) for f in found], pa.bool_()),
                     ],
@@ -480,7 +484,7 @@ def _item_parts(items: DataFrame, size: int) -> DataFrame:
     return items.mapInArrow(cut, "h long, item long, width int")
 
 
-def _decontaminate_shuffled(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, size: int, share: float, keep_text: bool) -> DataFrame:
+def _decontaminate_shuffled(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, size: int, share: float, keep_text: bool, kind: str) -> DataFrame:
     """The same for a benchmark of any size: both sides' windows meet by hash.
 
     Rows get a number of their own; (number, item) candidates are verified with both
@@ -490,6 +494,8 @@ def _decontaminate_shuffled(docs: DataFrame, items: DataFrame, id_col: str, text
 
     ws = Workspace(docs.sparkSession, "decontamination")
     numbered = ws.save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    named = ws.save(items.withColumn("item", F.monotonically_increasing_id()), "items")
+    items = named.select("item", "text")
     windows = ws.save(_item_parts(items, size), "windows")
     widths = [r[0] for r in windows.select("width").distinct().collect()]  # at most ``size`` numbers
 
@@ -510,8 +516,9 @@ def _decontaminate_shuffled(docs: DataFrame, items: DataFrame, id_col: str, text
                 out += [(number, i, s) for i, s in Items([(item, item_text)], size, share).matches(text)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["_row", "item", "s"])
 
-    hits = both.mapInArrow(verify, "_row long, item long, s double").groupBy("_row").agg(F.array_sort(F.collect_list("item")).alias("items"), F.max("s").alias("covered"))
+    found = both.mapInArrow(verify, "_row long, item long, s double").join(named.select("item", F.struct(F.col("name").isNull().alias("none"), "name").alias("n")), "item")
+    hits = found.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list("n")), lambda n: n["name"]).alias("items"), F.max("s").alias("covered"))
     kept = docs.columns if keep_text else [id_col]
     return numbered.join(hits, "_row", "left").select(
-        *kept, F.coalesce("items", F.expr("cast(array() as array<long>)")).alias("items"), F.coalesce("covered", F.lit(0.0)).alias("covered"), F.col("items").isNotNull().alias("contaminated")
+        *kept, F.coalesce("items", F.expr(f"cast(array() as array<{kind}>)")).alias("items"), F.coalesce("covered", F.lit(0.0)).alias("covered"), F.col("items").isNotNull().alias("contaminated")
     )

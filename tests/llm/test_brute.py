@@ -120,3 +120,41 @@ def test_chunks_give_the_same_ids_wherever_they_are_worked_on(spark, rows, sprea
     got = byte_bpe.byte_bpe(table, path, P.PATTERN, chunk_chars=300, overlap_chars=40, spread_chars=spread).collect()
     want = sorted((str(i), byte_bpe.encode_text(t or "", path, P.PATTERN).astype("<u4").tobytes(), (t or "").encode()) for i, t in [*rows, *more])
     assert sorted((str(r.doc_id), bytes(r.ids), bytes(r.decoded)) for r in got) == want
+
+
+def literal_hits(items, text, size=8):
+    """Items of ordinary words of which the text holds half of the windows, or all of a short one's."""
+    words = lambda t: (t or "").lower().replace(".", "").split()
+    own = words(text)
+    have = {tuple(own[i : i + size]) for i in range(len(own) - size + 1)}
+    out = []
+    for name, item in items:
+        w = words(item)
+        windows = [tuple(w[i : i + size]) for i in range(len(w) - size + 1)]
+        if windows and sum(x in have for x in windows) >= 0.5 * len(windows):
+            out.append(name)
+    return out
+
+
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_decontamination_finds_the_windows_that_plain_reading_finds(spark, most):
+    from docloom.llm import decontamination
+
+    rng = np.random.default_rng(6)
+    words = "river stone window garden bright number follow market little winter answer silver copper ladder farmer bottle candle forest mirror basket".split()
+    sentence = lambda n: " ".join(rng.choice(words, n))
+    items = [("b", sentence(40)), ("a", sentence(30)), (None, sentence(35)), ("c", None), ("d", "")]
+    texts = []
+    for k in range(40):
+        name, item = items[k % 3]
+        w = item.split()
+        part = [w, w[: len(w) // 4], w[3 : 3 + 3 * len(w) // 4], []][k % 4]
+        texts.append((k, " ".join([sentence(20), *part, sentence(20)]) + "."))
+    texts += [(100, None), (101, ""), (None, items[0][1] + " " + items[2][1])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3).withColumns({c: F.lit(1) for c in ("name", "item", "h", "width", "n", "none", "s")})
+    bench = spark.createDataFrame(items, "item_id string, text string").withColumn("name", F.lit("x"))
+    got = {r.doc_id: r for r in decontamination.decontaminate(docs, bench, broadcast_windows=most).collect()}
+    for k, text in texts:
+        want = sorted(literal_hits(items, text), key=lambda n: (n is None, n or ""))
+        assert list(got[k]["items"]) == want and got[k].contaminated == bool(want), (k, got[k], want)
+    assert got[None]["items"] == ["b", None] and sum(r.contaminated for r in got.values()) > 15
