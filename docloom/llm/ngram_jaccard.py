@@ -76,8 +76,8 @@ HOT, LARGEST = 1024, 1 << 30
 BROADCAST_IDS = 500_000
 #: Documents of a star or of one side of a leaf that a task joins, and the shingles of a star's task.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
-#: Members of a leaf that one task holds against those outside the largest component.
-FAR = 2048
+#: Members of a leaf that one task holds against those outside the largest component, and how many of the latter.
+FAR, OUTSIDE = 2048, 1024
 #: Shingles that a task counts at once.
 COLUMNS = 1 << 13
 
@@ -776,7 +776,8 @@ def _within_leaves(lists: DataFrame, split: DataFrame, parts: DataFrame, points:
     Leaves of two members hold a star and no more. The others are taken together by their
     least member, since leaves with the same one have much the same members. Where the
     members are not one component, those outside the largest one are joined with all,
-    through the tree; a task holds BLOCK of the former and FAR of the latter at most. Out
+    through the tree; a task holds OUTSIDE of the former and FAR of the latter at most, and
+    a leaf of one task has each member once, whichever side it is on. Out
     come the documents of any pair that the points let pass, not the pairs: their sets
     meet in a task of their own, which returns only links that connect components.
     """
@@ -788,31 +789,37 @@ def _within_leaves(lists: DataFrame, split: DataFrame, parts: DataFrame, points:
     sizes = rows.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("n"))
     blocks = lambda n, most: (F.floor((n - 1) / most) + 1).cast("long")
     tops = sizes.groupBy(*key).agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    tops = tops.select(*key, F.col("main.component").alias("main"), blocks(F.col("m") - F.col("main.n"), BLOCK).alias("lefts"), blocks(F.col("m"), FAR).alias("rights"))
+    tops = tops.select(*key, F.col("main.component").alias("main"), blocks(F.col("m") - F.col("main.n"), OUTSIDE).alias("lefts"), blocks(F.col("m"), FAR).alias("rights"))
     opened = ws.save(rows.join(tops, key), "opened")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     deal = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
-    near = opened.filter("component <> main").withColumn("i", deal("lefts")).select(*key, "i", every("rights").alias("j"), "doc", "component", F.lit(True).alias("left"))
-    far = opened.withColumn("j", deal("rights")).select(*key, every("lefts").alias("i"), "j", "doc", "component", F.lit(False).alias("left"))
-    dealt = near.unionByName(far).join(points, "doc")
+    # Sides of a member: 1 outside the largest component, 2 any member, 3 both.
+    sides = lambda n: F.lit(n).alias("side")
+    zero = F.lit(0).cast("long")
+    once = opened.filter("lefts = 1 and rights = 1").select(*key, zero.alias("i"), zero.alias("j"), "doc", "component", F.when(F.col("component") == F.col("main"), 2).otherwise(3).alias("side"))
+    many = opened.filter("lefts > 1 or rights > 1")
+    near = many.filter("component <> main").withColumn("i", deal("lefts")).select(*key, "i", every("rights").alias("j"), "doc", "component", sides(1))
+    far = many.withColumn("j", deal("rights")).select(*key, every("lefts").alias("i"), "j", "doc", "component", sides(2))
+    dealt = once.unionByName(near).unionByName(far).join(points, "doc")
     num, den = plan.num, plan.den
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Plan(num, den)
         for table in _groups(batches, ["kind", "leaf", "i", "j"]):
-            doc, comp, n, side = (table.column(c).to_numpy() for c in ("doc", "component", "n", "left"))
-            left, right = np.flatnonzero(side), np.flatnonzero(~side)
+            doc, comp, n, side = (table.column(c).to_numpy() for c in ("doc", "component", "n", "side"))
+            left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
             if len(left) and len(right):
                 found = _tree_pairs(comp, n, table.column("vector").to_pylist(), left, right, p)
                 if len(found):
                     some = table.take(pa.array(found))
                     key = [some.column(c).combine_chunks() for c in ("kind", "leaf", "i", "j")]
-                    columns = [some.column("doc").combine_chunks(), *key, some.column("left").combine_chunks(), some.column("component").combine_chunks()]
-                    yield pa.RecordBatch.from_arrays(columns, names=["doc", "kind", "leaf", "i", "j", "left", "component"])
+                    flags = [pa.array(side[found] & k > 0) for k in (1, 2)]
+                    columns = [some.column("doc").combine_chunks(), *key, *flags, some.column("component").combine_chunks()]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc", "kind", "leaf", "i", "j", "left", "right", "component"])
 
     place = [*key, "i", "j"]
-    met = dealt.repartition(*place).sortWithinPartitions(*place).mapInArrow(join, "doc long, kind int, leaf long, i long, j long, left boolean, component long")
-    tasks = met.select("doc", F.xxhash64("kind", "leaf").alias("cluster"), F.xxhash64("i", "j").alias("task"), "left", (~F.col("left")).alias("right"), "component")
+    met = dealt.repartition(*place).sortWithinPartitions(*place).mapInArrow(join, "doc long, kind int, leaf long, i long, j long, left boolean, right boolean, component long")
+    tasks = met.select("doc", F.xxhash64("kind", "leaf").alias("cluster"), F.xxhash64("i", "j").alias("task"), "left", "right", "component")
     out = ws.save(tasks, "within")
     ws.drop("grouped", "opened")
     return out
