@@ -485,20 +485,18 @@ def connect(comp: np.ndarray, n: np.ndarray, vectors: np.ndarray, sets: list[np.
 
 def _sets(docs: DataFrame, how: Shingles, carried: list[str]) -> DataFrame:
     """``doc``, ``carried`` and the shingles of the documents' ``text``."""
-    names = docs.columns
-    at = [names.index(c) for c in ("doc", *carried)]
-    text_at = names.index("text")
-    schema = ", ".join(f"`{names[i]}` {docs.schema[i].dataType.simpleString()}" for i in at) + ", shingles binary"
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ("doc", *carried)) + ", shingles binary"
+    return docs.mapInArrow(lambda batches: _shingled(batches, how, ["doc", *carried]), schema)
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, texts in textkit.slices(batch.column(text_at)):
-                h, n = shingle_sets(texts, how)
-                cut = np.concatenate(([0], np.cumsum(n)))
-                shingles = pa.array([h[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(row, len(n)) for i in at], shingles], names=[*[names[i] for i in at], "shingles"])
 
-    return docs.mapInArrow(build, schema)
+def _shingled(batches: Iterator[pa.RecordBatch], how: Shingles, kept: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches with the columns ``kept`` and the shingles of ``text`` instead of it."""
+    for batch in batches:
+        for row, texts in textkit.slices(batch.column("text")):
+            h, n = shingle_sets(texts, how)
+            cut = np.concatenate(([0], np.cumsum(n)))
+            shingles = pa.array([h[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(row, len(n)) for c in kept], shingles], names=[*kept, "shingles"])
 
 
 def _points(docs: DataFrame, how: Shingles) -> DataFrame:
@@ -552,25 +550,29 @@ def _possible(pairs: DataFrame, points: DataFrame, plan: Plan) -> DataFrame:
 def _linked(docs: DataFrame, dealt: DataFrame, how: Shingles, plan: Plan, few: bool) -> DataFrame:
     """Links (a, b) inside the tasks of ``dealt`` (doc, cluster, task, left, right, component).
 
-    A task joins its left documents with its right ones.
+    A task joins its left documents with its right ones. Texts travel, not their shingles:
+    hashes are longer than the words that they stand for, and nothing compresses them.
     """
     num, den = plan.num, plan.den
-    with_text = docs.join(F.broadcast(dealt) if few else dealt, "doc")
-    rows = _sets(with_text, how, ["cluster", "task", "left", "right", "component"])
+    place, kept = ["cluster", "task"], ["doc", "cluster", "task", "left", "right", "component"]
 
-    def join(table: pa.Table) -> pa.Table:
-        doc, comp, left, right = (table.column(c).to_numpy() for c in ("doc", "component", "left", "right"))
-        sets = [np.frombuffer(x, U64) for x in table.column("shingles").to_pylist()]
-        n = np.array([len(x) for x in sets], np.int64)
-        wide = width(int(n.min()))
-        vectors = np.stack([point(x, wide) for x in sets])
-        found = connect(comp, n, vectors, sets, np.flatnonzero(left), np.flatnonzero(right), Plan(num, den))
-        at = np.array(found, np.int64).reshape(-1, 2)
-        if n.sum() > 1 << 20:
-            textkit.release()
-        return pa.table({"a": pa.array(doc[at[:, 0]]), "b": pa.array(doc[at[:, 1]])})
-
-    return rows.groupBy("cluster", "task").applyInArrow(join, "a long, b long")
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = Plan(num, den)
+        for table in _groups(_shingled(batches, how, kept), place):
+            doc, comp, left, right = (table.column(c).to_numpy() for c in ("doc", "component", "left", "right"))
+            sets = [np.frombuffer(x, U64) for x in table.column("shingles").to_pylist()]
+            n = np.array([len(x) for x in sets], np.int64)
+            wide = width(int(n.min()))
+            vectors = np.stack([point(x, wide) for x in sets])
+            found = connect(comp, n, vectors, sets, np.flatnonzero(left), np.flatnonzero(right), p)
+            if found:
+                at = np.array(found, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[at[:, 0]]), pa.array(doc[at[:, 1]])], names=["a", "b"])
+            if n.sum() > 1 << 20:
+                textkit.release()
+
+    rows = docs.join(F.broadcast(dealt) if few else dealt, "doc").select("text", *kept)
+    return rows.repartition(*place).sortWithinPartitions(*place).mapInArrow(join, "a long, b long")
 
 
 def ngram_jaccard(

@@ -158,3 +158,29 @@ def test_decontamination_finds_the_windows_that_plain_reading_finds(spark, most)
         want = sorted(literal_hits(items, text), key=lambda n: (n is None, n or ""))
         assert list(got[k]["items"]) == want and got[k].contaminated == bool(want), (k, got[k], want)
     assert got[None]["items"] == ["b", None] and sum(r.contaminated for r in got.values()) > 15
+
+
+def test_link_tasks_get_texts_and_not_their_hashes(spark):
+    import random
+    import time
+
+    from docloom.llm import ngram_jaccard as J
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    base = [[rng.choice(words) for _ in range(1500)] for _ in range(20)]
+    rows = [(10 * i + k, " ".join([*b[: 1500 - k], "end"]), i, k) for k in range(10) for i, b in enumerate(base)]  # no copy beside another
+    docs = spark.createDataFrame([(i, t) for i, t, _, _ in rows], "doc long, text string")
+    dealt = spark.createDataFrame([(i, c, 0, True, True, i) for i, _, c, _ in rows], "doc long, cluster long, task long, left boolean, right boolean, component long")
+
+    def written():
+        time.sleep(1)
+        spark.range(1).count()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = written()
+    links = J._linked(docs, dealt, J.Shingles(5, 1), J.Plan(80, 100), True).collect()
+    sent = written() - before
+    assert len(links) == 9 * 20 and all(r.a // 10 == r.b // 10 for r in links)
+    assert 0 < sent < sum(len(t) for _, t, _, _ in rows)
