@@ -50,6 +50,7 @@ component and number of links. Empty table: empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -157,7 +158,20 @@ def width(n: int) -> int:
 
 def point(h: np.ndarray, wide: int) -> np.ndarray:
     """The count vector of a set."""
-    return np.bincount((mix(h) & U64(wide - 1)).astype(np.int64), minlength=wide)
+    return np.bincount((mix(h) & U64(wide - 1)).astype(np.int64), minlength=wide).astype(np.int32)
+
+
+def coded(vector: np.ndarray) -> bytes:
+    """A point as it travels: a byte a count, Huffman-coded; empty if a count is over 255."""
+    if vector.max() > 255:
+        return b""
+    coder = zlib.compressobj(1, zlib.DEFLATED, -15, 8, zlib.Z_HUFFMAN_ONLY)
+    return coder.compress(vector.astype(np.uint8).tobytes()) + coder.flush()
+
+
+def decoded(vector: bytes) -> bytes:
+    """A byte a count."""
+    return zlib.decompress(vector, -15) if vector else b""
 
 
 def fold(vectors: np.ndarray, wide: int) -> np.ndarray:
@@ -500,22 +514,21 @@ def _shingled(batches: Iterator[pa.RecordBatch], how: Shingles, kept: list[str])
 
 
 def _points(docs: DataFrame, how: Shingles) -> DataFrame:
-    """(doc, n, vector) of the documents; a count over 255 leaves the vector empty, which excludes nothing."""
+    """(doc, n, vector) of the documents, the vectors coded; an empty one excludes nothing."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, texts in textkit.slices(batch.column(1)):
                 h, n = shingle_sets(texts, how)
                 cut = np.concatenate(([0], np.cumsum(n)))
-                points = [point(h[i:j], width(j - i)) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
-                packed = [x.astype(np.uint8).tobytes() if x.max() < 256 else b"" for x in points]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(n)), pa.array(n), pa.array(packed, pa.binary())], names=["doc", "n", "vector"])
+                points = [coded(point(h[i:j], width(j - i))) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(n)), pa.array(n), pa.array(points, pa.binary())], names=["doc", "n", "vector"])
 
     return docs.mapInArrow(build, "doc long, n long, vector binary")
 
 
 def bounds(left: list[bytes], right: list[bytes]) -> np.ndarray:
-    """The summed minima of pairs of packed points, in the coordinates of the narrower one; an empty one bounds nothing."""
+    """The summed minima of pairs of points, a byte a count, in the coordinates of the narrower one; an empty one bounds nothing."""
     wide = np.array([(len(x), len(y)) for x, y in zip(left, right)], np.int64).reshape(-1, 2)
     out = np.full(len(wide), 1 << 40, np.int64)
     for la, lb in np.unique(wide, axis=0).tolist():
@@ -539,7 +552,7 @@ def _possible(pairs: DataFrame, points: DataFrame, plan: Plan) -> DataFrame:
         p = Plan(num, den)
         for batch in batches:
             na, nb = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
-            top = bounds(batch.column("va").to_pylist(), batch.column("vb").to_pylist())
+            top = bounds(*([decoded(x) for x in batch.column(c).to_pylist()] for c in ("va", "vb")))
             yield batch.select(["a", "b", "nb"]).filter(pa.array(top >= p.needed(na, nb)))
 
     for side in ("b", "a"):
@@ -776,7 +789,8 @@ def _within_leaves(lists: DataFrame, split: DataFrame, parts: DataFrame, points:
     """Tasks (doc, cluster, task, left, right, component) of documents that share a leaf, lie in different components and pass the bound.
 
     Leaves of two members hold a star and no more. The others are taken together by their
-    least member, since leaves with the same one have much the same members. Where the
+    least member, since leaves with the same one have much the same members; large ones are
+    where that leaves no more pairs to join. Where the
     members are not one component, those outside the largest one are joined with all,
     through the tree; a task holds OUTSIDE of the former and FAR of the latter at most, and
     a leaf of one task has each member once, whichever side it is on. Out
@@ -788,11 +802,16 @@ def _within_leaves(lists: DataFrame, split: DataFrame, parts: DataFrame, points:
     rows = small.unionByName(split.select(F.lit(1).alias("kind"), "leaf", F.explode("members").alias("doc")))
     rows = ws.save(rows.join(of, "doc", "left").withColumn("component", F.coalesce("component", "doc")), "grouped")
     key = ["kind", "leaf"]
-    sizes = rows.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("n"))
-    blocks = lambda n, most: (F.floor((n - 1) / most) + 1).cast("long")
-    tops = sizes.groupBy(*key).agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    tops = tops.select(*key, F.col("main.component").alias("main"), blocks(F.col("m") - F.col("main.n"), OUTSIDE).alias("lefts"), blocks(F.col("m"), FAR).alias("rights"))
-    opened = ws.save(rows.join(tops, key), "opened")
+    tops = ws.save(_open(rows), "open-leaves")
+    large = tops.filter("kind = 1")
+    together = rows.join(large.select(*key, "head"), key).select(F.lit(2).alias("kind"), F.col("head").alias("leaf"), "doc", "component").distinct()
+    together = ws.save(together, "together")
+    apart = large.groupBy(F.col("head").alias("leaf")).agg(F.sum(F.col("m") * F.col("out")).alias("pairs"))
+    united = ws.save(_open(together).join(apart, "leaf").filter("m * out <= pairs").drop("pairs"), "united")
+    alone = tops.join(united.select(F.lit(1).alias("kind"), "head"), ["kind", "head"], "left_anti")
+    blocks = lambda n, most: (F.floor((F.col(n) - 1) / most) + 1).cast("long")
+    parted = lambda tops: tops.select(*key, "main", blocks("out", OUTSIDE).alias("lefts"), blocks("m", FAR).alias("rights"))
+    opened = ws.save(rows.join(parted(alone), key).unionByName(together.join(parted(united), key)), "opened")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     deal = lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
     # Sides of a member: 1 outside the largest component, 2 any member, 3 both.
@@ -811,7 +830,7 @@ def _within_leaves(lists: DataFrame, split: DataFrame, parts: DataFrame, points:
             doc, comp, n, side = (table.column(c).to_numpy() for c in ("doc", "component", "n", "side"))
             left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
             if len(left) and len(right):
-                found = _tree_pairs(comp, n, table.column("vector").to_pylist(), left, right, p)
+                found = _tree_pairs(comp, n, [decoded(x) for x in table.column("vector").to_pylist()], left, right, p)
                 if len(found):
                     some = table.take(pa.array(found))
                     key = [some.column(c).combine_chunks() for c in ("kind", "leaf", "i", "j")]
@@ -823,10 +842,18 @@ def _within_leaves(lists: DataFrame, split: DataFrame, parts: DataFrame, points:
     met = dealt.repartition(*place).sortWithinPartitions(*place).mapInArrow(join, "doc long, kind int, leaf long, i long, j long, left boolean, right boolean, component long")
     tasks = met.select("doc", F.xxhash64("kind", "leaf").alias("cluster"), F.xxhash64("i", "j").alias("task"), "left", "right", "component")
     out = ws.save(tasks, "within")
-    ws.drop("grouped", "opened")
+    ws.drop("grouped", "open-leaves", "together", "united", "opened")
     return out
 
 
+def _open(rows: DataFrame) -> DataFrame:
+    """The leaves (kind, leaf) of several components: the largest one (main), all members (m), those outside it (out) and the least one (head)."""
+    key = ["kind", "leaf"]
+    sizes = rows.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("least"))
+    tops = sizes.groupBy(*key).agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("c"), F.min("least").alias("head"))
+    return tops.filter("c > 1").select(*key, F.col("main.component").alias("main"), "m", (F.col("m") - F.col("main.n")).alias("out"), "head")
+
+
 def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
     """The runs of rows with one key, across batches."""
     held: list[pa.RecordBatch] = []
@@ -848,19 +875,19 @@ def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def _tree_pairs(comp: np.ndarray, n: np.ndarray, packed: list[bytes], left: np.ndarray, right: np.ndarray, plan: Plan) -> np.ndarray:
+def _tree_pairs(comp: np.ndarray, n: np.ndarray, points: list[bytes], left: np.ndarray, right: np.ndarray, plan: Plan) -> np.ndarray:
     """The rows of any pair (left, right) of different components that the bound lets pass.
 
     An empty point is not known and excludes nothing.
     """
-    known = [x for x in packed if x]
+    known = [x for x in points if x]
     wide = min(map(len, known), default=1)
-    vectors = np.full((len(packed), wide), 0xFFFF, np.uint16)
+    vectors = np.full((len(points), wide), 0xFFFF, np.uint16)
     for at in {len(x) for x in known}:
-        rows = [i for i, x in enumerate(packed) if len(x) == at]
-        vectors[rows] = fold(np.frombuffer(b"".join(packed[i] for i in rows), np.uint8).reshape(len(rows), at), wide)
+        rows = [i for i, x in enumerate(points) if len(x) == at]
+        vectors[rows] = fold(np.frombuffer(b"".join(points[i] for i in rows), np.uint8).reshape(len(rows), at), wide)
     a, b = CountTree(vectors[left], n[left]), CountTree(vectors[right], n[right])
-    hit = np.zeros(len(packed), bool)
+    hit = np.zeros(len(points), bool)
     for p, q in a.near_leaves(b, plan):
         p, q = left[p], right[q]
         apart = comp[p][:, None] != comp[q][None, :]

@@ -184,3 +184,44 @@ def test_link_tasks_get_texts_and_not_their_hashes(spark):
     sent = written() - before
     assert len(links) == 9 * 20 and all(r.a // 10 == r.b // 10 for r in links)
     assert 0 < sent < sum(len(t) for _, t, _, _ in rows)
+
+
+def test_large_leaves_of_the_same_members_are_joined_once(spark, tmp_path):
+    from docloom.llm import ngram_jaccard as J
+    from docloom.llm.store import Workspace
+
+    rng = np.random.default_rng(7)
+    common = rng.integers(0, 1 << 62, 400).astype(np.uint64)
+    sets = [np.unique(np.concatenate((rng.choice(common, 330, replace=False), rng.integers(0, 1 << 62, 70).astype(np.uint64)))) for _ in range(300)]
+    points = [(k, len(x), bytearray(J.coded(J.point(x, 256)))) for k, x in enumerate(sets)] + [(900, 400, bytearray()), (901, 400, bytearray())]
+    members = [*range(300), 900]
+    split = [(leaf, part, members[part::2]) for leaf in range(12) for part in (0, 1)]
+    # Leaves that share their least member and little else stay apart.
+    split += [(20 + k, 0, [-5, *range(40 * k, 40 * k + 40)]) for k in range(5)] + [(30, 0, [-9, 900, 901])]
+    points.append((-5, 400, bytearray()))
+    points.append((-9, 400, bytearray()))
+    parts = [(k, 0) for k in range(10)] + [(901, 900), (-9, 900)]
+    ws = Workspace(spark, "large-leaves")
+    got = J._within_leaves(
+        spark.createDataFrame([], "list long, members array<long>"),
+        ws.save(spark.createDataFrame(split, "leaf long, part long, members array<long>"), "split"),
+        ws.save(spark.createDataFrame(parts, "node long, component long"), "parts"),
+        ws.save(spark.createDataFrame(points, "doc long, n long, vector binary"), "points"),
+        J.Plan(60, 100),
+        ws,
+    ).collect()
+    tasks = {}
+    for r in got:
+        tasks.setdefault((r.cluster, r.task), set()).add(r.doc)
+    sizes = sorted(len(x) for x in tasks.values())
+    assert sizes == [41] * 5 + [301]
+    assert {frozenset(x) for x in tasks.values()} == {frozenset(members), *(frozenset([-5, *range(40 * k, 40 * k + 40)]) for k in range(5))}
+
+
+def test_points_travel_coded():
+    from docloom.llm import ngram_jaccard as J
+
+    x = np.random.default_rng(1).integers(0, 1 << 62, 300).astype(np.uint64)
+    p = J.point(x, J.width(300))
+    assert np.array_equal(np.frombuffer(J.decoded(J.coded(p)), np.uint8), p) and len(J.coded(p)) < len(p) // 2
+    assert J.decoded(J.coded(np.array([256, 1]))) == b""
