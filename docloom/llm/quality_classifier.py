@@ -8,8 +8,8 @@ bad share is the mean of its lines' marginals, weighted by their bytes; a logist
 of that share, fitted on the training documents, is the score.
 
 Messages are normalised products of 2 x 2 matrices, taken by doubling over all lines of a
-batch at once: a document's first line has a matrix of equal rows, which forgets what
-stands before it. A document of a million lines takes twenty steps like any other.
+batch at once, up to each document's edges. A document of a million lines takes twenty
+steps like any other, and equal texts have equal scores whatever stands beside them.
 
 Labels belong to documents, lines have none. A first fit reads every line as its document;
 in documents of low quality the lines that it holds for good are then taken as good, all
@@ -135,6 +135,11 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out / out.sum(axis=1, keepdims=True)
 
 
+def _dot(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``x @ w``, each row rounded alike wherever it stands, which BLAS does not promise."""
+    return (x * w).sum(axis=1)
+
+
 class Field(NamedTuple):
     """Parameters: the weights of a bad line's evidence, transition scores (from, to) and start scores."""
 
@@ -145,18 +150,23 @@ class Field(NamedTuple):
     def messages(self, x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(filtered forward, backward messages, line potentials, log normaliser of each line)."""
         n = len(x)
-        score = x @ self.weights
+        score = _dot(x, self.weights)
         top = np.maximum(score, 0)
         potential = np.stack((np.exp(-top), np.exp(score - top)), axis=1)  # scaled to 1 at most
         change = np.exp(self.trans)
         step = (change[None] * potential[:, None, :]).reshape(n, 4)
         opening = np.exp(self.start) * potential[first]
         step[first] = np.concatenate((opening, opening), axis=1)
-        longest = int(np.diff(np.append(np.flatnonzero(first), n)).max())
+        starts = np.flatnonzero(first)
+        lines = np.diff(np.append(starts, n))
+        place = np.arange(n) - np.repeat(starts, lines)
+        behind = np.repeat(lines, lines) - 1 - place
+        longest = int(lines.max())
         ahead = step / step.sum(axis=1, keepdims=True)
         gap = 1
         while gap < longest:
-            ahead[gap:] = _times(ahead[:-gap], ahead[gap:])
+            at = np.flatnonzero(place >= gap)
+            ahead[at] = _times(ahead[at - gap], ahead[at])
             gap *= 2
         forward = ahead[:, :2] + ahead[:, 2:]
         forward /= forward.sum(axis=1, keepdims=True)
@@ -165,7 +175,8 @@ class Field(NamedTuple):
         back[inner] = step[inner + 1] / step[inner + 1].sum(axis=1, keepdims=True)
         gap = 1
         while gap < longest:
-            back[:-gap] = _times(back[:-gap], back[gap:])
+            at = np.flatnonzero(behind >= gap)
+            back[at] = _times(back[at], back[at + gap])
             gap *= 2
         backward = np.stack((back[:, 0] + back[:, 1], back[:, 2] + back[:, 3]), axis=1)
         before = np.zeros((n, 2))
@@ -252,7 +263,7 @@ class Model(NamedTuple):
     def score(self, bad_share: np.ndarray) -> np.ndarray:
         if self.field is None:
             return np.full(len(bad_share), self.share)
-        z = np.stack((bad_share, np.sqrt(bad_share), np.ones(len(bad_share))), axis=1) @ self.curve
+        z = _dot(np.stack((bad_share, np.sqrt(bad_share), np.ones(len(bad_share))), axis=1), self.curve)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 

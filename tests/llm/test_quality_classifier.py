@@ -151,3 +151,21 @@ def test_without_both_labels_scores_are_their_share(spark):
     assert {r.score for r in Q.quality_classifier(docs, ones).collect()} == {(n + 1) / (n + 2)}
     assert {r.score for r in Q.quality_classifier(docs, ones.limit(0)).collect()} == {0.5}
     assert Q.quality_classifier(docs.limit(0), ones).isEmpty()
+
+
+def test_equal_texts_score_alike_whatever_stands_beside_them():
+    rng = np.random.default_rng(3)
+    x = np.abs(rng.normal(size=(3 * len(Q.NAMES) + 6,))) / 3
+    model = Q.Model(Q.Field.of(x), np.array([-2.0, -3.0, 1.7]), 0.5)
+    own = ["", "One line.", "Some lines!\nAnd more of them\n\n### and $$$", "x\n" * 40]
+    scores = {t: set() for t in own}
+    for k in range(12):
+        beside = [f"Filler {i}. " * (1 + i % 5) + "\nof lines" * (i * k % 23) for i in range(k)]
+        for batch in ([*own, *beside], [*beside, *own], [t for pair in zip(own, [*beside, "", "", "", ""]) for t in pair]):
+            (_, texts), = textkit.slices(pa.array(batch))
+            bad, lines = Q.line_marginals(texts, model)
+            got = model.score(Q.bad_shares(bad, lines.end - lines.start + 1.0, np.diff(lines.first)))
+            for t, s in zip(batch, got.tolist()):
+                if t in scores:
+                    scores[t].add(s)
+    assert all(len(s) == 1 for s in scores.values()), scores
